@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from basalt.llm import chat_format, secret_scan
 from basalt.llm.exact_dedup import exact_dedup
+from basalt.plans.durable import written
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,12 +19,48 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_docs(spark, sf_dir)).drop("row_no")
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    own = spark.range(2).select(
+        F.lit(-7).cast("bigint").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(said).alias("text"),
+    )
+    chats = chats.unionByName(own).withColumn("parts", chat_format.text_parts(F.col("text")))
+    out = written(chat_format.format_chats(chats).select("conv_id", "segments"), "chats")
+    back = out.select("conv_id", "segments", chat_format.formatted(F.col("segments")).alias("all"))
+    back = back.select("conv_id", chat_format.read_turns(F.col("all")).alias("turns"), chat_format.loss_text(F.col("segments")).alias("loss"), F.length("all").cast("bigint").alias("formatted_chars"))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("bigint").alias("n_turns"),
+        F.sha2(turns, 256).alias("turns_sha256"),
+        F.length("loss").cast("bigint").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(_docs(spark, sf_dir))
+    return found.select(
+        "doc_id",
+        *(secret_scan.count_kind(F.col("base"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")),
+        F.sha2(secret_scan.span_text(F.col("base")), 256).alias("base_sha256"),
+        secret_scan.span_text(F.array_sort(F.concat("base", "added"))).alias("spans"),
+        secret_scan.span_text(F.col("live")).alias("live_spans"),
+        secret_scan.span_text(F.col("examples")).alias("example_spans"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1}
+    return {"op1_exact_dedup": OP1, "op3_chat_format": OP3}
 
 
 OP1 = """
@@ -33,3 +71,19 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = min(doc_id) OVER w AS kept, text_sha256
 FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
+
+OP3 = r"""
+WITH own(conv_id, turn, role, text) AS (
+  VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')
+), c AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT * FROM own
+), e AS (
+  SELECT *, replace(replace(replace(text, chr(92), chr(92) || 'b'), '<', chr(92) || 'l'), '>', chr(92) || 'g') AS esc FROM c
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length('<turn ' || role || '>' || esc || '</turn>'))::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
