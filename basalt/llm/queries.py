@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from basalt.llm import chat_format, packing, pieces, secret_scan
+from basalt.llm import chat_format, minhash, packing, pieces, secret_scan
 from basalt.llm.exact_dedup import exact_dedup
 from basalt.plans.durable import written
 
@@ -77,6 +77,10 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_docs(spark, sf_dir), percent=85, size=5)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
