@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from basalt.llm import chat_format, minhash, packing, pieces, secret_scan
+from basalt.llm import chat_format, minhash, packing, pieces, secret_scan, toxicity
 from basalt.llm.exact_dedup import exact_dedup
 from basalt.plans.durable import written
 
@@ -26,6 +26,23 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_docs(spark, sf_dir)).drop("row_no")
 
 
+def remainder(id_col: str, by: int) -> Column:
+    """crc32 of an id as text, modulo ``by``; null for a null id."""
+    return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(by))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(remainder("doc_id", 5) != 0)
+    model = toxicity.fit(toxicity.labelled(docs, labels))
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        F.coalesce(remainder("doc_id", 5) == 0, F.lit(True)).alias("held_out"),
+        F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     chats = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     said = "\\### Assistant: </turn> ok"
