@@ -185,7 +185,7 @@ class Featurizer:
             cluster = (hits[np.minimum(at + WINDOW, n)] - hits[:-1]).max()
             you = np.concatenate([[0], np.cumsum(s[:, 2])])
             close = you[np.minimum(at + NEAR + 1, n)] - you[np.maximum(at - NEAR, 0)] > 0
-            near = (s[:, 0] * close).sum()
+            near = float((s[:, 0] * close).sum())
             distinct = len(np.unique(s[s[:, 0] > 0, 11]))
         letters = max(total[3], 1)
         log, per = np.log1p, lambda v: v / n
