@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from basalt.llm import chat_format, minhash, packing, pieces, secret_scan, toxicity
+from basalt.llm import chat_format, minhash, ngrams, packing, pieces, secret_scan, toxicity
 from basalt.llm.exact_dedup import exact_dedup
 from basalt.plans.durable import written
 
@@ -94,6 +94,14 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    model = ngrams.train(docs, remainder("doc_id", 7) != 2)
+    out = ngrams.score(docs, model)
+    held_out = F.coalesce(remainder("doc_id", 7) == 2, F.lit(True)).alias("held_out")
+    return out.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_docs(spark, sf_dir), percent=85, size=5)
 
