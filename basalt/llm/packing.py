@@ -20,19 +20,30 @@ from pyspark.sql import DataFrame, functions as F
 
 from basalt.plans.durable import written
 
-CACHED_WORDS = 500_000
+CACHED_WORDS = 400_000
 CACHED_LENGTH = 64
 #: str.split() takes these as white space, the tokenizer doesn't.
 ODD_SPACES = "\x1c\x1d\x1e\x1f"
+#: Marks that are tokens of their own after a letter at a word's end.
+TAIL = ".,;:!?"
 
 _loaded: dict[str, "WordIds"] = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """Latin-1 character of a byte -> the letter that byte-level tokenizers write for it."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class WordIds(dict):
     """The ids of each word, as little-endian unsigned integers of ``dtype``.
 
     The tokenizer cuts at white space and drops it, so a text's ids are those of
-    its words in order. The table is emptied when full, which changes no result.
+    its words in order. A word of Latin letters alone is one unit of its model,
+    whatever its case, and a mark after it is another; other words go through the
+    whole tokenizer. Words not met for a while leave the table, which changes no result.
     """
 
     def __init__(self, path: str):
@@ -40,17 +51,35 @@ class WordIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # control strings in a text are ordinary text
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+        self.old: dict[str, bytes] = {}
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
+    def unit(self, word: str) -> bytes:
+        """A lower-case word of letters before U+0180, which are composed already."""
+        text = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return np.array([t.id for t in self.model.tokenize(text)], self.dtype).tobytes()
+
     def __missing__(self, word: str) -> bytes:
-        out = self.whole(word)
-        if len(word) <= CACHED_LENGTH:
-            if len(self) >= CACHED_WORDS:
-                self.clear()
-            self[word] = out
+        out = self.old.get(word)
+        if out is None:
+            if len(word) > CACHED_LENGTH:
+                return self.whole(word)
+            if word[-1] in TAIL and word[:-1].isalpha():
+                out = self[word[:-1]] + self[word[-1]]
+            elif word.isalpha() and max(word) < "\u0180" and "\u0130" not in word:
+                low = word.lower()
+                out = self.unit(word) if low == word else self[low]
+            else:
+                out = self.whole(word)
+        if len(self) >= CACHED_WORDS:
+            self.old = dict(self)
+            self.clear()
+        self[word] = out
         return out
 
     def of(self, text: str) -> bytes:

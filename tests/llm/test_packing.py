@@ -58,3 +58,16 @@ def test_pack_equals_brute_force(spark):
 def test_query_over_whole_table(spark):
     sf = "/root/testdata/sf0.001"
     check(op4_packing(spark, sf).collect(), {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}, library())
+
+
+def test_any_words_equal_library():
+    from hypothesis import given, settings, strategies as st
+
+    tok, table = library(), packing.WordIds(PATH)
+
+    @settings(max_examples=1500, deadline=None)
+    @given(st.text(alphabet=st.one_of(st.sampled_from("abTHEéÉßıİŉſþ'.,!s0 ́ªº"), st.characters(max_codepoint=0x250, exclude_categories=["Cs"])), max_size=12))
+    def agrees(text):
+        assert np.frombuffer(table.of(text), table.dtype).tolist() == tok.encode(text, add_special_tokens=False).ids
+
+    agrees()
