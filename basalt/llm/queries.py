@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from basalt.llm import chat_format, minhash, ngrams, packing, pieces, secret_scan, toxicity
+from basalt.llm import caps, chat_format, minhash, ngrams, packing, pieces, secret_scan, toxicity
 from basalt.llm.exact_dedup import exact_dedup
 from basalt.plans.durable import written
 
@@ -94,6 +94,10 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caps.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), least=0.98)
+
+
 def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     model = ngrams.train(docs, remainder("doc_id", 7) != 2)
