@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from basalt.llm import caps, chat_format, minhash, ngrams, packing, pieces, secret_scan, toxicity
+from basalt.llm import caps, chat_format, line_dedup, minhash, ngrams, packing, pieces, secret_scan, toxicity
 from basalt.llm.exact_dedup import exact_dedup
 from basalt.plans.durable import written
 
@@ -72,6 +72,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.near_lines(_docs(spark, sf_dir), distance=2, least=20)
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(_docs(spark, sf_dir))
     return found.select(
