@@ -116,15 +116,11 @@ def refusal(data: bytes | None, most: int = PLAINTEXT_BYTES, depth: int = JSON_D
 def _number(x) -> str:
     """Numbers as ECMAScript prints doubles."""
     x = float(x)
-    if x == int(x) and abs(x) < 1e21:
-        return str(int(x))
     digits = repr(x)
+    if x == 0 or 1e-6 <= abs(x) < 1e21:
+        plain = format(Decimal(digits), "f") if x else "0"
+        return plain.rstrip("0").rstrip(".") if "." in plain else plain
     mantissa, _, exponent = digits.partition("e")
-    if not exponent:
-        return digits
-    value = Decimal(digits)
-    if Decimal("1e-7") <= abs(value) < Decimal("1e21"):
-        return format(value, "f")
     return f"{mantissa.removesuffix('.0')}e{'+' if int(exponent) > 0 else '-'}{abs(int(exponent))}"
 
 

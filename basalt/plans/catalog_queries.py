@@ -45,8 +45,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # carriers
 
-KEY = F.col("o_orderkey").cast("string")
-OBS = F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"))
+
+
+def order_id():
+    return F.col("o_orderkey").cast("string")
+
+
+def item_id():
+    return F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"))
+
+
 DOMAIN = "WPP/catalog-route/v2"
 
 
@@ -60,12 +68,12 @@ def body_of_item():
 
 def snapshots(spark, sf_dir) -> DataFrame:
     """kind, identity, body, epoch, route, bytes of orders."""
-    o = table(spark, sf_dir, "orders").select(F.lit("snapshot").alias("kind"), KEY.alias("identity"), body_of_order().alias("body"), F.col("o_orderpriority").alias("epoch"), "o_orderstatus", "o_custkey")
+    o = table(spark, sf_dir, "orders").select(F.lit("snapshot").alias("kind"), order_id().alias("identity"), body_of_order().alias("body"), F.col("o_orderpriority").alias("epoch"), "o_orderstatus", "o_custkey")
     return o.withColumn("route", fn.route_hash(F.col("kind"), F.col("identity"))).withColumn("bytes", F.octet_length("body").cast("bigint"))
 
 
 def observations(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").select(F.lit("observation").alias("kind"), OBS.alias("identity"), body_of_item().alias("body"))
+    return table(spark, sf_dir, "lineitem").select(F.lit("observation").alias("kind"), item_id().alias("identity"), body_of_item().alias("body"))
 
 
 BODY_O = "to_json({'custkey': o_custkey, 'epoch': o_orderpriority, 'key': o_orderkey, 'status': o_orderstatus})::VARCHAR"
@@ -86,7 +94,7 @@ def route_hash(spark, sf_dir):
 
 @query("SELECT o_orderkey::VARCHAR AS id, (('0x' || substr(sha256(o_orderkey::VARCHAR), 1, 2))::INT // 4)::INT AS bucket FROM orders")
 def bucket64(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select(KEY.alias("id"), fn.bucket(KEY).alias("bucket"))
+    return table(spark, sf_dir, "orders").select(order_id().alias("id"), fn.bucket(order_id()).alias("bucket"))
 
 
 @query(f"WITH {SNAP} SELECT identity, body FROM snap")
@@ -185,7 +193,7 @@ REV = "rev AS (SELECT l_orderkey || '-' || l_linenumber AS revision, l_returnfla
 
 @query(f"WITH {REV} SELECT revision, min(payload) AS payload, count(*) AS copies, min(payload) <> max(payload) AS conflict FROM rev GROUP BY 1")
 def revision_dedupe(spark, sf_dir):
-    return merge.revision_dedupe(table(spark, sf_dir, "lineitem").select(OBS.alias("revision"), F.concat("l_returnflag", "l_linestatus").alias("payload")))
+    return merge.revision_dedupe(table(spark, sf_dir, "lineitem").select(item_id().alias("revision"), F.concat("l_returnflag", "l_linestatus").alias("payload")))
 
 
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
@@ -230,8 +238,8 @@ def outcome_violations(spark, sf_dir):
     status = F.when(F.col("l_returnflag") == "A", "readback-authenticated").when(F.col("l_returnflag") == "R", "digest-mismatch").otherwise("unavailable")
     seen = F.col("l_orderkey") + F.when(F.col("l_partkey") % 10 == 0, 1).otherwise(0)
     length = F.length(F.col("l_orderkey").cast("string")) + F.when(F.col("l_suppkey") % 9 == 0, 1).otherwise(0)
-    obs = table(spark, sf_dir, "lineitem").select(OBS.alias("identity"), F.col("l_orderkey").alias("k"), status.alias("status"), F.sha2(seen.cast("string"), 256).alias("observed"), length.alias("length"))
-    snaps = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.sha2(KEY, 256).alias("digest"), F.length(KEY).alias("bytes"))
+    obs = table(spark, sf_dir, "lineitem").select(item_id().alias("identity"), F.col("l_orderkey").alias("k"), status.alias("status"), F.sha2(seen.cast("string"), 256).alias("observed"), length.alias("length"))
+    snaps = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.sha2(order_id(), 256).alias("digest"), F.length(order_id()).alias("bytes"))
     return validate.outcome_violations(obs, snaps, "k")
 
 
@@ -261,9 +269,6 @@ def claim_mismatches(spark, sf_dir):
     return validate.claim_mismatches(claims, o, "o_orderkey", fields)
 
 
-RECEIPT = {"parents": "[l_partkey % 5, l_suppkey % 5]", "old": "[l_orderkey % 4, l_linenumber % 4]"}
-
-
 @query(
     """WITH r AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS identity, l_partkey % 5 AS p1, l_suppkey % 5 AS p2, l_orderkey % 5 AS cur, l_orderkey % 4 AS o1, l_linenumber % 4 AS o2, l_partkey % 7 AS new FROM lineitem)
        SELECT 'parents repeat' AS rule, identity FROM r WHERE p1 = p2 UNION ALL SELECT 'own parent', identity FROM r WHERE cur IN (p1, p2)
@@ -634,7 +639,7 @@ def journal_list(spark, sf_dir):
 )
 def readback_verify(spark, sf_dir):
     i = F.col("o_orderkey")
-    sent = table(spark, sf_dir, "orders").select("o_orderkey", F.sha2(KEY, 256).alias("sha256"), F.length(KEY).alias("bytes"))
+    sent = table(spark, sf_dir, "orders").select("o_orderkey", F.sha2(order_id(), 256).alias("sha256"), F.length(order_id()).alias("bytes"))
     back = sent.where(i % 10 != 0).select("o_orderkey", F.when(i % 10 == 2, "x").otherwise(F.col("sha256")).alias("sha256"), (F.col("bytes") + F.when(i % 10 == 1, 1).otherwise(0)).alias("bytes"))
     return store.readback(sent, back, "o_orderkey")
 
