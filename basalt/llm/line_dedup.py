@@ -18,39 +18,28 @@ from basalt.plans.durable import checkpoint
 FILTER_BITS = 1 << 24
 
 
-def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
-    """Start (from 1) and size of segment ``i`` of ``parts``; the last ones take the rest."""
-    size = F.floor(length / parts).cast("int")
-    rest = F.pmod(length, F.lit(parts)).cast("int")
-    extra = F.greatest(F.lit(0), F.lit(i - parts) + rest)  # segments before i with one more character
-    return size * i + extra + 1, size + F.when(F.lit(i) >= F.lit(parts) - rest, 1).otherwise(0)
+def _segment(length: str, i: int, parts: int) -> tuple[str, str]:
+    """Start (from 1) and size of segment ``i`` of ``parts``, as SQL over an integer; the last ones take the rest."""
+    size, rest = f"({length} div {parts})", f"({length} % {parts})"
+    start = f"({size} * {i} + greatest(0, {i - parts} + {rest}) + 1)"  # one more for each larger segment before it
+    return start, f"({size} + if({i} >= {parts} - {rest}, 1, 0))"
 
 
-def _key(length: Column, i: int, text: Column) -> Column:
-    return F.xxhash64(length, F.lit(i), text)
+def _keys(lines: DataFrame, distance: int, shorter: range, windowed: bool) -> DataFrame:
+    """(h, keys): hashes of segments of partners' lengths, ``shorter`` than ``n``, cut from the line.
 
-
-def index_keys(line: Column, n: Column, distance: int) -> Column:
-    keys = []
-    for i in range(distance + 1):
-        start, size = _segment(n, i, distance + 1)
-        keys.append(_key(n, i, F.substring(line, start, size)))
-    return F.array(*keys)
-
-
-def probe_keys(line: Column, n: Column, distance: int, least: int) -> Column:
-    """Keys under which a partner of this or a smaller length may be indexed."""
-    keys = []
-    for shorter in range(distance + 1):
-        own = n - shorter
+    ``windowed`` tries all places that can meet a segment when ``distance`` edits are all
+    there is. Places are columns of their own, which keeps the code of each step small.
+    ``wide`` has four bytes a character, so a segment is found without counting characters.
+    """
+    places, keys = [], []
+    for d in shorter:
         for i in range(distance + 1):
-            start, size = _segment(own, i, distance + 1)
-            lo, hi = max(-i, shorter - (distance - i)), min(i, shorter + (distance - i))
-            for shift in range(lo, hi + 1):
-                at = start + shift
-                fits = (own >= least) & (at >= 1) & (at + size - 1 <= n)
-                keys.append(F.when(fits, _key(own, i, F.substring(line, at, size))))
-    return F.filter(F.array(*keys), lambda k: k.isNotNull())
+            start, size = _segment(f"(n - {d})", i, distance + 1)
+            places += [F.expr(f"cast(4 * {start} - 3 as int)").alias(f"at_{d}_{i}"), F.expr(f"cast(4 * {size} as int)").alias(f"size_{d}_{i}")]
+            lo, hi = (max(-i, d - (distance - i)), min(i, d + (distance - i))) if windowed else (0, 0)
+            keys += [f"xxhash64(n - {d}, {i}, substring(wide, at_{d}_{i} + {4 * shift}, size_{d}_{i}))" for shift in range(lo, hi + 1)]
+    return lines.select("h", "n", "wide", *places).select("h", F.expr(f"array({', '.join(keys)})").alias("keys"))
 
 
 def _trimmed(a: Column, b: Column) -> Column:
@@ -68,21 +57,24 @@ def _trimmed(a: Column, b: Column) -> Column:
     return F.aggregate(steps, both, step)
 
 
-def edit_distance(a: Column, b: Column, distance: int) -> Column:
-    """Edit distance of two texts if at most ``distance`` (up to 14), else a larger number.
+def edit_distance(x: Column, y: Column, distance: int, first: int | None = None) -> Column:
+    """Edit distance of two arrays of characters if at most ``distance`` (up to 14), else a larger number.
 
-    Column j of the distance table is kept for the 2 * distance + 1 rows around j only,
-    as two bit sets of the vertical steps up and down; a column takes a dozen bit
-    operations. Rows before the first stand for values that grow away from it. The
-    result is read off along the diagonal that ends in the last cell, on which values
-    never decrease.
+    ``x`` isn't longer than ``y``. Column j of the distance table is kept for the
+    2 * distance + 1 rows around j only, as two bit sets of the vertical steps up and
+    down; a column takes a dozen bit operations. Rows before the first stand for values
+    that grow away from it. The result is read off along the diagonal that ends in the
+    last cell, on which values never decrease; so with ``first`` columns only it is a
+    lower bound.
     """
     wide = 2 * distance + 1
     full = (1 << wide) - 1
-    x, y = F.split(a, ""), F.split(b, "")
-    gap = F.length(b) - F.length(a)  # not negative, see below
-    pad = lambda k: F.concat(F.array_repeat(F.lit(None).cast("string"), distance - k), x) if k <= distance else F.slice(x, k - distance + 1, 1 << 30)
-    columns = F.slice(F.arrays_zip(y, *(pad(k) for k in range(wide))), 1, F.length(b))
+    most = 1 << 30 if first is None else first
+    gap = F.size(y) - F.size(x)
+    none = F.lit(None).cast("string")
+    pad = lambda k: F.slice(F.concat(F.array_repeat(none, distance - k), x), 1, most) if k < distance else F.slice(x, k - distance + 1, most)
+    size = F.size(y) if first is None else F.least(F.size(y), F.lit(first))
+    columns = F.slice(F.arrays_zip(F.slice(y, 1, most), *(pad(k) for k in range(wide))), F.lit(1), size)
 
     def matches(e: Column) -> Column:
         out = F.lit(0)
@@ -109,17 +101,25 @@ def edit_distance(a: Column, b: Column, distance: int) -> Column:
         )
         return F.when(acc["score"] > distance, acc).otherwise(new)
 
-    return F.when(gap > distance, gap).when(F.length(b) == 0, 0).otherwise(F.aggregate(masks, begin, step, lambda acc: acc["score"]))
+    return F.when(gap > distance, gap).when(F.size(y) == 0, 0).otherwise(F.aggregate(masks, begin, step, lambda acc: acc["score"]))
 
 
 def within(pairs: DataFrame, a: str, b: str, distance: int) -> DataFrame:
-    """``pairs`` whose texts ``a`` and ``b`` differ by at most ``distance`` edits."""
-    names = pairs.columns
+    """Rows of ``pairs``, without the texts ``a`` and ``b``, where these differ by at most ``distance`` edits.
+
+    What both texts share at either end goes first. The rest is materialised, since an
+    expression that is used several times would be evaluated as often.
+    """
+    names = [c for c in pairs.columns if c not in (a, b)]
     swap = F.length(a) > F.length(b)
     short, long = F.when(swap, F.col(b)).otherwise(F.col(a)), F.when(swap, F.col(a)).otherwise(F.col(b))
-    out = pairs.withColumn("__t", _trimmed(short, long))
-    out = out.withColumn("__t", _trimmed(F.reverse("__t.a"), F.reverse("__t.b")))
-    return out.where(edit_distance(F.col("__t.a"), F.col("__t.b"), distance) <= distance).select(*names)
+    near = pairs.where(F.abs(F.length(a) - F.length(b)) <= distance)
+    head = checkpoint(near.select(*names, _trimmed(F.reverse(short), F.reverse(long)).alias("__t")))
+    both = checkpoint(head.select(*names, _trimmed(F.reverse("__t.a"), F.reverse("__t.b")).alias("__t")))
+    chars = lambda c: F.when(F.col(c) == "", F.array().cast("array<string>")).otherwise(F.split(c, ""))
+    both = checkpoint(both.select(*names, chars("__t.a").alias("__x"), chars("__t.b").alias("__y")))
+    close = lambda first: edit_distance(F.col("__x"), F.col("__y"), distance, first) <= distance
+    return both.where(close(8 * (distance + 1))).where(close(None)).select(*names)
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -133,9 +133,12 @@ def _hashed(lines: DataFrame) -> DataFrame:
 
 def _candidates(lines: DataFrame, distance: int, least: int) -> DataFrame:
     """Pairs (a, b) of 64-bit line hashes, a < b, that share a key."""
-    own = lines.select("line").distinct().withColumn("n", F.length("line")).where(F.col("n") >= least).withColumn("h", F.xxhash64("line"))
-    index = own.select(F.explode(index_keys(F.col("line"), F.col("n"), distance)).alias("key"), F.col("h").alias("x"))
-    probe = own.select(F.explode(probe_keys(F.col("line"), F.col("n"), distance, least)).alias("key"), F.col("h").alias("y"))
+    own = lines.where(F.length("line") >= least).select("line").distinct()
+    own = own.select(F.xxhash64("line").alias("h"), F.encode("line", "UTF-32").alias("wide")).withColumn("n", F.expr("octet_length(wide) div 4"))
+    # an outer explode, for a plain one also filters by its array, below the shuffle of the lines
+    spread = lambda keys, h: keys.select(F.col("h").alias(h), F.explode_outer("keys").alias("key"))
+    index = spread(_keys(own, distance, range(1), windowed=False), "x")
+    probe = spread(_keys(own, distance, range(distance + 1), windowed=True), "y")
     met = index.join(probe, "key").where("x <> y")
     return checkpoint(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
 
@@ -162,6 +165,8 @@ def near_lines(docs: DataFrame, distance: int = 2, least: int = 20, id_col: str
     Null text is one empty line. Null ids come first; repeated rows (same id and text)
     share their decisions. An empty table gives no rows; other columns are ignored.
     """
+    if least <= 2 * distance:
+        raise ValueError("lines must have more characters than two segments' worth of edits")
     lines = _lines(docs, id_col, text_col).where(F.trim("line") != "")
     cand = _candidates(lines, distance, least)
     wanted = cand.select(F.col("a").alias("h")).union(cand.select("b")).distinct()
