@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from basalt.plans.durable import checkpoint
+from basalt.plans.durable import checkpoint, tidy
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -24,6 +24,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = large.join(own, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         e = checkpoint(small.union(own.select("u", F.col("m").alias("v"))).distinct())
         after = state(e)
+        del both, least, large, own, small
+        tidy(edges.sparkSession)
         if after == before:
             break
         before = after

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from basalt.llm.components import connected_components
 from basalt.llm.words import mixed, shingle_set
-from basalt.plans.durable import checkpoint, written
+from basalt.plans.durable import checkpoint, tidy, written
 
 BANDS, ROWS = 48, 8  # at a similarity of 0.85, a pair shares no band with probability 3e-7
 MANTISSA = 10
@@ -95,18 +95,16 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFra
 
 
 def _bands(reps: DataFrame) -> DataFrame:
-    """(key, rep, n) for each band of each representative."""
+    """(key, rep) for each band of each representative."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [band_keys(np.frombuffer(r, np.uint16)) for r in batch.column(2).to_pylist()]
-            if not keys:
-                continue
-            times = [len(k) for k in keys]
-            again = lambda i: pa.array(np.repeat(batch.column(i).to_numpy(), times))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), again(0), again(1)], ["key", "rep", "n"])
+            keys = [band_keys(np.frombuffer(r, np.uint16)) for r in batch.column(1).to_pylist()]
+            if keys:
+                rep = np.repeat(batch.column(0).to_numpy(), [len(k) for k in keys])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(rep)], ["key", "rep"])
 
-    return reps.select("rep", "n", "regs").mapInArrow(run, "key bigint, rep bigint, n bigint")
+    return reps.select("rep", "regs").mapInArrow(run, "key bigint, rep bigint")
 
 
 def _paired(pairs: DataFrame, payload: DataFrame, cols: list[str]) -> DataFrame:
@@ -132,30 +130,43 @@ def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
-    """Pairs with 100 * intersection >= percent * union on the full sets."""
+def _measured(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """Pairs with the sizes of intersection and union of their full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, hub = None, None
         for batch in batches:
-            keep = []
+            inter, union = [], []
             a, ta, tb = batch.column(0).to_pylist(), batch.column(2).cast(pa.binary()), batch.column(3).cast(pa.binary())
             for i, key in enumerate(a):
                 if key != last:
                     last, hub = key, shingle_set(ta[i].as_py(), size)
                 s = shingle_set(tb[i].as_py(), size)
-                at = np.searchsorted(hub, s)
-                inter = int(np.count_nonzero(hub[np.minimum(at, len(hub) - 1)] == s)) if len(hub) and len(s) else 0
-                keep.append(inter > 0 and 100 * inter >= percent * (len(hub) + len(s) - inter))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+                at = np.minimum(np.searchsorted(hub, s), len(hub) - 1)
+                inter.append(int(np.count_nonzero(hub[at] == s)))
+                union.append(len(hub) + len(s) - inter[-1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(inter, pa.int64()), pa.array(union, pa.int64())], ["a", "b", "inter", "all"])
 
     both = _paired(pairs, texts, ["text"]).select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(run, "a bigint, b bigint")
+    return checkpoint(both.mapInArrow(run, "a bigint, b bigint, inter bigint, all bigint"))
+
+
+def _lone(texts: DataFrame, size: int) -> DataFrame:
+    """(rep, lone): how many shingles of each text no other one of ``texts`` has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rep, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
+                s = shingle_set(t.as_py(), size).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.full(len(s), rep))], ["shingle", "rep"])
+
+    held = texts.select("rep", "text").mapInArrow(run, "shingle bigint, rep bigint")
+    once = held.groupBy("shingle").agg(F.count("*").alias("times"), F.min("rep").alias("rep")).where("times = 1")
+    return once.groupBy("rep").agg(F.count("*").alias("lone"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
+    """One row per document: doc_id, n_shingles, component_id, kept, text_hash (xxhash64).
 
     Documents link when 100 * |A and B| >= percent * |A or B| for their sets of
     ``size``-word shingles; a document with fewer words is one shingle, one without
@@ -170,40 +181,88 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: s
     reps = sk.join(groups.select("rep"), F.col("row") == F.col("rep")).select("rep", "n", "doc_id", "thash", "regs")
     reps = written(reps, "representatives")
     bands = _bands(reps)
-    hubs = bands.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("held")).where("held > 1")
-    shared = checkpoint(bands.join(hubs, "key").select("key", "rep", "n", "hub"))
-    members = shared.select("rep").distinct()
-    chosen = reps.join(members, "rep")
+    held = bands.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
+    shared = checkpoint(bands.join(held, "key"))
+    # a band's hub is the member whose bands hold most rows: near the centre of its group
+    central = checkpoint(shared.groupBy("rep").agg(F.sum("held").alias("central")))
+    ranked = shared.select("key", "rep").join(central, "rep")
+    hubs = ranked.groupBy("key").agg(F.max(F.struct("central", (-F.col("rep")).alias("less"))).alias("top"))
+    shared = checkpoint(shared.join(hubs, "key").select("key", "rep", (-F.col("top.less")).alias("hub")))
+    tidy(docs.sparkSession)
+    chosen = reps.join(central.select("rep"), "rep")
     wanted = chosen.select("rep", "doc_id", "thash")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     fits = F.col("id").eqNullSafe(F.col("doc_id")) & (F.xxhash64("text") == F.col("thash"))
     texts = texts.join(wanted.hint("shuffle_hash"), fits).select("rep", "text").dropDuplicates(["rep"])
     texts = written(texts, "texts")
+    tidy(docs.sparkSession)
     chosen = chosen.select("rep", "n", "regs")
-    allowed = lambda x, y: (100 * F.least(x, y)) >= (percent * F.greatest(x, y))
-
-    def links(pairs: DataFrame) -> DataFrame:
-        return checkpoint(_confirmed(_likely(pairs, chosen, percent), texts, percent, size))
-
-    hub_n = chosen.select(F.col("rep").alias("hub"), F.col("n").alias("hub_n"))
-    tried = shared.where("rep <> hub").select("hub", "rep", "n").distinct().join(hub_n, "hub")
-    tried = checkpoint(tried.where(allowed(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("rep").alias("b")))
-    found = links(tried)
+    enough = lambda inter, union: (100 * inter) >= (percent * union)
+    stars = lambda c: c.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    grown = lambda c, links: connected_components(stars(c).union(links.select("a", "b"))) if links.take(1) else c
+    near_size = lambda x, y: (100 * F.least(x, y)) >= (percent * F.greatest(x, y))
+
+    sizes = checkpoint(chosen.select("rep", "n"))
+    rest = shared.where("rep <> hub").join(sizes, "rep").join(sizes.select(F.col("rep").alias("hub"), F.col("n").alias("hub_n")), "hub")
+    pairs = rest.where(near_size(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    tried = _measured(pairs, texts, size)
+    found = tried.where(enough(F.col("inter"), F.col("all")))
     comp = connected_components(found)
-    # what one band still holds in different components: all such pairs but those with the band's hub
-    own = shared.join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+
+    # members of a band outside the component that its best linked document is in try that one
+    placed = rest.join(tried, (F.col("hub") == F.col("a")) & (F.col("rep") == F.col("b")), "left").select("key", "hub", "rep", "n", "hub_n", "inter")
+    placed = checkpoint(placed)
+    in_ = lambda c: placed.join(c.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    degree = found.select(F.col("a").alias("id")).union(found.select("b")).groupBy("id").agg(F.count("*").alias("degree"))
+    best = comp.join(degree, "id").groupBy("component").agg(F.max(F.struct("degree", "id")).alias("s")).select("component", "s.degree", F.col("s.id").alias("star"))
+    own = in_(comp)
+    star = own.join(best, "component").groupBy("key").agg(F.max(F.struct("degree", "star", "component")).alias("s")).select("key", F.col("s.star").alias("a"), F.col("s.component").alias("home"))
+    again = own.join(star, "key").where("component <> home AND rep <> a").select("a", F.col("rep").alias("b")).distinct()
+    more = _measured(again.join(tried.select("a", "b"), ["a", "b"], "left_anti"), texts, size)
+    tried = tried.union(more)
+    comp = grown(comp, more.where(enough(F.col("inter"), F.col("all"))))
+
+    # what a band still holds in different components
+    own = in_(comp)
     split = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    left = checkpoint(own.where("rep <> hub").join(split, "key"))
-    other = left.select("key", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("other"))
-    more = left.withColumnRenamed("rep", "a").join(other, "key").where((F.col("a") < F.col("b")) & (F.col("component") != F.col("other")) & allowed(F.col("n"), F.col("n_b")))
-    more = more.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    second = links(more)
-    if second.take(1):
-        comp = connected_components(found.union(second))
+    pivots = tried.groupBy(F.col("b").alias("rep")).agg(F.max(F.struct("inter", F.col("a").alias("pivot"))).alias("p")).select("rep", "p.pivot", F.col("p.inter").alias("most"))
+    left = checkpoint(own.join(split, "key").join(pivots, "rep", "left"))
+    # Shingles that no other document of these holds can't be in an intersection. Those of
+    # x that its hub h holds aren't among them, since h is one of these, so for the others
+    # |x and y| <= min(|x and h|, |y and h|) + min(|others of x|, |others of y|),
+    # and likewise with the document that x and y both overlap most with (their pivot).
+    these = left.select("rep").union(left.select("hub")).union(left.where("pivot IS NOT NULL").select("pivot")).distinct()
+    lone = _lone(texts.join(these, "rep"), size)
+    left = left.join(lone, "rep", "left").withColumn("held", F.col("n") - F.coalesce("lone", F.lit(0)))
+    left = left.where(enough(F.col("held"), F.col("n"))).select(
+        "key",
+        "rep",
+        "n",
+        "component",
+        "held",
+        F.coalesce("inter", F.least("n", "hub_n")).alias("inside"),
+        (F.col("held") - F.coalesce("inter", F.lit(0))).alias("outside"),
+        "pivot",
+        "most",
+    )
+    left = checkpoint(left)
+    x, y = left.alias("x"), left.alias("y")
+    most = F.least(F.least("x.inside", "y.inside") + F.least("x.outside", "y.outside"), "x.held", "y.held")
+    by_pivot = F.least("x.most", "y.most") + F.least(F.expr("x.held - x.most"), F.expr("y.held - y.most"))
+    most = F.when(F.col("x.pivot") == F.col("y.pivot"), F.least(most, by_pivot)).otherwise(most)
+    possible = (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & enough(most, F.col("x.n") + F.col("y.n") - most)
+    more = x.join(y, (F.col("x.key") == F.col("y.key")) & possible).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = more.join(done, ["a", "b"], "left_anti")
+    more = checkpoint(more)
+    tidy(docs.sparkSession)
+    second = _measured(_likely(more, chosen, percent), texts, size)
+    comp = grown(comp, second.where(enough(F.col("inter"), F.col("all"))))
     linked = groups.join(comp, F.col("rep") == F.col("id"))
     least = linked.groupBy("component").agg(F.min("least").alias("smallest"))
     classes = linked.join(least, "component").select("set_hash", "smallest")
     alone = groups.where("copies > 1").join(comp, F.col("rep") == F.col("id"), "left_anti").select("set_hash", F.col("least").alias("smallest"))
-    out = sk.select("doc_id", "n", "set_hash").join(classes.union(alone).withColumn("hit", F.lit(True)), "set_hash", "left")
+    out = sk.select("doc_id", "n", "set_hash", "thash").join(classes.union(alone).withColumn("hit", F.lit(True)), "set_hash", "left")
     component = F.when(F.col("hit") & (F.col("n") > 0), F.coalesce("smallest", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("thash").alias("text_hash"))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_hash")

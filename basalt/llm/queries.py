@@ -111,7 +111,7 @@ def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(_docs(spark, sf_dir), percent=85, size=5)
+    return minhash.near_duplicates(_docs(spark, sf_dir), percent=85, size=5).drop("text_hash")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

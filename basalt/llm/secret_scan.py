@@ -72,7 +72,7 @@ def scan(
     owner_col: str = "source",
     example_owners: int = 3,
 ) -> DataFrame:
-    """One row per input row: doc_id, row, base, added, live, examples (span arrays).
+    """One row per input row: doc_id, row, text_hash, and base, added, live, examples (span arrays).
 
     ``base`` holds every match of the base kinds, ``added`` the bare spans whose
     value is live, ``live`` all spans judged live and ``examples`` those whose
@@ -91,6 +91,7 @@ def scan(
         F.xxhash64(F.coalesce(F.col(owner_col).cast("string"), F.lit(""))).alias("owner"),
         base.alias("base"),
         bare.alias("bare"),
+        F.xxhash64(text_col).alias("text_hash"),
         F.monotonically_increasing_id().alias("row"),
     )
     touches = lambda s, b: (s["start"] < b["end"]) & (b["start"] < s["end"])
@@ -116,7 +117,7 @@ def scan(
     )
     none = F.array().cast(f"array<{SPAN}>")
     out = found.join(per_row, "row", "left")
-    return out.select("doc_id", "row", "base", *(F.coalesce(c, none).alias(c) for c in ("added", "live", "examples")))
+    return out.select("doc_id", "row", "text_hash", "base", *(F.coalesce(c, none).alias(c) for c in ("added", "live", "examples")))
 
 
 def span_text(spans: Column) -> Column:
