@@ -7,6 +7,7 @@ runs in one JVM (``local[...]``, as in tests) a temporary folder is used instead
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -36,6 +37,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop shuffle and checkpoint files that nothing refers to any more.
+
+    The cleaner acts when the driver collects garbage, which a loop of many small jobs
+    on a quiet driver may not cause before the files of all rounds have piled up.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder for a written table; it goes when the application ends."""
     path = f"{shared_root(spark)}/basalt-{name}-{uuid.uuid4().hex}"
