@@ -221,18 +221,23 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: s
     more = _measured(again.join(tried.select("a", "b"), ["a", "b"], "left_anti"), texts, size)
     tried = tried.union(more)
     comp = grown(comp, more.where(enough(F.col("inter"), F.col("all"))))
+    del again, star, own, best, degree
+    tidy(docs.sparkSession)
 
     # what a band still holds in different components
     own = in_(comp)
     split = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     pivots = tried.groupBy(F.col("b").alias("rep")).agg(F.max(F.struct("inter", F.col("a").alias("pivot"))).alias("p")).select("rep", "p.pivot", F.col("p.inter").alias("most"))
     left = checkpoint(own.join(split, "key").join(pivots, "rep", "left"))
+    del own, split, pivots
+    tidy(docs.sparkSession)
     # Shingles that no other document of these holds can't be in an intersection. Those of
     # x that its hub h holds aren't among them, since h is one of these, so for the others
     # |x and y| <= min(|x and h|, |y and h|) + min(|others of x|, |others of y|),
     # and likewise with the document that x and y both overlap most with (their pivot).
     these = left.select("rep").union(left.select("hub")).union(left.where("pivot IS NOT NULL").select("pivot")).distinct()
-    lone = _lone(texts.join(these, "rep"), size)
+    lone = checkpoint(_lone(texts.join(these, "rep"), size))
+    tidy(docs.sparkSession)
     left = left.join(lone, "rep", "left").withColumn("held", F.col("n") - F.coalesce("lone", F.lit(0)))
     left = left.where(enough(F.col("held"), F.col("n"))).select(
         "key",
@@ -245,13 +250,17 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: s
         "pivot",
         "most",
     )
-    left = checkpoint(left)
+    bands_of = left.groupBy("rep").agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    left = checkpoint(left.join(bands_of, "rep"))
+    del bands_of
+    tidy(docs.sparkSession)
     x, y = left.alias("x"), left.alias("y")
     most = F.least(F.least("x.inside", "y.inside") + F.least("x.outside", "y.outside"), "x.held", "y.held")
     by_pivot = F.least("x.most", "y.most") + F.least(F.expr("x.held - x.most"), F.expr("y.held - y.most"))
     most = F.when(F.col("x.pivot") == F.col("y.pivot"), F.least(most, by_pivot)).otherwise(most)
     possible = (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & enough(most, F.col("x.n") + F.col("y.n") - most)
-    more = x.join(y, (F.col("x.key") == F.col("y.key")) & possible).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    here = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")  # once, though the pair shares many bands
+    more = x.join(y, (F.col("x.key") == F.col("y.key")) & possible & here).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = more.join(done, ["a", "b"], "left_anti")
     more = checkpoint(more)
