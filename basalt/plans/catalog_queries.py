@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from basalt.functions import scalars as fn, strict_json as sj
 from basalt.operators import graph, layout, merge, packs, shards, validate
 from basalt.plans import schemas
+from basalt.plans.limits import ROUTE_DOMAIN
 from basalt.plans.durable import checkpoint, scratch
 from basalt.sources import store
 
@@ -55,7 +56,7 @@ def item_id():
     return F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"))
 
 
-DOMAIN = "WPP/catalog-route/v2"
+DOMAIN = ROUTE_DOMAIN
 
 
 def body_of_order():
@@ -629,7 +630,7 @@ def journal_put(spark, sf_dir):
 @query("SELECT DISTINCT sha256(l_orderkey::VARCHAR) AS sha256 FROM lineitem WHERE l_orderkey % 20 <> 0 AND l_orderkey < 8000")
 def journal_list(spark, sf_dir):
     i = F.col("l_orderkey")
-    name = F.when(i % 20 == 0, F.concat(F.lit(".tmp-"), F.hex(i).substr(1, 8))).otherwise(F.concat(F.sha2(i.cast("string"), 256), F.lit(".wpp")))
+    name = F.when(i % 20 == 0, F.concat(F.lit(".tmp-"), F.hex(i).substr(1, 8))).otherwise(F.concat(F.sha2(i.cast("string"), 256), F.lit(".pkg")))
     names = table(spark, sf_dir, "lineitem").where(i < 8000).select(F.lower(name).alias("name")).distinct()
     return store.list_digests(names)
 

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from basalt.operators.validate import CatalogError
 from basalt.plans.limits import JOURNAL_ENTRIES
 
-# The names of committed and of half-written objects.
-COMMITTED, TEMPORARY = r"^[0-9a-f]{64}\.wpp$", r"^\.tmp-[0-9a-f]+$"
+# The names of committed and of half-written objects.
+COMMITTED, TEMPORARY = r"^[0-9a-f]{64}\.pkg$", r"^\.tmp-[0-9a-f]+$"
 
 
 def verified(objects: DataFrame) -> DataFrame:

@@ -147,7 +147,7 @@ def test_journal(spark):
     with pytest.raises(validate.CatalogError):
         store.put(spark, path, spark.createDataFrame([("0" * 64, b"x")], "sha256 string, data binary"))
     names = lambda *n: spark.createDataFrame([(x,) for x in n], "name string")
-    fine = "a" * 64 + ".wpp"
+    fine = "a" * 64 + ".pkg"
     assert [r.sha256 for r in store.list_digests(names(fine, ".tmp-01")).collect()] == ["a" * 64]
     for bad in (names(fine, "x"), names("../" + fine)):
         with pytest.raises(validate.CatalogError):
