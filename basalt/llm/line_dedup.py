@@ -3,8 +3,9 @@
 Two lines within ``distance`` edits agree exactly in one of distance + 1 segments
 of the shorter one. Each distinct line is indexed under its own segments and
 probes, for each length that a partner may have, the substrings that can meet a
-segment (the multi-match-aware window around its place). Candidates are verified
-by a banded bit-parallel edit distance. Everything is a DataFrame expression.
+segment (the multi-match-aware window around its place). Candidates whose counts
+of some characters differ too much drop out; the others are verified by a banded
+bit-parallel edit distance. Everything is a DataFrame expression.
 """
 
 from __future__ import annotations
@@ -12,10 +13,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from basalt.llm.components import connected_components
-from basalt.plans.durable import checkpoint
+from basalt.plans.durable import checkpoint, tidy
 
 #: Bits of the filter of candidate lines: 2 MB, whatever the input, so it can be broadcast.
 FILTER_BITS = 1 << 24
+#: Characters counted in a candidate's profile, at most six; frequent ones tell most apart.
+COUNTED = " eniat"
+
+
+def profile(line: str = "line") -> Column:
+    """The counts of COUNTED in a line, ten bits each; larger counts are cut, which only brings lines closer."""
+    counts = (f"shiftleft(cast(least(1023, length({line}) - length(replace({line}, '{c}', ''))) as bigint), {10 * k})" for k, c in enumerate(COUNTED))
+    return F.expr(" | ".join(counts))
+
+
+def alike(a: str, b: str, distance: int) -> Column:
+    """Profiles that ``distance`` edits may lie between: an edit changes two counts by one at most."""
+    count = lambda p, k: f"(shiftright({p}, {10 * k}) & 1023)"
+    return F.expr(" + ".join(f"abs({count(a, k)} - {count(b, k)})" for k in range(len(COUNTED))) + f" <= {2 * distance}")
 
 
 def _segment(length: str, i: int, parts: int) -> tuple[str, str]:
@@ -115,6 +130,7 @@ def within(pairs: DataFrame, a: str, b: str, distance: int) -> DataFrame:
     short, long = F.when(swap, F.col(b)).otherwise(F.col(a)), F.when(swap, F.col(a)).otherwise(F.col(b))
     near = pairs.where(F.abs(F.length(a) - F.length(b)) <= distance)
     head = checkpoint(near.select(*names, _trimmed(F.reverse(short), F.reverse(long)).alias("__t")))
+    tidy(pairs.sparkSession)
     both = checkpoint(head.select(*names, _trimmed(F.reverse("__t.a"), F.reverse("__t.b")).alias("__t")))
     chars = lambda c: F.when(F.col(c) == "", F.array().cast("array<string>")).otherwise(F.split(c, ""))
     both = checkpoint(both.select(*names, chars("__t.a").alias("__x"), chars("__t.b").alias("__y")))
@@ -171,12 +187,15 @@ def near_lines(docs: DataFrame, distance: int = 2, least: int = 20, id_col: str
     cand = _candidates(lines, distance, least)
     wanted = cand.select(F.col("a").alias("h")).union(cand.select("b")).distinct()
     texts = _only(lines.select("line").where(F.length("line") >= least).withColumn("h", F.xxhash64("line")), wanted).distinct()
-    texts = checkpoint(texts.join(wanted, "h").withColumn("id", F.monotonically_increasing_id()))
-    side = lambda s: texts.select(F.col("h").alias(s), F.col("id").alias(f"id_{s}"), F.col("line").alias(f"line_{s}"))
-    pairs = cand.join(side("a"), "a").join(side("b"), "b").select("id_a", "id_b", "line_a", "line_b")
+    texts = checkpoint(texts.join(wanted, "h").withColumn("id", F.monotonically_increasing_id()).withColumn("p", profile()))
+    tidy(docs.sparkSession)
+    side = lambda s: texts.select(F.col("h").alias(s), F.col("id").alias(f"id_{s}"), F.col("p").alias(f"p_{s}"), F.col("line").alias(f"line_{s}"))
+    pairs = cand.join(side("a"), "a").join(side("b"), "b").where(alike("p_a", "p_b", distance)).select("id_a", "id_b", "line_a", "line_b")
     links = within(pairs, "line_a", "line_b", distance).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
     linked = texts.join(connected_components(links), "id").select("component", "line")
     linked = checkpoint(_hashed(linked).select("component", "h1", "h2"))
+    del pairs, links
+    tidy(docs.sparkSession)
     name = linked.groupBy("component").agg(F.min(F.struct("h1", "h2")).alias("class"))
     linked = linked.join(name, "component").select("h1", "h2", "class")
 
