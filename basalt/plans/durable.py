@@ -55,7 +55,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(target)
     fs.deleteOnExit(target)
-    return path
+    return fs.makeQualified(target).toString()
 
 
 def remove(spark: SparkSession, path: str) -> None:
