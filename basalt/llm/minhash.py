@@ -20,6 +20,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from basalt.llm import caches
 from basalt.llm.components import connected_components
 from basalt.llm.words import mixed, shingle_set
 from basalt.plans.durable import checkpoint, tidy, written
@@ -74,6 +75,7 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFra
     """(row, doc_id, thash, n, set_hash, regs) of every document, written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches.use("words")
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             n, sets, regs = [], [], []
@@ -134,6 +136,7 @@ def _measured(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """Pairs with the sizes of intersection and union of their full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches.use("words")
         last, hub = None, None
         for batch in batches:
             inter, union = [], []

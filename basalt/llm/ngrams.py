@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from basalt.llm import caches
 from basalt.llm.arrays import expand, load, save, squeeze
 from basalt.llm.words import hashed, mixed, words
 from basalt.plans.durable import scratch, written
@@ -317,6 +318,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     held = docs.sparkSession.sparkContext.broadcast(model)  # a few numbers a shard
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches.use("words")
         model = held.value
         for batch in batches:
             got = [(np.diff(starts, append=len(h)), *log10_scores(model, h, starts)) for h, starts in _steps(batch.column(1))]

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from basalt.llm import caches
 from basalt.plans.durable import written
 
 CACHED_WORDS = 400_000
@@ -28,6 +29,7 @@ ODD_SPACES = "\x1c\x1d\x1e\x1f"
 TAIL = ".,;:!?"
 
 _loaded: dict[str, "WordIds"] = {}
+caches.register("packing", _loaded.clear)
 
 
 def _byte_letters() -> dict[int, str]:
@@ -102,6 +104,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches.use("packing")
         table, before, part = word_ids(tokenizer), 0, TaskContext.get().partitionId()
         end = np.array([end_id], table.dtype).tobytes()
         for batch in batches:

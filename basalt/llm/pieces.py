@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from basalt.llm import caches
+
 CACHED_CHUNKS = 500_000
 CACHED_LENGTH = 64
 MARK = "▁"
@@ -23,6 +25,7 @@ CHUNK = re.compile(r"\n[^ \n]*| +[^ \n]*")
 PROBE = "Ａﬁ  é \t x "
 
 _loaded: dict[str, "Chunks"] = {}
+caches.register("pieces", _loaded.clear)
 
 
 class Chunks(dict):
@@ -90,6 +93,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches.use("pieces")
         table = chunks(model)
         for batch in batches:
             both = [table.encode(t or "") for t in batch.column(1).to_pylist()]

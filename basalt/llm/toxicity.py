@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from basalt.llm import caches
+
 # Second-person words of English, German, French and Spanish.
 SECOND_PERSON = frozenset(
     "you your yours yourself u ur du dich dir dein deine deinen ihr euch euer sie tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros vuestro".split()
@@ -269,6 +271,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     names, at = docs.columns, docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches.use("toxicity")
         look = Featurizer(held.value.lexicon)
         for batch in batches:
             x = np.array([look.of(t) for t in batch.column(at).to_pylist()]).reshape(-1, len(FEATURES))

@@ -5,7 +5,9 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-CACHED_WORDS = 500_000
+from basalt.llm import caches
+
+CACHED_WORDS = 300_000
 CACHED_LENGTH = 64
 
 
@@ -22,6 +24,7 @@ class WordHashes(dict):
 
 
 _hashes = WordHashes()
+caches.register("words", _hashes.clear)
 
 
 def words(text: bytes | None) -> list[bytes]:
