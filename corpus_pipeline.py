@@ -31,7 +31,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates, the document with the smallest doc_id."""
-    gone = minhash.near_duplicates(docs, percent=85, size=5).where("NOT kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    gone = minhash.near_duplicates(docs, percent=80, size=5).where("NOT kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
     gone = checkpoint(gone.distinct())
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]) & F.xxhash64(docs["text"]).eqNullSafe(gone["__hash"]), "left_anti")
 

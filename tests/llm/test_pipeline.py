@@ -82,3 +82,18 @@ def test_nulls_and_repeats_survive(spark):
 def test_empty_table_of_documents(spark):
     none = spark.read.parquet(f"{SF}/documents.parquet").where("false")
     assert cp.drop_toxic(spark, none, SF).count() == 0
+
+
+def test_near_copies_from_four_fifths_go(spark):
+    def changed(text, n):
+        w = text.split()
+        for k in range(n):
+            w[10 + 40 * k] = f"other{k}"
+        return " ".join(w)
+
+    a, b = (" ".join(f"{c}{i}" for i in range(300)) for c in "ab")
+    # of 296 shingles each change takes 5: similarities 271/321, 266/326 and 261/331
+    texts = {1: a, 2: changed(a, 5), 3: changed(a, 6), 11: b, 12: changed(b, 7)}
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = {r.doc_id for r in cp.drop_near_copies(spark, docs, SF).collect()}
+    assert kept == {i for i, (_, first) in near(texts, 80).items() if i == first} == {1, 11, 12}
