@@ -5,21 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from basalt.operators import shards, validate
+from basalt.plans import schemas
+
+# Locators as JSON texts: bodies are canonical, so equal places are equal texts.
+SNAPSHOT_CLAIMS = "struct<package:struct<byteLength:bigint>,locators:array<string>>"
+OBSERVATION_CLAIMS = f"struct<locator:string,outcome:{schemas.OUTCOME}>"
 
 
 def revision_violations(references: DataFrame, records: DataFrame, required: DataFrame, known: DataFrame) -> DataFrame:
     """(rule, identity).
 
     references: prefix, entries, observations, bytes, fingerprint. records: prefix, route,
-    kind, identity, body, and package (what an observation or a tombstone refers to, else
-    null). required and known: epoch.
+    kind, identity, body (canonical JSON, from which locators and outcomes are read), and
+    package (what an observation or a tombstone refers to, else null). required and known:
+    epoch.
     """
     say = lambda df, rule, identity: df.select(rule.alias("rule"), identity.cast("string").alias("identity"))
     cover = shards.cover_violations(references.select("prefix"))
     content = shards.reconcile(references, shards.shard_summary(records))
     twice = validate.duplicates(records, ["kind", "identity"])
-    observed = records.where("kind = 'observation'").select("identity", F.col("package").alias("key"))
-    lost = validate.dangling(observed, records.where("kind = 'snapshot'").select(F.col("identity").alias("key")), "key")
+    snapshots = records.where("kind = 'snapshot'").select(F.col("identity").alias("key"), F.from_json("body", SNAPSHOT_CLAIMS).alias("s"))
+    # a claim that is missing equals nothing
+    snapshots = snapshots.select(
+        "key",
+        F.col("key").alias("digest"),
+        F.coalesce("s.package.byteLength", F.lit(-1)).alias("bytes"),
+        F.coalesce("s.locators", F.array().cast("array<string>")).alias("locators"),
+    )
+    observed = records.where("kind = 'observation'").select("identity", F.col("package").alias("key"), F.from_json("body", OBSERVATION_CLAIMS).alias("o"))
+    observed = observed.select(
+        "identity",
+        "key",
+        F.col("o.locator").alias("locator"),
+        F.col("o.outcome.status").alias("status"),
+        F.coalesce("o.outcome.observedSha256", F.lit("")).alias("observed"),
+        F.coalesce("o.outcome.byteLength", F.lit(-2)).alias("length"),
+    )
+    lost = validate.dangling(observed, snapshots, "key")
+    outside = validate.outside_locators(observed, snapshots, "key", "locator", "locators")
+    outcomes = validate.outcome_violations(observed, snapshots, "key")
     epochs = validate.missing_and_extra(required, known, "epoch")
     out = say(cover, F.concat(F.lit("cover: "), "rule"), F.col("prefix"))
     for part in (
@@ -27,6 +51,8 @@ def revision_violations(references: DataFrame, records: DataFrame, required: Dat
         say(content, F.concat(F.lit("manifest: "), "rule"), F.col("prefix")),
         say(twice, F.lit("repeated identity"), F.col("identity")),
         say(lost, F.lit("dangling observation"), F.col("identity")),
+        say(outside, F.lit("unlisted locator"), F.col("identity")),
+        say(outcomes, F.concat(F.lit("outcome: "), "rule"), F.col("identity")),
         say(epochs.where("side = 'missing'"), F.lit("epoch"), F.col("epoch")),
     ):
         out = out.unionByName(part)

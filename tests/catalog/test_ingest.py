@@ -57,3 +57,19 @@ def test_whole_revision(spark):
     bad = records.where("identity <> '3'").union(records.where("identity = '4'")).withColumn("prefix", F.when(F.col("identity") == "5", "g").otherwise(F.col("prefix")))
     found = {(r.rule, r.identity) for r in revision_violations(refs, bad, known.where("epoch = 'a'"), known).collect()}
     assert {("misplaced", "5"), ("repeated identity", "4"), ("dangling observation", "o3"), ("epoch", "b"), ("manifest: extra", "g")} <= found
+
+
+def test_observations_of_a_revision(spark):
+    other = "b" * 64
+    claims = {
+        "fine": {}, "read": {"outcome": {"status": "readback-authenticated", "observedSha256": SHA, "byteLength": 3}}, "differs": {"outcome": {"status": "digest-mismatch", "observedSha256": other}},
+        "place": {"locator": LOCATOR | {"objectId": "p"}}, "digest": {"outcome": {"status": "readback-authenticated", "observedSha256": other, "byteLength": 3}},
+        "length": {"outcome": {"status": "readback-authenticated", "observedSha256": SHA, "byteLength": 4}}, "bare": {"outcome": {"status": "readback-authenticated"}},
+        "same": {"outcome": {"status": "digest-mismatch", "observedSha256": SHA}},
+    }
+    rows = [("snapshot", SHA, sj.canonical(ENTRY), None)] + [("observation", k, sj.canonical(SEEN | {"observationId": k} | c), SHA) for k, c in claims.items()]
+    df = spark.createDataFrame(rows, "kind string, identity string, body string, package string").withColumn("route", fn.route_hash(F.col("kind"), F.col("identity")))
+    records = df.withColumn("prefix", F.lit(""))
+    epochs = spark.createDataFrame([("e",)], "epoch string")
+    found = revision_violations(shards.shard_summary(records), records, epochs, epochs).collect()
+    assert {(r.rule, r.identity) for r in found} == {("unlisted locator", "place"), ("outcome: digest", "digest"), ("outcome: digest", "bare"), ("outcome: length", "length"), ("outcome: same digest", "same")}
