@@ -3,9 +3,10 @@
 Three base kinds are found by pattern. A fourth, ``bare``, takes long mixed
 tokens that no base match covers. The hashes of all candidate values are then
 counted over the whole corpus by distinct repositories and owners: a value that
-many owners hold is a copied example, one that few hold and that looks random is
-a live credential. Bare candidates are reported only when live; base matches
-always stay. Everything is a DataFrame expression.
+many owners hold is a copied example, one that few hold is a live credential
+unless it says that it is a placeholder. Only bare candidates must also look
+random; they are reported only when live, base matches always. Everything is a
+DataFrame expression.
 """
 
 from __future__ import annotations
@@ -47,13 +48,17 @@ def _spans(text: Column, pattern: str, kind: int, value_group: int = 0) -> Colum
     return F.when(F.rlike(text, F.lit(pattern)), found).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
+def placeholder(value: Column) -> Column:
+    return value.rlike("(?i)example|sample|dummy|placeholder")
+
+
 def live_looking(value: Column) -> Column:
     """Mixed, varied characters: digits, letters, and ten different characters or more."""
     return (
         value.rlike("[0-9].*[0-9].*[0-9]")
         & value.rlike("[A-Za-z].*[A-Za-z]")
         & (F.size(F.array_distinct(F.split(value, ""))) >= 10)
-        & ~value.rlike("(?i)example|sample|dummy|placeholder")
+        & ~placeholder(value)
     )
 
 
@@ -108,7 +113,8 @@ def scan(
         "row",
         "s",
         (F.col("owners") >= example_owners).alias("example"),
-        ((F.col("owners") < example_owners) & live_looking(F.col("s.value"))).alias("live"),
+        # bare candidates have passed live_looking already
+        ((F.col("owners") < example_owners) & ~placeholder(F.col("s.value"))).alias("live"),
     )
     bare_kind = F.col("s.k") == len(KINDS) - 1
     picked = lambda cond: F.array_sort(F.collect_list(F.when(cond, F.col("s"))))
