@@ -2,7 +2,7 @@
 
 Three base kinds are found by pattern. A fourth, ``bare``, takes long mixed
 tokens that no base match covers. The hashes of all candidate values are then
-counted over the whole corpus by distinct repositories and owners: a value that
+counted over the whole corpus by distinct owners (repositories play no part): a value that
 many owners hold is a copied example, one that few hold is a live credential
 unless it says that it is a placeholder. Only bare candidates must also look
 random; they are reported only when live, base matches always. Everything is a
@@ -85,7 +85,8 @@ def scan(
     with k an index into KINDS.
 
     Null text is empty. Null owners and repositories count as one owner and one
-    repository. Repeated rows each give a row (``row`` tells them apart) and count
+    repository. Only owners decide: copies in several repositories of one owner are
+    not independent, and a leaked key is still live there. Repeated rows each give a row (``row`` tells them apart) and count
     once for their owner. An empty table gives no rows; other columns are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
