@@ -11,6 +11,15 @@ from pyspark.sql import DataFrame, functions as F
 from basalt.plans.durable import checkpoint, tidy
 
 
+def unaligned(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with an integer key that Spark doesn't know to be spread by that key.
+
+    A join of grouped rows with the rows they came from then shuffles both sides, and
+    adaptive execution can split a hot key of the larger one over several tasks.
+    """
+    return df.withColumn(key, F.expr(f"`{key}` + 0"))
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, component): for every vertex of ``edges`` (a, b), the smallest vertex it reaches."""
     e = checkpoint(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
@@ -19,7 +28,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).union(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
         least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = both.where("y > x").join(least, "x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("y > x").join(unaligned(least, "x"), "x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
         own = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(own, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         e = checkpoint(small.union(own.select("u", F.col("m").alias("v"))).distinct())

@@ -5,9 +5,10 @@ leading zeros and a few mantissa bits: 6 + 10 bits instead of 64. Bands of
 registers are hashed and documents that share a band are candidates. Of each band
 only links to its smallest member (its hub) are tried at first, so a band of n
 copies gives n - 1 pairs. What a band still holds in different components after
-that is tried in full. Before a link is confirmed on the full shingle sets, sizes
+that is tried in full. Before any link is confirmed on the full shingle sets, sizes
 and the Jaccard estimate, corrected for accidental register collisions, must allow
-it.
+it. A document that many pairs name is cut into blocks of its partners, and its
+sketch and text go once to each block.
 """
 
 from __future__ import annotations
@@ -21,13 +22,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from basalt.llm import caches
-from basalt.llm.components import connected_components
+from basalt.llm.components import connected_components, unaligned
 from basalt.llm.words import mixed, shingle_set
 from basalt.plans.durable import checkpoint, tidy, written
 
 BANDS, ROWS = 48, 8  # at a similarity of 0.85, a pair shares no band with probability 3e-7
 MANTISSA = 10
 SIGMAS = 6.0
+BLOCK = 64  # partners that share one copy of a document
 
 
 def registers(shingles: np.ndarray, buckets: int) -> np.ndarray:
@@ -71,6 +73,17 @@ def estimate(a: np.ndarray, b: np.ndarray, n: int, m: int) -> tuple[float, int]:
     return (same - accident) / max(used - accident, 1e-9), used
 
 
+def overlap_bounds(est: float, used: int, n: int, m: int) -> tuple[int, int]:
+    """Least and largest intersection of sets of sizes n and m that the estimate allows, SIGMAS standard errors wide."""
+    least, most = 0.0, 1.0
+    if used:
+        p, z = min(max(est, 0.0), 1.0), SIGMAS**2 / used  # Wilson's interval
+        centre, half = (p + z / 2) / (1 + z), np.sqrt(z * p * (1 - p) + z * z / 4) / (1 + z)
+        least, most = max(centre - half, 0.0), min(centre + half, 1.0)
+    small = min(n, m)
+    return min(int(least / (1 + least) * (n + m)), small), min(int(np.ceil(most / (1 + most) * (n + m))), small)
+
+
 def _sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """(row, doc_id, thash, n, set_hash, regs) of every document, written."""
 
@@ -97,61 +110,63 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFra
 
 
 def _bands(reps: DataFrame) -> DataFrame:
-    """(key, rep) for each band of each representative."""
+    """(key, rep, n) for each band of each representative."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [band_keys(np.frombuffer(r, np.uint16)) for r in batch.column(1).to_pylist()]
+            keys = [band_keys(np.frombuffer(r, np.uint16)) for r in batch.column(2).to_pylist()]
             if keys:
-                rep = np.repeat(batch.column(0).to_numpy(), [len(k) for k in keys])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(rep)], ["key", "rep"])
-
-    return reps.select("rep", "regs").mapInArrow(run, "key bigint, rep bigint")
-
-
-def _paired(pairs: DataFrame, payload: DataFrame, cols: list[str]) -> DataFrame:
-    """``pairs`` (a, b) with ``cols`` of both sides."""
-    side = lambda s: payload.select(F.col("rep").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in cols))
-    return pairs.join(side("b"), "b").join(side("a"), "a")
-
+                times = [len(k) for k in keys]
+                rep, n = (pa.array(np.repeat(batch.column(i).to_numpy(), times)) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), rep, n], ["key", "rep", "n"])
 
-def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose estimate allows the similarity, at SIGMAS standard deviations."""
-    least = percent / 100
+    return reps.select("rep", "n", "regs").mapInArrow(run, "key bigint, rep bigint, n bigint")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y, n, m in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5))):
-                est, used = estimate(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16), n, m)
-                keep.append(est >= least - SIGMAS * np.sqrt(least * (1 - least) / max(used, 1)))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
-
-    both = _paired(pairs, reps, ["regs", "n"]).select("a", "b", "regs_a", "regs_b", "n_a", "n_b")
-    return both.mapInArrow(run, "a bigint, b bigint")
 
+def _measured(pairs: DataFrame, payload: DataFrame, percent: int, size: int, exact: bool = True) -> DataFrame:
+    """(a, b, lo, hi, all) of pairs (a, b): bounds of the intersection, and the union's size where it was counted.
 
-def _measured(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """Pairs with the sizes of intersection and union of their full sets."""
+    The estimate comes first; only pairs that it allows are counted on full sets, and
+    then lo = hi. Without ``exact`` nothing is counted, and pairs not allowed are left out.
+    ``payload`` is (rep, n, regs, text). Each block of partners of ``a`` is a run of rows
+    that begins with ``a`` itself, so a task holds one document and one batch.
+    """
+    cols = ["n", "regs", "text"] if exact else ["n", "regs"]
+    held = unaligned(pairs.groupBy("a").agg(F.count("*").alias("members")), "a")
+    blocks = checkpoint(pairs.join(held, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("members") / BLOCK)).alias("block")))
+    side = lambda df, by, b: df.join(payload, F.col(by) == F.col("rep")).select("a", "block", b.alias("b"), *cols)
+    members = side(blocks, "b", F.col("b"))
+    heads = side(blocks.select("a", "block").distinct(), "a", F.lit(None).cast("bigint"))
+    dealt = members.union(heads).repartition("a", "block").sortWithinPartitions("a", "block", F.asc_nulls_first("b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         caches.use("words")
-        last, hub = None, None
+        head_regs = head_n = head_text = head_set = None
         for batch in batches:
-            inter, union = [], []
-            a, ta, tb = batch.column(0).to_pylist(), batch.column(2).cast(pa.binary()), batch.column(3).cast(pa.binary())
-            for i, key in enumerate(a):
-                if key != last:
-                    last, hub = key, shingle_set(ta[i].as_py(), size)
-                s = shingle_set(tb[i].as_py(), size)
-                at = np.minimum(np.searchsorted(hub, s), len(hub) - 1)
-                inter.append(int(np.count_nonzero(hub[at] == s)))
-                union.append(len(hub) + len(s) - inter[-1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(inter, pa.int64()), pa.array(union, pa.int64())], ["a", "b", "inter", "all"])
-
-    both = _paired(pairs, texts, ["text"]).select("a", "b", "text_a", "text_b")
-    return checkpoint(both.mapInArrow(run, "a bigint, b bigint, inter bigint, all bigint"))
+            out = []
+            texts = batch.column(5).cast(pa.binary()) if exact else None
+            for i, (a, b, n, regs) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4)))):
+                regs = np.frombuffer(regs, np.uint16)
+                if b is None:
+                    head_regs, head_n, head_set = regs, n, None
+                    head_text = texts[i].as_py() if exact else None
+                    continue
+                lo, hi = overlap_bounds(*estimate(head_regs, regs, head_n, n), head_n, n)
+                union = None
+                if 100 * hi >= percent * (head_n + n - hi):
+                    if exact:
+                        if head_set is None:
+                            head_set = shingle_set(head_text, size)
+                        s = shingle_set(texts[i].as_py(), size)
+                        at = np.minimum(np.searchsorted(head_set, s), len(head_set) - 1)
+                        lo = hi = int(np.count_nonzero(head_set[at] == s))
+                        union = head_n + n - lo
+                elif not exact:
+                    continue
+                out.append((a, b, lo, hi, union))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 5, ["a", "b", "lo", "hi", "all"])
+
+    return checkpoint(dealt.mapInArrow(run, "a bigint, b bigint, lo bigint, hi bigint, all bigint"))
 
 
 def _lone(texts: DataFrame, size: int) -> DataFrame:
@@ -185,53 +200,53 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: s
     reps = written(reps, "representatives")
     bands = _bands(reps)
     held = bands.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
-    shared = checkpoint(bands.join(held, "key"))
+    shared = checkpoint(bands.join(unaligned(held, "key"), "key"))
     # a band's hub is the member whose bands hold most rows: near the centre of its group
     central = checkpoint(shared.groupBy("rep").agg(F.sum("held").alias("central")))
-    ranked = shared.select("key", "rep").join(central, "rep")
-    hubs = ranked.groupBy("key").agg(F.max(F.struct("central", (-F.col("rep")).alias("less"))).alias("top"))
-    shared = checkpoint(shared.join(hubs, "key").select("key", "rep", (-F.col("top.less")).alias("hub")))
+    ranked = shared.select("key", "rep", "n").join(central, "rep")
+    hubs = ranked.groupBy("key").agg(F.max(F.struct("central", (-F.col("rep")).alias("less"), "n")).alias("top"))
+    hubs = unaligned(hubs.select("key", (-F.col("top.less")).alias("hub"), F.col("top.n").alias("hub_n")), "key")
+    shared = checkpoint(shared.join(hubs, "key").where("rep <> hub").select("key", "rep", "n", "hub", "hub_n"))
     tidy(docs.sparkSession)
-    chosen = reps.join(central.select("rep"), "rep")
-    wanted = chosen.select("rep", "doc_id", "thash")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    fits = F.col("id").eqNullSafe(F.col("doc_id")) & (F.xxhash64("text") == F.col("thash"))
-    texts = texts.join(wanted.hint("shuffle_hash"), fits).select("rep", "text").dropDuplicates(["rep"])
-    texts = written(texts, "texts")
+    wanted = reps.join(central.select("rep"), "rep").select("rep", "n", "regs", F.xxhash64("doc_id").alias("idh"), "thash")
+    texts = docs.select(F.xxhash64(id_col).alias("idh"), F.xxhash64(text_col).alias("thash"), F.col(text_col).alias("text"))
+    # repeated rows meet in the join, whose order the aggregate can use
+    payload = texts.join(wanted, ["idh", "thash"]).dropDuplicates(["idh", "thash"]).select("rep", "n", "regs", "text")
+    payload = written(payload, "payload")
     tidy(docs.sparkSession)
-    chosen = chosen.select("rep", "n", "regs")
     enough = lambda inter, union: (100 * inter) >= (percent * union)
+    links = lambda tried: tried.where(enough(F.col("hi"), F.col("all")))
     stars = lambda c: c.select(F.col("id").alias("a"), F.col("component").alias("b"))
-    grown = lambda c, links: connected_components(stars(c).union(links.select("a", "b"))) if links.take(1) else c
+    grown = lambda c, found: connected_components(stars(c).union(found.select("a", "b"))) if found.take(1) else c
     near_size = lambda x, y: (100 * F.least(x, y)) >= (percent * F.greatest(x, y))
 
-    sizes = checkpoint(chosen.select("rep", "n"))
-    rest = shared.where("rep <> hub").join(sizes, "rep").join(sizes.select(F.col("rep").alias("hub"), F.col("n").alias("hub_n")), "hub")
-    pairs = rest.where(near_size(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    tried = _measured(pairs, texts, size)
-    found = tried.where(enough(F.col("inter"), F.col("all")))
+    pairs = shared.where(near_size(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    tried = _measured(pairs, payload, percent, size)
+    found = links(tried)
     comp = connected_components(found)
 
     # members of a band outside the component that its best linked document is in try that one
-    placed = rest.join(tried, (F.col("hub") == F.col("a")) & (F.col("rep") == F.col("b")), "left").select("key", "hub", "rep", "n", "hub_n", "inter")
-    placed = checkpoint(placed)
+    placed = checkpoint(shared.join(tried, (F.col("hub") == F.col("a")) & (F.col("rep") == F.col("b")), "left").select("key", "hub", "rep", "n", "hub_n", "lo", "hi"))
     in_ = lambda c: placed.join(c.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     degree = found.select(F.col("a").alias("id")).union(found.select("b")).groupBy("id").agg(F.count("*").alias("degree"))
-    best = comp.join(degree, "id").groupBy("component").agg(F.max(F.struct("degree", "id")).alias("s")).select("component", "s.degree", F.col("s.id").alias("star"))
-    own = in_(comp)
-    star = own.join(best, "component").groupBy("key").agg(F.max(F.struct("degree", "star", "component")).alias("s")).select("key", F.col("s.star").alias("a"), F.col("s.component").alias("home"))
-    again = own.join(star, "key").where("component <> home AND rep <> a").select("a", F.col("rep").alias("b")).distinct()
-    more = _measured(again.join(tried.select("a", "b"), ["a", "b"], "left_anti"), texts, size)
+    best = comp.join(degree, "id").groupBy("component").agg(F.max(F.struct("degree", "id")).alias("s"))
+    best = unaligned(best.select("component", "s.degree", F.col("s.id").alias("star")), "component")
+    own = in_(comp.join(best, "component", "left"))
+    star = own.where("star IS NOT NULL").groupBy("key").agg(F.max(F.struct("degree", "star", "component")).alias("s"))
+    star = unaligned(star.select("key", F.col("s.star").alias("a"), F.col("s.component").alias("home")), "key")
+    again = own.select("key", "rep", "component").join(star, "key").where("component <> home AND rep <> a").select("a", F.col("rep").alias("b")).distinct()
+    more = _measured(again.join(tried.select("a", "b"), ["a", "b"], "left_anti"), payload, percent, size)
     tried = tried.union(more)
-    comp = grown(comp, more.where(enough(F.col("inter"), F.col("all"))))
+    comp = grown(comp, links(more))
     del again, star, own, best, degree
     tidy(docs.sparkSession)
 
     # what a band still holds in different components
     own = in_(comp)
-    split = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    pivots = tried.groupBy(F.col("b").alias("rep")).agg(F.max(F.struct("inter", F.col("a").alias("pivot"))).alias("p")).select("rep", "p.pivot", F.col("p.inter").alias("most"))
-    left = checkpoint(own.join(split, "key").join(pivots, "rep", "left"))
+    split = own.groupBy("key").agg(F.min("component").alias("lowest"), F.max("component").alias("highest")).where("lowest <> highest").select("key")
+    pivots = tried.groupBy(F.col("b").alias("rep")).agg(F.max(F.struct("hi", "lo", F.col("a").alias("pivot"))).alias("p"))
+    pivots = pivots.select("rep", "p.pivot", F.col("p.hi").alias("pivot_hi"), F.col("p.lo").alias("pivot_lo"))
+    left = checkpoint(own.join(unaligned(split, "key"), "key").join(pivots, "rep", "left"))
     del own, split, pivots
     tidy(docs.sparkSession)
     # Shingles that no other document of these holds can't be in an intersection. Those of
@@ -239,7 +254,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: s
     # |x and y| <= min(|x and h|, |y and h|) + min(|others of x|, |others of y|),
     # and likewise with the document that x and y both overlap most with (their pivot).
     these = left.select("rep").union(left.select("hub")).union(left.where("pivot IS NOT NULL").select("pivot")).distinct()
-    lone = checkpoint(_lone(texts.join(these, "rep"), size))
+    lone = checkpoint(_lone(payload.join(these, "rep"), size))
     tidy(docs.sparkSession)
     left = left.join(lone, "rep", "left").withColumn("held", F.col("n") - F.coalesce("lone", F.lit(0)))
     left = left.where(enough(F.col("held"), F.col("n"))).select(
@@ -248,10 +263,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: s
         "n",
         "component",
         "held",
-        F.coalesce("inter", F.least("n", "hub_n")).alias("inside"),
-        (F.col("held") - F.coalesce("inter", F.lit(0))).alias("outside"),
+        F.coalesce("hi", F.least("n", "hub_n")).alias("inside"),
+        (F.col("held") - F.coalesce("lo", F.lit(0))).alias("outside"),
         "pivot",
-        "most",
+        F.col("pivot_hi").alias("most"),
+        (F.col("held") - F.col("pivot_lo")).alias("beyond"),
     )
     bands_of = left.groupBy("rep").agg(F.array_sort(F.collect_list("key")).alias("keys"))
     left = checkpoint(left.join(bands_of, "rep"))
@@ -259,17 +275,17 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: s
     tidy(docs.sparkSession)
     x, y = left.alias("x"), left.alias("y")
     most = F.least(F.least("x.inside", "y.inside") + F.least("x.outside", "y.outside"), "x.held", "y.held")
-    by_pivot = F.least("x.most", "y.most") + F.least(F.expr("x.held - x.most"), F.expr("y.held - y.most"))
+    by_pivot = F.least("x.most", "y.most") + F.least("x.beyond", "y.beyond")
     most = F.when(F.col("x.pivot") == F.col("y.pivot"), F.least(most, by_pivot)).otherwise(most)
     possible = (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & enough(most, F.col("x.n") + F.col("y.n") - most)
     here = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")  # once, though the pair shares many bands
     more = x.join(y, (F.col("x.key") == F.col("y.key")) & possible & here).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = more.join(done, ["a", "b"], "left_anti")
-    more = checkpoint(more)
+    more = checkpoint(more.join(done, ["a", "b"], "left_anti"))
     tidy(docs.sparkSession)
-    second = _measured(_likely(more, chosen, percent), texts, size)
-    comp = grown(comp, second.where(enough(F.col("inter"), F.col("all"))))
+    likely = _measured(more, payload, percent, size, exact=False).select("a", "b")
+    second = _measured(likely, payload, percent, size)
+    comp = grown(comp, links(second))
     linked = groups.join(comp, F.col("rep") == F.col("id"))
     least = linked.groupBy("component").agg(F.min("least").alias("smallest"))
     classes = linked.join(least, "component").select("set_hash", "smallest")
