@@ -6,19 +6,25 @@ probes, for each length that a partner may have, the substrings that can meet a
 segment (the multi-match-aware window around its place). Candidates whose counts
 of some characters differ too much drop out; the others are verified by a banded
 bit-parallel edit distance. Everything is a DataFrame expression.
+
+A key that many lines are indexed under is hot. Lines there meet under finer keys
+instead: what lies left and right of the segment has its own share of the edits, is
+cut into more parts than these can touch, and all untouched parts join the key.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from basalt.llm.components import connected_components
+from basalt.llm.components import connected_components, unaligned
 from basalt.plans.durable import checkpoint, tidy
 
 #: Bits of the filter of candidate lines: 2 MB, whatever the input, so it can be broadcast.
 FILTER_BITS = 1 << 24
 #: Characters counted in a candidate's profile, at most six; frequent ones tell most apart.
 COUNTED = " eniat"
+#: Lines indexed under one key, beyond which finer keys take its place.
+HOT = 16
 
 
 def profile(line: str = "line") -> Column:
@@ -40,6 +46,16 @@ def _segment(length: str, i: int, parts: int) -> tuple[str, str]:
     return start, f"({size} + if({i} >= {parts} - {rest}, 1, 0))"
 
 
+def _places(distance: int, shorter: range, windowed: bool) -> list[tuple[int, int, int]]:
+    """(d, i, shift) of each key of a line: it may be ``d`` longer than a partner, whose segment ``i`` lies ``shift`` further on in it."""
+    out = []
+    for d in shorter:
+        for i in range(distance + 1):
+            lo, hi = (max(-i, d - (distance - i)), min(i, d + (distance - i))) if windowed else (0, 0)
+            out += [(d, i, shift) for shift in range(lo, hi + 1)]
+    return out
+
+
 def _keys(lines: DataFrame, distance: int, shorter: range, windowed: bool) -> DataFrame:
     """(h, keys): hashes of segments of partners' lengths, ``shorter`` than ``n``, cut from the line.
 
@@ -47,16 +63,59 @@ def _keys(lines: DataFrame, distance: int, shorter: range, windowed: bool) -> Da
     there is. Places are columns of their own, which keeps the code of each step small.
     ``wide`` has four bytes a character, so a segment is found without counting characters.
     """
-    places, keys = [], []
+    places = []
     for d in shorter:
         for i in range(distance + 1):
             start, size = _segment(f"(n - {d})", i, distance + 1)
             places += [F.expr(f"cast(4 * {start} - 3 as int)").alias(f"at_{d}_{i}"), F.expr(f"cast(4 * {size} as int)").alias(f"size_{d}_{i}")]
-            lo, hi = (max(-i, d - (distance - i)), min(i, d + (distance - i))) if windowed else (0, 0)
-            keys += [f"xxhash64(n - {d}, {i}, substring(wide, at_{d}_{i} + {4 * shift}, size_{d}_{i}))" for shift in range(lo, hi + 1)]
+    keys = [f"xxhash64(n - {d}, {i}, substring(wide, at_{d}_{i} + {4 * shift}, size_{d}_{i}))" for d, i, shift in _places(distance, shorter, windowed)]
     return lines.select("h", "n", "wide", *places).select("h", F.expr(f"array({', '.join(keys)})").alias("keys"))
 
 
+def _touched(edits: int, windowed: bool) -> list[tuple[int, int, int, int]]:
+    """(parts, p, q, drift): ways in which ``edits`` edits touch parts p and q alone; between these the texts are ``drift`` apart.
+
+    One edit touches one of 3 parts, two touch two of 6; one part with both edits is counted
+    with a neighbour. More edits aren't refined: the whole side is taken as touched.
+    """
+    if edits == 1:
+        return [(3, p, p, 0) for p in range(3)]
+    if edits == 2:
+        return [(6, p, q, g) for q in range(6) for p in range(q) for g in ((-1, 0, 1) if windowed and q > p + 1 else (0,))]
+    return [(1, 0, 0, 0)]
+
+
+def _finer(rows: DataFrame, distance: int, windowed: bool) -> DataFrame:
+    """``rows`` with a column ``fine``, one row for each finer key of a line under a hot key.
+
+    ``rows`` have ``line``, ``key``, the shorter line's length ``n`` and d, i, shift as in ``_places``.
+    If segment i is the first with no more edits before it than segments, those before it
+    are i and those behind it at most ``distance`` - i (which is why the windows suffice).
+    """
+    parts = distance + 1
+    own = rows.withColumn("wide", F.encode("line", "UTF-32"))
+    own = own.withColumn("head", F.expr(f"(n div {parts}) * i + greatest(0, i - {parts} + n % {parts})"))
+    own = own.withColumn("tail", F.expr(f"head + (n div {parts}) + if(i >= {parts} - n % {parts}, 1, 0)"))
+    names = ("lm", "lp", "lq", "lg", "rm", "rp", "rq", "rg")
+    ways = F.lit(None)
+    for i in range(parts):
+        of = (F.struct(*(F.lit(v).alias(c) for c, v in zip(names, left + right))) for left in _touched(i, windowed) for right in _touched(distance - i, windowed))
+        ways = F.when(F.col("i") == i, F.array(*of)).otherwise(ways)
+    piece = lambda lo, hi, shift: f"substring(wide, cast(4 * ({lo} + {shift}) + 1 as int), cast(4 * greatest(0, ({hi}) - ({lo})) as int))"
+
+    def side(lo: str, hi: str, c: str, before: str, after: str) -> list[str]:
+        cut = lambda k: f"({lo} + (({hi} - {lo}) * {k} div w.{c}m))"
+        p, q = f"w.{c}p", f"w.{c}q"
+        return [piece(lo, cut(p), before), piece(cut(f"({p} + 1)"), cut(q), f"{before} + w.{c}g"), piece(cut(f"({q} + 1)"), hi, after)]
+
+    # two edits in two places move the text by one each at most
+    fits = lambda c, drift: f"(w.{c}q <= w.{c}p + 1 OR abs({drift} - w.{c}g) <= 1)"
+    pieces = ", ".join(side("0", "head", "l", "0", "shift") + side("tail", "n", "r", "shift", "d"))
+    fine = f"if({fits('l', 'shift')} AND {fits('r', '(d - shift)')}, xxhash64(key, w.lp, w.lq, w.rp, w.rq, {pieces}), null)"
+    names = [c for c in own.columns if c not in ("wide", "head", "tail")]
+    return own.withColumn("ways", ways).select(*names, F.explode(F.expr(f"array_distinct(transform(ways, w -> {fine}))")).alias("fine")).where("fine IS NOT NULL")
+
+
 def _trimmed(a: Column, b: Column) -> Column:
     """The two texts without what they have in common at the start, by doubling steps."""
     steps = F.array(*(F.lit(1 << k) for k in range(20, -1, -1)))
@@ -119,13 +178,16 @@ def edit_distance(x: Column, y: Column, distance: int, first: int | None = None)
     return F.when(gap > distance, gap).when(F.size(y) == 0, 0).otherwise(F.aggregate(masks, begin, step, lambda acc: acc["score"]))
 
 
-def within(pairs: DataFrame, a: str, b: str, distance: int) -> DataFrame:
+def within(pairs: DataFrame, a: str, b: str, distance: int, least: int = 0) -> DataFrame:
     """Rows of ``pairs``, without the texts ``a`` and ``b``, where these differ by at most ``distance`` edits.
 
+    If the shorter text has under ``least`` characters, one edit is the most.
+
     What both texts share at either end goes first. The rest is materialised, since an
     expression that is used several times would be evaluated as often.
     """
-    names = [c for c in pairs.columns if c not in (a, b)]
+    names = [*(c for c in pairs.columns if c not in (a, b)), "__most"]
+    pairs = pairs.withColumn("__most", F.when(F.least(F.length(a), F.length(b)) < least, 1).otherwise(distance))
     swap = F.length(a) > F.length(b)
     short, long = F.when(swap, F.col(b)).otherwise(F.col(a)), F.when(swap, F.col(a)).otherwise(F.col(b))
     near = pairs.where(F.abs(F.length(a) - F.length(b)) <= distance)
@@ -134,8 +196,8 @@ def within(pairs: DataFrame, a: str, b: str, distance: int) -> DataFrame:
     both = checkpoint(head.select(*names, _trimmed(F.reverse("__t.a"), F.reverse("__t.b")).alias("__t")))
     chars = lambda c: F.when(F.col(c) == "", F.array().cast("array<string>")).otherwise(F.split(c, ""))
     both = checkpoint(both.select(*names, chars("__t.a").alias("__x"), chars("__t.b").alias("__y")))
-    close = lambda first: edit_distance(F.col("__x"), F.col("__y"), distance, first) <= distance
-    return both.where(close(8 * (distance + 1))).where(close(None)).select(*names)
+    close = lambda first: edit_distance(F.col("__x"), F.col("__y"), distance, first) <= F.col("__most")
+    return both.where(close(8 * (distance + 1))).where(close(None)).select(*names).drop("__most")
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -147,16 +209,40 @@ def _hashed(lines: DataFrame) -> DataFrame:
     return lines.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), "line"))
 
 
-def _candidates(lines: DataFrame, distance: int, least: int) -> DataFrame:
-    """Pairs (a, b) of 64-bit line hashes, a < b, that share a key."""
-    own = lines.where(F.length("line") >= least).select("line").distinct()
-    own = own.select(F.xxhash64("line").alias("h"), F.encode("line", "UTF-32").alias("wide")).withColumn("n", F.expr("octet_length(wide) div 4"))
+def _met(own: DataFrame, distance: int, least: int, below: int | None) -> DataFrame:
+    """Keys that two lines share, or one that a line shares with a hot key; see ``_candidates``.
+
+    ``own`` is (h, n, wide) of distinct lines. Rows are (x, y, key, n, d, i, shift, probes):
+    x was indexed and y probed under the key. For hot keys one of them is null.
+    """
     # an outer explode, for a plain one also filters by its array, below the shuffle of the lines
-    spread = lambda keys, h: keys.select(F.col("h").alias(h), F.explode_outer("keys").alias("key"))
-    index = spread(_keys(own, distance, range(1), windowed=False), "x")
-    probe = spread(_keys(own, distance, range(distance + 1), windowed=True), "y")
-    met = index.join(probe, "key").where("x <> y")
-    return checkpoint(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    spread = lambda keys, h: keys.select(F.col("h").alias(h), F.posexplode_outer("keys").alias("pos", "key"))
+    ranged = own.where(F.col("n") >= least) if below is None else own.where((F.col("n") >= least) & (F.col("n") < below))
+    index = spread(_keys(ranged, distance, range(1), windowed=False), "x")
+    reach = own.where(F.col("n") >= least) if below is None else own.where((F.col("n") >= least) & (F.col("n") < below + distance))
+    probe = spread(_keys(reach, distance, range(distance + 1), windowed=True), "y")
+    hot = checkpoint(index.groupBy("key").agg(F.count("*").alias("held")).where(F.col("held") > HOT).select("key"))
+    cold = index.join(unaligned(hot, "key"), "key", "left_anti").select("key", "x")
+    none = F.lit(None).cast("bigint")
+    marks = cold.union(hot.select("key", none))
+    met = marks.join(probe, "key").where("x IS NULL OR x <> y").select("x", "y", "key", "pos", F.lit(True).alias("probes"))
+    indexed = index.join(unaligned(hot, "key"), "key", "left_semi").select("x", none.alias("y"), "key", "pos", F.lit(False).alias("probes"))
+    of = lambda windowed, shorter: F.array(*(F.struct(*(F.lit(v).alias(c) for c, v in zip(("d", "i", "shift"), place))) for place in _places(distance, shorter, windowed)))
+    place = F.when(F.col("probes"), F.get(of(True, range(distance + 1)), F.col("pos"))).otherwise(F.get(of(False, range(1)), F.col("pos")))
+    return checkpoint(met.union(indexed).withColumn("place", place).select("x", "y", "key", "probes", "place.*"))
+
+
+def _fine_pairs(met: DataFrame, texts: DataFrame, distance: int) -> DataFrame:
+    """Pairs (a, b) of lines under hot keys that share a finer key and have similar counts of characters."""
+
+    def finer(probes: bool, line: str) -> DataFrame:
+        rows = met.where(f"probes = {probes} AND (x IS NULL OR y IS NULL)").withColumnRenamed(line, "h").select("h", "key", "d", "i", "shift")
+        rows = rows.join(texts, "h").withColumn("n", F.length("line") - F.col("d"))
+        return _finer(rows, distance, probes).select(F.col("h").alias(line), F.col("p").alias(f"p_{line}"), "fine", *(["d"] if probes else []))
+
+    # of two lines of one length either may be the probe, so one of both ways is enough
+    both = finer(False, "x").join(finer(True, "y"), "fine").where("x < y OR (d > 0 AND x <> y)").where(alike("p_x", "p_y", distance))
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def _only(lines: DataFrame, hashes: DataFrame) -> DataFrame:
@@ -169,29 +255,47 @@ def _only(lines: DataFrame, hashes: DataFrame) -> DataFrame:
     return own.join(F.broadcast(bits), "bucket").where(hit).drop("__p", "bucket", "bits")
 
 
-def near_lines(docs: DataFrame, distance: int = 2, least: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_lines(docs: DataFrame, distance: int = 2, least: int = 20, short: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_lines, n_kept, n_exact, n_near, dropped.
 
-    Lines (text between line feeds) are in one class if equal, or if links of at most
-    ``distance`` edits between lines of at least ``least`` characters join them; shorter
-    lines only if equal. Blank lines always stay. Of a class the line first in order of
-    (doc_id, place) stays; ``dropped`` lists the places of all others, from 0, joined by
-    commas, ``n_exact`` of which equal the line that stays and ``n_near`` don't.
+    Lines (text between line feeds) are in one class if equal, or if links join them: of at
+    most ``distance`` edits where the shorter line has ``least`` characters or more, of one
+    edit where it has ``short`` or more (0: never). What is shorter still is equal or not:
+    an edit would be a large part of it. Blank lines always stay. Of a class the line first
+    in order of (doc_id, place) stays; ``dropped`` lists the places of all others, from 0,
+    joined by commas, ``n_exact`` of which equal the line that stays and ``n_near`` don't.
 
     Null text is one empty line. Null ids come first; repeated rows (same id and text)
     share their decisions. An empty table gives no rows; other columns are ignored.
     """
-    if least <= 2 * distance:
+    if least <= 2 * distance or short and not 2 < short < least:
         raise ValueError("lines must have more characters than two segments' worth of edits")
     lines = _lines(docs, id_col, text_col).where(F.trim("line") != "")
-    cand = _candidates(lines, distance, least)
-    wanted = cand.select(F.col("a").alias("h")).union(cand.select("b")).distinct()
-    texts = _only(lines.select("line").where(F.length("line") >= least).withColumn("h", F.xxhash64("line")), wanted).distinct()
+    long = F.length("line") >= (short or least)
+    own = lines.where(long).select("line").distinct()
+    own = own.select(F.xxhash64("line").alias("h"), F.encode("line", "UTF-32").alias("wide")).withColumn("n", F.expr("octet_length(wide) div 4"))
+    tiers = [(distance, _met(own, distance, least, None)), *([(1, _met(own, 1, short, least))] if short else [])]
+    cold = None
+    for _, met in tiers:
+        pairs = met.where("x IS NOT NULL AND y IS NOT NULL").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        cold = pairs if cold is None else cold.union(pairs)
+    cold = checkpoint(cold.distinct())
+    tidy(docs.sparkSession)
+    wanted = cold.select(F.col("a").alias("h")).union(cold.select("b"))
+    for _, met in tiers:
+        wanted = wanted.union(met.where("x IS NULL").select("y")).union(met.where("y IS NULL").select("x"))
+    wanted = wanted.distinct()
+    texts = _only(lines.select("line").where(long).withColumn("h", F.xxhash64("line")), wanted).distinct()
     texts = checkpoint(texts.join(wanted, "h").withColumn("id", F.monotonically_increasing_id()).withColumn("p", profile()))
+    cand = cold
+    for edits, met in tiers:
+        cand = cand.union(_fine_pairs(met, texts, edits))
+    cand = checkpoint(cand.distinct())
+    del cold, wanted, tiers, met
     tidy(docs.sparkSession)
     side = lambda s: texts.select(F.col("h").alias(s), F.col("id").alias(f"id_{s}"), F.col("p").alias(f"p_{s}"), F.col("line").alias(f"line_{s}"))
     pairs = cand.join(side("a"), "a").join(side("b"), "b").where(alike("p_a", "p_b", distance)).select("id_a", "id_b", "line_a", "line_b")
-    links = within(pairs, "line_a", "line_b", distance).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    links = within(pairs, "line_a", "line_b", distance, least).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
     linked = texts.join(connected_components(links), "id").select("component", "line")
     linked = checkpoint(_hashed(linked).select("component", "h1", "h2"))
     del pairs, links
@@ -202,9 +306,10 @@ def near_lines(docs: DataFrame, distance: int = 2, least: int = 20, id_col: str
     occ = _hashed(lines).select("doc_id", "doc", "line_no", "h1", "h2")
     often = occ.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
     alone = often.join(linked, ["h1", "h2"], "left_anti").select("h1", "h2", F.struct("h1", "h2").alias("class"))
-    many = checkpoint(occ.join(linked.union(alone), ["h1", "h2"]))
-    first = many.groupBy("class").agg(F.min(F.struct("doc_id", "line_no", "doc", "h1", "h2")).alias("first"))
-    judged = many.join(first, "class")
+    many = checkpoint(occ.join(linked.union(alone), ["h1", "h2"]).withColumn("class_key", F.xxhash64("class")))
+    first = many.groupBy("class", "class_key").agg(F.min(F.struct("doc_id", "line_no", "doc", "h1", "h2")).alias("first"))
+    first = unaligned(first.select(F.col("class").alias("of"), "class_key", "first"), "class_key")
+    judged = many.join(first, "class_key").where("class = of")
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no")) & (F.col("doc") == F.col("first.doc"))
     same = (F.col("h1") == F.col("first.h1")) & (F.col("h2") == F.col("first.h2"))
     gone = judged.where(~stays).select("doc_id", "doc", "line_no", same.alias("same")).distinct()

@@ -73,7 +73,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.near_lines(_docs(spark, sf_dir), distance=2, least=20)
+    return line_dedup.near_lines(_docs(spark, sf_dir), distance=2, least=20, short=10)
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,7 +45,7 @@ def test_edit_distance(spark, limit):
         assert r.d == d if d <= limit else r.d > limit
 
 
-def brute(docs, limit, least, limited=distance):
+def brute(docs, limit, least, limited=distance, short=0):
     """{(doc_id, text): (n_lines, exact, near, dropped)}"""
     occ = sorted(((i is not None, i or 0), n, line) for i, t in docs for n, line in enumerate((t or "").split("\n")) if line.strip(" "))
     lines = sorted({o[2] for o in occ})
@@ -56,12 +56,12 @@ def brute(docs, limit, least, limited=distance):
             x = root[x]
         return x
 
-    long = sorted((x for x in lines if len(x) >= least), key=len)
+    long = sorted((x for x in lines if len(x) >= (short or least)), key=len)
     for k, a in enumerate(long):
         for b in long[k + 1 :]:
             if len(b) - len(a) > limit:
                 break
-            if find(a) != find(b) and limited(a, b) <= limit:
+            if find(a) != find(b) and limited(a, b) <= (limit if len(a) >= least else 1):
                 root[find(a)] = find(b)
     first = {}
     for o in occ:
@@ -86,6 +86,18 @@ def test_classes_equal_brute_force(spark, limit):
     assert got == brute(docs, limit, 8)
 
 
+@pytest.mark.parametrize("limit", (1, 2, 3))
+def test_hot_keys_equal_brute_force(spark, monkeypatch, limit):
+    """All keys are hot, and short lines link within one edit."""
+    monkeypatch.setattr(ld, "HOT", 0 if limit > 1 else 3)
+    rng = random.Random(10 + limit)
+    base = ["".join(rng.choice("abé😀") for _ in range(n)) for n in (9, 13, 17, 19, 20, 21, 24, 40)]
+    docs = [(i, "\n".join(mutated(rng, rng.choice(base), rng.choice((0, 1, 1, 2, 2, limit, limit + 1, 2 * limit))) for _ in range(4))) for i in range(120)]
+    df = spark.createDataFrame(docs, "doc_id int, text string").repartition(3)
+    got = sorted((tuple(r) for r in ld.near_lines(df, limit, 20, 10).collect()), key=str)
+    assert got == brute(docs, limit, 20, short=10)
+
+
 def test_repeats_empty_and_removal(spark):
     df = spark.createDataFrame([(1, "same line\nsame line")] * 2, "doc_id int, text string")
     assert [tuple(r) for r in ld.near_lines(df).collect()] == [(1, 2, 1, 1, 0, "1")] * 2
@@ -104,4 +116,4 @@ def test_query_over_whole_table(spark):
             return distance(a, b)
         return 3
 
-    assert sorted((tuple(r) for r in op5_line_dedup(spark, sf).collect()), key=str) == brute(docs, 2, 20, quick)
+    assert sorted((tuple(r) for r in op5_line_dedup(spark, sf).collect()), key=str) == brute(docs, 2, 20, quick, 10)
