@@ -42,8 +42,8 @@ def _byte_letters() -> dict[int, str]:
 class WordIds(dict):
     """The ids of each word, as little-endian unsigned integers of ``dtype``.
 
-    The tokenizer cuts at white space and drops it, so a text's ids are those of
-    its words in order. A word of Latin letters alone is one unit of its model,
+    The tokenizer cuts at white space and drops it, and no control string holds any, so
+    a text's ids are those of its words in order. A word of Latin letters alone is one unit of its model,
     whatever its case, and a mark after it is another; other words go through the
     whole tokenizer. Words not met for a while leave the table, which changes no result.
     """
@@ -52,7 +52,6 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # control strings in a text are ordinary text
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.old: dict[str, bytes] = {}
@@ -71,9 +70,12 @@ class WordIds(dict):
         if out is None:
             if len(word) > CACHED_LENGTH:
                 return self.whole(word)
-            if word[-1] in TAIL and word[:-1].isalpha():
-                out = self[word[:-1]] + self[word[-1]]
-            elif word.isalpha() and max(word) < "\u0180" and "\u0130" not in word:
+            rest = word[:-1] if word[-1] in TAIL else word
+            # others may be letters whose normal form has marks or ends in one
+            plain = rest.isalpha() and max(rest) < "\u0180" and "\u0130" not in rest
+            if plain and rest is not word:
+                out = self[rest] + self[word[-1]]
+            elif plain:
                 low = word.lower()
                 out = self.unit(word) if low == word else self[low]
             else:

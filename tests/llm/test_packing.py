@@ -9,12 +9,11 @@ from basalt.llm.queries import op4_packing, tokenizer_path
 PATH = tokenizer_path("word_bpe_49k.json")
 SPACES = "".join(map(chr, [9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680, 0x2003, 0x2028, 0x202F, 0x205F, 0x3000, 0x180E, 0x200B, 0xFEFF]))
 TEXTS = [None, "", "  ", "é ́x I'll DON'T 3.14 <|endoftext|>", "a".join(SPACES), "ΣΣ İ ﬁ \U0001f600‍\U0001f600 하", "word " * 30_000, "z" * 50_000, "x"]
+TEXTS += ["İ.", "Zİ:", "İ!", "\ufb2a.", "a<|endoftext|>b", "<|startoftext|> <|ENDOFTEXT|>. x<|endoftext|>, y", "e\u0301. E\u0301!", "ſ. K;"]
 
 
 def library():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def check(got, texts, tok):
