@@ -2,15 +2,17 @@
 
 Three base kinds are found by pattern. A fourth, ``bare``, takes long mixed
 tokens that no base match covers. The hashes of all candidate values are then
-counted over the whole corpus by distinct owners (repositories play no part): a value that
-many owners hold is a copied example, one that few hold is a live credential
-unless it says that it is a placeholder. Only bare candidates must also look
+counted over the whole corpus by distinct repositories and owners: a value that
+many owners hold, or several in many repositories, is a copied example; any other
+is a live credential unless it says that it is a placeholder. Only bare candidates must also look
 random; they are reported only when live, base matches always. Everything is a
 DataFrame expression.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from basalt.plans.durable import checkpoint
@@ -26,6 +28,34 @@ LEAST_ASSIGNED = 12
 SPAN = "struct<start:int,k:int,end:int,value:string>"
 
 
+def running(values: Column, join: Callable[[Column, Column], Column], neutral: int) -> Column:
+    """Running sums, maxima and the like of an array of integers, in doubling steps: n log n."""
+
+    def step(acc: Column, k: Column) -> Column:
+        moved = F.concat(F.array_repeat(F.lit(neutral), F.call_function("shiftleft", F.lit(1), k)), acc)
+        longer = F.slice(F.zip_with(acc, moved, join), F.lit(1), F.size(acc))
+        return F.when(F.size(acc) > F.call_function("shiftleft", F.lit(1), k), longer).otherwise(acc)
+
+    return F.aggregate(F.array(*(F.lit(k) for k in range(28))), values, step)
+
+
+def apart(spans: Column, others: Column) -> Column:
+    """The ``spans`` that overlap none of ``others``."""
+    # 0: another, 1: own; of equal starts the others come first
+    own = lambda kind: lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("own"), s["end"].alias("end"), s.alias("span"))
+    both = F.array_sort(F.concat(F.transform(others, own(0)), F.transform(spans, own(1))))
+
+    def free(x: Column) -> Column:
+        before = running(F.transform(x, lambda s: F.when(s["own"] == 0, s["end"]).otherwise(0)), lambda a, b: F.greatest(a, b), 0)
+        far = (1 << 31) - 1
+        after = F.reverse(running(F.transform(F.reverse(x), lambda s: F.when(s["own"] == 0, s["start"]).otherwise(far)), lambda a, b: F.least(a, b), far))
+        left = F.zip_with(x, before, lambda s, b: F.when((s["own"] == 1) & (b <= s["start"]), s))
+        right = F.zip_with(left, after, lambda s, a: F.when(a >= s["end"], s["span"]))
+        return F.filter(right, lambda s: s.isNotNull())
+
+    return F.when((F.size(spans) > 0) & (F.size(others) > 0), F.flatten(F.transform(F.array(both), free))).otherwise(spans)
+
+
 def _spans(text: Column, pattern: str, kind: int, value_group: int = 0) -> Column:
     """All matches as (start, k, end, value), in code points, end exclusive.
 
@@ -35,16 +65,14 @@ def _spans(text: Column, pattern: str, kind: int, value_group: int = 0) -> Colum
     rest = F.split(text, pattern, -1)
     full = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    zipped = F.filter(F.arrays_zip(rest, full, value), lambda x: x["1"].isNotNull())
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["0"])
-        end = begin + F.length(x["1"])
-        one = F.struct(begin.alias("start"), F.lit(kind).alias("k"), end.alias("end"), x["2"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+    def spans(z: Column) -> Column:
+        ends = running(F.transform(z, lambda x: F.length(x["0"]) + F.length(x["1"])), lambda a, b: a + b, 0)
+        return F.zip_with(ends, z, lambda end, x: F.struct((end - F.length(x["1"])).alias("start"), F.lit(kind).alias("k"), end.alias("end"), x["2"].alias("value")))
 
-    zipped = F.filter(F.arrays_zip(rest, full, value), lambda x: x["1"].isNotNull())
-    found = F.aggregate(zipped, start, step, lambda a: a["out"])
+    # a list of one, so that what it holds is computed once
+    found = F.flatten(F.transform(F.array(zipped), spans))
     return F.when(F.rlike(text, F.lit(pattern)), found).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
@@ -76,18 +104,20 @@ def scan(
     repo_cols: tuple[str, ...] = ("source", "lang"),
     owner_col: str = "source",
     example_owners: int = 3,
+    example_repos: int = 6,
 ) -> DataFrame:
     """One row per input row: doc_id, row, text_hash, and base, added, live, examples (span arrays).
 
     ``base`` holds every match of the base kinds, ``added`` the bare spans whose
     value is live, ``live`` all spans judged live and ``examples`` those whose
-    value ``example_owners`` owners or more hold. Spans are (start, k, end, value)
-    with k an index into KINDS.
+    value ``example_owners`` owners or more hold, or two or more in ``example_repos``
+    repositories. Copies in any number of repositories of one owner are no example: they
+    aren't independent, and a leaked key is still live there. Spans are (start, k, end,
+    value) with k an index into KINDS.
 
     Null text is empty. Null owners and repositories count as one owner and one
-    repository. Only owners decide: copies in several repositories of one owner are
-    not independent, and a leaked key is still live there. Repeated rows each give a row (``row`` tells them apart) and count
-    once for their owner. An empty table gives no rows; other columns are ignored.
+    repository. Repeated rows each give a row (``row`` tells them apart) and count once
+    for their owner. An empty table gives no rows; other columns are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base, bare = find_spans(text)
@@ -100,9 +130,7 @@ def scan(
         F.xxhash64(text_col).alias("text_hash"),
         F.monotonically_increasing_id().alias("row"),
     )
-    touches = lambda s, b: (s["start"] < b["end"]) & (b["start"] < s["end"])
-    free = F.filter("bare", lambda s: ~F.exists("base", lambda b: touches(s, b)))
-    found = checkpoint(found.withColumn("bare", free))
+    found = checkpoint(found.withColumn("bare", apart(F.col("bare"), F.col("base"))))
     some = found.where((F.size("base") > 0) | (F.size("bare") > 0))
     spans = some.select("row", "repo", "owner", F.explode(F.concat("base", "bare")).alias("s")).select(
         "row", "repo", "owner", "s", F.unhex(F.sha2("s.value", 256)).alias("hash")
@@ -110,13 +138,9 @@ def scan(
     # two levels of partial aggregation: a value that a third of all rows hold is a few rows per task
     held = spans.groupBy("hash", "repo", "owner").count()
     held = held.groupBy("hash").agg(F.countDistinct("repo").alias("repos"), F.countDistinct("owner").alias("owners"))
-    judged = spans.join(held, "hash").select(
-        "row",
-        "s",
-        (F.col("owners") >= example_owners).alias("example"),
-        # bare candidates have passed live_looking already
-        ((F.col("owners") < example_owners) & ~placeholder(F.col("s.value"))).alias("live"),
-    )
+    copied = (F.col("owners") >= example_owners) | ((F.col("owners") > 1) & (F.col("repos") >= example_repos))
+    # bare candidates have passed live_looking already
+    judged = spans.join(held, "hash").select("row", "s", copied.alias("example"), (~copied & ~placeholder(F.col("s.value"))).alias("live"))
     bare_kind = F.col("s.k") == len(KINDS) - 1
     picked = lambda cond: F.array_sort(F.collect_list(F.when(cond, F.col("s"))))
     per_row = judged.groupBy("row").agg(
@@ -139,13 +163,14 @@ def count_kind(spans: Column, kind: str) -> Column:
 
 def mask(text: Column, spans: Column, with_: str = "[SECRET]") -> Column:
     """``text`` with each sorted span replaced; overlapping spans become one mask."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    between = lambda a, b: F.substring(text, a + 1, b - a)
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        out = F.when(fresh, F.concat(acc["out"], between(acc["at"], s["start"]), F.lit(with_))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+    def masked(x: Column) -> Column:
+        wide, own = x["wide"], x["spans"]  # four bytes a character, so a piece is found without counting them
+        seen = running(F.transform(own, lambda s: s["end"]), lambda a, b: F.greatest(a, b), 0)
+        before = F.slice(F.concat(F.array(F.lit(0)), seen), F.lit(1), F.size(own))
+        cut = lambda a, b: F.decode(F.substring(wide, 4 * a + 1, 4 * F.greatest(b - a, F.lit(0))), "UTF-32")
+        parts = F.zip_with(own, before, lambda s, b: F.when(s["start"] >= b, F.concat(cut(b, s["start"]), F.lit(with_))).otherwise(F.lit("")))
+        return F.concat(F.array_join(parts, ""), cut(F.element_at(seen, -1), F.length(text)))
 
-    done = lambda a: F.concat(a["out"], between(a["at"], F.length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, done)).otherwise(text)
+    once = F.transform(F.array(F.struct(F.encode(text, "UTF-32").alias("wide"), spans.alias("spans"))), masked)
+    return F.when(F.size(spans) > 0, F.get(once, F.lit(0))).otherwise(text)

@@ -1,4 +1,5 @@
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -39,6 +40,33 @@ def test_base_spans_equal_brute_force(spark):
     assert all(not got[50 + i].added for i in range(4))  # four owners hold it
 
 
+def test_repositories_and_owners(spark):
+    value = lambda c: f"see {c}{LIVE} here"
+    rows = [(i, value("A"), "s1", f"l{i}") for i in range(7)]  # one owner, seven repositories
+    rows += [(10 + i, value("B"), f"s{i % 2}", f"l{i}") for i in range(6)]  # two owners, six repositories
+    rows += [(20 + i, value("C"), f"s{i % 2}", f"l{i}") for i in range(5)]  # two owners, five
+    rows += [(30 + i, value("D"), f"s{i}", "l") for i in range(3)] + [(33 + i, value("D"), None, None) for i in range(2)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, source string, lang string")
+    live = {r.doc_id // 10: len(r.live) for r in ss.scan(df).collect()}
+    assert live == {0: 1, 1: 0, 2: 1, 3: 0}
+
+
+def test_many_matches_take_time_in_proportion(spark):
+    """50,000 matches in a megabyte, beside bare tokens that do and don't touch them."""
+    text = " ".join("token=0123456789ab%04x" % (i % 65536) for i in range(50_000)) + f" {LIVE} x={LIVE}"
+    df = spark.createDataFrame([(1, text, "s", "l")], "doc_id int, text string, source string, lang string")
+    began = time.perf_counter()
+    got = ss.scan(df).first()
+    assert time.perf_counter() - began < 60
+    assert [(s.start, s.k, s.end) for s in got.base] == base(text) and len(got.base) == 100_000
+    assert [(s.start, s.value) for s in got.added] == [(len(text) - 2 * len(LIVE) - 3, LIVE), (len(text) - len(LIVE), LIVE)]
+    spans = F.expr("transform(sequence(0, 49999), i -> named_struct('start', 23 * i, 'k', 0, 'end', 23 * i + 22, 'value', ''))")
+    began = time.perf_counter()
+    masked = df.select(ss.mask(F.col("text"), spans)).first()[0]
+    assert time.perf_counter() - began < 60
+    assert masked == " ".join(["[SECRET]"] * 50_000) + f" {LIVE} x={LIVE}"
+
+
 def test_mask_and_empty(spark):
     df = spark.createDataFrame([(1, "a secret=abcdefghij0123 b 0123456789abcdef", "s", None)] * 2, "doc_id int, text string, source string, lang string")
     got = ss.scan(df)
