@@ -262,11 +262,14 @@ def fit(rows: DataFrame) -> Model:
     return Model(lexicon, Trees().fit(x, y), isotonic(raw, y), float(prior))
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with a column ``toxicity`` (0 to 1), every other column as it is.
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", score_col: str = "toxicity") -> DataFrame:
+    """``docs`` with a column ``score_col`` (0 to 1), every other column as it is.
 
     Null text is empty; the empty text has a score too. Only the text is an input.
+    ``docs`` must have no such column yet; rows may repeat and ids be null.
     """
+    if score_col.lower() in map(str.lower, docs.columns):
+        raise ValueError(f"there is a column {score_col} already: choose another score_col")
     held = docs.sparkSession.sparkContext.broadcast(model)
     names, at = docs.columns, docs.columns.index(text_col)
 
@@ -275,7 +278,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         look = Featurizer(held.value.lexicon)
         for batch in batches:
             x = np.array([look.of(t) for t in batch.column(at).to_pylist()]).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(held.value.probability(x))], [*names, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(held.value.probability(x))], [*names, score_col])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("toxicity", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
 

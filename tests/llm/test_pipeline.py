@@ -16,10 +16,12 @@ SF = "/root/testdata/sf0.001"
 
 
 def masked(docs):
-    """docs: {id: (text, source)}. Live base and bare spans become [SECRET]."""
-    owners, spans = {}, {}
+    """docs: {id: (text, source, lang)}. Live base and bare spans become [SECRET]."""
+    owners, repos, spans = {}, {}, {}
+    sample = lambda v: re.search("(?i)example|sample|dummy|placeholder", v)
+    copied = lambda v: len(owners[v]) >= 3 or len(owners[v]) > 1 and len(repos[v]) >= 6
     alike = lambda v: len(re.findall("[0-9]", v)) >= 3 and len(re.findall("[A-Za-z]", v)) >= 2 and len(set(v)) >= 10 and not re.search("(?i)example|sample|dummy|placeholder", v)
-    for i, (t, source) in docs.items():
+    for i, (t, source, lang) in docs.items():
         own = []
         for s, k, e in base(t):
             own.append((s, e, RULES[k][1].match(t, s)[2] if k == 0 else t[s:e]))
@@ -27,10 +29,11 @@ def masked(docs):
         spans[i] = own
         for *_, v in own:
             owners.setdefault(v, set()).add(source)
+            repos.setdefault(v, set()).add((source, lang))
     out = {}
-    for i, (t, _) in docs.items():
+    for i, (t, *_) in docs.items():
         at, new = 0, ""
-        live = sorted((s, e) for s, e, v in spans[i] if len(owners[v]) < 3 and alike(v))
+        live = sorted((s, e) for s, e, v in spans[i] if not copied(v) and not sample(v))
         for s, e in live:
             if s >= at:
                 new += t[at:s] + "[SECRET]"
@@ -44,14 +47,14 @@ def test_stages_equal_brute_force(spark):
     kept = cp.drop_toxic(spark, docs, SF)
     assert kept.columns == docs.columns
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
-    left = {r.doc_id: (r.text or "", r.source) for r in kept.collect()}
+    left = {r.doc_id: (r.text or "", r.source, r.lang) for r in kept.collect()}
     clean = [i for i, y in labels.items() if not y]
     assert sum(i in left for i in clean) > 0.95 * len(clean)
     first = {}
     for i in sorted(left):
         first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", left[i][0]), i)
     left = {i: left[i] for i in first.values()}
-    groups = near({i: t for i, (t, _) in left.items()}, 85)
+    groups = near({i: t for i, (t, *_) in left.items()}, 80)
     left = {i: x for i, x in left.items() if groups[i][1] == i}
     texts = masked(left)
     tok = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
@@ -79,6 +82,18 @@ def test_nulls_and_repeats_survive(spark):
         assert stage(spark, none, SF).count() == 0
 
 
+def test_extra_columns_of_clashing_names(spark):
+    """Every stage carries columns named like its own, and n_chars where it is wanted."""
+    extra = ["toxicity", "live", "__id", "__hash", "gone_id", "masked", "found_id", "kept", "row", "rep", "h1", "keep", "n", "ids", "part"]
+    rows = [(i, f"token=aB3dE5gH7jK9m{i} and words {i}", "en", "s", 1, *(f"{c}{i}" for c in extra)) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"{c} string" for c in extra))
+    for _, stage in cp.STAGES[:-1]:
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns
+        assert {tuple(r)[5:] for r in got.collect()} == {tuple(r)[5:] for r in rows}
+    assert cp.pack(spark, docs, SF).count() == 4
+
+
 def test_empty_table_of_documents(spark):
     none = spark.read.parquet(f"{SF}/documents.parquet").where("false")
     assert cp.drop_toxic(spark, none, SF).count() == 0
