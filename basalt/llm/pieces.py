@@ -1,23 +1,31 @@
 """SentencePiece encoding and decoding by a table of distinct chunks.
 
 No piece of the model crosses from a character to a following white space
-marker, and none holds a line break, so merges never cross those places. A text
-is cut there; each distinct chunk is segmented once per worker and its ids are
-joined back by position. Models without these properties, or with a normalizer
+marker, and none holds a line break, so merges never cross those places. Texts
+are cut there. Spark gathers the distinct chunks of the whole table; each is
+segmented once, and chunk hashes, ids and where they end lie in the shared folder
+as arrays sorted by hash and cut into shards. Workers memory-map these and join
+the ids back by position. Models without these properties, or with a normalizer
 that changes text, are encoded text by text.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from basalt.llm import caches
+from basalt.llm.arrays import load, save
+from basalt.plans.durable import scratch
 
+DISTINCT = 200_000  # chunks gathered before they leave a task
 CACHED_CHUNKS = 500_000
 CACHED_LENGTH = 64
 MARK = "▁"
@@ -28,17 +36,46 @@ _loaded: dict[str, "Chunks"] = {}
 caches.register("pieces", _loaded.clear)
 
 
+@dataclass(frozen=True)
+class Table:
+    """Where the segmented chunks lie: 2^bits shards, of which ``shards`` hold any."""
+
+    root: str
+    bits: int
+    shards: frozenset[int]
+
+    def find(self, chunk: bytes) -> tuple[bytes, str | None] | None:
+        """Ids of a chunk, and what they decode to if that is something else; None where two chunks share a hash."""
+        h = xxhash.xxh3_64_intdigest(chunk)
+        s = h >> (64 - self.bits) if self.bits else 0
+        if s not in self.shards:
+            return None
+        keys = load(self.root, f"chunks-{s}")
+        at = int(np.searchsorted(keys, np.uint64(h)))
+        if at == len(keys) or keys[at] != h or at + 1 < len(keys) and keys[at + 1] == h:
+            return None
+        ends = load(self.root, f"ends-{s}")
+        ids = load(self.root, f"ids-{s}")[ends[at - 1] if at else 0 : ends[at]]
+        odd = load(self.root, f"odd-{s}")
+        place = int(np.searchsorted(odd, at))
+        if place == len(odd) or odd[place] != at:
+            return ids.tobytes(), None
+        return ids.tobytes(), json.loads(load(self.root, f"said-{s}").tobytes())[place]
+
+
 class Chunks(dict):
     """The ids of each distinct chunk, as little-endian signed 32-bit integers.
 
     A chunk is a run of spaces or one line break, and what follows up to the next
-    of either. ``odd`` holds chunks that don't decode to themselves.
+    of either. ``odd`` holds chunks that don't decode to themselves. Chunks come
+    from the table; a chunk that isn't in it is segmented here.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, table: Table | None = None):
         from sentencepiece import SentencePieceProcessor
 
         self.model = m = SentencePieceProcessor(model_file=path)
+        self.table = table
         self.odd: dict[str, str] = {}
         pieces = [m.id_to_piece(i) for i in range(m.get_piece_size()) if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i))]
         plain = m.normalize(PROBE) == MARK + PROBE.replace(" ", MARK)
@@ -46,24 +83,28 @@ class Chunks(dict):
         self.mark = m.piece_to_id(MARK)
         self.letter = m.piece_to_id("a")
 
-    def __missing__(self, chunk: str) -> bytes:
+    def segment(self, chunk: str) -> tuple[bytes, str | None]:
+        """The model's ids of a chunk, and what they decode to if that isn't the chunk."""
         if chunk == " ":
             ids = [self.mark]
         elif chunk[0] == " ":
             ids = self.model.encode(chunk[1:], num_threads=1)  # the library puts one marker before a text
         else:
             ids = self.model.encode(chunk, num_threads=1)[1:]  # that marker stands alone before a line break
-        out = np.array(ids, "<i4").tobytes()
         said = self.model.decode([self.letter, *ids])[1:]
+        return np.array(ids, "<i4").tobytes(), None if said == chunk else said
+
+    def __missing__(self, chunk: str) -> bytes:
+        out, said = (self.table and self.table.find(chunk.encode())) or self.segment(chunk)
         if len(chunk) <= CACHED_LENGTH:
-            if len(self) >= CACHED_CHUNKS:
-                self.clear()
-                self.odd.clear()
             self[chunk] = out
-        if said != chunk:
+        if said is not None:
             self.odd[chunk] = said
         return out
 
+    def cut(self, text: str) -> list[str]:
+        return CHUNK.findall(" " + text.replace(MARK, " ")) if text else []
+
     def encode(self, text: str) -> tuple[bytes, str]:
         """Ids and decoded text, as the library's ``encode`` and ``decode`` give them."""
         if not text:
@@ -71,32 +112,79 @@ class Chunks(dict):
         if not self.cuts:
             ids = self.model.encode(text, num_threads=1)
             return np.array(ids, "<i4").tobytes(), self.model.decode(ids)
-        text = " " + text.replace(MARK, " ")
-        chunks = CHUNK.findall(text)
+        if len(self) >= CACHED_CHUNKS:
+            self.clear()
+            self.odd.clear()
+        chunks = self.cut(text)
         ids = b"".join(map(self.__getitem__, chunks))
-        if self.odd:
-            text = "".join(self.odd.get(c, c) for c in chunks)
-        return ids, text[1:]
+        said = "".join(self.odd.get(c, c) for c in chunks) if self.odd else "".join(chunks)
+        return ids, said[1:]
 
 
-def chunks(path: str) -> Chunks:
-    if path not in _loaded:
-        _loaded[path] = Chunks(path)
+def chunks(path: str, table: Table | None = None) -> Chunks:
+    """This worker's chunks of a model; those of another table go first."""
+    if path not in _loaded or _loaded[path].table != table:
+        _loaded[path] = Chunks(path, table)
     return _loaded[path]
 
 
+def segmented(docs: DataFrame, model: str, text_col: str = "text") -> Table:
+    """Segment each distinct chunk of all texts once, and write the table."""
+    spark = docs.sparkSession
+    root, bits = scratch(spark, "chunks"), max(0, int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches.use("pieces")
+        own, seen = chunks(model), set()
+
+        def out() -> pa.RecordBatch:
+            data = [c.encode() for c in seen]
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, data), np.uint64, len(data))
+            return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(data, pa.binary())], ["hash", "chunk"])
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                seen.update(own.cut(text or ""))
+                if len(seen) >= DISTINCT:
+                    yield out()
+                    seen.clear()
+        yield out()
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches.use("pieces")
+        own, by = chunks(model), {}
+        for batch in batches:
+            for s, h, c in zip(batch.column(0).to_pylist(), batch.column(1).to_numpy().view(np.uint64).tolist(), batch.column(2).to_pylist()):
+                by.setdefault(s, []).append((h, *own.segment(c.decode())))
+        for s, rows in sorted(by.items()):
+            rows.sort(key=lambda r: r[0])
+            odd = [(k, r[2]) for k, r in enumerate(rows) if r[2] is not None]
+            save(root, f"chunks-{s}", np.array([r[0] for r in rows], np.uint64))
+            save(root, f"ends-{s}", np.cumsum([len(r[1]) // 4 for r in rows]))
+            save(root, f"ids-{s}", np.frombuffer(b"".join(r[1] for r in rows), "<i4"))
+            save(root, f"odd-{s}", np.array([k for k, _ in odd], np.int64))
+            save(root, f"said-{s}", np.frombuffer(json.dumps([x for _, x in odd]).encode(), np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(by), pa.int32())], ["shard"])
+
+    found = docs.select(F.col(text_col).alias("text")).mapInArrow(gather, "hash bigint, chunk binary").distinct()
+    shard = F.shiftrightunsigned(F.col("hash"), 64 - bits).cast("int") if bits else F.lit(0)
+    cut = found.select(shard.alias("shard"), "hash", "chunk").repartitionById(1 << bits, F.col("shard"))
+    return Table(root, bits, frozenset(r["shard"] for r in cut.mapInArrow(write, "shard int").collect()))
+
+
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, ids array<int>, decoded string.
 
     Null text is empty and has no ids. Repeated rows and null identifiers are
     carried along; an empty table gives no rows; other columns are ignored.
     """
+    table = segmented(docs, model, text_col) if Chunks(model).cuts else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         caches.use("pieces")
-        table = chunks(model)
+        own = chunks(model, table)
         for batch in batches:
-            both = [table.encode(t or "") for t in batch.column(1).to_pylist()]
+            both = [own.encode(t or "") for t in batch.column(1).to_pylist()]
             sizes = np.fromiter((len(i) // 4 for i, _ in both), np.int64, len(both))
             ids = pa.array(np.frombuffer(b"".join(i for i, _ in both), "<i4"))
             offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))

@@ -42,6 +42,24 @@ def test_query_over_whole_table(spark):
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(",".join(map(str, ids))), sha(SP.decode(ids)))
 
 
+def test_chunks_come_from_the_table(spark, monkeypatch):
+    """Every text of TEXTS is found whole in the table; other chunks, and hashes shared by two, are segmented."""
+    df = spark.createDataFrame([(t,) for t in TEXTS], "text string").repartition(3)
+    table = pieces.segmented(df, PATH)
+    own = pieces.Chunks(PATH, table)
+    segment, said = own.segment, []
+    monkeypatch.setattr(own, "segment", lambda c: (said.append(c), segment(c))[1])
+    for t in TEXTS:
+        ids, text = own.encode(t or "")
+        assert np.frombuffer(ids, "<i4").tolist() == SP.encode(t or "") and text == SP.decode(SP.encode(t or ""))
+    assert not said
+    assert own.encode("unknown zzqx")[0] and said == [" unknown", " zzqx"]
+    keys = np.array([7, 7, 9], np.uint64)
+    monkeypatch.setattr(pieces, "load", lambda root, name: keys)
+    monkeypatch.setattr(pieces.xxhash, "xxh3_64_intdigest", lambda c: 7)
+    assert pieces.Table("x", 0, frozenset([0])).find(b"a") is None
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([(None, None, 1), (1, "a b", 1), (1, "a b", 1)], "doc_id bigint, text string, ids int")
     assert sorted(len(r.ids) for r in pieces.encode(df, PATH).collect()) == [0, 2, 2]
