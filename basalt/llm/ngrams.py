@@ -178,7 +178,7 @@ def _pairs(train: DataFrame, model: Model) -> DataFrame:
             cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             keys, counts = keys[cuts], np.add.reduceat(counts, cuts)
             save(root, f"pairs-{s}", keys)
-            save(root, f"pair-counts-{s}", np.minimum(counts, 2**32 - 1).astype("<u4"))
+            save(root, f"pair-counts-{s}", counts.astype("<u4") if counts.max() < 2**32 else counts)
             before = keys >> np.uint64(32)
             cuts = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
             sums = [np.add.reduceat(x.astype(np.int64), cuts) for x in (counts, counts == 1, counts == 2, counts >= 3)]
@@ -231,7 +231,7 @@ def train(docs: DataFrame, trained: Column, text_col: str = "text") -> Model:
     """Count the texts of the rows for which ``trained`` holds. Null text is empty."""
     spark = docs.sparkSession
     rows = docs.where(trained).select(F.col(text_col).alias("text"))
-    bits = min(12, max(0, int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    bits = max(0, int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()  # a shard is what one task of a shuffle holds
     root = scratch(spark, "ngrams")
     parts = sorted((r["shard"], r["words"], r["tokens"]) for r in _vocabulary(rows, root, bits))
     model = Model(root, bits, 1 << bits, sum(p[1] for p in parts), sum(p[2] for p in parts))
@@ -239,6 +239,8 @@ def train(docs: DataFrame, trained: Column, text_col: str = "text") -> Model:
     for s, n, _ in parts:
         model.bases[s] = at
         at += n
+    if model.vocabulary >= 2**32 - 1:
+        raise ValueError("ids of words have 32 bits: too many distinct words")
     if not model.tokens:
         return model
     sums = _pairs(rows, model)
