@@ -17,7 +17,7 @@ def unaligned(df: DataFrame, key: str) -> DataFrame:
     A join of grouped rows with the rows they came from then shuffles both sides, and
     adaptive execution can split a hot key of the larger one over several tasks.
     """
-    return df.withColumn(key, F.expr(f"`{key}` + 0"))
+    return df.withColumn(key, F.call_function("shiftleft", F.col(key), F.lit(0)))
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:

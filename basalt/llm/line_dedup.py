@@ -75,13 +75,13 @@ def _keys(lines: DataFrame, distance: int, shorter: range, windowed: bool) -> Da
 def _touched(edits: int, windowed: bool) -> list[tuple[int, int, int, int]]:
     """(parts, p, q, drift): ways in which ``edits`` edits touch parts p and q alone; between these the texts are ``drift`` apart.
 
-    One edit touches one of 3 parts, two touch two of 6; one part with both edits is counted
+    One edit touches one of 3 parts, two touch two of 5; one part with both edits is counted
     with a neighbour. More edits aren't refined: the whole side is taken as touched.
     """
     if edits == 1:
         return [(3, p, p, 0) for p in range(3)]
     if edits == 2:
-        return [(6, p, q, g) for q in range(6) for p in range(q) for g in ((-1, 0, 1) if windowed and q > p + 1 else (0,))]
+        return [(5, p, q, g) for q in range(5) for p in range(q) for g in ((-1, 0, 1) if windowed and q > p + 1 else (0,))]
     return [(1, 0, 0, 0)]
 
 
@@ -209,27 +209,41 @@ def _hashed(lines: DataFrame) -> DataFrame:
     return lines.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), "line"))
 
 
-def _met(own: DataFrame, distance: int, least: int, below: int | None) -> DataFrame:
-    """Keys that two lines share, or one that a line shares with a hot key; see ``_candidates``.
+def _met(own: DataFrame, tiers: list[tuple[int, int, int | None]]) -> DataFrame:
+    """Keys that two lines share, or one that a line shares with a hot key.
 
-    ``own`` is (h, n, wide) of distinct lines. Rows are (x, y, key, n, d, i, shift, probes):
+    ``own`` is (h, n, wide) of distinct lines. A tier is (edits, least, below): lengths of the
+    shorter line, which are part of the key. Rows are (x, y, key, probes, edits, d, i, shift):
     x was indexed and y probed under the key. For hot keys one of them is null.
     """
+
     # an outer explode, for a plain one also filters by its array, below the shuffle of the lines
-    spread = lambda keys, h: keys.select(F.col("h").alias(h), F.posexplode_outer("keys").alias("pos", "key"))
-    ranged = own.where(F.col("n") >= least) if below is None else own.where((F.col("n") >= least) & (F.col("n") < below))
-    index = spread(_keys(ranged, distance, range(1), windowed=False), "x")
-    reach = own.where(F.col("n") >= least) if below is None else own.where((F.col("n") >= least) & (F.col("n") < below + distance))
-    probe = spread(_keys(reach, distance, range(distance + 1), windowed=True), "y")
+    def spread(h: str, windowed: bool) -> DataFrame:
+        out = None
+        for edits, least, below in tiers:
+            reach = own.where(F.col("n") >= least)
+            if below is not None:
+                reach = reach.where(F.col("n") < below + (edits if windowed else 0))
+            keys = _keys(reach, edits, range(edits + 1 if windowed else 1), windowed)
+            keys = keys.select(F.col("h").alias(h), F.posexplode_outer("keys").alias("pos", "key"), F.lit(edits).alias("edits"))
+            out = keys if out is None else out.union(keys)
+        return out
+
+    def place(windowed: bool) -> Column:
+        out = F.lit(None)
+        for edits, *_ in tiers:
+            of = _places(edits, range(edits + 1 if windowed else 1), windowed)
+            of = F.array(*(F.struct(*(F.lit(v).alias(c) for c, v in zip(("d", "i", "shift"), at))) for at in of))
+            out = F.when(F.col("edits") == edits, F.get(of, F.col("pos"))).otherwise(out)
+        return out.alias("place")
+
+    index, probe = spread("x", False), spread("y", True)
     hot = checkpoint(index.groupBy("key").agg(F.count("*").alias("held")).where(F.col("held") > HOT).select("key"))
-    cold = index.join(unaligned(hot, "key"), "key", "left_anti").select("key", "x")
     none = F.lit(None).cast("bigint")
-    marks = cold.union(hot.select("key", none))
-    met = marks.join(probe, "key").where("x IS NULL OR x <> y").select("x", "y", "key", "pos", F.lit(True).alias("probes"))
-    indexed = index.join(unaligned(hot, "key"), "key", "left_semi").select("x", none.alias("y"), "key", "pos", F.lit(False).alias("probes"))
-    of = lambda windowed, shorter: F.array(*(F.struct(*(F.lit(v).alias(c) for c, v in zip(("d", "i", "shift"), place))) for place in _places(distance, shorter, windowed)))
-    place = F.when(F.col("probes"), F.get(of(True, range(distance + 1)), F.col("pos"))).otherwise(F.get(of(False, range(1)), F.col("pos")))
-    return checkpoint(met.union(indexed).withColumn("place", place).select("x", "y", "key", "probes", "place.*"))
+    marks = index.join(unaligned(hot, "key"), "key", "left_anti").select("key", "x").union(hot.select("key", none))
+    met = marks.join(probe, "key").where("x IS NULL OR x <> y").select("x", "y", "key", F.lit(True).alias("probes"), "edits", place(True))
+    indexed = index.join(unaligned(hot, "key"), "key", "left_semi").select("x", none.alias("y"), "key", F.lit(False).alias("probes"), "edits", place(False))
+    return checkpoint(met.union(indexed).select("x", "y", "key", "probes", "edits", "place.*"))
 
 
 def _fine_pairs(met: DataFrame, texts: DataFrame, distance: int) -> DataFrame:
@@ -274,24 +288,20 @@ def near_lines(docs: DataFrame, distance: int = 2, least: int = 20, short: int =
     long = F.length("line") >= (short or least)
     own = lines.where(long).select("line").distinct()
     own = own.select(F.xxhash64("line").alias("h"), F.encode("line", "UTF-32").alias("wide")).withColumn("n", F.expr("octet_length(wide) div 4"))
-    tiers = [(distance, _met(own, distance, least, None)), *([(1, _met(own, 1, short, least))] if short else [])]
-    cold = None
-    for _, met in tiers:
-        pairs = met.where("x IS NOT NULL AND y IS NOT NULL").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        cold = pairs if cold is None else cold.union(pairs)
+    tiers = [(distance, least, None), *([(1, short, least)] if short else [])]
+    met = _met(own, tiers)
+    cold = met.where("x IS NOT NULL AND y IS NOT NULL").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     cold = checkpoint(cold.distinct())
     tidy(docs.sparkSession)
-    wanted = cold.select(F.col("a").alias("h")).union(cold.select("b"))
-    for _, met in tiers:
-        wanted = wanted.union(met.where("x IS NULL").select("y")).union(met.where("y IS NULL").select("x"))
-    wanted = wanted.distinct()
+    hot = met.where("x IS NULL OR y IS NULL").select(F.coalesce("x", "y"))
+    wanted = cold.select(F.col("a").alias("h")).union(cold.select("b")).union(hot).distinct()
     texts = _only(lines.select("line").where(long).withColumn("h", F.xxhash64("line")), wanted).distinct()
     texts = checkpoint(texts.join(wanted, "h").withColumn("id", F.monotonically_increasing_id()).withColumn("p", profile()))
     cand = cold
-    for edits, met in tiers:
-        cand = cand.union(_fine_pairs(met, texts, edits))
+    for edits, *_ in tiers:
+        cand = cand.union(_fine_pairs(met.where(F.col("edits") == edits), texts, edits))
     cand = checkpoint(cand.distinct())
-    del cold, wanted, tiers, met
+    del cold, hot, wanted, met
     tidy(docs.sparkSession)
     side = lambda s: texts.select(F.col("h").alias(s), F.col("id").alias(f"id_{s}"), F.col("p").alias(f"p_{s}"), F.col("line").alias(f"line_{s}"))
     pairs = cand.join(side("a"), "a").join(side("b"), "b").where(alike("p_a", "p_b", distance)).select("id_a", "id_b", "line_a", "line_b")
