@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from basalt.functions.scalars import bucket
 from basalt.operators.shards import fingerprint
-from basalt.plans.limits import BUCKETS
+from basalt.operators.validate import at_most
+from basalt.plans.limits import V2, BUCKETS
 
 
 def synthetic_records(spark, count: int, seed: str, least: int = 128, most: int = 256) -> DataFrame:
@@ -110,3 +111,16 @@ def trial_summary(trials: DataFrame, group: list[str], value: str, equal: str) -
 def store_counters(log: DataFrame) -> DataFrame:
     """(op, role, calls, bytes) of an access log."""
     return log.groupBy("op", "role").agg(F.count("*").alias("calls"), F.sum("bytes").alias("bytes"))
+
+
+def flat_lookup(table: DataFrame, identity: str) -> DataFrame:
+    """One record from a table without buckets: the scan reads all of ``id``, the filter is pushed into it."""
+    return table.where(F.col("id") == identity)
+
+
+def with_epochs(records: DataFrame, epochs: DataFrame, key: str = "epoch", most: int = V2["epochs"]) -> DataFrame:
+    """``records`` with the columns of their epoch (or codec); those of unknown ones are null.
+
+    ``epochs`` has one row for each ``key``, at most ``most``: the bound of what is broadcast.
+    """
+    return records.join(F.broadcast(at_most(epochs, most)), key, "left")

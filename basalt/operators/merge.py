@@ -4,28 +4,45 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from basalt.functions.scalars import canonical_json
+from basalt.operators.records import LOCATOR
+from basalt.operators.validate import enforce
+
 #: The kind of conflict that differing bodies of a record kind make.
 CONFLICTS = {"snapshot": "snapshot-claim", "tombstone": "event-claim", "root-update-receipt": "receipt-claim", "observation": "observation-claim"}
 
 
-def distinct_bodies(records: DataFrame) -> DataFrame:
+def claim_views(records: DataFrame, most: int | None = None) -> DataFrame:
     """(kind, identity, body), once each: the union of all revisions given.
 
-    The shuffle carries each distinct body once per task.
+    Two snapshots that differ only in their locators make one claim, with the locators of
+    both, each once and in order. ``body`` is canonical, so ``"locators":`` and the list after
+    it stand in it once: quotes inside its strings are escaped. The shuffle carries each
+    distinct body once per task. With ``most``, more locators are an error.
     """
-    return records.select("kind", "identity", "body").distinct()
+    own = records.select("kind", "identity", "body").distinct()
+    held = F.get_json_object("body", "$.locators")
+    placed = (F.col("kind") == "snapshot") & held.isNotNull()
+    name = '"locators":'
+    cut = own.where(placed).withColumn("held", held).withColumn("core", F.replace(F.col("body"), F.concat(F.lit(name), F.col("held")), F.lit(name)))
+    each = cut.select("kind", "identity", "core", F.explode_outer(F.from_json("held", f"array<{LOCATOR}>")).alias("locator")).withColumn("locator", canonical_json(F.col("locator")))
+    united = each.groupBy("kind", "identity", "core").agg(F.array_sort(F.collect_set("locator")).alias("locators"))
+    if most is not None:
+        enforce(united.where(F.size("locators") > most).select("identity"), "limit")
+    body = F.replace(F.col("core"), F.lit(name), F.concat(F.lit(name + "["), F.array_join("locators", ","), F.lit("]")))
+    return own.where(~F.coalesce(placed, F.lit(False))).union(united.select("kind", "identity", body))
 
 
 def identity_conflicts(records: DataFrame) -> DataFrame:
     """(conflict, identity, n_claims, claims): identities with several bodies, claims in order."""
     name = F.create_map(*(F.lit(x) for kv in CONFLICTS.items() for x in kv))
-    g = distinct_bodies(records).groupBy("kind", "identity").agg(F.count("*").alias("n_claims"), F.array_sort(F.collect_list("body")).alias("claims"))
+    g = claim_views(records).groupBy("kind", "identity").agg(F.count("*").alias("n_claims"), F.array_sort(F.collect_list("body")).alias("claims"))
     return g.where("n_claims > 1").select(F.element_at(name, F.col("kind")).alias("conflict"), "identity", "n_claims", "claims")
 
 
 def merged_union(records: DataFrame) -> DataFrame:
     """(kind, identity, body) of identities on which all revisions agree; only whole if nothing conflicts."""
-    g = distinct_bodies(records).groupBy("kind", "identity").agg(F.count("*").alias("n"), F.min("body").alias("body"))
+    g = claim_views(records).groupBy("kind", "identity").agg(F.count("*").alias("n"), F.min("body").alias("body"))
     return g.where("n = 1").drop("n")
 
 

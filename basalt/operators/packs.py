@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from basalt.operators.validate import CatalogError, violations
 from basalt.plans.limits import PACK_TARGET
+from basalt.plans.schemas import DIGEST
 
 
 def greedy_pack(shards: DataFrame, group: str, order: str, length: str, target: int = PACK_TARGET) -> DataFrame:
@@ -62,3 +64,31 @@ def unpack(extents: DataFrame, packs: DataFrame) -> DataFrame:
     """
     both = range_get(extents.join(packs.select("group", "pack", "data"), ["group", "pack"], "left"), "data", F.col("offset"), F.col("length"))
     return both.withColumn("ok", F.coalesce(F.sha2("part", 256) == F.col("hash"), F.lit(False))).drop("data")
+
+
+def extent_violations(extents: DataFrame, group: str = "group") -> DataFrame:
+    """(rule, group, shard) of extents (group, pack, shard, offset, length, pack_hash, hash) that break a rule.
+
+    Bounds must not be null or negative and their sum stay within 2^53 - 1, hashes be lower
+    hex digests, a shard have one extent in its group, and extents of one pack not overlap.
+    An empty extent overlaps what it lies inside of, and none that it only touches.
+    """
+    end = F.col("offset") + F.col("length")
+    rules = [
+        ("bounds", (F.col("offset") >= 0) & (F.col("length") >= 0) & (F.col("offset") <= 2**53 - 1) & (F.col("length") <= 2**53 - 1) & (end <= 2**53 - 1)),
+        ("pack hash", F.col("pack_hash").rlike(DIGEST)),
+        ("hash", F.col("hash").rlike(DIGEST)),
+    ]
+    broken = violations(extents, F.struct(group, "shard"), rules).select("rule", "identity.*")
+    twice = extents.groupBy(group, "shard").agg(F.count("*").alias("n")).where("n > 1").select(F.lit("repeated shard"), group, "shard")
+    over = extent_overlaps(extents, [group, "pack_hash"]).select(F.lit("overlap"), group, "shard")
+    return broken.union(twice).union(over)
+
+
+def single_extent(extents: DataFrame, shard) -> DataFrame:
+    """The one extent of ``shard`` in a manifest; an error if there is none or more than one. The filter reaches the scan."""
+    found = extents.where(F.col("shard") == F.lit(shard))
+    n = found.limit(2).count()
+    if n != 1:
+        raise CatalogError("input", "no extent" if not n else "several extents")
+    return found

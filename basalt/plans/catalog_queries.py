@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from basalt.functions import scalars as fn, strict_json as sj
-from basalt.operators import graph, layout, merge, packs, shards, validate
+from basalt.operators import graph, layout, merge, packs, records, shards, validate
 from basalt.plans import schemas
 from basalt.plans.limits import ROUTE_DOMAIN
 from basalt.plans.durable import checkpoint, scratch
@@ -627,12 +627,12 @@ def journal_put(spark, sf_dir):
     return store.read(spark, path).select("sha256", F.octet_length("data").cast("bigint").alias("bytes"))
 
 
-@query("SELECT DISTINCT sha256(l_orderkey::VARCHAR) AS sha256 FROM lineitem WHERE l_orderkey % 20 <> 0 AND l_orderkey < 8000")
+@query("SELECT DISTINCT sha256(l_orderkey::VARCHAR) AS sha256 FROM lineitem WHERE l_orderkey % 20 <> 0")
 def journal_list(spark, sf_dir):
     i = F.col("l_orderkey")
     name = F.when(i % 20 == 0, F.concat(F.lit(".tmp-"), F.hex(i).substr(1, 8))).otherwise(F.concat(F.sha2(i.cast("string"), 256), F.lit(".pkg")))
-    names = table(spark, sf_dir, "lineitem").where(i < 8000).select(F.lower(name).alias("name")).distinct()
-    return store.list_digests(names)
+    names = table(spark, sf_dir, "lineitem").select(F.lower(name).alias("name")).distinct()
+    return store.list_digests(names, most=None)
 
 
 @query(
@@ -668,3 +668,95 @@ def reconcile_summary(spark, sf_dir):
 
     nodes, edges = _graph(spark, sf_dir)
     return reconcile(observations(spark, sf_dir), nodes, edges).summary()
+
+
+# claims, records, extents and lookups
+
+
+@query(
+    """WITH r AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderstatus AS s, 'a' || (o_orderkey % 3) AS l FROM orders
+         UNION ALL SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END, 'b' || (o_orderkey % 2) FROM orders
+         UNION ALL SELECT o_orderkey, o_custkey, o_orderstatus, 'a' || (o_orderkey % 2) FROM orders),
+       v AS (SELECT k, '{"custkey":' || c || ',"locators":[' || string_agg(DISTINCT '{"accountBinding":{"scheme":"s","value":"v"},"objectId":"' || l || '","provider":"p","revisionId":null}', ','
+             ORDER BY '{"accountBinding":{"scheme":"s","value":"v"},"objectId":"' || l || '","provider":"p","revisionId":null}') || '],"status":"' || s || '"}' AS body FROM r GROUP BY k, c, s)
+       SELECT k::VARCHAR AS identity, count(*) AS n_claims, string_agg(body, '|' ORDER BY body) AS claims FROM v GROUP BY 1"""
+)
+def snapshot_claims(spark, sf_dir):
+    """Three revisions that agree on a snapshot or not, and name places of their own."""
+    k = F.col("o_orderkey")
+    place = lambda c: F.struct(F.struct(F.lit("s").alias("scheme"), F.lit("v").alias("value")).alias("accountBinding"), c.alias("objectId"), F.lit("p").alias("provider"), F.lit(None).cast("string").alias("revisionId"))
+    named = lambda prefix, by: F.concat(F.lit(prefix), (k % by).cast("string"))
+    orders, out = table(spark, sf_dir, "orders"), None
+    for at, status in ((named("a", 3), F.col("o_orderstatus")), (named("b", 2), F.when(k % 5 == 0, "X").otherwise(F.col("o_orderstatus"))), (named("a", 2), F.col("o_orderstatus"))):
+        body = fn.canonical_json(F.struct(F.col("o_custkey").alias("custkey"), F.array(place(at)).alias("locators"), status.alias("status")))
+        own = orders.select(F.lit("snapshot").alias("kind"), order_id().alias("identity"), body.alias("body"))
+        out = own if out is None else out.union(own)
+    return merge.claim_views(out).groupBy("identity").agg(F.count("*").alias("n_claims"), F.array_join(F.array_sort(F.collect_list("body")), "|").alias("claims"))
+
+
+BROKEN = {1: ["closed"], 2: ["reason"], 3: ["target digest"], 4: ["closed", "recorded at"], 5: ["event id"], 6: ["closed", "entry kind"]}
+
+
+@query(
+    "SELECT o_orderkey::VARCHAR AS identity, unnest(CASE o_orderkey % 8 "
+    + " ".join(f"WHEN {k} THEN {v!r}" for k, v in BROKEN.items())
+    + " ELSE []::VARCHAR[] END) AS rule FROM orders"
+)
+def record_violations(spark, sf_dir):
+    """Tombstones of orders, most of them with one thing wrong."""
+    i = F.col("o_orderkey") % 8
+    sha = F.when(i == 3, F.upper(F.sha2(order_id(), 256))).otherwise(F.sha2(order_id(), 256))
+    member = lambda name, value: F.concat(F.lit(f'"{name}":'), value)
+    text = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    parts = [
+        member("entryKind", F.when(i == 6, F.lit("7")).otherwise(F.lit('"tombstone"'))),
+        member("eventId", text(F.when(i == 5, "short").otherwise(F.concat(F.lit("A" * 42), F.lit("E"))))),
+        member("reason", text(F.when(i == 2, "other").otherwise("superseded"))),
+        member("recordedAt", F.when(i == 4, F.lit("5")).otherwise(F.lit('"2026-01-01T00:00:00Z"'))),
+        member("targetPackageSha256", text(sha)),
+        F.when(i == 1, F.lit('"zone":1')),
+    ]
+    body = F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+    rows = table(spark, sf_dir, "orders").select(F.lit("tombstone").alias("kind"), order_id().alias("identity"), body.alias("body"))
+    return records.record_violations(rows).select("identity", "rule")
+
+
+@query("SELECT o_orderkey::VARCHAR AS identity, CASE WHEN o_orderkey % 2 = 0 THEN 'snapshot' ELSE 'observation' END AS kind FROM orders WHERE o_orderkey % 6 IN (3, 4)")
+def kind_mismatches(spark, sf_dir):
+    i = F.col("o_orderkey")
+    kind = F.when(i % 2 == 0, "snapshot").otherwise("observation")
+    named = F.when(i % 6 == 4, "tombstone").when((i % 2 == 0) | (i % 6 == 3), "snapshot")
+    rows = table(spark, sf_dir, "orders").select(kind.alias("kind"), order_id().alias("identity"), F.to_json(F.struct(named.alias("entryKind"))).alias("body"))
+    return records.kind_mismatches(rows).select("identity", "kind")
+
+
+@query(
+    f"""WITH RECURSIVE {PACKED}, x AS (SELECT grp, pack, shard, off - CASE WHEN shard % 11 = 0 THEN 1000000 ELSE 0 END AS off, bytes + CASE WHEN shard % 9 = 0 THEN 5 ELSE 0 END AS len, shard % 7 = 0 AS bad FROM pk),
+        o AS (SELECT *, max(off + len) OVER (PARTITION BY grp, pack ORDER BY off, shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM x)
+        SELECT 'bounds' AS rule, grp AS "group", shard FROM x WHERE off < 0 UNION ALL SELECT 'hash', grp, shard FROM x WHERE bad UNION ALL SELECT 'overlap', grp, shard FROM o WHERE off < before"""
+)
+def extent_violations(spark, sf_dir):
+    s = F.col("shard")
+    x = _pieces(spark, sf_dir)[1].withColumn("length", F.col("length") + F.when(s % 9 == 0, 5).otherwise(0)).withColumn("offset", F.col("offset") - F.when(s % 11 == 0, 1_000_000).otherwise(0))
+    x = x.withColumn("pack_hash", F.sha2(F.col("pack").cast("string"), 256)).withColumn("hash", F.when(s % 7 == 0, "x").otherwise(F.sha2(s.cast("string"), 256)))
+    return packs.extent_violations(x).select("rule", "group", "shard")
+
+
+@query(f"WITH RECURSIVE {PACKED} SELECT grp AS \"group\", shard, pack, bytes AS length, off AS \"offset\" FROM pk WHERE shard = (SELECT min(o_orderkey) FROM orders)")
+def single_extent(spark, sf_dir):
+    first = table(spark, sf_dir, "orders").agg(F.min("o_orderkey")).first()[0]
+    return packs.single_extent(_pieces(spark, sf_dir)[1], first).select("group", "shard", "pack", "length", "offset")
+
+
+@query("SELECT event_id::VARCHAR AS id, event_type FROM events WHERE event_id = (SELECT max(event_id) FROM events)")
+def flat_lookup(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    last = e.agg(F.max("event_id")).first()[0]
+    return layout.flat_lookup(e.select(F.col("event_id").cast("string").alias("id"), "event_type"), str(last))
+
+
+@query("SELECT n_nationkey, n_regionkey AS epoch, r_name AS name, n_regionkey = 3 AS active FROM nation JOIN region ON r_regionkey = n_regionkey")
+def epoch_lookup(spark, sf_dir):
+    """Nations stand for records, regions for epochs, of which one is active."""
+    epochs = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("epoch"), F.col("r_name").alias("name"), (F.col("r_regionkey") == 3).alias("active"))
+    return layout.with_epochs(table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_regionkey").alias("epoch")), epochs)

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from basalt.operators import graph, merge
-from basalt.operators.validate import CatalogError
+from basalt.operators.validate import CatalogError, at_most
 
 
 @dataclass
@@ -30,14 +30,21 @@ class Reconciliation:
         return out.withColumn("whole", F.col("conflicts") == 0).withColumn("freshness", F.lit(self.freshness))
 
 
-def reconcile(records: DataFrame, nodes: DataFrame, edges: DataFrame, live: DataFrame | None = None, dead: DataFrame | None = None) -> Reconciliation:
+def reconcile(records: DataFrame, nodes: DataFrame, edges: DataFrame, live: DataFrame | None = None, dead: DataFrame | None = None, limits: dict | None = None) -> Reconciliation:
     """records: kind, identity, body of all revisions; nodes, edges: the revision graph.
 
+    With ``limits`` (V1 of the format) more revisions, locators or bytes of the result are errors.
+
     live and dead (head, identity, body), if given, add the conflicts of what is alive at one
     head and dead at another. A cycle is an error.
     """
     if not edges.where("child = parent").isEmpty() or not graph.cycle_nodes(edges).isEmpty():
         raise CatalogError("input", "cycle of revisions")
+    if limits is not None:
+        at_most(nodes, limits["inputs"])
+        views = merge.claim_views(records, limits["locators"])
+        if merge.result_budget(views, limits["record_overhead"]).first()["bytes"] > limits["result_bytes"]:
+            raise CatalogError("limit", "bytes of the result")
     conflicts = merge.identity_conflicts(records).select("conflict", "identity", "n_claims")
     if live is not None and dead is not None:
         found = graph.tombstone_live_conflicts(live, dead, graph.ancestor_closure(edges), nodes)

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from basalt.functions import strict_json as sj
+from basalt.operators.records import record_violations
 from basalt.operators.validate import violations
 from basalt.plans import schemas
 from basalt.plans.limits import METADATA_BYTES, PLAINTEXT_BYTES, V1, V2
@@ -66,6 +67,10 @@ def parse_catalogs(texts: DataFrame, limits: dict = V1, most: int = PLAINTEXT_BY
     entries = e.select("revision", f("entryKind").alias("kind"), identity.alias("identity"), "entry", "body")
     o = raw.select("revision", F.posexplode("c.observations").alias("at", "observation"), "r")
     obs = o.select("revision", F.col("observation.observationId").alias("identity"), "observation", body(F.get("r.observations", F.col("at"))).alias("body"))
+    # every nested level is closed, by the rules of the record's kind
+    kept = entries.select("kind", F.col("revision").alias("identity"), "body").union(obs.select(F.lit("observation"), "revision", "body"))
+    nested = record_violations(kept, limits["locators"]).select(F.concat(F.lit("record: "), "rule"), "identity")
+    broken = broken.union(nested.distinct())
     return Catalogs(
         fine.select("revision", sj.json_canonical("data").alias("canonical")),
         fine.select(F.col("revision").alias("child"), F.explode("c.parents").alias("parent")),

@@ -62,9 +62,9 @@ def classify_names(names: DataFrame, name: str = "name") -> DataFrame:
     return names.withColumn("class", kind).withColumn("sha256", F.when(kind == "committed", F.substring(name, 1, 64)))
 
 
-def list_digests(names: DataFrame, most: int = JOURNAL_ENTRIES) -> DataFrame:
-    """Digests in order. Unknown names, and more names than ``most``, are errors; nothing is cut off."""
-    if names.limit(most + 1).count() > most:
+def list_digests(names: DataFrame, most: int | None = JOURNAL_ENTRIES) -> DataFrame:
+    """Digests in order. Unknown names, and more names than ``most`` (None: any number), are errors; nothing is cut off."""
+    if most is not None and names.limit(most + 1).count() > most:
         raise CatalogError("limit", "directory entries")
     found = classify_names(names)
     if not found.where("class = 'unknown'").isEmpty():

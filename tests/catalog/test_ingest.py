@@ -19,17 +19,25 @@ def catalog(**change):
 
 
 def test_catalogs(spark):
+    from test_records import META, PACKAGE, PLACE, SEEN as OTHER
+
+    LOCATOR, SHA = PLACE, PACKAGE["sha256"]
+    ENTRY = {"entryKind": "snapshot", "package": PACKAGE, "metadata": META, "label": None, "locators": [PLACE]}
+    SEEN = OTHER
+    catalog = lambda **change: json.dumps({"payloadVersion": 1, "parents": ["a" * 64], "entries": [ENTRY], "observations": [SEEN]} | change).encode()
     texts = {
+        "nested": catalog(entries=[ENTRY | {"package": PACKAGE | {"more": 1}}]), "malformed": catalog(entries=[ENTRY | {"package": PACKAGE | {"rootEpoch": "e"}}]), "unknown": catalog(entries=[ENTRY | {"entryKind": "letter"}]),
+        "mistyped": catalog(entries=[ENTRY | {"label": 5}]), "repeated": catalog(entries=[ENTRY | {"locators": [PLACE, PLACE]}]), "bare": catalog(entries=[ENTRY | {"metadata": META | {"codec": None}}]),
         "fine": catalog(), "extra": catalog(more=1), "version": catalog(payloadVersion=2), "parents": catalog(parents=["a" * 64] * 2), "twice": catalog(observations=[SEEN, SEEN]),
         "locators": catalog(entries=[ENTRY | {"locators": [LOCATOR | {"objectId": str(i)} for i in range(17)]}]), "broken": b'{"a":1,"a":1}', "none": b"",
     }
     df = spark.createDataFrame([(k, v) for k, v in texts.items()], "revision string, data binary")
     got = ingest.parse_catalogs(df)
     found = {(r.identity, r.rule) for r in got.violations.collect()}
-    assert found == {("extra", "fields"), ("version", "version"), ("parents", "parents"), ("twice", "observation repeats"), ("locators", "locators"), ("broken", "json: duplicate-key"), ("none", "json: empty")}
+    assert found == {("extra", "fields"), ("version", "version"), ("parents", "parents"), ("twice", "observation repeats"), ("locators", "locators"), ("locators", "record: locators"), ("nested", "record: closed"), ("malformed", "record: root epoch"), ("unknown", "record: kind"), ("mistyped", "record: closed"), ("repeated", "record: locators"), ("bare", "record: codec"), ("broken", "json: duplicate-key"), ("none", "json: empty")}
     one = got.entries.where("revision = 'fine'").collect()
     assert [(r.kind, r.identity) for r in one] == [("snapshot", SHA)] and one[0].body == sj.canonical(ENTRY)
-    assert [r.identity for r in got.observations.where("revision = 'fine'").collect()] == ["o1"]
+    assert [r.identity for r in got.observations.where("revision = 'fine'").collect()] == [SEEN["observationId"]]
     assert got.parents.where("child = 'fine'").count() == 1
 
 
