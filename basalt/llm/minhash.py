@@ -200,12 +200,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: s
     reps = written(reps, "representatives")
     bands = _bands(reps)
     held = bands.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
-    shared = checkpoint(bands.join(unaligned(held, "key"), "key"))
+    shared = checkpoint(bands.join(held, "key"))
+    # one band holds a 48th of a group's rows at most, so joins by band need no splitting; those by hub or component do
     # a band's hub is the member whose bands hold most rows: near the centre of its group
     central = checkpoint(shared.groupBy("rep").agg(F.sum("held").alias("central")))
     ranked = shared.select("key", "rep", "n").join(central, "rep")
     hubs = ranked.groupBy("key").agg(F.max(F.struct("central", (-F.col("rep")).alias("less"), "n")).alias("top"))
-    hubs = unaligned(hubs.select("key", (-F.col("top.less")).alias("hub"), F.col("top.n").alias("hub_n")), "key")
+    hubs = hubs.select("key", (-F.col("top.less")).alias("hub"), F.col("top.n").alias("hub_n"))
     shared = checkpoint(shared.join(hubs, "key").where("rep <> hub").select("key", "rep", "n", "hub", "hub_n"))
     tidy(docs.sparkSession)
     wanted = reps.join(central.select("rep"), "rep").select("rep", "n", "regs", F.xxhash64("doc_id").alias("idh"), "thash")
@@ -233,7 +234,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: s
     best = unaligned(best.select("component", "s.degree", F.col("s.id").alias("star")), "component")
     own = in_(comp.join(best, "component", "left"))
     star = own.where("star IS NOT NULL").groupBy("key").agg(F.max(F.struct("degree", "star", "component")).alias("s"))
-    star = unaligned(star.select("key", F.col("s.star").alias("a"), F.col("s.component").alias("home")), "key")
+    star = star.select("key", F.col("s.star").alias("a"), F.col("s.component").alias("home"))
     again = own.select("key", "rep", "component").join(star, "key").where("component <> home AND rep <> a").select("a", F.col("rep").alias("b")).distinct()
     more = _measured(again.join(tried.select("a", "b"), ["a", "b"], "left_anti"), payload, percent, size)
     tried = tried.union(more)
@@ -246,7 +247,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: s
     split = own.groupBy("key").agg(F.min("component").alias("lowest"), F.max("component").alias("highest")).where("lowest <> highest").select("key")
     pivots = tried.groupBy(F.col("b").alias("rep")).agg(F.max(F.struct("hi", "lo", F.col("a").alias("pivot"))).alias("p"))
     pivots = pivots.select("rep", "p.pivot", F.col("p.hi").alias("pivot_hi"), F.col("p.lo").alias("pivot_lo"))
-    left = checkpoint(own.join(unaligned(split, "key"), "key").join(pivots, "rep", "left"))
+    left = checkpoint(own.join(split, "key").join(pivots, "rep", "left"))
     del own, split, pivots
     tidy(docs.sparkSession)
     # Shingles that no other document of these holds can't be in an intersection. Those of
