@@ -26,6 +26,7 @@ from basalt.llm.arrays import load, save
 from basalt.plans.durable import scratch
 
 DISTINCT = 200_000  # chunks gathered before they leave a task
+STEP = 1_000_000  # characters encoded at once
 CACHED_CHUNKS = 500_000
 CACHED_LENGTH = 64
 MARK = "▁"
@@ -44,23 +45,29 @@ class Table:
     bits: int
     shards: frozenset[int]
 
-    def find(self, chunk: bytes) -> tuple[bytes, str | None] | None:
-        """Ids of a chunk, and what they decode to if that is something else; None where two chunks share a hash."""
-        h = xxhash.xxh3_64_intdigest(chunk)
-        s = h >> (64 - self.bits) if self.bits else 0
-        if s not in self.shards:
-            return None
-        keys = load(self.root, f"chunks-{s}")
-        at = int(np.searchsorted(keys, np.uint64(h)))
-        if at == len(keys) or keys[at] != h or at + 1 < len(keys) and keys[at + 1] == h:
-            return None
-        ends = load(self.root, f"ends-{s}")
-        ids = load(self.root, f"ids-{s}")[ends[at - 1] if at else 0 : ends[at]]
-        odd = load(self.root, f"odd-{s}")
-        place = int(np.searchsorted(odd, at))
-        if place == len(odd) or odd[place] != at:
-            return ids.tobytes(), None
-        return ids.tobytes(), json.loads(load(self.root, f"said-{s}").tobytes())[place]
+    def find(self, chunks: list[str]) -> dict[str, tuple[bytes, str | None]]:
+        """Ids of chunks, and what they decode to if that is something else; without those that share a hash."""
+        hashes = np.fromiter((xxhash.xxh3_64_intdigest(c.encode()) for c in chunks), np.uint64, len(chunks))
+        order = np.argsort(hashes)
+        hashes = hashes[order]
+        shard = (hashes >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(hashes), np.int64)
+        edges = np.searchsorted(shard, np.arange((1 << self.bits) + 1))
+        out = {}
+        for s in np.unique(shard):
+            if int(s) not in self.shards:
+                continue
+            mine = slice(edges[s], edges[s + 1])
+            keys, ends, odd = (load(self.root, f"{name}-{s}") for name in ("chunks", "ends", "odd"))
+            at = np.searchsorted(keys, hashes[mine])
+            last = len(keys) - 1
+            sole = (at <= last) & (keys[np.minimum(at, last)] == hashes[mine]) & ((at >= last) | (keys[np.minimum(at + 1, last)] != hashes[mine]))
+            at, names = at[sole], order[mine][sole]
+            place = np.searchsorted(odd, at)
+            said = json.loads(load(self.root, f"said-{s}").tobytes()) if len(odd) else []
+            ids = memoryview(load(self.root, f"ids-{s}")).cast("B")
+            for k, a, b, i, row in zip(names.tolist(), np.where(at > 0, ends[at - 1], 0).tolist(), ends[at].tolist(), place.tolist(), at.tolist()):
+                out[chunks[k]] = bytes(ids[4 * a : 4 * b]), said[i] if i < len(said) and odd[i] == row else None
+        return out
 
 
 class Chunks(dict):
@@ -83,42 +90,55 @@ class Chunks(dict):
         self.mark = m.piece_to_id(MARK)
         self.letter = m.piece_to_id("a")
 
-    def segment(self, chunk: str) -> tuple[bytes, str | None]:
-        """The model's ids of a chunk, and what they decode to if that isn't the chunk."""
-        if chunk == " ":
-            ids = [self.mark]
-        elif chunk[0] == " ":
-            ids = self.model.encode(chunk[1:], num_threads=1)  # the library puts one marker before a text
-        else:
-            ids = self.model.encode(chunk, num_threads=1)[1:]  # that marker stands alone before a line break
-        said = self.model.decode([self.letter, *ids])[1:]
-        return np.array(ids, "<i4").tobytes(), None if said == chunk else said
-
-    def __missing__(self, chunk: str) -> bytes:
-        out, said = (self.table and self.table.find(chunk.encode())) or self.segment(chunk)
-        if len(chunk) <= CACHED_LENGTH:
-            self[chunk] = out
-        if said is not None:
-            self.odd[chunk] = said
-        return out
+    def segment(self, chunks: list[str]) -> dict[str, tuple[bytes, str | None]]:
+        """The model's ids of chunks, and what they decode to if that isn't the chunk."""
+        # the library puts one marker before a text; it stands alone before a line break
+        ids = self.model.encode([c[1:] if c[0] == " " else c for c in chunks], num_threads=1)
+        ids = [[self.mark] if c == " " else i if c[0] == " " else i[1:] for c, i in zip(chunks, ids)]
+        said = self.model.decode([[self.letter, *i] for i in ids], num_threads=1)
+        return {c: (np.array(i, "<i4").tobytes(), None if d[1:] == c else d[1:]) for c, i, d in zip(chunks, ids, said)}
 
     def cut(self, text: str) -> list[str]:
         return CHUNK.findall(" " + text.replace(MARK, " ")) if text else []
 
-    def encode(self, text: str) -> tuple[bytes, str]:
-        """Ids and decoded text, as the library's ``encode`` and ``decode`` give them."""
-        if not text:
-            return b"", ""
+    def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
+        """Ids and decoded text of each text, as the library's ``encode`` and ``decode`` give them."""
         if not self.cuts:
-            ids = self.model.encode(text, num_threads=1)
-            return np.array(ids, "<i4").tobytes(), self.model.decode(ids)
+            ids = self.model.encode(texts, num_threads=1)
+            return [(np.array(i, "<i4").tobytes(), d) for i, d in zip(ids, self.model.decode(ids, num_threads=1))] if texts else []
         if len(self) >= CACHED_CHUNKS:
             self.clear()
             self.odd.clear()
-        chunks = self.cut(text)
-        ids = b"".join(map(self.__getitem__, chunks))
-        said = "".join(self.odd.get(c, c) for c in chunks) if self.odd else "".join(chunks)
-        return ids, said[1:]
+        cut = [self.cut(t) for t in texts]
+        new = [c for c in set().union(*cut) if c not in self]
+        found = self.table.find(new) if self.table else {}
+        found |= self.segment([c for c in new if c not in found])
+        for c, (ids, said) in found.items():
+            self[c] = ids
+            if said is not None:
+                self.odd[c] = said
+        out = []
+        for cs in cut:
+            said = "".join([self.odd.get(c, c) for c in cs]) if self.odd else "".join(cs)
+            out.append((b"".join([self[c] for c in cs]), said[1:]))
+        for c in new:
+            if len(c) > CACHED_LENGTH:
+                del self[c]
+                self.odd.pop(c, None)
+        return out
+
+
+def steps(texts: list[str | None]) -> Iterator[list[str]]:
+    """Runs of texts, of about STEP characters; null is empty."""
+    held, n = [], 0
+    for t in texts:
+        held.append(t or "")
+        n += len(held[-1])
+        if n >= STEP:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
 
 
 def chunks(path: str, table: Table | None = None) -> Chunks:
@@ -154,8 +174,10 @@ def segmented(docs: DataFrame, model: str, text_col: str = "text") -> Table:
         caches.use("pieces")
         own, by = chunks(model), {}
         for batch in batches:
-            for s, h, c in zip(batch.column(0).to_pylist(), batch.column(1).to_numpy().view(np.uint64).tolist(), batch.column(2).to_pylist()):
-                by.setdefault(s, []).append((h, *own.segment(c.decode())))
+            found = batch.column(2).cast(pa.string()).to_pylist()
+            done = own.segment(found)
+            for s, h, c in zip(batch.column(0).to_pylist(), batch.column(1).to_numpy().view(np.uint64).tolist(), found):
+                by.setdefault(s, []).append((h, *done[c]))
         for s, rows in sorted(by.items()):
             rows.sort(key=lambda r: r[0])
             odd = [(k, r[2]) for k, r in enumerate(rows) if r[2] is not None]
@@ -184,7 +206,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
         caches.use("pieces")
         own = chunks(model, table)
         for batch in batches:
-            both = [own.encode(t or "") for t in batch.column(1).to_pylist()]
+            both = [done for texts in steps(batch.column(1).to_pylist()) for done in own.encode(texts)]
             sizes = np.fromiter((len(i) // 4 for i, _ in both), np.int64, len(both))
             ids = pa.array(np.frombuffer(b"".join(i for i, _ in both), "<i4"))
             offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))

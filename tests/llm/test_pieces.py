@@ -13,7 +13,7 @@ TEXTS = [None, "", " ", "  ", "\n", "\n\n a", "a  b   ", "▁a▁▁b", "<0x0A><
 
 
 def agrees(text):
-    ids, said = pieces.chunks(PATH).encode(text or "")
+    ((ids, said),) = pieces.chunks(PATH).encode([text or ""])
     want = SP.encode(text or "")
     assert np.frombuffer(ids, "<i4").tolist() == want
     assert said == SP.decode(want)
@@ -48,16 +48,21 @@ def test_chunks_come_from_the_table(spark, monkeypatch):
     table = pieces.segmented(df, PATH)
     own = pieces.Chunks(PATH, table)
     segment, said = own.segment, []
-    monkeypatch.setattr(own, "segment", lambda c: (said.append(c), segment(c))[1])
-    for t in TEXTS:
-        ids, text = own.encode(t or "")
+    monkeypatch.setattr(own, "segment", lambda c: (said.extend(c), segment(c))[1])
+    for t, (ids, text) in zip(TEXTS, own.encode([t or "" for t in TEXTS])):
         assert np.frombuffer(ids, "<i4").tolist() == SP.encode(t or "") and text == SP.decode(SP.encode(t or ""))
     assert not said
-    assert own.encode("unknown zzqx")[0] and said == [" unknown", " zzqx"]
-    keys = np.array([7, 7, 9], np.uint64)
-    monkeypatch.setattr(pieces, "load", lambda root, name: keys)
-    monkeypatch.setattr(pieces.xxhash, "xxh3_64_intdigest", lambda c: 7)
-    assert pieces.Table("x", 0, frozenset([0])).find(b"a") is None
+    assert own.encode(["unknown zzqx"])[0][0] and sorted(said) == [" unknown", " zzqx"]
+    arrays = {"chunks-0": np.array([7, 7, 9], np.uint64), "ends-0": np.array([1, 2, 4]), "ids-0": np.arange(4, dtype="<i4"), "odd-0": np.array([2]), "said-0": np.frombuffer(b'["x"]', np.uint8)}
+    monkeypatch.setattr(pieces, "load", lambda root, name: arrays[name])
+    monkeypatch.setattr(pieces.xxhash, "xxh3_64_intdigest", {b"a": 7, b"b": 9, b"c": 3}.get)
+    assert pieces.Table("x", 0, frozenset([0])).find(["a", "b", "c"]) == {"b": (arrays["ids-0"][2:].tobytes(), "x")}
+
+
+def test_steps_keep_all_texts(monkeypatch):
+    monkeypatch.setattr(pieces, "STEP", 3)
+    assert list(pieces.steps(["a", None, "bcd", "e", "", "f"])) == [["a", "", "bcd"], ["e", "", "f"]]
+    assert list(pieces.steps([])) == []
 
 
 def test_empty_table(spark):
