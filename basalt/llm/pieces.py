@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import json
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -70,12 +72,20 @@ class Table:
         return out
 
 
-class Chunks(dict):
+def packed(ids: list[int]) -> bytes:
+    """Little-endian signed 32-bit integers."""
+    out = array("i", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
+class Chunks:
     """The ids of each distinct chunk, as little-endian signed 32-bit integers.
 
     A chunk is a run of spaces or one line break, and what follows up to the next
     of either. ``odd`` holds chunks that don't decode to themselves. Chunks come
-    from the table; a chunk that isn't in it is segmented here.
+    from the table; chunks that aren't in it are segmented here.
     """
 
     def __init__(self, path: str, table: Table | None = None):
@@ -83,6 +93,7 @@ class Chunks(dict):
 
         self.model = m = SentencePieceProcessor(model_file=path)
         self.table = table
+        self.known: dict[str, bytes] = {}
         self.odd: dict[str, str] = {}
         pieces = [m.id_to_piece(i) for i in range(m.get_piece_size()) if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i))]
         plain = m.normalize(PROBE) == MARK + PROBE.replace(" ", MARK)
@@ -96,7 +107,7 @@ class Chunks(dict):
         ids = self.model.encode([c[1:] if c[0] == " " else c for c in chunks], num_threads=1)
         ids = [[self.mark] if c == " " else i if c[0] == " " else i[1:] for c, i in zip(chunks, ids)]
         said = self.model.decode([[self.letter, *i] for i in ids], num_threads=1)
-        return {c: (np.array(i, "<i4").tobytes(), None if d[1:] == c else d[1:]) for c, i, d in zip(chunks, ids, said)}
+        return {c: (packed(i), None if d[1:] == c else d[1:]) for c, i, d in zip(chunks, ids, said)}
 
     def cut(self, text: str) -> list[str]:
         return CHUNK.findall(" " + text.replace(MARK, " ")) if text else []
@@ -105,25 +116,26 @@ class Chunks(dict):
         """Ids and decoded text of each text, as the library's ``encode`` and ``decode`` give them."""
         if not self.cuts:
             ids = self.model.encode(texts, num_threads=1)
-            return [(np.array(i, "<i4").tobytes(), d) for i, d in zip(ids, self.model.decode(ids, num_threads=1))] if texts else []
-        if len(self) >= CACHED_CHUNKS:
-            self.clear()
+            return [(packed(i), d) for i, d in zip(ids, self.model.decode(ids, num_threads=1))] if texts else []
+        if len(self.known) >= CACHED_CHUNKS:
+            self.known.clear()
             self.odd.clear()
         cut = [self.cut(t) for t in texts]
-        new = [c for c in set().union(*cut) if c not in self]
+        new = [c for c in set().union(*cut) if c not in self.known]
         found = self.table.find(new) if self.table else {}
-        found |= self.segment([c for c in new if c not in found])
+        if len(found) < len(new):
+            found |= self.segment([c for c in new if c not in found])
         for c, (ids, said) in found.items():
-            self[c] = ids
+            self.known[c] = ids
             if said is not None:
                 self.odd[c] = said
         out = []
         for cs in cut:
             said = "".join([self.odd.get(c, c) for c in cs]) if self.odd else "".join(cs)
-            out.append((b"".join([self[c] for c in cs]), said[1:]))
+            out.append((b"".join(map(self.known.__getitem__, cs)), said[1:]))
         for c in new:
             if len(c) > CACHED_LENGTH:
-                del self[c]
+                del self.known[c]
                 self.odd.pop(c, None)
         return out
 
