@@ -21,21 +21,23 @@ from basalt.plans.durable import checkpoint, tidy
 
 #: Bits of the filter of candidate lines: 2 MB, whatever the input, so it can be broadcast.
 FILTER_BITS = 1 << 24
-#: Characters counted in a candidate's profile, at most six; frequent ones tell most apart.
-COUNTED = " eniat"
+#: Characters counted in a candidate's profile; the more of a text they cover, the more pairs they tell apart.
+COUNTED = " eniatosrhldcumfpgwybvk.,"
+COUNTS = 6  # of ten bits each, in one number of a profile
 #: Lines indexed under one key, beyond which finer keys take its place.
 HOT = 16
 
 
 def profile(line: str = "line") -> Column:
-    """The counts of COUNTED in a line, ten bits each; larger counts are cut, which only brings lines closer."""
-    counts = (f"shiftleft(cast(least(1023, length({line}) - length(replace({line}, '{c}', ''))) as bigint), {10 * k})" for k, c in enumerate(COUNTED))
-    return F.expr(" | ".join(counts))
+    """The counts of COUNTED in a line, in some numbers; larger counts are cut, which only brings lines closer."""
+    count = lambda c: f"cast(least(1023, length({line}) - length(replace({line}, '{c}', ''))) as bigint)"
+    runs = [COUNTED[k : k + COUNTS] for k in range(0, len(COUNTED), COUNTS)]
+    return F.array(*(F.expr(" | ".join(f"shiftleft({count(c)}, {10 * k})" for k, c in enumerate(run))) for run in runs))
 
 
 def alike(a: str, b: str, distance: int) -> Column:
     """Profiles that ``distance`` edits may lie between: an edit changes two counts by one at most."""
-    count = lambda p, k: f"(shiftright({p}, {10 * k}) & 1023)"
+    count = lambda p, k: f"(shiftright({p}[{k // COUNTS}], {10 * (k % COUNTS)}) & 1023)"
     return F.expr(" + ".join(f"abs({count(a, k)} - {count(b, k)})" for k in range(len(COUNTED))) + f" <= {2 * distance}")
 
 
