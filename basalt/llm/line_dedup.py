@@ -215,8 +215,9 @@ def _met(own: DataFrame, tiers: list[tuple[int, int, int | None]]) -> DataFrame:
     """Keys that two lines share, or one that a line shares with a hot key.
 
     ``own`` is (h, n, wide) of distinct lines. A tier is (edits, least, below): lengths of the
-    shorter line, which are part of the key. Rows are (x, y, key, probes, edits, d, i, shift):
-    x was indexed and y probed under the key. For hot keys one of them is null.
+    shorter line, which are part of the key. Rows are (x, y, key, edits, d, i, shift): x was
+    indexed and y probed under the key. For hot keys x is null, and y was indexed as well where
+    d and shift are 0, for lines probe their own segments too.
     """
 
     # an outer explode, for a plain one also filters by its array, below the shuffle of the lines
@@ -231,28 +232,26 @@ def _met(own: DataFrame, tiers: list[tuple[int, int, int | None]]) -> DataFrame:
             out = keys if out is None else out.union(keys)
         return out
 
-    def place(windowed: bool) -> Column:
+    def place() -> Column:
         out = F.lit(None)
         for edits, *_ in tiers:
-            of = _places(edits, range(edits + 1 if windowed else 1), windowed)
+            of = _places(edits, range(edits + 1), True)
             of = F.array(*(F.struct(*(F.lit(v).alias(c) for c, v in zip(("d", "i", "shift"), at))) for at in of))
             out = F.when(F.col("edits") == edits, F.get(of, F.col("pos"))).otherwise(out)
         return out.alias("place")
 
     index, probe = spread("x", False), spread("y", True)
     hot = checkpoint(index.groupBy("key").agg(F.count("*").alias("held")).where(F.col("held") > HOT).select("key"))
-    none = F.lit(None).cast("bigint")
-    marks = index.join(unaligned(hot, "key"), "key", "left_anti").select("key", "x").union(hot.select("key", none))
-    met = marks.join(probe, "key").where("x IS NULL OR x <> y").select("x", "y", "key", F.lit(True).alias("probes"), "edits", place(True))
-    indexed = index.join(unaligned(hot, "key"), "key", "left_semi").select("x", none.alias("y"), "key", F.lit(False).alias("probes"), "edits", place(False))
-    return checkpoint(met.union(indexed).select("x", "y", "key", "probes", "edits", "place.*"))
+    marks = index.join(unaligned(hot, "key"), "key", "left_anti").select("key", "x").union(hot.select("key", F.lit(None).cast("bigint")))
+    met = marks.join(probe, "key").where("x IS NULL OR x <> y").select("x", "y", "key", "edits", place())
+    return checkpoint(met.select("x", "y", "key", "edits", "place.*"))
 
 
 def _fine_pairs(met: DataFrame, texts: DataFrame, distance: int) -> DataFrame:
     """Pairs (a, b) of lines under hot keys that share a finer key and have similar counts of characters."""
 
     def finer(probes: bool, line: str) -> DataFrame:
-        rows = met.where(f"probes = {probes} AND (x IS NULL OR y IS NULL)").withColumnRenamed(line, "h").select("h", "key", "d", "i", "shift")
+        rows = met.where("x IS NULL" if probes else "x IS NULL AND d = 0 AND shift = 0").select(F.col("y").alias("h"), "key", "d", "i", "shift")
         rows = rows.join(texts, "h").withColumn("n", F.length("line") - F.col("d"))
         return _finer(rows, distance, probes).select(F.col("h").alias(line), F.col("p").alias(f"p_{line}"), "fine", *(["d"] if probes else []))
 
@@ -292,10 +291,10 @@ def near_lines(docs: DataFrame, distance: int = 2, least: int = 20, short: int =
     own = own.select(F.xxhash64("line").alias("h"), F.encode("line", "UTF-32").alias("wide")).withColumn("n", F.expr("octet_length(wide) div 4"))
     tiers = [(distance, least, None), *([(1, short, least)] if short else [])]
     met = _met(own, tiers)
-    cold = met.where("x IS NOT NULL AND y IS NOT NULL").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    cold = met.where("x IS NOT NULL").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     cold = checkpoint(cold.distinct())
     tidy(docs.sparkSession)
-    hot = met.where("x IS NULL OR y IS NULL").select(F.coalesce("x", "y"))
+    hot = met.where("x IS NULL").select("y")
     wanted = cold.select(F.col("a").alias("h")).union(cold.select("b")).union(hot).distinct()
     texts = _only(lines.select("line").where(long).withColumn("h", F.xxhash64("line")), wanted).distinct()
     texts = checkpoint(texts.join(wanted, "h").withColumn("id", F.monotonically_increasing_id()).withColumn("p", profile()))
