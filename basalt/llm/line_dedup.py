@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from basalt.llm.components import connected_components, unaligned
-from basalt.plans.durable import checkpoint, tidy
+from basalt.plans.durable import checkpoint, tidy, written
 
 #: Bits of the filter of candidate lines: 2 MB, whatever the input, so it can be broadcast.
 FILTER_BITS = 1 << 24
@@ -287,16 +287,17 @@ def near_lines(docs: DataFrame, distance: int = 2, least: int = 20, short: int =
         raise ValueError("lines must have more characters than two segments' worth of edits")
     lines = _lines(docs, id_col, text_col).where(F.trim("line") != "")
     long = F.length("line") >= (short or least)
+    # read by the count of keys, by the join under them and by the look-up of texts
     own = lines.where(long).select("line").distinct()
-    own = own.select(F.xxhash64("line").alias("h"), F.encode("line", "UTF-32").alias("wide")).withColumn("n", F.expr("octet_length(wide) div 4"))
+    own = written(own.select(F.xxhash64("line").alias("h"), F.length("line").alias("n"), "line"), "lines")
     tiers = [(distance, least, None), *([(1, short, least)] if short else [])]
-    met = _met(own, tiers)
+    met = _met(own.select("h", "n", F.encode("line", "UTF-32").alias("wide")), tiers)
     cold = met.where("x IS NOT NULL").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     cold = checkpoint(cold.distinct())
     tidy(docs.sparkSession)
     hot = met.where("x IS NULL").select("y")
     wanted = cold.select(F.col("a").alias("h")).union(cold.select("b")).union(hot).distinct()
-    texts = _only(lines.select("line").where(long).withColumn("h", F.xxhash64("line")), wanted).distinct()
+    texts = _only(own.select("h", "line"), wanted)
     texts = checkpoint(texts.join(wanted, "h").withColumn("id", F.monotonically_increasing_id()).withColumn("p", profile()))
     cand = cold
     for edits, *_ in tiers:
