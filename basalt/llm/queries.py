@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from basalt.llm import caps, chat_format, line_dedup, minhash, ngrams, packing, pieces, secret_scan, toxicity
+from basalt.llm import caps, chat_format, line_dedup, minhash, ngrams, packing, pieces, secret_scan, toxicity, url_filter
 from basalt.llm.exact_dedup import exact_dedup
 from basalt.plans.durable import written
 
@@ -114,12 +114,21 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_docs(spark, sf_dir), percent=85, size=5).drop("text_hash")
 
 
+#: The rules of the query.
+URL_RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = url_filter.compile_rules(spark.createDataFrame(list(URL_RULES.items()), "rule string, verdict string"))
+    return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1, "op3_chat_format": OP3}
+    return {"op1_exact_dedup": OP1, "op3_chat_format": OP3, "op13_url_filter": OP13}
 
 
 OP1 = """
@@ -146,3 +155,19 @@ SELECT conv_id, count(*) AS n_turns,
        sum(length('<turn ' || role || '>' || esc || '</turn>'))::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id
 """
+
+OP13 = """
+WITH rules(rule, rule_host, rule_path, verdict) AS (
+  VALUES ('com/', 'com', '/', 'allow'), ('example.com/en/', 'example.com', '/en/', 'block'), ('www.example.com/en/', 'www.example.com', '/en/', 'allow'),
+         ('net/es/', 'net', '/es/', 'block'), ('net/fr/', 'net', '/fr/', 'block')
+), p AS (
+  SELECT row_number() OVER () AS row_no, page_id,
+         translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages
+), fits AS (
+  SELECT p.row_no, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
+  FROM p JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY p.row_no
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN fits USING (row_no)
+"""
