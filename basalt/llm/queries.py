@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from basalt.llm import caps, chat_format, line_dedup, minhash, ngrams, packing, pieces, secret_scan, toxicity, url_filter
+from basalt.llm import caps, chat_format, line_dedup, minhash, ngrams, packing, pieces, resampling, secret_scan, toxicity, url_filter
 from basalt.llm.exact_dedup import exact_dedup
 from basalt.plans.durable import written
 
@@ -114,6 +114,10 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_docs(spark, sf_dir), percent=85, size=5).drop("text_hash")
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), percent=25, least=20, longest=2, buckets=10_000, seed=7)
+
+
 #: The rules of the query.
 URL_RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
 
@@ -128,7 +132,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1, "op3_chat_format": OP3, "op13_url_filter": OP13}
+    return {"op1_exact_dedup": OP1, "op3_chat_format": OP3, "op12_importance_resampling": OP12, "op13_url_filter": OP13}
 
 
 OP1 = """
@@ -156,6 +160,44 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
+# CRC-32 byte by byte: the table of 256 remainders first, then one step a byte
+OP12 = r"""
+WITH crc AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, j: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS step FROM range(256) r(i)
+), docs AS (
+  SELECT row_number() OVER () AS no, doc_id, text, true AS own FROM documents UNION ALL SELECT -row_number() OVER (), NULL, text, false FROM benchmark
+), cut AS (
+  SELECT no, doc_id, own, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM docs
+), runs AS (
+  SELECT no, own, unnest(words) AS feature FROM cut
+  UNION ALL SELECT no, own, unnest(list_transform(range(1, greatest(len(words), 1)), lambda i: words[i] || ' ' || words[i + 1])) FROM cut
+), distinct_features AS (
+  SELECT DISTINCT feature, hex(encode(feature)) AS digits FROM runs
+), hashed AS (
+  SELECT feature, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(range(length(digits) // 2), lambda i: ('0x' || substr(digits, 2 * i + 1, 2))::BIGINT)),
+    lambda c, b: xor(c >> 8, step[(xor(c, b) & 255) + 1]))) % 10000 AS bucket
+  FROM distinct_features, crc
+), bucketed AS (SELECT no, own, bucket FROM runs JOIN hashed USING (feature)
+), totals AS (SELECT count(*) FILTER (own)::DOUBLE AS s_all, count(*) FILTER (NOT own)::DOUBLE AS t_all FROM bucketed
+), counted AS (SELECT bucket, count(*) FILTER (own)::DOUBLE AS s, count(*) FILTER (NOT own)::DOUBLE AS t FROM bucketed GROUP BY bucket
+), gain AS (
+  SELECT bucket, floor(1000 * ln((t + 1) * (s_all + 10000) / ((s + 1) * (t_all + 10000))))::BIGINT AS gain FROM counted, totals
+), weights AS (
+  SELECT no, count(*) AS n_features, sum(gain)::BIGINT AS total FROM bucketed JOIN gain USING (bucket) WHERE own GROUP BY no
+), scored AS (
+  SELECT no, doc_id, len(words) >= 20 AS fit, coalesce(n_features, 0) AS n_features,
+         coalesce((total - (total % n_features + n_features) % n_features) // n_features, 0)::BIGINT AS weight,
+         ('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h
+  FROM cut LEFT JOIN weights USING (no) WHERE own
+), noisy AS (
+  SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM scored
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id NULLS LAST) AS place, 25 * count(*) OVER (PARTITION BY fit) // 100 AS drawn FROM noisy
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN fit AND place <= drawn THEN place END AS rank FROM placed
+"""
+
 OP13 = """
 WITH rules(rule, rule_host, rule_path, verdict) AS (
   VALUES ('com/', 'com', '/', 'allow'), ('example.com/en/', 'example.com', '/en/', 'block'), ('www.example.com/en/', 'www.example.com', '/en/', 'allow'),
