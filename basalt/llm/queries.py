@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from basalt.llm import caps, chat_format, line_dedup, minhash, ngrams, packing, pieces, resampling, secret_scan, toxicity, url_filter
+from basalt.llm import caps, chat_format, collocations, line_dedup, minhash, ngrams, packing, pieces, resampling, secret_scan, toxicity, url_filter
 from basalt.llm.exact_dedup import exact_dedup
 from basalt.plans.durable import written
 
@@ -114,6 +114,10 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_docs(spark, sf_dir), percent=85, size=5).drop("text_hash")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_docs(spark, sf_dir), least=30, covered=80, top=2000)
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), percent=25, least=20, longest=2, buckets=10_000, seed=7)
 
@@ -132,7 +136,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1, "op3_chat_format": OP3, "op12_importance_resampling": OP12, "op13_url_filter": OP13}
+    return {"op1_exact_dedup": OP1, "op3_chat_format": OP3, "op11_collocations": OP11, "op12_importance_resampling": OP12, "op13_url_filter": OP13}
 
 
 OP1 = """
@@ -160,6 +164,33 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
+OP11 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), cut AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), places AS (
+  SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS phrase
+  FROM cut, range(1, 5) s(size) WHERE len(w) >= size
+), f AS (SELECT lang, size, phrase, count(*) AS n FROM places GROUP BY ALL
+), candidates AS (SELECT lang, size, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE size >= 2 AND n >= 30
+), cuts AS (
+  SELECT lang, size, phrase, a, k, array_to_string(w[1:k], ' ') AS first_part, array_to_string(w[k + 1:], ' ') AS rest FROM candidates, range(1, 4) c(k) WHERE k < size
+), scored AS (
+  SELECT cuts.*, x.n AS l, y.n AS r, ((2000000::HUGEINT * a) // (x.n + y.n))::BIGINT AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = first_part AND x.size = k JOIN f y ON y.lang = cuts.lang AND y.phrase = rest AND y.size = cuts.size - k
+), lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, size, phrase ORDER BY score, k) = 1
+), inside AS (
+  SELECT lang, part_size, array_to_string(w[i:i + part_size - 1], ' ') AS part, max(a) AS longer
+  FROM candidates, range(2, 4) p(part_size), range(1, 4) b(i) WHERE part_size < size AND i + part_size - 1 <= size GROUP BY ALL
+), kept AS (
+  SELECT lowest.* FROM lowest LEFT JOIN inside ON inside.lang = lowest.lang AND part = phrase AND part_size = size WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a
+), totals AS (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, totals.n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
 # CRC-32 byte by byte: the table of 256 remainders first, then one step a byte
 OP12 = r"""
 WITH crc AS (
