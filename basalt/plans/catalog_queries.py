@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from basalt.functions import scalars as fn, strict_json as sj
 from basalt.operators import graph, layout, merge, packs, records, shards, validate
@@ -721,6 +721,73 @@ def record_violations(spark, sf_dir):
     return records.record_violations(rows).select("identity", "rule")
 
 
+#: What is wrong with the snapshot of an order, by its key: a member, the JSON it has instead (null: it is absent), and the rules broken.
+FLAWS = [
+    ("label", None, ["closed"]),
+    ("label", '"\\n"', ["label"]),
+    ("label", "null", []),
+    ("revisionId", None, ["closed"]),
+    ("revisionId", '"a/b "', ["locators"]),
+    ("genesisHash", None, ["closed"]),
+    ("genesisHash", '"' + "g" * 257 + '"', ["metadata"]),
+    ("id", '""', ["metadata"]),
+    ("retentionClass", '"standard"', ["metadata"]),
+    ("retentionClass", '"irreplaceable-private-state\\n"', ["metadata"]),
+    ("parents", "[" + ",".join(f'"{i:064x}"' for i in range(17)) + "]", ["metadata parents"]),
+    ("parents", "[" + ",".join(f'"{i:064x}"' for i in range(16)) + "]", []),
+    ("privateStateIds", None, ["closed", "private states"]),
+    ("privateStateIds", "[]", ["private states"]),
+    ("privateStateIds", "[" + ",".join(f'"{i}"' for i in range(300)) + "]", ["private states"]),
+    ("sourceCommit", "null", ["codec"]),
+    ("sourceCommit", '"' + "c" * 40 + '\\n"', ["codec"]),
+    ("value", '""', ["metadata", "locators"]),
+    ("transactionId", '""', ["lifecycle"]),
+    ("version", "2147483648", ["codec"]),
+    ("byteLength", '"3"', ["closed", "package bytes"]),
+    ("zone", "null", ["closed"]),
+    ("zone", None, []),
+]
+
+
+@query(
+    f"SELECT o_orderkey::VARCHAR AS identity, unnest(CASE o_orderkey % {len(FLAWS)} "
+    + " ".join(f"WHEN {k} THEN {v}::VARCHAR[]" for k, (*_, v) in enumerate(FLAWS))
+    + " END) AS rule FROM orders"
+)
+def snapshot_violations(spark, sf_dir):
+    """Whole snapshots of orders, most of them with one member wrong at some depth."""
+    at = (F.col("o_orderkey") % len(FLAWS)).cast("int")
+    sha = F.concat(F.lit('"'), F.sha2(order_id(), 256), F.lit('"'))
+    id32, id16 = '"' + "A" * 42 + 'E"', '"' + "A" * 21 + 'A"'
+
+    def member(name: str, fine) -> Column:
+        """The member's text and a comma, as its order has it; ``fine`` is JSON or a column of it."""
+        text = F.lit(fine) if isinstance(fine, str) else fine
+        for k, (which, instead, _) in enumerate(FLAWS):
+            if which == name:
+                text = F.when(at == k, F.lit(instead)).otherwise(text)
+        return F.coalesce(F.concat(F.lit(f'"{name}":'), text, F.lit(",")), F.lit(""))
+
+    def members(*each) -> Column:
+        """An object of members in sorted order."""
+        return F.concat(F.lit("{"), F.rtrim(F.concat(*each), F.lit(",")), F.lit("}"))
+
+    account = members(member("scheme", '"s"'), member("value", '"v"'))
+    codec = members(*(member(*m) for m in (("codecId", '"c"'), ("producerPackage", '"p"'), ("producerVersion", '"1"'), ("sourceCommit", '"' + "c" * 40 + '"'), ("version", "1"))))
+    codec = F.replace(codec, F.lit('"codecId"'), F.lit('"id"'))
+    metadata = members(
+        member("accountBinding", account), member("applicationId", '"app"'), member("capturedAt", '"2026-01-01T00:00:00Z"'), member("codec", codec),
+        member("contract", '{"address":"x","codeHash":null}'), member("lifecycle", members(member("blockHash", "null"), member("status", '"confirmed"'), member("transactionId", "null"))),
+        member("network", members(member("genesisHash", "null"), member("id", '"n"'))), member("parents", "[]"), member("privateStateIds", '["p"]'), member("retentionClass", '"retained-application-witness"'),
+    )
+    place = members(member("accountBinding", account), member("objectId", '"o"'), member("provider", '"google-drive"'), member("revisionId", "null"))
+    package = members(member("byteLength", "3"), member("generationId", id32), member("recordId", id32), member("rootEpoch", id16), member("scopeId", id32), member("sha256", sha))
+    none = F.lit(None).cast("string")
+    body = members(member("entryKind", '"snapshot"'), member("label", '"order"'), member("locators", F.concat(F.lit("["), place, F.lit("]"))), member("metadata", metadata), member("package", package), member("zone", none))
+    rows = table(spark, sf_dir, "orders").select(F.lit("snapshot").alias("kind"), order_id().alias("identity"), body.alias("body"))
+    return records.record_violations(rows).select("identity", "rule")
+
+
 @query("SELECT o_orderkey::VARCHAR AS identity, CASE WHEN o_orderkey % 2 = 0 THEN 'snapshot' ELSE 'observation' END AS kind FROM orders WHERE o_orderkey % 6 IN (3, 4)")
 def kind_mismatches(spark, sf_dir):
     i = F.col("o_orderkey")

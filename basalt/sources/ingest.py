@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from basalt.functions import strict_json as sj
-from basalt.operators.records import record_violations
+from basalt.operators.records import kind_mismatches, record_violations
 from basalt.operators.validate import violations
 from basalt.plans import schemas
 from basalt.plans.limits import METADATA_BYTES, PLAINTEXT_BYTES, V1, V2
@@ -21,7 +21,8 @@ from basalt.plans.limits import METADATA_BYTES, PLAINTEXT_BYTES, V1, V2
 CATALOG_FIELDS = ("payloadVersion", "parents", "entries", "observations")
 ROOT_FIELDS = ("payloadVersion", "nodeType", "partitionVersion", "parents", "entryCount", "observationCount", "requiredEpochs", "references")
 SHARD_FIELDS = ("payloadVersion", "nodeType", "partitionVersion", "prefix", "records")
-SHARD = "struct<payloadVersion:int,nodeType:string,partitionVersion:int,prefix:string,records:array<struct<recordKind:string,body:variant>>>"
+SHARD = "struct<payloadVersion:int,nodeType:string,partitionVersion:int,prefix:string,records:array<variant>>"
+RECORD_FIELDS = ("body", "recordKind")
 
 
 @dataclass
@@ -104,7 +105,11 @@ def parse_roots(texts: DataFrame, limits: dict = V2) -> tuple[DataFrame, DataFra
 
 
 def parse_shards(texts: DataFrame, limits: dict = V2) -> tuple[DataFrame, DataFrame]:
-    """(records: revision, prefix, kind, body; violations) of shard nodes."""
+    """(records: revision, prefix, kind, body; violations) of shard nodes.
+
+    Each record must name its kind and have a body, and nothing else; the body is held
+    against the closed schema of its kind in the second format, and must name that kind itself.
+    """
     opened = _opened(texts, limits["shard_bytes"])
     fine = opened.where("refusal IS NULL").withColumn("c", F.from_json("text", SHARD))
     c = lambda f: F.col(f"c.{f}")
@@ -116,5 +121,11 @@ def parse_shards(texts: DataFrame, limits: dict = V2) -> tuple[DataFrame, DataFr
         ("records", (F.size(c("records")) >= 1) & (F.size(c("records")) <= limits["records_per_leaf"])),
     ]
     broken = violations(fine, F.col("revision"), rules).union(opened.where("refusal IS NOT NULL").select(F.concat(F.lit("json: "), "refusal"), "revision"))
-    rows = fine.select("revision", F.col("c.prefix").alias("prefix"), F.explode("c.records").alias("r"))
-    return rows.select("revision", "prefix", F.col("r.recordKind").alias("kind"), sj.json_canonical(F.encode(F.to_json("r.body"), "UTF-8")).alias("body")), broken
+    rows = fine.select("revision", F.col("c.prefix").alias("prefix"), F.explode("c.records").alias("r")).withColumn("text", F.to_json("r"))
+    tagged = violations(rows, F.col("revision"), [("record: fields", _exactly(F.col("text"), RECORD_FIELDS))])
+    kind = F.try_variant_get("r", "$.recordKind", "string")
+    body = sj.json_canonical(F.encode(F.to_json(F.try_variant_get("r", "$.body", "variant")), "UTF-8"))
+    parsed = rows.select("revision", "prefix", kind.alias("kind"), body.alias("body"))
+    own = parsed.select("kind", F.col("revision").alias("identity"), "body")
+    nested = record_violations(own, limits["locators"], version=2).union(kind_mismatches(own).select(F.lit("named kind"), "identity"))
+    return parsed, broken.union(tagged.union(nested.select(F.concat(F.lit("record: "), "rule"), "identity")).distinct())

@@ -50,7 +50,33 @@ def test_nodes(spark):
     shard = {"payloadVersion": 2, "nodeType": "shard", "partitionVersion": 1, "prefix": "0", "records": [{"recordKind": "snapshot", "body": {"b": 1, "a": [None]}}]}
     rows, bad = ingest.parse_shards(spark.createDataFrame([("s", sj.canonical(shard).encode()), ("v1", catalog())], "revision string, data binary"))
     assert [(r.prefix, r.kind, r.body) for r in rows.where("revision = 's'").collect()] == [("0", "snapshot", '{"a":[null],"b":1}')]
-    assert "s" not in {r.identity for r in bad.collect()}
+    # the node is fine, its one record isn't a snapshot
+    found = {r.rule for r in bad.where("identity = 's'").collect()}
+    assert {"record: closed", "record: named kind"} <= found and all(rule.startswith("record: ") for rule in found)
+
+
+def test_records_of_shards(spark):
+    from test_records import META, PACKAGE, PLACE2, RECEIPT, SEEN, SNAPSHOT2, TOMBSTONE
+
+    other = SEEN | {"locator": PLACE2}
+    kinds = {"snapshot": SNAPSHOT2, "tombstone": TOMBSTONE, "root-update-receipt": RECEIPT, "observation": other}
+    tag = lambda kind, body, **more: {"recordKind": kind, "body": body} | more
+    cases = {
+        "fine": ([tag(k, b) for k, b in kinds.items()], set()),
+        "wide": ([tag("snapshot", SNAPSHOT2 | {"locators": [PLACE2 | {"objectId": "o" * 129}]})], {"record: locators"}),
+        "five": ([tag("snapshot", SNAPSHOT2 | {"locators": [PLACE2 | {"objectId": str(i)} for i in range(5)]})], {"record: locators"}),
+        "bound": ([tag("observation", other | {"locator": PLACE2 | {"accountBinding": {"scheme": "s", "value": "v"}}})], {"record: locator"}),
+        "more": ([tag("tombstone", TOMBSTONE, zone=1)], {"record: fields"}), "nobody": ([{"recordKind": "tombstone"}], None), "kind": ([tag("letter", {})], {"record: kind", "record: named kind"}),
+        "other kind": ([tag("tombstone", RECEIPT)], None), "said": ([tag("observation", other | {"entryKind": "snapshot"})], {"record: closed", "record: named kind"}),
+        "kept": ([tag("snapshot", SNAPSHOT2 | {"metadata": META | {"retentionClass": "x"}})], {"record: metadata"}), "package": ([tag("snapshot", SNAPSHOT2 | {"package": PACKAGE | {"byteLength": 0}})], {"record: package bytes"}),
+    }
+    node = {"payloadVersion": 2, "nodeType": "shard", "partitionVersion": 1, "prefix": "0"}
+    rows, bad = ingest.parse_shards(spark.createDataFrame([(k, sj.canonical(node | {"records": r}).encode()) for k, (r, _) in cases.items()], "revision string, data binary"))
+    found = {k: set() for k in cases}
+    for r in bad.collect():
+        found[r.identity].add(r.rule)
+    assert all(found[k] == want if want is not None else found[k] for k, (_, want) in cases.items()), found
+    assert {r.kind: r.body for r in rows.where("revision = 'fine'").collect()} == {k: sj.canonical(b) for k, b in kinds.items()}
 
 
 def test_whole_revision(spark):

@@ -11,15 +11,97 @@ SHA, ID, EPOCH = "a" * 64, "A" * 42 + "E", "A" * 21 + "A"
 PLACE = {"provider": "google-drive", "accountBinding": {"scheme": "s", "value": "v"}, "objectId": "o", "revisionId": None}
 META = {
     "network": {"id": "n", "genesisHash": None}, "accountBinding": {"scheme": "s", "value": "v"}, "applicationId": "app", "contract": {"address": "x", "codeHash": None}, "privateStateIds": ["p"],
-    "codec": {"id": "c", "version": 1, "producerPackage": "p", "producerVersion": "1", "sourceCommit": None}, "capturedAt": "2026-01-01T00:00:00Z",
-    "lifecycle": {"status": "confirmed", "transactionId": None, "blockHash": None}, "parents": [], "retentionClass": "standard",
+    "codec": {"id": "c", "version": 1, "producerPackage": "p", "producerVersion": "1", "sourceCommit": "c" * 40}, "capturedAt": "2026-01-01T00:00:00Z",
+    "lifecycle": {"status": "confirmed", "transactionId": None, "blockHash": None}, "parents": [], "retentionClass": "retained-application-witness",
 }
 PACKAGE = {"sha256": SHA, "byteLength": 3, "rootEpoch": EPOCH, "scopeId": ID, "recordId": ID, "generationId": ID}
 SNAPSHOT = {"entryKind": "snapshot", "package": PACKAGE, "metadata": META, "label": 'say "locators":[] or not', "locators": [PLACE]}
 TOMBSTONE = {"entryKind": "tombstone", "eventId": ID, "targetPackageSha256": SHA, "reason": "superseded", "recordedAt": "2026-01-01T00:00:00.5Z"}
-RECEIPT = {"entryKind": "root-update-receipt", "receiptId": ID, "parentRootRecordSha256": ["b" * 64], "currentRootRecordSha256": SHA, "rootRevisionId": ID, "retainedOldEpochs": [], "newActiveEpoch": EPOCH, "recordedAt": "2026-01-01T00:00:00Z"}
+RECEIPT = {"entryKind": "root-update-receipt", "receiptId": ID, "parentRootRecordSha256": ["b" * 64], "currentRootRecordSha256": SHA, "rootRevisionId": ID, "retainedOldEpochs": ["B" * 21 + "A"], "newActiveEpoch": EPOCH, "recordedAt": "2026-01-01T00:00:00Z"}
 SEEN = {"observationId": ID, "packageSha256": SHA, "locator": PLACE, "observedAt": "2026-01-01T00:00:00Z", "outcome": {"status": "not-found", "reason": "object-not-found"}}
 
+PLACE2 = PLACE | {"accountBinding": {"scheme": "google-drive-permission-id", "value": "v.1"}}
+SNAPSHOT2 = SNAPSHOT | {"locators": [PLACE2]}
+#: Members for which null may stand.
+NULLABLE = {"label", "locators.0.revisionId", "locator.revisionId", "metadata.network.genesisHash", "metadata.contract.codeHash", "metadata.lifecycle.transactionId", "metadata.lifecycle.blockHash"}
+
+
+def at(value, path=""):
+    """(path, value) of every member and item."""
+    for k, v in value.items() if isinstance(value, dict) else enumerate(value) if isinstance(value, list) else ():
+        yield f"{path}{k}", v
+        yield from at(v, f"{path}{k}.")
+
+
+def changed(value, path, to):
+    """``value`` with what lies at ``path`` replaced, or gone for ``to`` of None in a list."""
+    out = json.loads(json.dumps(value))
+    *way, last = path.split(".")
+    holder = out
+    for step in way:
+        holder = holder[int(step) if isinstance(holder, list) else step]
+    if to is None:
+        del holder[last]
+    else:
+        holder[int(last) if isinstance(holder, list) else last] = to[0]
+    return out
+
+
+def broken_rules(spark, cases, **more):
+    df = spark.createDataFrame([(kind, name, sj.canonical(body)) for name, (kind, body) in cases.items()], "kind string, identity string, body string").repartition(4)
+    found = {name: set() for name in cases}
+    for r in records.record_violations(df, **more).collect():
+        found[r.identity].add(r.rule)
+    return found
+
+
+@pytest.mark.parametrize("version", [1, 2])
+def test_every_member_is_required_typed_and_alone(spark, version):
+    read = SEEN | {"outcome": {"status": "readback-authenticated", "observedSha256": SHA, "byteLength": 3}}
+    fine = {"snapshot": SNAPSHOT2, "tombstone": TOMBSTONE, "root-update-receipt": RECEIPT, "observation": read | {"locator": PLACE2}}
+    cases, nulls = {f"fine {k}": (k, b) for k, b in fine.items()}, {}
+    for kind, body in fine.items():
+        for path, value in at(body):
+            item = path.rpartition(".")[2].isdigit()
+            if not item:
+                cases[f"absent {kind} {path}"] = (kind, changed(body, path, None))
+            nulls[f"null {kind} {path}"] = (kind, changed(body, path, [None]))
+            for wrong in ([{"zone": 1}] if isinstance(value, (list, str)) else ["1"] if isinstance(value, int) else [[]]):
+                cases[f"type {kind} {path}"] = (kind, changed(body, path, [wrong]))
+            if isinstance(value, dict):
+                cases[f"more {kind} {path}"] = (kind, changed(body, path, [value | {"zone": None}]))
+            if isinstance(value, str):
+                cases[f"line {kind} {path}"] = (kind, changed(body, path, [value + "\n"]))
+                cases[f"long {kind} {path}"] = (kind, changed(body, path, ["a" * 1025]))
+        cases[f"more {kind}"] = (kind, body | {"zone": None})
+    found = broken_rules(spark, cases | nulls, version=version)
+    assert not any(found[name] for name in found if name.startswith("fine"))
+    assert [name for name in cases if not found[name] and not name.startswith("fine")] == []
+    assert {name.split()[-1] for name in nulls if not found[name]} == NULLABLE
+    assert all("closed" in found[name] for name in cases if name.split()[0] in ("absent", "more") and "absent observation outcome." not in name)  # an outcome's own rules say what it lacks
+
+
+def test_bounds_of_snapshots(spark):
+    meta = lambda **change: ("snapshot", SNAPSHOT | {"metadata": META | change})
+    code = lambda **change: meta(codec=META["codec"] | change)
+    spot = lambda **change: ("snapshot", SNAPSHOT | {"locators": [PLACE | change]})
+    sha = lambda n: [f"{i:064x}" for i in range(n)]
+    cases = {
+        "16 parents": (meta(parents=sha(16)), set()), "17 parents": (meta(parents=sha(17)), {"metadata parents"}), "same parents": (meta(parents=["b" * 64] * 2), {"metadata parents"}),
+        "no states": (meta(privateStateIds=[]), {"private states"}), "256 states": (meta(privateStateIds=sha(256)), set()), "257 states": (meta(privateStateIds=sha(257)), {"private states"}),
+        "empty state": (meta(privateStateIds=[""]), {"private states"}), "class": (meta(retentionClass="standard"), {"metadata"}), "class and line": (meta(retentionClass="irreplaceable-private-state\n"), {"metadata"}),
+        "network": (meta(network={"id": "", "genesisHash": "g"}), {"metadata"}), "genesis": (meta(network={"id": "n", "genesisHash": ""}), {"metadata"}), "account": (meta(accountBinding={"scheme": "s", "value": ""}), {"metadata"}),
+        "transaction": (meta(lifecycle=META["lifecycle"] | {"transactionId": ""}), {"lifecycle"}), "block": (meta(lifecycle=META["lifecycle"] | {"blockHash": "b" * 257}), {"lifecycle"}), "64": (code(sourceCommit="0" * 64), set()),
+        "41": (code(sourceCommit="0" * 41), {"codec"}), "upper": (code(sourceCommit="A" * 40), {"codec"}), "version 0": (code(version=0), {"codec"}), "version 2^31": (code(version=2**31), {"codec"}), "version 1.5": (code(version=1.5), {"closed", "codec"}),
+        "revision": (spot(revisionId="a/b \n"), {"locators"}), "revision 1024": (spot(revisionId="r" * 1024, objectId="o" * 1024), set()), "revision 1025": (spot(revisionId="r" * 1025), {"locators"}),
+        "wide": (meta(applicationId="\U0001f600" * 256), set()), "wider": (meta(applicationId="\U0001f600" * 257), {"metadata"}), "control": (meta(applicationId="a\x7f"), {"metadata"}), "quote": (meta(applicationId='"\\/\u2028é'), set()),
+        "big": (meta(privateStateIds=["é" * 150 + f"{i:05}" for i in range(250)]), {"metadata size"}), "label 256": (("snapshot", SNAPSHOT | {"label": "é" * 256}), set()), "label 257": (("snapshot", SNAPSHOT | {"label": "é" * 257}), {"label"}),
+        "no locators": (("snapshot", SNAPSHOT | {"locators": []}), {"locators"}), "no epochs": (("root-update-receipt", RECEIPT | {"retainedOldEpochs": []}), {"old epochs"}),
+        "outcome null": (("observation", SEEN | {"outcome": SEEN["outcome"] | {"byteLength": None}}), {"closed"}), "outcome more": (("observation", SEEN | {"outcome": SEEN["outcome"] | {"zone": 1}}), {"closed"}),
+        "no outcome": (("observation", SEEN | {"outcome": None}), {"outcome: status", "outcome: observed digest", "outcome: byte length"}),
+    }
+    assert broken_rules(spark, {name: case for name, (case, _) in cases.items()}) == {name: rules for name, (_, rules) in cases.items()}
+
 
 def test_each_rule_has_a_hostile_case(spark):
     cases = {
