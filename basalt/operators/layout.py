@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from basalt.functions.scalars import bucket
-from basalt.operators.shards import fingerprint
+from basalt.operators.ordered_digest import ordered_digest
 from basalt.operators.validate import at_most
+from basalt.plans.durable import checkpoint
 from basalt.plans.limits import V2, BUCKETS
 
 
@@ -25,8 +26,8 @@ def bucketed(records: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 
 
 def bucket_prints(records: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """(bucket, records, fingerprint). A bucket is gathered for its digest; take more buckets for more records."""
-    return bucketed(records, buckets).groupBy("bucket").agg(F.count("*").alias("records"), fingerprint(F.col("id"), F.col("payload")).alias("fingerprint"))
+    """(bucket, records, fingerprint). A bucket is digested as its records come in order of their ids, whatever its size."""
+    return ordered_digest(bucketed(records, buckets), ["bucket"], [F.col("id")], F.col("payload"))
 
 
 def changed_buckets(parent: DataFrame, child: DataFrame) -> DataFrame:
@@ -39,7 +40,7 @@ def changed_buckets(parent: DataFrame, child: DataFrame) -> DataFrame:
 
 def write_sharded(records: DataFrame, path: str, parent: str | None = None, buckets: int = BUCKETS) -> DataFrame:
     """Write buckets under ``path``; with ``parent``, only buckets that changed. Returns the state of each bucket."""
-    spark, now = records.sparkSession, bucket_prints(records, buckets)
+    spark, now = records.sparkSession, checkpoint(bucket_prints(records, buckets))  # one row a bucket, read three times
     was = spark.read.parquet(f"{parent}/manifest") if parent else now.where("false")
     state = changed_buckets(was, now)
     dirty = state.where("state IN ('added', 'changed')").select("bucket")
@@ -79,10 +80,15 @@ def misplaced(records: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 def flat_commit(parent: DataFrame, child: DataFrame) -> DataFrame:
     """One row: records, fingerprint, and whether there is nothing to commit.
 
-    The digest of a flat revision is over all its records in order, which one task
-    gathers; it is for small sets. Use buckets beyond that.
+    The digest of a flat revision is over all its records in order: one task reads them
+    sorted, in constant memory, but one after another. Use buckets where that takes too long.
     """
-    one = lambda d: d.agg(F.count("*").alias("records"), fingerprint(F.col("id"), F.col("payload")).alias("fingerprint"))
+
+    def one(d: DataFrame) -> DataFrame:
+        found = ordered_digest(d.withColumn("all", F.lit(0)), ["all"], [F.col("id")], F.col("payload"))
+        row = d.sparkSession.range(1).select(F.col("id").cast("int").alias("all"))
+        return row.join(found, "all", "left").select(F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("fingerprint", F.sha2(F.lit("[]"), 256)).alias("fingerprint"))
+
     return one(child).join(one(parent).select(F.col("fingerprint").alias("was")), F.lit(True)).select("records", "fingerprint", (F.col("was") == F.col("fingerprint")).alias("no_change"))
 
 

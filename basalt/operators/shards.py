@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from basalt.functions.scalars import hex_successor
+from basalt.operators.ordered_digest import ordered_digest
 from basalt.operators.validate import CatalogError
 from basalt.plans.durable import checkpoint
 from basalt.plans.limits import EMPTY_SHARD, V2
@@ -86,18 +87,11 @@ def misplaced(records: DataFrame) -> DataFrame:
     return records.where(~F.startswith("route", F.col("prefix")))
 
 
-def fingerprint(sort_key: Column, body: Column) -> Column:
-    """Aggregate: digest of the canonical array of a group's records in order."""
-    rows = F.array_sort(F.collect_list(F.struct(sort_key.alias("k"), body.alias("j"))))
-    return F.sha2(F.concat(F.lit("["), F.array_join(F.transform(rows, lambda x: x["j"]), ","), F.lit("]")), 256)
-
-
 def shard_summary(records: DataFrame, prefix: str = "prefix") -> DataFrame:
-    """(prefix, entries, observations, bytes, fingerprint) of each shard; a shard is bounded by its leaf's limits."""
-    entry = F.col("kind") != "observation"
-    return records.groupBy(prefix).agg(
-        F.count_if(entry).alias("entries"), F.count_if(~entry).alias("observations"), F.sum(F.octet_length("body")).alias("bytes"), fingerprint(F.struct("route", "kind", "identity"), F.col("body")).alias("fingerprint")
-    )
+    """(prefix, entries, observations, bytes, fingerprint) of each shard, of any size: a worker digests its records as they come in order."""
+    entry = (F.col("kind") != "observation").cast("int")
+    sums = {"entries": entry, "observations": 1 - entry, "bytes": F.octet_length("body")}
+    return ordered_digest(records, [prefix], [F.col("route"), F.col("kind"), F.col("identity")], F.col("body"), sums).drop("records")
 
 
 def reconcile(references: DataFrame, shards: DataFrame) -> DataFrame:

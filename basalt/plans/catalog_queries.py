@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from basalt.functions import scalars as fn, strict_json as sj
 from basalt.operators import graph, layout, merge, packs, records, shards, validate
+from basalt.operators.ordered_digest import ordered_digest
 from basalt.plans import schemas
 from basalt.plans.limits import ROUTE_DOMAIN
 from basalt.plans.durable import checkpoint, scratch
@@ -135,7 +136,7 @@ def route_order(spark, sf_dir):
 
 @query(f"WITH {SNAP} SELECT o_custkey AS scope, sha256('[' || string_agg(body, ',' ORDER BY identity) || ']') AS fingerprint FROM snap GROUP BY 1")
 def group_fingerprint(spark, sf_dir):
-    return snapshots(spark, sf_dir).groupBy(F.col("o_custkey").alias("scope")).agg(shards.fingerprint(F.col("identity"), F.col("body")).alias("fingerprint"))
+    return ordered_digest(snapshots(spark, sf_dir).withColumn("scope", F.col("o_custkey")), ["scope"], [F.col("identity")], F.col("body")).drop("records")
 
 
 @query("SELECT l_returnflag, l_linestatus, median(l_quantity) AS median, min(l_quantity) AS least, max(l_quantity) AS most, count(*) AS n FROM lineitem GROUP BY 1, 2")
