@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from basalt.functions.scalars import hex_successor
+from basalt.operators.ordered import Ordered
 from basalt.operators.ordered_digest import ordered_digest
 from basalt.operators.validate import CatalogError
 from basalt.plans.durable import checkpoint
@@ -65,21 +66,35 @@ def assign_leaves(records: DataFrame, leaves: DataFrame) -> DataFrame:
     return tries.join(leaves.select("prefix"), "prefix")
 
 
-def cover_violations(leaves: DataFrame, width: int = 64) -> DataFrame:
-    """(prefix, rule): gaps, overlaps and missing ends of the range that prefixes cover.
+def cover_violations(leaves: DataFrame, width: int = 64, group: list[str] | None = None) -> DataFrame:
+    """(group, prefix, rule): gaps, overlaps and missing ends of the range that the prefixes of each group cover.
 
-    Prefixes are few (the format allows 1024), so one window over them is fine.
+    Prefixes are held against their neighbours in one order over all groups, so many
+    manifests go in one pass, and a manifest of any size isn't gathered.
     """
-    w = Window.orderBy("start", "prefix")
-    p = leaves.select("prefix", F.rpad("prefix", width, "0").alias("start"), F.rpad("prefix", width, "f").alias("end"))
-    p = p.select("*", F.lag("end").over(w).alias("before"), F.lead("start").over(w).alias("after"))
+    group = group or []
+    p = leaves.select(*group, "prefix", F.rpad("prefix", width, "0").alias("start"), F.rpad("prefix", width, "f").alias("end"))
+    p = Ordered(p, group, [F.col("start"), F.col("prefix")]).neighbours({"before": "end"})
     rule = (
-        F.when(F.col("before").isNull() & (F.col("start") != "0" * width), "first")
-        .when(F.col("before").isNotNull() & (F.col("start") <= F.col("before")), "overlap")
-        .when(F.col("before").isNotNull() & (F.coalesce(hex_successor(F.col("before")), F.lit("")) != F.col("start")), "gap")
-        .when(F.col("after").isNull() & (F.col("end") != "f" * width), "last")
+        F.when(F.col("_first") & (F.col("start") != "0" * width), "first")
+        .when(~F.col("_first") & (F.col("start") <= F.col("before")), "overlap")
+        .when(~F.col("_first") & (F.coalesce(hex_successor(F.col("before")), F.lit("")) != F.col("start")), "gap")
+        .when(F.col("_last") & (F.col("end") != "f" * width), "last")
     )
-    return p.select("prefix", rule.alias("rule")).where("rule IS NOT NULL")
+    return p.select(*group, "prefix", rule.alias("rule")).where("rule IS NOT NULL")
+
+
+def over_budget(shards: DataFrame, group: str, position: str, length: str, budget: Column | int) -> DataFrame:
+    """(group, position, length, used): of each group the first shard, by position, with which the bytes go over the budget.
+
+    ``budget`` is a number or a column of ``shards``, equal in a group. Sums of partitions
+    are carried on, so a group isn't gathered. Groups within their budget have no row.
+    """
+    limit = budget if isinstance(budget, Column) else F.lit(budget)
+    rows = shards.select(group, position, F.col(length).cast("bigint").alias("length"), limit.cast("bigint").alias("budget"))
+    over = Ordered(rows, [group], [F.col(position)]).running_sum("length", "used").where("used > budget")
+    first = over.groupBy(group).agg(F.min_by(F.struct(position, "length", "used"), position).alias("x"))
+    return first.select(group, "x.*")
 
 
 def misplaced(records: DataFrame) -> DataFrame:
@@ -122,9 +137,8 @@ def revision_stats(records: DataFrame, live: DataFrame) -> DataFrame:
 
 
 def order_violations(rows: DataFrame, group: str, position: str, key: str) -> DataFrame:
-    """Rows whose key isn't above the one before it in their group."""
-    w = Window.partitionBy(group).orderBy(position)
-    return rows.withColumn("before", F.lag(key).over(w)).where(F.col("before") >= F.col(key))
+    """Rows whose key isn't above the one before it in their group, whatever the group's size."""
+    return Ordered(rows, [group], [F.col(position)]).neighbours({"before": key}).where(F.col("before") >= F.col(key)).drop("_first", "_last")
 
 
 def live_set(snapshots: DataFrame, tombstones: DataFrame, key: str, target: str) -> DataFrame:
