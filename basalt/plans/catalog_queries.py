@@ -453,9 +453,9 @@ def manifest_reconcile(spark, sf_dir):
     return shards.reconcile(refs, s)
 
 
-@query(f"WITH {SUMMARY} SELECT sum(entries)::BIGINT AS entries, sum(observations)::BIGINT AS observations, sum(bytes)::BIGINT AS bytes, sum(entries) = 15000 AS entries_ok, sum(observations) = 0 AS observations_ok, sum(bytes) <= 67108864 AS bytes_ok FROM sh")
+@query(f"WITH {SUMMARY} SELECT sum(entries)::BIGINT AS entries, sum(observations)::BIGINT AS observations, sum(bytes)::BIGINT AS bytes, sum(entries) = (SELECT count(*) FROM orders) AS entries_ok, sum(observations) = 0 AS observations_ok, sum(bytes) <= 67108864 AS bytes_ok FROM sh")
 def manifest_preflight(spark, sf_dir):
-    return shards.preflight(_summary(spark, sf_dir), entries=15_000, observations=0)
+    return shards.preflight(_summary(spark, sf_dir), entries=table(spark, sf_dir, "orders").count(), observations=0)
 
 
 @query(
@@ -478,6 +478,80 @@ def order_violations(spark, sf_dir):
     return shards.order_violations(rows, "l_orderkey", "place", "l_partkey").drop("before")
 
 
+# many manifests: a customer's orders are the records of one
+
+
+@query(
+    f"""WITH {SNAP}, l AS (SELECT DISTINCT o_custkey AS revision, substr(route, 1, 1 + o_custkey % 2) AS prefix FROM snap),
+        w AS (SELECT *, lag(rpad(prefix, 64, 'f')) OVER o AS before, lead(prefix) OVER o AS after FROM l WINDOW o AS (PARTITION BY revision ORDER BY rpad(prefix, 64, '0'), prefix)),
+        t AS (SELECT *, regexp_replace(before, 'f+$', '') AS h FROM w),
+        u AS (SELECT *, rpad(substr(h, 1, length(h) - 1) || substr('0123456789abcdef', instr('0123456789abcdef', right(h, 1)) + 1, 1), 64, '0') AS nxt FROM t)
+        SELECT revision, prefix, rule FROM (SELECT revision, prefix, CASE WHEN before IS NULL AND rpad(prefix, 64, '0') <> repeat('0', 64) THEN 'first' WHEN before IS NOT NULL AND nxt <> rpad(prefix, 64, '0') THEN 'gap'
+          WHEN after IS NULL AND rpad(prefix, 64, 'f') <> repeat('f', 64) THEN 'last' END AS rule FROM u) WHERE rule IS NOT NULL"""
+)
+def manifest_covers(spark, sf_dir):
+    """Manifests of all customers at once, whose prefixes are those that hold records."""
+    digits = F.substring(F.col("route"), F.lit(1), 1 + F.col("o_custkey").cast("int") % 2)
+    leaves = snapshots(spark, sf_dir).select(F.col("o_custkey").alias("revision"), digits.alias("prefix")).distinct()
+    return shards.cover_violations(leaves, group=["revision"])
+
+
+@query(
+    f"""WITH RECURSIVE {SNAP}, it AS (SELECT o_custkey AS revision, identity::BIGINT AS position, bytes AS length, row_number() OVER (PARTITION BY o_custkey ORDER BY identity::BIGINT) AS i FROM snap),
+        walk AS (SELECT *, length AS used FROM it WHERE i = 1 UNION ALL SELECT it.*, walk.used + it.length FROM walk JOIN it ON it.revision = walk.revision AND it.i = walk.i + 1 WHERE walk.used <= 500)
+        SELECT revision, position, length, used FROM walk WHERE used > 500"""
+)
+def shard_budget(spark, sf_dir):
+    """Of each customer's orders, in turn, the first that goes over a budget of bytes."""
+    s = snapshots(spark, sf_dir).select(F.col("o_custkey").alias("revision"), F.col("identity").cast("bigint").alias("position"), F.col("bytes").alias("length"))
+    return shards.over_budget(s, "revision", "position", "length", 500)
+
+
+#: What is wrong with a supplier's manifest, by its key.
+ROOT_FLAWS = {1: ["cover: gap"], 2: ["cover: gap"], 3: ["entries"], 4: ["observations"], 5: ["reference epoch"], 6: ["reference: budget"], 7: ["reference: closed", "reference: wire digest"], 8: ["reference: locators"], 9: ["cover: last"]}
+
+
+@query(
+    """WITH i AS (SELECT l_suppkey AS s, substr(sha256('["'"""
+    + f"|| '{DOMAIN}' ||"
+    + """'","observation","' || l_orderkey || '-' || l_linenumber || '"]'), 1, 1) AS d, l_returnflag = 'R' AS entry FROM lineitem),
+         t AS (SELECT s, count(*) FILTER (entry)::BIGINT AS entries, count(*) FILTER (NOT entry)::BIGINT AS observations, count(DISTINCT d) AS shards FROM i
+               WHERE NOT (s % 10 = 1 AND d = '7') AND NOT (s % 10 = 9 AND d = 'f') GROUP BY s)
+       SELECT s AS revision, entries, observations, (200 + CASE WHEN s % 10 = 6 THEN 300000 ELSE 0 END) * shards AS bytes, shards, CASE s % 10 """
+    + " ".join(f"WHEN {k} THEN '{','.join(v)}'" for k, v in ROOT_FLAWS.items())
+    + " ELSE '' END AS rules FROM t"
+)
+def root_preflight(spark, sf_dir):
+    """Root manifests of all suppliers, as bytes: their items are the records, most have one flaw."""
+    from basalt.sources import ingest
+
+    route = fn.route_hash(F.lit("observation"), item_id())
+    items = table(spark, sf_dir, "lineitem").select("l_suppkey", F.substring(route, 1, 1).alias("d"), (F.col("l_returnflag") == "R").alias("entry"))
+    full = items.groupBy("l_suppkey", "d").agg(F.count_if("entry").alias("e"), F.count_if(~F.col("entry")).alias("o"))
+    flaw = F.col("l_suppkey") % 10
+    every = items.select("l_suppkey").distinct().select("l_suppkey", F.explode(F.array(*(F.lit(x) for x in shards.HEX))).alias("d"))
+    kept = every.join(full, ["l_suppkey", "d"], "left").where(~((flaw == 1) & (F.col("d") == "7")) & ~((flaw == 9) & (F.col("d") == "f")))
+    id32, id16 = "A" * 42 + "E", "A" * 21 + "A"
+    place = lambda provider: f'[{{"accountBinding":{{"scheme":"google-drive-permission-id","value":"v"}},"objectId":"o","provider":"{provider}","revisionId":null}}]'
+    prefix = F.when((flaw == 2) & (F.col("d") == "7"), "70").otherwise(F.col("d"))
+    held = F.format_string(
+        f'{{"canonicalRecordsSha256":"{"b" * 64}","empty":false,"entryCount":%d,"generationId":"{id32}","locators":%s,"observationCount":%d,"plaintextByteLength":%d,"prefix":"%s",'
+        f'"recordId":"{id32}","rootEpoch":"{id16}","wireByteLength":300%s}}',
+        F.col("e"), F.when(flaw == 8, place("disk")).otherwise(place("google-drive")), F.col("o"), F.lit(200) + F.when(flaw == 6, 300_000).otherwise(0), prefix,
+        F.when(flaw == 7, "").otherwise(f',"wireSha256":"{"a" * 64}"'),
+    )
+    text = F.when(F.col("e").isNull(), F.format_string('{"empty":true,"prefix":"%s"}', prefix)).otherwise(held)
+    # at most 16 references a manifest
+    roots = kept.groupBy("l_suppkey").agg(F.sum("e").alias("e"), F.sum("o").alias("o"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("d", text.alias("t")))), lambda x: x["t"]), ",").alias("refs"))
+    data = F.format_string(
+        '{"entryCount":%d,"nodeType":"root","observationCount":%d,"parents":[],"partitionVersion":1,"payloadVersion":2,"references":[%s],"requiredEpochs":[%s]}',
+        F.col("e") + F.when(flaw == 3, 1).otherwise(0), F.col("o") + F.when(flaw == 4, 1).otherwise(0), F.col("refs"), F.when(flaw == 5, "").otherwise(f'"{id16}"'),
+    )
+    got = ingest.preflight_roots(roots.select(F.col("l_suppkey").alias("revision"), F.encode(data, "UTF-8").alias("data")))
+    told = got.violations.groupBy("identity").agg(F.array_join(F.array_sort(F.collect_set("rule")), ",").alias("rules"))
+    return got.totals.join(told, F.col("identity") == F.col("revision"), "left").select("revision", "entries", "observations", "bytes", "shards", F.coalesce("rules", F.lit("")).alias("rules"))
+
+
 # layouts: events as two revisions of records
 
 

@@ -12,7 +12,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from basalt.functions import strict_json as sj
-from basalt.operators.records import kind_mismatches, record_violations
+from basalt.functions.scalars import canonical_json
+from basalt.operators.records import DIGEST, ID16, ID32, List, Members, Number, Text, kind_mismatches, place, record_violations
+from basalt.operators.shards import cover_violations
 from basalt.operators.validate import violations
 from basalt.plans import schemas
 from basalt.plans.limits import METADATA_BYTES, PLAINTEXT_BYTES, V1, V2
@@ -81,27 +83,94 @@ def parse_catalogs(texts: DataFrame, limits: dict = V1, most: int = PLAINTEXT_BY
     )
 
 
+def _references(version: int = 2) -> Members:
+    """What a reference to a shard that isn't empty holds; one to an empty prefix has ``empty`` and ``prefix`` alone."""
+    return Members(
+        {
+            "prefix": ("prefix", Text(schemas.HEX_PREFIX)),
+            "recordId": ("ids", ID32),
+            "generationId": ("ids", ID32),
+            "rootEpoch": ("epoch", ID16),
+            "wireSha256": ("wire digest", DIGEST),
+            "wireByteLength": ("wire bytes", Number(1, V2["shard_wire_bytes"])),
+            "plaintextByteLength": ("bytes", Number(1, V2["shard_bytes"])),
+            "entryCount": ("counts", Number(0, V2["records_per_leaf"])),
+            "observationCount": ("counts", Number(0, V2["records_per_leaf"])),
+            "canonicalRecordsSha256": ("records digest", DIGEST),
+            "locators": ("locators", List(place(version), 1, V2["locators"])),
+        }
+    )
+
+
+def reference_violations(references: DataFrame, limits: dict = V2) -> DataFrame:
+    """(rule, identity) of references (identity, body) of root manifests; ``body`` is canonical."""
+    schema = _references()
+    fields = {name: holds.type for name, (_, holds) in schema.of.items()} | {"empty": "boolean"}
+    c = F.from_json("body", f"struct<{','.join(f'{n}:{fields[n]}' for n in sorted(fields))}>")
+    rows = references.withColumn("c", c)
+    blank = F.coalesce(F.col("c.empty"), F.lit(False))
+    bare = canonical_json(F.struct(F.col("c.empty").alias("empty"), F.col("c.prefix").alias("prefix")))
+    records, size = F.col("c.entryCount") + F.col("c.observationCount"), F.col("c.plaintextByteLength")
+    budget = F.when(records == 1, limits["shard_bytes"]).otherwise(limits["shard_target"])
+    rules = [
+        ("reference: closed", F.when(blank, F.col("body") == bare).otherwise((F.col("body") == canonical_json(F.col("c"))) & F.col("c.empty").isNotNull())),
+        *((f"reference: {name}", rule if name == "prefix" else blank | rule) for name, rule in schema.rules(F.col("c"))),
+        ("reference: records", blank | records.between(1, limits["records_per_leaf"])),
+        ("reference: budget", blank | F.coalesce(size <= budget, F.lit(True))),
+    ]
+    return violations(rows, F.col("identity"), rules)
+
+
 def parse_roots(texts: DataFrame, limits: dict = V2) -> tuple[DataFrame, DataFrame]:
     """(references, violations) of root manifests; a root must be in canonical form."""
     opened = _opened(texts, limits["root_bytes"])
     fine = opened.where("refusal IS NULL").withColumn("c", F.from_json("text", schemas.ROOT))
     c = lambda f: F.col(f"c.{f}")
     refs = c("references")
+    total = lambda f: F.aggregate(refs, F.lit(0).cast("bigint"), lambda a, r: a + F.coalesce(r[f], F.lit(0)))
+    # strictly ascending: each once and in order
+    sorted_ = lambda x: x == F.array_sort(F.array_distinct(x))
     rules = [
         ("canonical", sj.is_canonical(F.col("data"))),
         ("fields", _exactly(F.col("text"), ROOT_FIELDS)),
         ("role", (c("payloadVersion") == 2) & (c("nodeType") == "root") & (c("partitionVersion") == 1)),
-        ("parents", schemas.unique_within(c("parents"), limits["parents"])),
-        ("epochs", schemas.unique_within(c("requiredEpochs"), limits["epochs"])),
+        ("parents", (F.size(c("parents")) <= limits["parents"]) & sorted_(c("parents")) & F.forall(c("parents"), lambda p: p.rlike(schemas.DIGEST))),
+        ("epochs", (F.size(c("requiredEpochs")) <= limits["epochs"]) & sorted_(c("requiredEpochs")) & F.forall(c("requiredEpochs"), lambda e: e.rlike(schemas.ID16))),
         ("references", (F.size(refs) >= 1) & (F.size(refs) <= limits["references"])),
-        ("order", F.transform(refs, lambda r: r["prefix"]) == F.array_sort(F.array_distinct(F.transform(refs, lambda r: r["prefix"])))),
+        ("order", sorted_(F.transform(refs, lambda r: r["prefix"]))),
         ("reference epoch", F.forall(refs, lambda r: r["empty"] | F.array_contains(c("requiredEpochs"), r["rootEpoch"]))),
-        ("entries", F.aggregate(refs, F.lit(0).cast("bigint"), lambda a, r: a + F.coalesce(r["entryCount"], F.lit(0))) == c("entryCount")),
-        ("observations", F.aggregate(refs, F.lit(0).cast("bigint"), lambda a, r: a + F.coalesce(r["observationCount"], F.lit(0))) == c("observationCount")),
-        ("shard bytes", F.aggregate(refs, F.lit(0).cast("bigint"), lambda a, r: a + F.coalesce(r["plaintextByteLength"], F.lit(0))) <= limits["total_shard_bytes"]),
+        ("counts", c("entryCount").between(0, limits["entries"]) & c("observationCount").between(0, limits["observations"])),
+        ("entries", total("entryCount") == c("entryCount")),
+        ("observations", total("observationCount") == c("observationCount")),
+        ("shard bytes", total("plaintextByteLength") <= limits["total_shard_bytes"]),
     ]
     broken = violations(fine, F.col("revision"), rules).union(opened.where("refusal IS NOT NULL").select(F.concat(F.lit("json: "), "refusal"), "revision"))
-    return fine.select("revision", F.explode("c.references").alias("r")).select("revision", "r.*"), broken
+    raw = fine.select("revision", F.explode(F.from_json("text", "struct<references:array<variant>>")["references"]).alias("r"))
+    nested = reference_violations(raw.select(F.col("revision").alias("identity"), sj.json_canonical(F.encode(F.to_json("r"), "UTF-8")).alias("body")), limits)
+    return fine.select("revision", F.explode("c.references").alias("r")).select("revision", "r.*"), broken.union(nested.distinct())
+
+
+@dataclass
+class Preflight:
+    references: DataFrame  # revision and the members of each reference
+    totals: DataFrame  # revision, entries, observations, bytes, shards: sums over its references
+    violations: DataFrame  # rule, identity (of the revision)
+
+
+def preflight_roots(texts: DataFrame, limits: dict = V2) -> Preflight:
+    """Root manifests (revision, data) checked before any shard is read, all in one pass.
+
+    Besides the rules of a root and of each reference, prefixes must cover the whole range
+    without gaps or overlaps.
+    """
+    refs, broken = parse_roots(texts, limits)
+    cover = cover_violations(refs.select("revision", "prefix"), group=["revision"]).select(F.concat(F.lit("cover: "), "rule").alias("rule"), F.col("revision").alias("identity"))
+    held = ~F.col("empty")
+    add = lambda c: F.coalesce(F.sum(F.when(held, F.col(c))), F.lit(0)).cast("bigint")
+    totals = refs.groupBy("revision").agg(
+        add("entryCount").alias("entries"), add("observationCount").alias("observations"), add("plaintextByteLength").alias("bytes"), F.count_if(held).alias("shards")
+    )
+    return Preflight(refs, totals, broken.union(cover.distinct()))
 
 
 def parse_shards(texts: DataFrame, limits: dict = V2) -> tuple[DataFrame, DataFrame]:

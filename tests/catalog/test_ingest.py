@@ -55,6 +55,45 @@ def test_nodes(spark):
     assert {"record: closed", "record: named kind"} <= found and all(rule.startswith("record: ") for rule in found)
 
 
+def reference(prefix, entries=2, observations=1, **change):
+    from test_records import EPOCH, ID, PLACE2
+
+    return {
+        "prefix": prefix, "empty": False, "recordId": ID, "generationId": ID, "rootEpoch": EPOCH, "wireSha256": "a" * 64, "wireByteLength": 300, "plaintextByteLength": 200,
+        "entryCount": entries, "observationCount": observations, "canonicalRecordsSha256": "b" * 64, "locators": [PLACE2],
+    } | change
+
+
+def test_preflight_of_roots(spark):
+    from test_records import EPOCH, PLACE
+
+    without = lambda d, k: {a: b for a, b in d.items() if a != k}
+    full = [reference(d) if d != "3" else {"prefix": "3", "empty": True} for d in "0123456789abcdef"]
+    root = {"payloadVersion": 2, "nodeType": "root", "partitionVersion": 1, "parents": ["c" * 64], "entryCount": 30, "observationCount": 15, "requiredEpochs": [EPOCH], "references": full}
+    swap = lambda at, ref: root | {"references": [*full[:at], ref, *full[at + 1 :]]}
+    cases = {
+        "fine": (root, set()), "whole": (root | {"references": [{"prefix": "", "empty": True}], "entryCount": 0, "observationCount": 0, "requiredEpochs": []}, set()),
+        "gap": (root | {"references": [r for r in full if r["prefix"] != "3"]}, {"cover: gap"}), "first": (root | {"references": [r for r in full if r["prefix"] != "0"], "entryCount": 28, "observationCount": 14}, {"cover: first"}),
+        "last": (root | {"references": full[:-1], "entryCount": 28, "observationCount": 14}, {"cover: last"}), "nested": (root | {"references": [*full[:5], {"prefix": "40", "empty": True}, *full[5:]]}, {"cover: overlap", "cover: gap"}),
+        "order": (root | {"references": [full[1], full[0], *full[2:]]}, {"order"}), "twice": (root | {"references": [full[3], *full]}, {"order", "cover: overlap"}),
+        "entries": (root | {"entryCount": 31}, {"entries"}), "observations": (root | {"observationCount": 0}, {"observations"}), "many": (root | {"entryCount": 10_001}, {"counts", "entries"}),
+        "epoch": (root | {"requiredEpochs": []}, {"reference epoch"}), "epochs": (root | {"requiredEpochs": [EPOCH, EPOCH]}, {"epochs"}), "parents": (root | {"parents": ["d" * 64, "c" * 64]}, {"parents"}), "digest": (root | {"parents": ["C" * 64]}, {"parents"}),
+        "budget": (swap(0, reference("0", plaintextByteLength=256 * 1024 + 1)), {"reference: budget"}), "one": (swap(0, reference("0", 2, 0, plaintextByteLength=256 * 1024)) | {"observationCount": 14}, set()),
+        "single": (swap(0, reference("0", 1, 0, plaintextByteLength=1 << 20)) | {"entryCount": 29, "observationCount": 14}, set()), "single more": (swap(0, reference("0", 1, 0, plaintextByteLength=(1 << 20) + 1)) | {"entryCount": 29, "observationCount": 14}, {"reference: bytes", "reference: budget"}),
+        "no records": (swap(0, reference("0", 0, 0)) | {"entryCount": 28, "observationCount": 14}, {"reference: records"}), "too many": (swap(0, reference("0", 1024, 1)) | {"entryCount": 1052}, {"reference: records"}),
+        "absent": (swap(0, without(reference("0"), "wireSha256")), {"reference: closed", "reference: wire digest"}), "null": (swap(0, reference("0", recordId=None)), {"reference: ids"}), "more": (swap(0, reference("0", zone=None)), {"reference: closed"}),
+        "blank": (swap(3, {"prefix": "3", "empty": True, "entryCount": 0}), {"reference: closed"}), "wide": (swap(0, reference("0", locators=[PLACE])), {"reference: locators"}), "no locators": (swap(0, reference("0", locators=[])), {"reference: locators"}),
+        "upper": (swap(3, {"prefix": "3G", "empty": True}), {"reference: prefix", "cover: gap"}), "fields": (without(root, "parents"), {"fields", "parents"}),
+    }
+    got = ingest.preflight_roots(spark.createDataFrame([(k, sj.canonical(r).encode()) for k, (r, _) in cases.items()], "revision string, data binary").repartition(4))
+    found = {k: set() for k in cases}
+    for r in got.violations.collect():
+        found[r.identity].add(r.rule)
+    assert found == {k: rules for k, (_, rules) in cases.items()}
+    totals = {r.revision: (r.entries, r.observations, r.bytes, r.shards) for r in got.totals.collect()}
+    assert totals["fine"] == (30, 15, 3000, 15) and totals["whole"] == (0, 0, 0, 0) and totals["single"] == (29, 14, 2800 + (1 << 20), 15)
+
+
 def test_records_of_shards(spark):
     from test_records import META, PACKAGE, PLACE2, RECEIPT, SEEN, SNAPSHOT2, TOMBSTONE
 
