@@ -137,6 +137,17 @@ def test_snapshots_in_other_places_are_one_claim(spark):
         merge.claim_views(df, 16)
 
 
+def test_claims_with_any_characters_are_one(spark):
+    wide = "\U0001f600 é \u2028 \\ \" / end"
+    here, there = (PLACE | {"accountBinding": {"scheme": "s", "value": wide}, "objectId": o} for o in "ab")
+    odd = SNAPSHOT | {"label": wide, "metadata": META | {"applicationId": wide}}
+    rows = [odd | {"locators": [here]}, odd | {"locators": [there]}, odd | {"locators": [there, here]}]
+    df = spark.createDataFrame([("snapshot", "i", sj.canonical(b)) for b in rows] + [("snapshot", "alone", sj.canonical(rows[0]))], "kind string, identity string, body string")
+    assert merge.identity_conflicts(df).count() == 0
+    got = {r.identity: r.body for r in merge.claim_views(df).collect()}
+    assert got == {"i": sj.canonical(odd | {"locators": [here, there]}), "alone": sj.canonical(rows[0])}
+
+
 def test_hostile_extents(spark):
     rows = [(1, 0, 1, 0, 10), (1, 0, 2, 10, 5), (1, 0, 3, 14, 1), (1, 0, 4, -1, 1), (1, 1, 5, 2**53 - 2, 4), (1, 1, 6, 0, 1), (1, 2, 6, 0, 1), (1, 3, 7, None, 1)]
     df = spark.createDataFrame(rows, "group int, pack int, shard int, offset bigint, length bigint").withColumn("pack_hash", F.sha2(F.col("pack").cast("string"), 256))
