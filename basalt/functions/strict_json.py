@@ -94,23 +94,95 @@ def check_text(text: str) -> None:
         raise Refused("surrogate")
 
 
-def refusal(data: bytes | None, most: int = PLAINTEXT_BYTES, depth: int = JSON_DEPTH) -> str | None:
-    """The class of the first error, or None for a text that is fine."""
+MARKS = re.compile(r'"(?:[^"\\]|\\.)*"|[\[\]{}]')
+SURROGATE = re.compile(r"\\u[dD][89a-fA-F]")
+
+
+class _Odd(Exception):
+    """What the built-in parser reads and the walk has to look at."""
+
+
+class _Reader:
+    """The built-in parser, stopped at all that it is laxer about; ``plain`` tells that its own printer gives the canonical form."""
+
+    def __init__(self) -> None:
+        self.plain = True
+        self.decoder = json.JSONDecoder(object_pairs_hook=self._object, parse_float=self._float, parse_int=self._int, parse_constant=self._constant)
+
+    def _object(self, pairs: list[tuple]) -> dict:
+        out = dict(pairs)
+        if len(out) != len(pairs):
+            raise _Odd
+        return out
+
+    def _float(self, token: str) -> float:
+        self.plain = False
+        x = float(token)
+        if not math.isfinite(x):
+            raise _Odd
+        return x
+
+    def _int(self, token: str) -> int:
+        if len(token) > 15 or token == "-0":
+            self.plain = False
+            if not math.isfinite(float(token)):
+                raise _Odd
+        return int(token)
+
+    def _constant(self, token: str):
+        raise _Odd
+
+    def read(self, text: str, depth: int):
+        """The value of a text that is fine; anything else raises."""
+        if SURROGATE.search(text):
+            raise _Odd
+        if text.count("[") + text.count("{") > depth:
+            level = 0
+            for m in MARKS.finditer(text):
+                c = m.group()
+                level += c in "[{"
+                level -= c in "]}"
+                if level > depth:
+                    raise _Odd
+        self.plain = text.isascii() or max(text) < "\U00010000"
+        return self.decoder.decode(text)
+
+
+_reader = _Reader()
+
+
+def read(data: bytes | None, most: int = PLAINTEXT_BYTES, depth: int = JSON_DEPTH) -> tuple[str | None, str | None]:
+    """(class of the first error, canonical text); one of them is None.
+
+    A text that the built-in parser reads, with nothing in it that is refused, is fine. Only others
+    are walked, for the class of their first error.
+    """
     if data is None:
-        return "empty"
+        return "empty", None
     if len(data) > most:
-        return "too-large"
+        return "too-large", None
     if data.startswith(b"\xef\xbb\xbf"):
-        return "bom"
+        return "bom", None
     try:
         text = data.decode("utf-8")
     except UnicodeDecodeError:
-        return "utf-8"
+        return "utf-8", None
     try:
-        _scan(text, depth)
-    except Refused as e:
-        return str(e)
-    return None
+        value = _reader.read(text, depth)
+    except (_Odd, ValueError, RecursionError):
+        try:
+            _scan(text, depth)
+        except Refused as e:
+            return str(e), None
+        return None, canonical(json.loads(text))
+    if _reader.plain:
+        return None, json.dumps(value, ensure_ascii=False, separators=(",", ":"), sort_keys=True)
+    return None, canonical(value)
+
+
+def refusal(data: bytes | None, most: int = PLAINTEXT_BYTES, depth: int = JSON_DEPTH) -> str | None:
+    """The class of the first error, or None for a text that is fine."""
+    return read(data, most, depth)[0]
 
 
 def _number(x) -> str:
@@ -136,15 +208,19 @@ def canonical(value) -> str:
     return _number(value) if isinstance(value, (int, float)) else json.dumps(value, ensure_ascii=False)
 
 
-@F.pandas_udf(T.StringType())
-def json_refusal(data: pd.Series) -> pd.Series:
-    return data.map(lambda d: refusal(None if d is None else bytes(d)))
+@F.pandas_udf(T.StructType([T.StructField("refusal", T.StringType()), T.StructField("canonical", T.StringType())]))
+def json_read(data: pd.Series) -> pd.DataFrame:
+    """Why a text is refused, or its canonical form; each text is read once for both."""
+    return pd.DataFrame([read(None if d is None else bytes(d)) for d in data], columns=["refusal", "canonical"])
+
+
+def json_refusal(data: Column | str) -> Column:
+    return json_read(data)["refusal"]
 
 
-@F.pandas_udf(T.StringType())
-def json_canonical(data: pd.Series) -> pd.Series:
+def json_canonical(data: Column | str) -> Column:
     """Null for refused texts."""
-    return data.map(lambda d: None if d is None or refusal(bytes(d)) else canonical(json.loads(bytes(d))))
+    return json_read(data)["canonical"]
 
 
 def is_canonical(data: Column) -> Column:

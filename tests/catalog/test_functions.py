@@ -63,6 +63,37 @@ def test_strict_json(data, why):
         assert json.loads(sj.canonical(json.loads(data))) == json.loads(data)
 
 
+def walked(data):
+    """By the walk alone."""
+    try:
+        text = data.decode()
+        sj._scan(text, 32)
+    except UnicodeDecodeError:
+        return "utf-8", None
+    except sj.Refused as e:
+        return str(e), None
+    return None, sj.canonical(json.loads(text))
+
+
+def test_reading_equals_the_walk():
+    from hypothesis import given, settings, strategies as st
+
+    some = [*REFUSED, b'{"b":1,"a":[2.50,-0,1e3,12345678901234567890]}', "{\"\U00010000\":1,\"\uffff\":2}".encode(), b'{"a":"\\u0001\\/","A":"[[["}', b"-0", b"[-0.0]", b'["\\u00e9"]', b"9007199254740993", b"1" * 400]
+    some += [b'{"x":' * 32 + b"1" + b"}" * 32, b'{"x":' * 33 + b"1" + b"}" * 33, b'["' + b"[" * 50 + b'"]', b'["\\"[[",' + b"[" * 31 + b"]" * 31 + b"]", b"[" * 5000 + b"]" * 5000]
+    for data in some:
+        if data and not data.startswith(b"\xef\xbb\xbf"):
+            assert sj.read(data) == walked(data), data[:40]
+
+    @settings(max_examples=1500, deadline=None)
+    @given(st.one_of(st.text(alphabet=st.sampled_from('{}[]:,"\\u0dea1-.eE \n/tn'), max_size=14), st.recursive(st.one_of(st.none(), st.integers(), st.floats(), st.text(max_size=3)), lambda x: st.one_of(st.lists(x, max_size=3), st.dictionaries(st.text(max_size=2), x, max_size=3))).map(json.dumps)))
+    def agrees(text):
+        data = text.encode()
+        if data:
+            assert sj.read(data) == walked(data)
+
+    agrees()
+
+
 def test_canonical_text(spark):
     value = {"b": [1.0, 1e21, 1e-7, 0.1, -0.0, 123456789012345680000], "a": {"\U00010000": 1, "￿": None}, "é": True}
     assert sj.canonical(value) == '{"a":{"\U00010000":1,"￿":null},"b":[1,1e+21,1e-7,0.1,0,123456789012345680000],"é":true}'
