@@ -14,7 +14,7 @@ from decimal import Decimal, InvalidOperation
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
-from basalt.plans.limits import JSON_DEPTH, PLAINTEXT_BYTES
+from basalt.plans.limits import JSON_DEPTH, PLAINTEXT_BYTES, V2
 
 TOKEN = re.compile(r'[ \t\n\r]*(?:([{}\[\]:,])|("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|(-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?)(?![\w.+-])|(true|false|null)(?!\w)|(//|/\*)|$)')
 
@@ -211,11 +211,11 @@ def canonical(value) -> str:
 @F.pandas_udf(T.StructType([T.StructField("refusal", T.StringType()), T.StructField("canonical", T.StringType())]))
 def json_read(data: pd.Series) -> pd.DataFrame:
     """Why a text is refused, or its canonical form; each text is read once for both."""
-    return pd.DataFrame([read(None if d is None else bytes(d)) for d in data], columns=["refusal", "canonical"])
+    return pd.DataFrame([read(None if d is None else bytes(d), V2["plan_bytes"]) for d in data], columns=["refusal", "canonical"])
 
 
-def json_refusal(data: Column | str) -> Column:
-    return json_read(data)["refusal"]
+def json_refusal(data: Column | str, most: int = PLAINTEXT_BYTES) -> Column:
+    return F.when(F.octet_length(data) > most, "too-large").otherwise(json_read(data)["refusal"])
 
 
 def json_canonical(data: Column | str) -> Column:

@@ -41,8 +41,8 @@ def _exactly(text: Column, fields: tuple[str, ...]) -> Column:
 
 
 def _opened(texts: DataFrame, most: int) -> DataFrame:
-    own = texts.select("revision", "data", F.col("data").cast("string").alias("text"))
-    return own.withColumn("refusal", F.when(F.octet_length("data") > most, "too-large").otherwise(sj.json_refusal("data")))
+    own = texts.withColumn("text", F.col("data").cast("string"))
+    return own.withColumn("refusal", sj.json_refusal("data", most))
 
 
 def parse_catalogs(texts: DataFrame, limits: dict = V1, most: int = PLAINTEXT_BYTES) -> Catalogs:
@@ -173,28 +173,53 @@ def preflight_roots(texts: DataFrame, limits: dict = V2) -> Preflight:
     return Preflight(refs, totals, broken.union(cover.distinct()))
 
 
+def _tagged(rows: DataFrame, limits: dict) -> tuple[DataFrame, DataFrame]:
+    """(rows with kind and body, violations) of rows (revision, r variant, ...): each names its kind and has a body of that kind, and nothing else."""
+    rows = rows.withColumn("text", F.to_json("r"))
+    tagged = violations(rows, F.col("revision"), [("record: fields", _exactly(F.col("text"), RECORD_FIELDS))])
+    kind = F.try_variant_get("r", "$.recordKind", "string")
+    body = sj.json_canonical(F.encode(F.to_json(F.try_variant_get("r", "$.body", "variant")), "UTF-8"))
+    parsed = rows.withColumns({"kind": kind, "body": body}).drop("r", "text")
+    own = parsed.select("kind", F.col("revision").alias("identity"), "body")
+    nested = record_violations(own, limits["locators"], version=2).union(kind_mismatches(own).select(F.lit("named kind"), "identity"))
+    return parsed, tagged.union(nested.select(F.concat(F.lit("record: "), "rule"), "identity"))
+
+
 def parse_shards(texts: DataFrame, limits: dict = V2) -> tuple[DataFrame, DataFrame]:
-    """(records: revision, prefix, kind, body; violations) of shard nodes.
+    """(records: revision, prefix, position, kind, body; violations) of shard nodes.
 
-    Each record must name its kind and have a body, and nothing else; the body is held
+    ``texts`` may have a column ``shard`` that tells those of a revision apart, which records
+    then have too. Each record must name its kind and have a body, and nothing else; the body is held
     against the closed schema of its kind in the second format, and must name that kind itself.
     """
     opened = _opened(texts, limits["shard_bytes"])
     fine = opened.where("refusal IS NULL").withColumn("c", F.from_json("text", SHARD))
     c = lambda f: F.col(f"c.{f}")
+    n = F.size(c("records"))
+    budget = F.when(n == 1, limits["shard_bytes"]).otherwise(limits["shard_target"])
     rules = [
         ("canonical", sj.is_canonical(F.col("data"))),
         ("fields", _exactly(F.col("text"), SHARD_FIELDS)),
         ("role", (c("payloadVersion") == 2) & (c("nodeType") == "shard") & (c("partitionVersion") == 1)),
         ("prefix", c("prefix").rlike(schemas.HEX_PREFIX)),
-        ("records", (F.size(c("records")) >= 1) & (F.size(c("records")) <= limits["records_per_leaf"])),
+        ("records", (n >= 1) & (n <= limits["records_per_leaf"])),
+        ("budget", F.octet_length("data") <= budget),
     ]
     broken = violations(fine, F.col("revision"), rules).union(opened.where("refusal IS NOT NULL").select(F.concat(F.lit("json: "), "refusal"), "revision"))
-    rows = fine.select("revision", F.col("c.prefix").alias("prefix"), F.explode("c.records").alias("r")).withColumn("text", F.to_json("r"))
-    tagged = violations(rows, F.col("revision"), [("record: fields", _exactly(F.col("text"), RECORD_FIELDS))])
-    kind = F.try_variant_get("r", "$.recordKind", "string")
-    body = sj.json_canonical(F.encode(F.to_json(F.try_variant_get("r", "$.body", "variant")), "UTF-8"))
-    parsed = rows.select("revision", "prefix", kind.alias("kind"), body.alias("body"))
-    own = parsed.select("kind", F.col("revision").alias("identity"), "body")
-    nested = record_violations(own, limits["locators"], version=2).union(kind_mismatches(own).select(F.lit("named kind"), "identity"))
-    return parsed, broken.union(tagged.union(nested.select(F.concat(F.lit("record: "), "rule"), "identity")).distinct())
+    kept = [x for x in ("revision", "shard") if x in texts.columns]
+    parsed, nested = _tagged(fine.select(*kept, F.col("c.prefix").alias("prefix"), F.posexplode("c.records").alias("position", "r")), limits)
+    return parsed, broken.union(nested).distinct()
+
+
+def parse_records(texts: DataFrame, limits: dict = V2) -> tuple[DataFrame, DataFrame]:
+    """(records: revision, kind, body; violations) of canonical arrays of records (revision, data), which plans are made from."""
+    opened = _opened(texts, limits["plan_bytes"])
+    fine = opened.where("refusal IS NULL").withColumn("c", F.from_json("text", "array<variant>"))
+    rules = [
+        ("canonical", sj.is_canonical(F.col("data"))),
+        ("array", F.startswith(F.ltrim("text"), F.lit("[")) & F.col("c").isNotNull()),
+        ("records", F.coalesce(F.size("c"), F.lit(0)) <= limits["records"]),
+    ]
+    broken = violations(fine, F.col("revision"), rules).union(opened.where("refusal IS NOT NULL").select(F.concat(F.lit("json: "), "refusal"), "revision"))
+    parsed, nested = _tagged(fine.select("revision", F.explode("c").alias("r")), limits)
+    return parsed, broken.union(nested).distinct()
