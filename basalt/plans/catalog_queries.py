@@ -552,6 +552,85 @@ def root_preflight(spark, sf_dir):
     return got.totals.join(told, F.col("identity") == F.col("revision"), "left").select("revision", "entries", "observations", "bytes", "shards", F.coalesce("rules", F.lit("")).alias("rules"))
 
 
+# from bytes: each order is a tombstone
+
+DEAD = f"""dead AS (SELECT *, {ROUTE} AS route, octet_length(encode(body))::BIGINT AS bytes FROM (SELECT 'tombstone' AS kind, id AS identity, key, revision,
+    '{{"body":{{"entryKind":"tombstone","eventId":"' || id || '","reason":"superseded","recordedAt":"2026-01-01T00:00:00Z","targetPackageSha256":"' || sha256(key::VARCHAR) || '"}},"recordKind":"tombstone"}}' AS body
+  FROM (SELECT o_orderkey AS key, o_custkey // 10 AS revision, rtrim(translate(to_base64(unhex(sha256('event ' || o_orderkey))), '+/', '-_'), '=') AS id FROM orders)))"""
+
+
+def _tombstones(spark, sf_dir) -> DataFrame:
+    """revision, identity, route, body and record (canonical texts) of orders."""
+    event = fn.label_id(F.concat(F.lit("event "), order_id()))
+    body = F.format_string('{"entryKind":"tombstone","eventId":"%s","reason":"superseded","recordedAt":"2026-01-01T00:00:00Z","targetPackageSha256":"%s"}', event, F.sha2(order_id(), 256))
+    o = table(spark, sf_dir, "orders").select(F.floor(F.col("o_custkey") / 10).alias("revision"), event.alias("identity"), body.alias("body"))
+    return o.withColumns({"route": fn.route_hash(F.lit("tombstone"), F.col("identity")), "record": F.concat(F.lit('{"body":'), "body", F.lit(',"recordKind":"tombstone"}'))})
+
+
+@query(
+    f"""WITH {DEAD}, d AS (SELECT unnest(range(0, 8)) AS d), g AS (SELECT d, substr(route, 1, d) AS prefix, count(*) AS n, sum(bytes)::BIGINT AS b FROM dead, d GROUP BY 1, 2),
+      f AS (SELECT *, n = 1 OR (n <= 300 AND 84 + d + b + n <= 60000) AS fits FROM g),
+      m AS (SELECT substr(s.route, 1, 7) AS deep, min(f.d) FILTER (f.fits) AS depth FROM (SELECT DISTINCT substr(route, 1, 7) AS route FROM dead) s JOIN f ON f.prefix = substr(s.route, 1, f.d) GROUP BY 1),
+      found AS (SELECT DISTINCT substr(deep, 1, depth) AS prefix FROM m), inside AS (SELECT DISTINCT substr(deep, 1, d) AS prefix FROM m, d WHERE d < depth),
+      below AS (SELECT prefix || substr('0123456789abcdef', i::INT, 1) AS prefix FROM inside, range(1, 17) AS r(i)),
+      t AS (SELECT prefix, count(*) AS entries, string_agg(body, ',' ORDER BY route, identity) AS r FROM found JOIN dead ON starts_with(route, prefix) GROUP BY prefix),
+      p AS (SELECT *, '{{"nodeType":"shard","partitionVersion":1,"payloadVersion":2,"prefix":"' || prefix || '","records":[' || r || ']}}' AS payload FROM t)
+      SELECT prefix, false AS empty, entries, octet_length(encode(payload))::BIGINT AS bytes, sha256('[' || r || ']') AS fingerprint, sha256(payload) AS payload FROM p
+      UNION ALL SELECT prefix, true, NULL, NULL, NULL, NULL FROM below WHERE prefix NOT IN (SELECT prefix FROM found) AND prefix NOT IN (SELECT prefix FROM inside)"""
+)
+def planned_shards(spark, sf_dir):
+    """Arrays of records as bytes, one for ten customers each, planned into the shards of one catalog."""
+    from basalt.plans.limits import V2
+    from basalt.plans.planner import plan_shards
+
+    own = _tombstones(spark, sf_dir).groupBy("revision").agg(F.array_join(F.collect_list("record"), ",").alias("all"))
+    texts = own.select(F.col("revision").cast("string").alias("revision"), F.encode(F.concat(F.lit("["), "all", F.lit("]")), "UTF-8").alias("data"))
+    whole = {k: 1 << 50 for k in ("entries", "observations", "records", "references", "total_shard_bytes", "live_bytes")}  # the tables' size, not a catalog's, is the bound
+    plan = plan_shards(texts, V2 | whole | {"records_per_leaf": 300, "shard_target": 60_000})
+    return plan.leaves.select("prefix", "empty", "entries", "bytes", "fingerprint", F.sha2("payload", 256).alias("payload"))
+
+
+@query(
+    f"""WITH {DEAD}, sh AS (SELECT revision, substr(route, 1, 1) AS d, count(*) AS n FROM dead GROUP BY 1, 2),
+      t AS (SELECT revision, sum(n)::BIGINT AS n, max(n) AS most, arg_min(n, d) AS first_n FROM sh GROUP BY 1)
+      SELECT revision, n - CASE WHEN revision % 8 = 4 THEN first_n ELSE 0 END AS entries, CASE revision % 8 WHEN 1 THEN CASE WHEN most > 1 THEN 'manifest: fingerprint,order in a shard' ELSE '' END
+        WHEN 2 THEN 'entries,entries of records' WHEN 3 THEN 'epoch,reference epoch' WHEN 4 THEN 'bytes of shards,entries of records,manifest: missing,number of shards' WHEN 5 THEN 'manifest: fingerprint'
+        WHEN 6 THEN 'bytes of shards,manifest: bytes' WHEN 7 THEN 'bytes of shards,manifest: bytes,over budget' ELSE '' END AS rules FROM t WHERE n > CASE WHEN revision % 8 = 4 THEN first_n ELSE 0 END"""
+)
+def revision_rules(spark, sf_dir):
+    """Roots and shards of many revisions as bytes, one for ten customers each, most with one flaw."""
+    from basalt.plans.planner import shard_text
+    from basalt.plans.revision import validate_revisions
+
+    flaw = F.col("revision") % 8
+    t = _tombstones(spark, sf_dir).withColumn("d", F.substring("route", 1, 1))
+    rows = F.array_sort(F.collect_list(F.struct("route", "identity", "record")))  # some records of ten customers
+    text = lambda rows: F.array_join(F.transform(rows, lambda x: x["record"]), ",")
+    own = t.groupBy("revision", "d").agg(F.count("*").alias("n"), text(rows).alias("r"), text(F.reverse(rows)).alias("back"))
+    own = checkpoint(own.withColumn("payload", shard_text(F.col("d"), F.when(flaw == 1, F.col("back")).otherwise(F.col("r")))))
+    id32, id16 = "A" * 42 + "E", "A" * 21 + "A"
+    place = '[{"accountBinding":{"scheme":"google-drive-permission-id","value":"v"},"objectId":"o","provider":"google-drive","revisionId":null}]'
+    length = F.octet_length(F.encode("payload", "UTF-8")) + F.when(flaw == 6, 1).when(flaw == 7, -1).otherwise(0)
+    held = F.format_string(
+        f'{{"canonicalRecordsSha256":"%s","empty":false,"entryCount":%d,"generationId":"{id32}","locators":{place},"observationCount":0,"plaintextByteLength":%d,"prefix":"%s",'
+        f'"recordId":"{id32}","rootEpoch":"{id16}","wireByteLength":300,"wireSha256":"{"a" * 64}"}}',
+        F.when(flaw == 5, F.lit("b" * 64)).otherwise(F.sha2(F.concat(F.lit("["), "r", F.lit("]")), 256)), F.col("n"), length, F.col("d"),
+    )
+    every = own.select("revision").distinct().select("revision", F.explode(F.array(*(F.lit(x) for x in shards.HEX))).alias("d"))
+    refs = every.join(own.select("revision", "d", "n", held.alias("ref")), ["revision", "d"], "left").withColumn("ref", F.coalesce("ref", F.format_string('{"empty":true,"prefix":"%s"}', "d")))
+    roots = refs.groupBy("revision").agg(F.sum("n").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("d", "ref"))), lambda x: x["ref"]), ",").alias("refs"))
+    data = F.format_string(
+        '{"entryCount":%d,"nodeType":"root","observationCount":0,"parents":[],"partitionVersion":1,"payloadVersion":2,"references":[%s],"requiredEpochs":[%s]}',
+        F.col("n") + F.when(flaw == 2, 1).otherwise(0), F.col("refs"), F.when(flaw == 3, "").otherwise(f'"{id16}"'),
+    )
+    lowest = own.groupBy("revision").agg(F.min("d").alias("lowest"))
+    sent = own.join(lowest, "revision").where(~((flaw == 4) & (F.col("d") == F.col("lowest"))))
+    nodes = sent.select("revision", F.conv("d", 16, 10).cast("int").alias("position"), F.encode("payload", "UTF-8").alias("data"))
+    got = validate_revisions(roots.select("revision", F.encode(data, "UTF-8").alias("data")), nodes)
+    told = got.violations.groupBy("identity").agg(F.array_join(F.array_sort(F.collect_set("rule")), ",").alias("rules"))
+    return got.totals.join(told, F.col("identity") == F.col("revision"), "left").select("revision", "entries", F.coalesce("rules", F.lit("")).alias("rules"))
+
+
 # layouts: events as two revisions of records
 
 

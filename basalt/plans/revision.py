@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, Window, functions as F
 
 from basalt.operators import shards, validate
+from basalt.operators.ordered_digest import ordered_digest
 from basalt.plans import schemas
+from basalt.plans.durable import written
+from basalt.plans.limits import V2
+from basalt.plans.planner import revision_state, routed
+from basalt.sources import ingest
 
 # Locators as JSON texts: bodies are canonical, so equal places are equal texts.
 SNAPSHOT_CLAIMS = "struct<package:struct<byteLength:bigint>,locators:array<string>>"
@@ -58,3 +65,67 @@ def revision_violations(references: DataFrame, records: DataFrame, required: Dat
         out = out.unionByName(part)
     extra = epochs.where("side = 'extra'").agg(F.count("*").alias("n"), F.max("epoch").alias("epoch")).where("n > 1")
     return out.unionByName(say(extra, F.lit("epochs beyond one"), F.col("epoch")))
+
+
+@dataclass
+class Revisions:
+    violations: DataFrame  # rule, identity (of the revision)
+    totals: DataFrame  # revision, entries, observations, epochs, live, live_bytes
+    live: DataFrame  # revision, digest, byte_length
+    first_over: DataFrame  # revision, position, length, used: the shard that goes over the bytes that its root declares
+
+
+def validate_revisions(roots: DataFrame, nodes: DataFrame, limits: dict = V2) -> Revisions:
+    """Whole sharded revisions from bytes, many side by side.
+
+    roots: revision, data; nodes: revision, position, data, the shards of each revision in
+    turn. Manifests, shards and records are held to their schemas, shards to the references of
+    their root, and records to each other. Violations are complete: a revision is valid
+    if it has none. Orders and digests are of single shards, which the limits bound; all
+    else goes by keys.
+    """
+    pre = ingest.preflight_roots(roots, limits)
+    refs = written(pre.references, "references")
+    nodes = nodes.select("revision", F.col("position").alias("shard"), "data", F.octet_length("data").cast("bigint").alias("length"))
+    parsed, broken = ingest.parse_shards(nodes, limits)
+    records = written(routed(parsed), "records")
+    say = lambda df, rule, by="revision": df.select(rule if not isinstance(rule, str) else F.lit(rule).alias("rule"), F.col(by).alias("identity"))
+
+    # as many shards, and as many bytes in turn, as the root declares
+    declared = pre.totals.select("revision", F.col("shards").alias("n"), "bytes")
+    budget = F.least(F.coalesce("bytes", F.lit(0)), F.lit(limits["total_shard_bytes"]))
+    first = shards.over_budget(nodes.join(declared, "revision", "left"), "revision", "shard", "length", budget).withColumnRenamed("shard", "position")
+    sent = nodes.groupBy("revision").agg(F.count("*").alias("sent"), F.sum("length").alias("length"))
+    both = declared.join(sent, "revision", "full_outer")
+    out = say(first, "over budget")
+    out = out.union(say(both.where("n IS NULL"), "no root")).union(say(both.where("coalesce(n, 0) <> coalesce(sent, 0)"), "number of shards")).union(say(both.where("coalesce(bytes, 0) <> coalesce(length, 0)"), "bytes of shards"))
+
+    # in a shard: strictly ascending, and of its prefix
+    w = Window.partitionBy("revision", "shard").orderBy("position")
+    key = F.struct("route", "kind", "identity")
+    turned = records.withColumns({"key": key, "before": F.lag(key).over(w)})
+    out = out.union(say(turned.where("before >= key"), "order in a shard")).union(say(shards.misplaced(records), "misplaced record"))
+
+    # shards against references
+    entry = (F.col("kind") != "observation").cast("int")
+    held = ordered_digest(records, ["revision", "shard", "prefix"], [F.col("position")], F.col("record"), {"entries": entry, "observations": 1 - entry}).drop("records")
+    held = held.join(nodes.select("revision", "shard", F.col("length").alias("bytes")), ["revision", "shard"])
+    told = refs.where("NOT empty").select(
+        F.struct("revision", "prefix").alias("prefix"), F.col("entryCount").alias("entries"), F.col("observationCount").alias("observations"), F.col("plaintextByteLength").alias("bytes"), F.col("canonicalRecordsSha256").alias("fingerprint")
+    )
+    twice = validate.duplicates(held, ["revision", "prefix"])
+    differ = shards.reconcile(told, held.select(F.struct("revision", "prefix").alias("prefix"), "entries", "observations", "bytes", "fingerprint"))
+    out = out.union(say(twice, "repeated shard")).union(say(differ, F.concat(F.lit("manifest: "), "rule").alias("rule"), "prefix.revision"))
+
+    # records against each other, and against the totals and epochs that the root declares
+    state = revision_state(records, "revision", limits)
+    declared = roots.select("revision", F.from_json(F.col("data").cast("string"), "struct<entryCount:bigint,observationCount:bigint,requiredEpochs:array<string>>").alias("c"))
+    sums = declared.select("revision", "c.*").join(state.totals, "revision", "left").fillna(0, ["entries", "observations"])
+    out = out.union(say(sums.where("NOT entries <=> entryCount"), "entries of records")).union(say(sums.where("NOT observations <=> observationCount"), "observations of records"))
+    known = state.epochs.union(refs.where("NOT empty").select("revision", F.col("rootEpoch").alias("epoch"))).where("epoch IS NOT NULL").distinct()
+    required = declared.select("revision", F.explode("c.requiredEpochs").alias("epoch")).distinct()
+    missing = known.join(required, ["revision", "epoch"], "left_anti")
+    extra = required.join(known, ["revision", "epoch"], "left_anti").groupBy("revision").agg(F.count("*").alias("n")).where("n > 1")
+    out = out.union(say(missing, "epoch")).union(say(extra, "epochs beyond one"))
+    out = out.union(say(state.violations, F.col("rule"))).union(pre.violations).union(broken)
+    return Revisions(out.distinct(), state.totals, state.live, first)
