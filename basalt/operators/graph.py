@@ -64,8 +64,8 @@ def cycle_nodes(edges: DataFrame) -> DataFrame:
     return left.select(F.col("child").alias("node")).union(left.select("parent")).distinct()
 
 
-def tombstone_live_conflicts(live: DataFrame, dead: DataFrame, closure: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(identity, n_claims) alive at one head and dead at another, neither being the other's ancestor.
+def tombstone_live_conflicts(live: DataFrame, dead: DataFrame, closure: DataFrame, nodes: DataFrame, bodies: bool = False) -> DataFrame:
+    """(identity, n_claims), with ``bodies`` also claims in order, alive at one head and dead at another, neither being the other's ancestor.
 
     live, dead: (head, identity, body). What one head holds both of is dead there. Heads
     with missing ancestors decide nothing.
@@ -74,4 +74,5 @@ def tombstone_live_conflicts(live: DataFrame, dead: DataFrame, closure: DataFram
     pairs = alive.select(F.col("head").alias("a"), "identity").distinct().join(dead.select(F.col("head").alias("b"), "identity").distinct(), "identity")
     found = incomparable(pairs, closure, nodes).select("identity").distinct()
     claims = alive.select("identity", "body").union(dead.select("identity", "body")).distinct()
-    return claims.join(found, "identity").groupBy("identity").agg(F.count("*").alias("n_claims"))
+    listed = [F.array_sort(F.collect_list("body")).alias("claims")] if bodies else []
+    return claims.join(found, "identity").groupBy("identity").agg(F.count("*").alias("n_claims"), *listed)

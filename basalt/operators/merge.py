@@ -12,27 +12,28 @@ from basalt.operators.validate import enforce
 CONFLICTS = {"snapshot": "snapshot-claim", "tombstone": "event-claim", "root-update-receipt": "receipt-claim", "observation": "observation-claim"}
 
 
-def claim_views(records: DataFrame, most: int | None = None) -> DataFrame:
-    """(kind, identity, body), once each: the union of all revisions given.
+def claim_views(records: DataFrame, most: int | None = None, by: list[str] | None = None) -> DataFrame:
+    """(kind, identity, body), once each: the union of all revisions given, or of each group ``by``, whose columns come first.
 
     Two snapshots that differ only in their locators make one claim, with the locators of
     both, each once and in order. ``body`` is canonical, so ``"locators":`` and the list after
     it stand in it once: quotes inside its strings are escaped. Locators that break their
     schema aren't united. The shuffle carries each distinct body once per task. With ``most``, more locators are an error.
     """
-    own = records.select("kind", "identity", "body").distinct()
+    by = by or []
+    own = records.select(*by, "kind", "identity", "body").distinct()
     # read with their type and written again, so that their text is the one in the body, whatever characters it holds
     own = own.withColumn("held", F.when(F.col("kind") == "snapshot", F.from_json("body", f"struct<locators:array<{LOCATOR}>>")["locators"]))
     name = '"locators":'
     text = F.concat(F.lit(name), canonical_json(F.col("held")))
     placed = F.coalesce(F.contains("body", text), F.lit(False))
     cut = own.where(placed).withColumn("core", F.replace(F.col("body"), text, F.lit(name)))
-    each = cut.select("kind", "identity", "core", F.explode_outer("held").alias("locator")).withColumn("locator", canonical_json(F.col("locator")))
-    united = each.groupBy("kind", "identity", "core").agg(F.array_sort(F.collect_set("locator")).alias("locators"))
+    each = cut.select(*by, "kind", "identity", "core", F.explode_outer("held").alias("locator")).withColumn("locator", canonical_json(F.col("locator")))
+    united = each.groupBy(*by, "kind", "identity", "core").agg(F.array_sort(F.collect_set("locator")).alias("locators"))
     if most is not None:
         enforce(united.where(F.size("locators") > most).select("identity"), "limit")
     body = F.replace(F.col("core"), F.lit(name), F.concat(F.lit(name + "["), F.array_join("locators", ","), F.lit("]")))
-    return own.where(~placed).drop("held").union(united.select("kind", "identity", body))
+    return own.where(~placed).drop("held").union(united.select(*by, "kind", "identity", body))
 
 
 def identity_conflicts(records: DataFrame) -> DataFrame:

@@ -631,6 +631,32 @@ def revision_rules(spark, sf_dir):
     return got.totals.join(told, F.col("identity") == F.col("revision"), "left").select("revision", "entries", F.coalesce("rules", F.lit("")).alias("rules"))
 
 
+@query(
+    """WITH o AS (SELECT o_orderkey AS key, rtrim(translate(to_base64(unhex(sha256('event ' || o_orderkey))), '+/', '-_'), '=') AS identity FROM orders),
+         c AS (SELECT identity, '{"entryKind":"tombstone","eventId":"' || identity || '","reason":"' || reason || '","recordedAt":"2026-01-01T00:00:00Z","targetPackageSha256":"' || sha256(key::VARCHAR) || '"}' AS body
+               FROM o, (VALUES ('superseded'), ('user-request')) v(reason) WHERE reason = 'superseded' OR key % 9 = 0)
+       SELECT identity, CASE WHEN count(*) > 1 THEN 'event-claim' END AS conflict, string_agg(body, '|' ORDER BY body) AS claims FROM c GROUP BY 1"""
+)
+def reconcile_catalogs(spark, sf_dir):
+    """Catalogs as bytes, one for ten customers each, and a later revision of each that claims something else of every ninth order."""
+    from basalt.plans.limits import V1
+    from basalt.plans.reconcile import reconcile_catalogs as reconcile_bytes
+
+    t = _tombstones(spark, sf_dir).select("revision", "body", F.col("body").alias("later"))
+    keyed = table(spark, sf_dir, "orders").where("o_orderkey % 9 = 0").select(fn.label_id(F.concat(F.lit("event "), order_id())).alias("event"))
+    t = t.withColumn("event", F.get_json_object("body", "$.eventId")).join(keyed.withColumn("again", F.lit(True)), "event", "left")
+    t = t.withColumn("later", F.when(F.col("again"), F.replace("body", F.lit('"superseded"'), F.lit('"user-request"'))).otherwise(F.col("body")))
+    own = t.groupBy("revision").agg(F.array_join(F.collect_list("body"), ",").alias("first"), F.array_join(F.collect_list("later"), ",").alias("second"))
+    name = lambda which: F.sha2(F.concat(F.lit(which), F.col("revision").cast("string")), 256)
+    text = lambda c, parents: F.encode(F.concat(F.lit('{"payloadVersion":1,"parents":['), parents, F.lit('],"entries":['), c, F.lit('],"observations":[]}')), "UTF-8")
+    texts = own.select(name("first").alias("revision"), text(F.col("first"), F.lit("")).alias("data"))
+    texts = texts.union(own.select(name("second"), text(F.col("second"), F.concat(F.lit('"'), name("first"), F.lit('"')))))
+    # the tables' size, not a catalog's, is the bound
+    got = reconcile_bytes(checkpoint(texts), V1 | {k: 1 << 30 for k in ("inputs", "entries", "observations", "parents")} | {"result_bytes": 1 << 50})
+    agreed = got.union.select("identity", F.lit(None).cast("string").alias("conflict"), F.col("body").alias("claims"))
+    return agreed.union(got.conflicts.select("identity", "conflict", F.array_join("claims", "|")))
+
+
 # layouts: events as two revisions of records
 
 

@@ -7,7 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from basalt.operators import graph, merge
-from basalt.operators.validate import CatalogError, at_most
+from basalt.operators.validate import CatalogError, at_most, duplicates, enforce
+from basalt.plans.durable import checkpoint, written
+from basalt.plans.limits import V1
+from basalt.plans.planner import revision_state, routed
+from basalt.sources import ingest
 
 
 @dataclass
@@ -50,3 +54,117 @@ def reconcile(records: DataFrame, nodes: DataFrame, edges: DataFrame, live: Data
         found = graph.tombstone_live_conflicts(live, dead, graph.ancestor_closure(edges), nodes)
         conflicts = conflicts.union(found.select(F.lit("tombstone-live"), F.col("identity").cast("string"), "n_claims"))
     return Reconciliation(nodes, merge.merged_union(records), conflicts, graph.heads(nodes, edges), graph.missing_parents(nodes, edges))
+
+
+#: Rules of a catalog that are bounds; others are about its form.
+BOUNDS = ("entries", "observations", "locators")
+
+
+@dataclass
+class CatalogReconciliation:
+    """Nothing ever wins over another claim: ``union`` stands for a catalog only if ``conflicts`` is empty."""
+
+    nodes: DataFrame  # node
+    union: DataFrame  # kind, identity, body, in no order
+    conflicts: DataFrame  # conflict, identity, claims in order
+    heads: DataFrame  # node
+    missing_parents: DataFrame  # node
+    bytes: int  # what the result takes, by the accounting of the format
+    whole: bool
+    freshness: str = "unknown"
+
+    def catalog(self) -> DataFrame:
+        """One row (data): the canonical text of the union, parsed and checked again; no row if anything conflicts.
+
+        One text holds all records, which the limits of the format bound.
+        """
+        spark = self.nodes.sparkSession
+        if not self.whole:
+            return spark.createDataFrame([], "data binary")
+        entry = F.col("kind") != "observation"
+        row = F.struct("kind", "identity", "body")
+        listed = lambda which: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(which, row))), lambda x: x["body"]), ",")
+        body = self.union.agg(listed(entry).alias("e"), listed(~entry).alias("o"))
+        parents = self.heads.agg(F.array_sort(F.collect_list("node")).alias("p"))
+        text = F.concat(F.lit('{"entries":['), "e", F.lit('],"observations":['), "o", F.lit('],"parents":'), F.to_json("p"), F.lit(',"payloadVersion":1}'))
+        out = written(body.join(parents, F.lit(True)).select(F.encode(text, "UTF-8").alias("data")), "catalog")  # one row each
+        parsed_catalogs(out.select(F.lit("union").alias("revision"), "data"))
+        return out
+
+
+def parsed_catalogs(texts: DataFrame, limits: dict = V1) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(records: revision, kind, identity, body, package; nodes: node, canonical; edges: child, parent) of full snapshots (revision, data).
+
+    Errors are of the class that they belong to: input, limit, conflict (one catalog, one identity, several claims)
+    and reference. Equal records of one catalog count once, and their locators are united.
+    """
+    read = ingest.parse_catalogs(texts, limits)
+    broken = checkpoint(read.violations)
+    enforce(broken.where(~F.col("rule").isin(*BOUNDS)), "input")
+    enforce(broken, "limit")
+    both = read.entries.select("revision", "kind", "identity", "body").union(read.observations.select("revision", F.lit("observation"), "identity", "body"))
+    views = merge.claim_views(both, limits["locators"], by=["revision"])
+    records = written(routed(views).select("revision", "kind", "identity", "body", "package"), "records")
+    enforce(duplicates(records, ["revision", "kind", "identity"]), "conflict")
+    state = revision_state(records, "revision", {"entries": limits["entries"], "observations": limits["observations"], "epochs": 1 << 62, "live_bytes": 1 << 62})
+    enforce(state.violations, "reference")
+    return records, read.revisions.select(F.col("revision").alias("node"), "canonical"), read.parents
+
+
+def accounted(texts: DataFrame, column: str, overhead: int) -> DataFrame:
+    """One row: bytes of canonical texts, with ``overhead`` for each."""
+    return texts.agg(F.coalesce(F.sum(F.octet_length(column) + overhead), F.lit(0)).cast("bigint").alias("bytes"))
+
+
+def reconcile_catalogs(texts: DataFrame, limits: dict = V1) -> CatalogReconciliation:
+    """Concurrent revisions of one catalog from bytes: ``texts`` are revision (digest) and data.
+
+    A digest may come twice with one payload, in any formatting; with two it is a conflict.
+    The bytes of the result are accounted for as they come: sources, live and dead
+    claims, heads and parents, then the union or the conflicting claims.
+    """
+    most, overhead, used = limits["result_bytes"], limits["record_overhead"], 0
+    at_most(texts, limits["inputs"])
+    if texts.isEmpty():
+        raise CatalogError("limit", "no revisions")
+    enforce(texts.where(~F.coalesce(F.col("revision").rlike("^[0-9a-f]{64}$"), F.lit(False))).select("revision"), "input")
+
+    def account(*parts: tuple[DataFrame, str]) -> None:
+        nonlocal used
+        for df, column in parts:
+            used += accounted(df, column, overhead).first()["bytes"]
+            if used > most:
+                raise CatalogError("limit", "bytes of the result")
+
+    said = lambda df, c: df.select(F.concat(F.lit('"'), c, F.lit('"')).alias("said"))
+    records, sources, edges = parsed_catalogs(texts, limits)
+    twice = merge.revision_dedupe(sources.select(F.col("node").alias("revision"), F.col("canonical").alias("payload")))
+    enforce(twice.where("conflict").select("revision"), "conflict")
+    nodes = checkpoint(twice.select(F.col("revision").alias("node")))
+    edges = checkpoint(edges.distinct())
+    account((said(nodes, "node"), "said"), (nodes.select(F.lit("1").alias("said")), "said"), (said(edges, "parent"), "said"), (records, "body"))
+    if not edges.where("child = parent").isEmpty() or not graph.cycle_nodes(edges).isEmpty():
+        raise CatalogError("input", "cycle of revisions")
+    heads, missing = checkpoint(graph.heads(nodes, edges)), checkpoint(graph.missing_parents(nodes, edges))
+    own = records.join(heads.select(F.col("node").alias("revision")), "revision")
+    live = own.where("kind = 'snapshot'").select(F.col("revision").alias("head"), "identity", "body")
+    dead = own.where("kind = 'tombstone'").select(F.col("revision").alias("head"), F.col("package").alias("identity"), "body")
+    found = graph.tombstone_live_conflicts(live, dead, graph.ancestor_closure(edges), nodes, bodies=True)
+    concurrent = checkpoint(found.select(F.lit("tombstone-live").alias("conflict"), "identity", "claims"))
+    claims = lambda df: df.select(F.explode("claims").alias("body"))
+    account((said(concurrent, "conflict"), "said"), (said(concurrent, "identity"), "said"), (claims(concurrent), "body"))
+    account((said(heads, "node"), "said"), (said(missing, "node"), "said"), (nodes.limit(1).select(F.lit('"unknown"').alias("said")), "said"))
+
+    views = written(merge.claim_views(records, limits["locators"]), "views")
+    sizes = views.agg(F.count_if(F.col("kind") != "observation").alias("e"), F.count_if(F.col("kind") == "observation").alias("o")).first()
+    if sizes["e"] > limits["entries"] or sizes["o"] > limits["observations"] or heads.count() > limits["parents"]:
+        raise CatalogError("limit", "records of the union")
+    clashing = checkpoint(merge.identity_conflicts(views).select("conflict", "identity", "claims"))
+    conflicts = clashing.union(concurrent)
+    union = merge.merged_union(views)
+    whole = conflicts.isEmpty()
+    if whole:
+        account((nodes.limit(1).select(F.lit("1").alias("said")), "said"), (said(heads, "node"), "said"), (union, "body"))
+    else:
+        account((said(clashing, "conflict"), "said"), (said(clashing, "identity"), "said"), (claims(clashing), "body"))
+    return CatalogReconciliation(nodes, union, conflicts, heads, missing, used, whole)
