@@ -71,7 +71,7 @@ def format_chats(
     conversation (``formatted``); those with ``loss`` hold what is trained on.
     ``attachments`` lists (message, type, ref, tokens) in placeholder order.
 
-    Turns go by ``turn_col`` (nulls first; equal turns by role, then content; all
+    Turns go by ``turn_col`` (nulls first; equal turns by role, then text; all
     repeated rows stay). Null roles, null part types and null texts are an empty
     role, ``text`` and an empty text; a null conversation id is a conversation of
     its own; an unknown part type is a placeholder of its type without tokens. A
@@ -93,7 +93,9 @@ def format_chats(
         lambda p: F.struct(p["type"].alias("type"), p["ref"].alias("ref"), part_tokens(p, patch, audio_rate, page_tokens).alias("tokens")),
     )
     role = F.coalesce(F.col(role_col), F.lit(""))
-    turn = F.struct(F.col(turn_col).alias("turn"), role.alias("role"), content.alias("content"), refs.alias("refs"))
+    # equal turns go by what they say, not by how it is escaped
+    said = F.transform(parts, lambda p: F.coalesce(F.when(_is_text(p), p["text"]).otherwise(p["type"]), F.lit("")))
+    turn = F.struct(F.col(turn_col).alias("turn"), role.alias("role"), F.array_join(said, "").alias("said"), content.alias("content"), refs.alias("refs"))
     chats = messages.select(F.col(conv_col).alias("conv_id"), turn.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
     plain = lambda text: F.struct(text.alias("text"), F.lit(False).alias("loss"))
     segments = F.flatten(

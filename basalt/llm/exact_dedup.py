@@ -96,22 +96,30 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     identifier and text) stays once.
     """
     names = docs.columns
+    taken = {c.lower() for c in names}
+
+    def free(name: str) -> str:
+        while name in taken:
+            name = f"_{name}"
+        return name
+
+    id_, sha, repeat, own_sha = free("gone_id"), free("gone_sha"), free("gone_repeat"), free("own_sha")
     gone = (
         exact_dedup(docs, id_col, text_col, fan_in)
         .where("NOT kept")
         .select(
-            F.col("doc_id").alias("__id"),
-            F.col("text_sha256").alias("__sha"),
-            F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("__repeat"),
+            F.col("doc_id").alias(id_),
+            F.col("text_sha256").alias(sha),
+            F.col("doc_id").eqNullSafe(F.col("keep_id")).alias(repeat),
         )
         .distinct()
     )
     gone = checkpoint(gone)
-    own = docs.withColumn("__own", F.sha2(normalised(F.col(text_col)), 256))
+    own = docs.withColumn(own_sha, F.sha2(normalised(F.col(text_col)), 256))
 
     def meets(keys: DataFrame, how: str) -> DataFrame:
-        return own.join(keys, own[id_col].eqNullSafe(keys["__id"]) & (own["__own"] == keys["__sha"]), how)
+        return own.join(keys, own[id_col].eqNullSafe(keys[id_]) & (own[own_sha] == keys[sha]), how)
 
     stays = meets(gone, "left_anti")
-    once = meets(gone.where("__repeat"), "left_semi").dropDuplicates([id_col, "__own"])
-    return stays.unionByName(once).select(*names)
+    once = meets(gone.where(F.col(repeat)), "left_semi").dropDuplicates([id_col, own_sha])
+    return stays.unionByName(once).select(*(F.col(f"`{c}`") for c in names))

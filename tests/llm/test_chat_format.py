@@ -39,3 +39,18 @@ def test_parts_are_placeholders(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], f"conv_id int, turn int, role string, parts array<{cf.PART}>")
     assert cf.format_chats(df).count() == 0
+
+
+def test_ties_and_nulls_equal_sql(spark, tmp_path):
+    import duckdb
+
+    from basalt.llm.queries import OP3, op3_chat_format
+
+    texts = ["<", "A", "\\", ">", "]", "", None, "<part image>"]
+    rows = [(c, t, r, x) for c in (1, None) for t in (0, 0, None) for r in ("user", "assistant", None) for x in texts]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want, got = con.sql(OP3), op3_chat_format(spark, str(tmp_path))
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(map(repr, map(tuple, got.select(*want.columns).collect()))) == sorted(map(repr, want.fetchall()))

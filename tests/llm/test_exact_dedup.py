@@ -46,3 +46,12 @@ def test_keep_first_and_empty(spark):
     assert len(texts) == len(set(texts)) == len({norm(t) for _, t, *_ in rows()})
     assert exact_dedup(df.where(F.lit(False))).count() == 0
     assert keep_first(df.where(F.lit(False))).count() == 0
+
+
+def test_columns_of_any_name_are_kept(spark):
+    names = ["__own", "__id", "__sha", "__repeat", "own_sha", "gone_id", "gone_sha", "gone_repeat", "_own_sha", "kept", "a.b"]
+    rows = [(i, t, *[f"{n}{i}" for n in names]) for i, t in [(3, "x y"), (1, "x  y"), (2, "z"), (2, "z"), (None, None)]]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    got = keep_first(docs)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted({r for r in rows if r[0] != 3}, key=str)
