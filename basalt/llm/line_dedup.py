@@ -10,6 +10,9 @@ bit-parallel edit distance. Everything is a DataFrame expression.
 A key that many lines are indexed under is hot. Lines there meet under finer keys
 instead: what lies left and right of the segment has its own share of the edits, is
 cut into more parts than these can touch, and all untouched parts join the key.
+
+What counts in the end is which lines links join. So a family of like lines costs one star
+of pairs, not all: further pairs are made only between what isn't joined yet.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ COUNTED = " eniatosrhldcumfpgwybvk.,"
 COUNTS = 6  # of ten bits each, in one number of a profile
 #: Lines indexed under one key, beyond which finer keys take its place.
 HOT = 16
+#: Rounds in which one line under a finer key is held against the others, and pairs a line after which no more are made.
+STARS, FEW = 6, 16
 
 
 def profile(line: str = "line") -> Column:
@@ -247,17 +252,37 @@ def _met(own: DataFrame, tiers: list[tuple[int, int, int | None]]) -> DataFrame:
     return checkpoint(met.select("x", "y", "key", "edits", "place.*"))
 
 
-def _fine_pairs(met: DataFrame, texts: DataFrame, distance: int) -> DataFrame:
-    """Pairs (a, b) of lines under hot keys that share a finer key and have similar counts of characters."""
+def _fine_rows(met: DataFrame, texts: DataFrame, distance: int) -> tuple[DataFrame, DataFrame]:
+    """(indexed, probing): (id, p, fine) of lines under hot keys by their finer keys; probes have their ``d`` too."""
 
-    def finer(probes: bool, line: str) -> DataFrame:
+    def finer(probes: bool) -> DataFrame:
         rows = met.where("x IS NULL" if probes else "x IS NULL AND d = 0 AND shift = 0").select(F.col("y").alias("h"), "key", "d", "i", "shift")
         rows = rows.join(texts, "h").withColumn("n", F.length("line") - F.col("d"))
-        return _finer(rows, distance, probes).select(F.col("h").alias(line), F.col("p").alias(f"p_{line}"), "fine", *(["d"] if probes else []))
+        return _finer(rows, distance, probes).select("id", "p", "fine", "d").distinct()
+
+    return finer(False).drop("d"), finer(True)
+
+
+def _across(indexed: DataFrame, probing: DataFrame, component: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(indexed, probing) with ``c``, the component of each line, and ``odd``: whether it isn't the one that most indexed lines under the finer key have.
+
+    Keys whose lines are all in one component are left out: a link there joins nothing.
+    """
+    named = lambda rows: rows.join(component, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    x, y = named(indexed), named(probing)
+    most = x.groupBy("fine", "c").agg(F.count("*").alias("n")).groupBy("fine").agg(F.max_by("c", F.struct("n", "c")).alias("most"))
+    mark = lambda rows: rows.join(unaligned(most, "fine"), "fine").withColumn("odd", F.col("c") != F.col("most")).drop("most")
+    x, y = mark(x), mark(y)
+    mixed = x.where("odd").select("fine").union(y.where("odd").select("fine")).distinct()
+    keep = lambda rows: rows.join(unaligned(mixed, "fine"), "fine", "left_semi")
+    return checkpoint(keep(x)), checkpoint(keep(y))
 
-    # of two lines of one length either may be the probe, so one of both ways is enough
-    both = finer(False, "x").join(finer(True, "y"), "fine").where("x < y OR (d > 0 AND x <> y)").where(alike("p_x", "p_y", distance))
-    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+def _pairs(x: DataFrame, y: DataFrame, distance: int) -> DataFrame:
+    """Pairs (a, b) of indexed and probing lines under one finer key, in different components, with similar counts of characters."""
+    x = x.select("fine", F.col("id").alias("x"), F.col("p").alias("p_x"), F.col("c").alias("c_x"))
+    both = x.join(y, "fine").where("x <> id AND c_x <> c").where(alike("p_x", "p", distance))
+    return both.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"))
 
 
 def _only(lines: DataFrame, hashes: DataFrame) -> DataFrame:
@@ -270,6 +295,47 @@ def _only(lines: DataFrame, hashes: DataFrame) -> DataFrame:
     return own.join(F.broadcast(bits), "bucket").where(hit).drop("__p", "bucket", "bits")
 
 
+def _links(rows: list, cold: DataFrame, texts: DataFrame, distance: int, least: int) -> DataFrame:
+    """Links (a, b) that join all lines which links join: first ``cold`` pairs and, under each finer key, pairs with one line of it.
+
+    In a family of lines that are all alike these make one component. Other pairs under a
+    finer key are looked at only where they would join two: one of the two lines then
+    isn't of the largest component there. While these are many, another line of theirs is held against all, as the first was.
+    """
+    side = lambda s: texts.select(F.col("id").alias(s), F.col("p").alias(f"p_{s}"), F.col("line").alias(f"line_{s}"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = checkpoint(pairs.distinct()).join(side("a"), "a").join(side("b"), "b").where(alike("p_a", "p_b", distance))
+        return within(both.select("a", "b", "line_a", "line_b"), "line_a", "line_b", distance, least)
+
+    alone = lambda df: df.withColumns({"c": F.col("id"), "odd": F.lit(True)})
+    hub = lambda x: x.where("odd").groupBy("fine").agg(F.min(F.struct("id", "p", "c")).alias("h")).select("fine", "h.*")
+    cand = cold
+    for edits, x, y in rows:
+        cand = cand.union(_pairs(hub(alone(x)), alone(y), edits))
+    links = checkpoint(verified(cand))
+    for last in (*[False] * (STARS - 1), True):
+        component = connected_components(links)
+        cand, more, enough = None, 0, 0
+        for edits, x, y in rows:
+            x, y = _across(x, y, component)
+            # either line of a pair may be the odd one
+            full = _pairs(x.where("odd"), y, edits).union(_pairs(x.where("NOT odd"), y.where("odd"), edits))
+            n = x.groupBy("fine").agg(F.count("*").alias("n"), F.count_if("odd").alias("odd")).join(y.groupBy("fine").agg(F.count("*").alias("m"), F.count_if("odd").alias("odd_m")), "fine")
+            size = n.agg(F.coalesce(F.sum(F.col("odd") * F.col("m") + (F.col("n") - F.col("odd")) * F.col("odd_m")), F.lit(0)), F.coalesce(F.sum(F.col("n") + F.col("m")), F.lit(0))).first()
+            star = _pairs(hub(x), y, edits)
+            more, enough = more + size[0], enough + size[1]
+            cand = (full, star) if cand is None else (cand[0].union(full), cand[1].union(star))
+        if not more:
+            break
+        last = last or more <= FEW * enough
+        links = checkpoint(links.union(verified(cand[0] if last else cand[1])))
+        tidy(texts.sparkSession)
+        if last:
+            break
+    return links
+
+
 def near_lines(docs: DataFrame, distance: int = 2, least: int = 20, short: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_lines, n_kept, n_exact, n_near, dropped.
 
@@ -299,18 +365,15 @@ def near_lines(docs: DataFrame, distance: int = 2, least: int = 20, short: int =
     wanted = cold.select(F.col("a").alias("h")).union(cold.select("b")).union(hot).distinct()
     texts = _only(own.select("h", "line"), wanted)
     texts = checkpoint(texts.join(wanted, "h").withColumn("id", F.monotonically_increasing_id()).withColumn("p", profile()))
-    cand = cold
-    for edits, *_ in tiers:
-        cand = cand.union(_fine_pairs(met.where(F.col("edits") == edits), texts, edits))
-    cand = checkpoint(cand.distinct())
-    del cold, hot, wanted, met
+    rows = [(edits, *(written(side, "finer") for side in _fine_rows(met.where(F.col("edits") == edits), texts, edits))) for edits, *_ in tiers]
+    ids = texts.select("h", "id")
+    cand = cold.join(ids.select(F.col("h").alias("a"), F.col("id").alias("id_a")), "a").join(ids.select(F.col("h").alias("b"), F.col("id").alias("id_b")), "b")
+    links = _links(rows, cand.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")), texts, distance, least)
+    del cold, hot, wanted, met, cand
     tidy(docs.sparkSession)
-    side = lambda s: texts.select(F.col("h").alias(s), F.col("id").alias(f"id_{s}"), F.col("p").alias(f"p_{s}"), F.col("line").alias(f"line_{s}"))
-    pairs = cand.join(side("a"), "a").join(side("b"), "b").where(alike("p_a", "p_b", distance)).select("id_a", "id_b", "line_a", "line_b")
-    links = within(pairs, "line_a", "line_b", distance, least).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
     linked = texts.join(connected_components(links), "id").select("component", "line")
     linked = checkpoint(_hashed(linked).select("component", "h1", "h2"))
-    del pairs, links
+    del links, rows
     tidy(docs.sparkSession)
     name = linked.groupBy("component").agg(F.min(F.struct("h1", "h2")).alias("class"))
     linked = linked.join(name, "component").select("h1", "h2", "class")

@@ -117,3 +117,53 @@ def test_query_over_whole_table(spark):
         return 3
 
     assert sorted((tuple(r) for r in op5_line_dedup(spark, sf).collect()), key=str) == brute(docs, 2, 20, quick, 10)
+
+
+def family(n, places):
+    """Lines of one template that differ at some places."""
+    out = []
+    for k in range(n):
+        t = list("service worker 0000 reported that all of its queues are empty, total xx and yy")
+        for j, at in enumerate(places):
+            t[at] = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ#$%&()*+/"[k // 71**j % 71]
+        out.append("".join(t))
+    return out
+
+
+def spanned(lines, limit):
+    """Component of each line by brute force."""
+    root = list(range(len(lines)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(lines):
+        for j in range(i):
+            if find(i) != find(j) and sum(x != y for x, y in zip(a, lines[j])) <= limit:
+                root[find(i)] = find(j)
+    return [find(i) for i in range(len(lines))]
+
+
+@pytest.mark.parametrize("places", ((30, 70), (3, 4, 5)))
+def test_dense_families_equal_brute_force(spark, places):
+    lines = family(300, places) if len(places) == 2 else [family(71**2, places[:2])[k] for k in range(0, 300)]
+    if len(places) > 2:
+        rng = random.Random(len(places))
+        lines = sorted({"".join(rng.choice("01234") if at in places else c for at, c in enumerate(lines[0])) for _ in range(250)})
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id int, text string").repartition(3)
+    kept = {r.doc_id for r in ld.near_lines(df, 2, 20, 10).where("n_kept = 1").collect()}
+    comp = spanned(lines, 2)
+    assert kept == {min(i for i in range(len(lines)) if comp[i] == c) for c in set(comp)}
+
+
+def test_a_family_of_thousands_is_one_star(spark):
+    import time
+
+    lines = family(5000, (30, 70))
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id int, text string").repartition(4)
+    began = time.time()
+    assert [r.doc_id for r in ld.near_lines(df, 2, 20, 10).where("n_kept = 1").collect()] == [0]
+    print(f"{time.time() - began:.0f} s")
+    assert time.time() - began < 150
