@@ -245,7 +245,47 @@ def decimal_one(token: pd.Series) -> pd.Series:
     return token.map(lambda t: t is not None and is_decimal_one(t))
 
 
+def _member_tokens(text: str, path: tuple[str, ...]) -> list[str]:
+    """Raw tokens of the values at ``path``, of a text that ``_scan`` accepts; other than numbers as they begin."""
+    out, way, at, keyed = [], [], 0, None
+    while True:
+        m = TOKEN.match(text, at)
+        sign, string, number, word, _ = m.groups()
+        if not any(m.groups()):
+            return out
+        at = m.end()
+        if sign in ("}", "]"):
+            way.pop()
+            keyed = None
+        elif sign == ",":
+            keyed = None
+        elif sign == ":":
+            continue
+        elif string and way and way[-1][0] == "{" and keyed is None:
+            keyed = json.loads(string)
+            way[-1] = ("{", keyed)
+        else:
+            if len(way) == len(path) and tuple(k for _, k in way) == path:
+                out.append(number or word or string or sign)
+            if sign:
+                way.append((sign, None))
+                keyed = None
+
+
+@F.pandas_udf(T.StringType())
+def _version_token(text: pd.Series) -> pd.Series:
+    def one(t: str | None) -> str | None:
+        if t is None or refusal(t.encode()) is not None:
+            return None
+        found = _member_tokens(t, ("header", "version"))
+        return found[0] if len(found) == 1 and re.match(r"-?\d", found[0]) else None
+
+    return text.map(one)
+
+
 def version_token(text: Column) -> Column:
-    """The raw number token of the one ``"version"`` in a header; null if there is none or several."""
-    found = F.regexp_extract_all(text, F.lit(r'"version"\s*:\s*([-+0-9.eE]+)'), F.lit(1))
-    return F.when(F.size(found) == 1, F.get(found, F.lit(0)))
+    """The raw number token of ``header.version``, whose form a parsed number has lost; null for a refused text or another value.
+
+    Members called ``version`` elsewhere don't count, nor do texts within strings.
+    """
+    return _version_token(text)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from basalt.operators.validate import CatalogError
 from basalt.plans.durable import checkpoint
@@ -76,3 +76,16 @@ def tombstone_live_conflicts(live: DataFrame, dead: DataFrame, closure: DataFram
     claims = alive.select("identity", "body").union(dead.select("identity", "body")).distinct()
     listed = [F.array_sort(F.collect_list("body")).alias("claims")] if bodies else []
     return claims.join(found, "identity").groupBy("identity").agg(F.count("*").alias("n_claims"), *listed)
+
+
+def maximal_generations(snapshots: DataFrame, closure: DataFrame, record: str, generation: str, where: Column | None = None) -> DataFrame:
+    """Of each record the generations that no other of its generations comes after: one, or several that are concurrent.
+
+    ``closure`` is (node, ancestor) over generations. ``where`` are exact filters of the
+    result, which reach the scan of what is returned; what makes a generation obsolete
+    is any generation of its record, whether it passes the filters or not.
+    """
+    own = snapshots.select(F.col(record).alias("_record"), F.col(generation).alias("node"))
+    after = closure.join(own, "node").select("_record", F.col("ancestor").alias("_old")).distinct()
+    kept = snapshots if where is None else snapshots.where(where)
+    return kept.join(after, (kept[record] == after["_record"]) & (kept[generation] == after["_old"]), "left_anti")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
 class CatalogError(ValueError):
@@ -109,3 +109,32 @@ def codec_violations(rows: DataFrame, identity: Column, codec: Column, content:
     known = codec.isin(*policies) if policies else F.lit(False)
     rule = F.when(~F.coalesce(known, F.lit(False)), F.lit("unknown codec")).otherwise(reduce(lambda a, b: F.coalesce(a, b), checks, F.lit(None).cast("string")))
     return rows.select(rule.alias("rule"), identity.alias("identity")).where("rule IS NOT NULL")
+
+
+def binding_mismatches(opened: DataFrame, expected: DataFrame, key: str, column: str = "metadata") -> DataFrame:
+    """(key, path): the members in which what was opened isn't what was expected.
+
+    ``expected`` has ``column`` too, a struct of any part of the members: a member that its
+    type lacks may be anything, one that it has must be equal, and null is equal to null
+    only. A member expected that the opened type doesn't know is a mismatch, as is an
+    expectation of something that wasn't opened, with the path ``column`` itself.
+    """
+    want, have = expected.schema[column].dataType, opened.schema[column].dataType
+    both = expected.select(key, F.col(column).alias("_want"), F.lit(True).alias("_asked")).join(opened.select(key, F.col(column).alias("_have"), F.lit(True).alias("_opened")), key, "left")
+
+    def leaves(w: Column, h: Column | None, kind: T.DataType, here: T.DataType | None, path: str) -> list[tuple[str, Column]]:
+        if isinstance(kind, T.StructType) and isinstance(here, T.StructType):
+            known = {f.name: f.dataType for f in here.fields}
+            out = [(path, F.when(w.isNull() | h.isNull(), w.isNull() & h.isNull()).otherwise(F.lit(True)))]
+            for f in kind.fields:
+                there = known.get(f.name)
+                inner = leaves(w[f.name], h[f.name] if there is not None else None, f.dataType, there, f"{path}.{f.name}")
+                out += [(p, w.isNull() | h.isNull() | ok) for p, ok in inner]
+            return out
+        mixed = isinstance(kind, T.StructType) or isinstance(here, T.StructType)
+        return [(path, F.lit(False) if here is None or mixed else w.eqNullSafe(h))]
+
+    rules = leaves(F.col("_want"), F.col("_have"), want, have, column)
+    rules[0] = (column, F.col("_opened").isNotNull() & rules[0][1])
+    rules[1:] = [(p, F.col("_opened").isNull() | ok) for p, ok in rules[1:]]
+    return violations(both, F.col(key), rules).select(F.col("identity").alias(key), F.col("rule").alias("path"))

@@ -478,6 +478,36 @@ def order_violations(spark, sf_dir):
     return shards.order_violations(rows, "l_orderkey", "place", "l_partkey").drop("before")
 
 
+@query(
+    """SELECT o_orderkey, unnest(list_filter([CASE WHEN o_orderkey % 17 = 0 THEN 'metadata' END, CASE WHEN o_orderkey % 17 <> 0 AND o_orderkey % 5 = 1 THEN 'metadata.network.id' END,
+         CASE WHEN o_orderkey % 17 <> 0 AND o_orderkey % 7 = 2 THEN 'metadata.contract' END, CASE WHEN o_orderkey % 17 <> 0 AND o_orderkey % 3 = 0 THEN 'metadata.codec.sourceCommit' END], lambda x: x IS NOT NULL)) AS path FROM orders"""
+)
+def expected_bindings(spark, sf_dir):
+    """What is expected of each order's metadata, some members of it, against what was opened."""
+    k = F.col("o_orderkey")
+    text = lambda c, name: c.cast("string").alias(name)
+    o = table(spark, sf_dir, "orders")
+    network = lambda c: F.struct(text(c, "id"), F.lit(None).cast("string").alias("genesisHash"))
+    contract = F.struct(text(F.col("o_custkey"), "address"))
+    none = F.lit(None).cast("string")
+    codec = F.struct(text(F.lit("c"), "id"), F.when(k % 3 == 0, "commit").otherwise(none).alias("sourceCommit"))
+    had = F.struct(network(F.col("o_orderpriority")).alias("network"), F.when(k % 7 != 2, contract).alias("contract"), codec.alias("codec"), text(F.col("o_orderstatus"), "applicationId"))
+    want = F.struct(network(F.when(k % 5 == 1, "other").otherwise(F.col("o_orderpriority"))).alias("network"), contract.alias("contract"), F.struct(none.alias("sourceCommit")).alias("codec"))
+    opened = o.where(k % 17 != 0).select("o_orderkey", had.alias("metadata"))
+    return validate.binding_mismatches(opened, o.select("o_orderkey", want.alias("metadata")), "o_orderkey")
+
+
+@query(
+    f"""WITH RECURSIVE {GRAPH}, {CLOSURE}, old AS (SELECT DISTINCT n.conv_id, c.ancestor FROM closure c JOIN nodes n ON n.node = c.node)
+        SELECT conv_id, node, turn FROM nodes WHERE turn % 2 = 0 AND (conv_id, node) NOT IN (SELECT conv_id, ancestor FROM old)"""
+)
+def maximal_generations(spark, sf_dir):
+    """Conversations stand for records, turns for generations; only even turns are asked for."""
+    nodes, edges = _graph(spark, sf_dir)
+    named = nodes.select("node", F.split("node", ":")[0].cast("bigint").alias("conv_id"), F.split("node", ":")[1].cast("bigint").alias("turn"))
+    return graph.maximal_generations(named, graph.ancestor_closure(edges), "conv_id", "node", F.col("turn") % 2 == 0)
+
+
 # many manifests: a customer's orders are the records of one
 
 

@@ -100,7 +100,12 @@ def test_canonical_text(spark):
     assert column(spark, [b'{"a":1}', b'{"a": 1}', b"{"], "binary", sj.is_canonical) == [True, False, False]
     ones = ["1", "1.0", "10e-1", "0.1E+1", "1.01", "2", "1e", "0" * 70]
     assert column(spark, ones, "string", sj.decimal_one) == [True] * 4 + [False] * 4
-    assert column(spark, ['{"version": 1.0}', '{"version":1,"version":2}', "{}"], "string", sj.version_token) == ["1.0", None, None]
+    versions = {
+        '{"header":{"version": 1.0}}': "1.0", '{"header":{"version":1,"version":2}}': None, "{}": None, '{"version":1}': None, '{"header":[{"version":1}]}': None, '[{"header":{"version":1}}]': None, '{"header":{"version":"1"}}': None,
+        '{"body":{"version":2},"header":{"a":{"version":3},"version":10e-1,"b":["version",{"version":4}]},"version":5}': "10e-1", '{"x":"\\"header\\":{\\"version\\":7}","header":{"version":-1}}': "-1", '{"header":{"version":{"version":1}}}': None,
+        '{"header":{"\\u0076ersion":1e0}}': "1e0", '{"header":{"version":1}': None, '{"header":{"a":[],"c":{},"version":0.1E+1}}': "0.1E+1",
+    }
+    assert column(spark, list(versions), "string", sj.version_token) == list(versions.values())
 
 
 def test_envelopes(spark):

@@ -178,3 +178,29 @@ def test_validators(spark):
     assert validate.covers_epochs(required, known, "epoch") and not validate.covers_epochs(known, required, "epoch")
     many = spark.createDataFrame([(e,) for e in "abcd"], "epoch string")
     assert not validate.covers_epochs(many, known, "epoch")
+
+
+def test_expected_bindings(spark):
+    from basalt.operators.validate import binding_mismatches
+
+    meta = "metadata struct<network:struct<id:string,genesisHash:string>,contract:struct<address:string>,states:array<string>>"
+    had = [(1, (("n", None), ("a",), ["x", None])), (2, (None, ("a",), None)), (3, None), (4, (("n", "g"), None, []))]
+    want = [(i, (("n", None), ["x", None])) for i in (1, 2, 3, 4, 5)]
+    opened = spark.createDataFrame(had, f"id int, {meta}")
+    found = lambda rows, kind: sorted((r.id, r.path) for r in binding_mismatches(opened, spark.createDataFrame(rows, kind), "id").collect())
+    got = found(want, "id int, metadata struct<network:struct<id:string,genesisHash:string>,states:array<string>>")
+    assert got == [(2, "metadata.network"), (2, "metadata.states"), (3, "metadata"), (4, "metadata.network.genesisHash"), (4, "metadata.states"), (5, "metadata")]
+    assert found([(i, ((),)) for i in (1, 3)], "id int, metadata struct<network:struct<>>") == [(3, "metadata")]
+    assert found([(3, None), (1, None)], "id int, metadata struct<network:struct<id:string>>") == [(1, "metadata")]
+    assert found([(1, ("x",)), (4, (None,))], "id int, metadata struct<zone:string>") == [(1, "metadata.zone"), (4, "metadata.zone")]
+
+
+def test_concurrent_generations_all_stay(spark):
+    from basalt.operators import graph
+
+    rows = [("r", "a", 1), ("r", "b", 2), ("r", "c", 1), ("s", "a", 1), ("t", None, 1)]
+    snaps = spark.createDataFrame(rows, "record string, generation string, epoch int")
+    closure = graph.ancestor_closure(spark.createDataFrame([("b", "a"), ("c", "a"), ("d", "b")], "child string, parent string"))
+    got = lambda where=None: sorted((r.record, r.generation or "") for r in graph.maximal_generations(snaps, closure, "record", "generation", where).collect())
+    assert got() == [("r", "b"), ("r", "c"), ("s", "a"), ("t", "")]
+    assert got(F.col("epoch") == 1) == [("r", "c"), ("s", "a"), ("t", "")]
