@@ -837,6 +837,23 @@ def journal_put(spark, sf_dir):
     return store.read(spark, path).select("sha256", F.octet_length("data").cast("bigint").alias("bytes"))
 
 
+@query(
+    """SELECT event_id::VARCHAR AS id, CASE WHEN user_id % 40 = 0 THEN event_type || '!' ELSE event_type END AS second, CASE WHEN event_id % 7 <> 0 THEN CASE WHEN user_id % 40 = 0 THEN event_type || '!' ELSE event_type END END AS third FROM events"""
+)
+def object_versions(spark, sf_dir):
+    """All events put, some replaced, then some deleted; readers of the second version and of the third."""
+    from basalt.sources.versions import ObjectLog
+
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("event_id").cast("string").alias("key"), F.lit("data").alias("role"), F.encode("event_type", "UTF-8").alias("data"))
+    log = ObjectLog(spark, scratch(spark, "objects"))
+    log.put(e)
+    log.replace(e.where("user_id % 40 = 0").withColumn("data", F.concat("data", F.encode(F.lit("!"), "UTF-8"))))
+    second = log.open()
+    log.delete(e.where("event_id % 7 = 0"))
+    text = lambda s, name: s.objects().select("key", F.decode("data", "UTF-8").alias(name))
+    return text(second, "second").join(text(log.open(), "third"), "key", "left").withColumnRenamed("key", "id")
+
+
 @query("SELECT DISTINCT sha256(l_orderkey::VARCHAR) AS sha256 FROM lineitem WHERE l_orderkey % 20 <> 0")
 def journal_list(spark, sf_dir):
     i = F.col("l_orderkey")
