@@ -35,8 +35,8 @@ def bucket(identity: Column, buckets: int = BUCKETS) -> Column:
 
 
 def base64url(data: Column) -> Column:
-    """Unpadded."""
-    return F.rtrim(F.translate(F.base64(data), "+/", "-_"), F.lit("="))
+    """Unpadded, in one line."""
+    return F.rtrim(F.translate(F.base64(data), "+/\r\n", "-_"), F.lit("="))  # Spark may break lines
 
 
 def base64url_bytes(text: Column) -> Column:

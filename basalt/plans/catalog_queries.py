@@ -881,6 +881,37 @@ def page_manifest(spark, sf_dir):
     return store.page_manifest(table(spark, sf_dir, "pages"), fn.canonical_url(url, ("h.test",)), F.col("html"))
 
 
+@query(
+    """SELECT c_custkey, CASE c_custkey % 7 WHEN 1 THEN 'authentication' WHEN 2 THEN 'authentication' WHEN 3 THEN 'epoch' WHEN 4 THEN 'closed' END AS failure,
+              CASE WHEN c_custkey % 7 NOT IN (1, 2, 3, 4) THEN sha256('{"name":"' || c_name || '"}') END AS payload FROM customer"""
+)
+def sealed_packages(spark, sf_dir):
+    """Customers sealed and opened again; of some the tag or a header's record is changed, the epoch unknown, or a member added."""
+    from basalt.sources import packages
+
+    k = F.col("c_custkey")
+    id32 = lambda c: fn.base64url(F.unhex(F.sha2(c, 256)))
+    name = k.cast("string")
+    epoch = F.when(k % 7 == 3, "B" * 21 + "A").otherwise("A" * 22)
+    header = F.struct(
+        F.lit("A" * 22).alias("vaultId"), id32(F.lit("salt")).alias("vaultSalt"), epoch.alias("rootEpoch"), id32(F.lit("scope")).alias("scopeId"), id32(F.concat(F.lit("record "), name)).alias("recordId"),
+        id32(F.concat(F.lit("generation "), name)).alias("generationId"), F.lit("snapshot").alias("kind"), fn.base64url(F.substring(F.unhex(F.sha2(name, 256)), 1, 12)).alias("nonce"),
+    )
+    payload = F.encode(fn.canonical_json(F.struct(F.col("c_name").alias("name"))), "UTF-8")
+    secret = F.unhex(F.sha2(F.lit("secret"), 256)).alias("secret")
+    # cut here and below, or each member of a header would be worked out again wherever it is used
+    given = checkpoint(table(spark, sf_dir, "customer").select(name.alias("name"), payload.alias("payload"), header.alias("header"), secret))
+    sealed = packages.seal_packages(given)
+    i, text = F.col("name").cast("bigint") % 7, F.col("wire").cast("string")
+    tag = F.regexp_replace(text, '"tag":"[^"]*"', '"tag":"' + "A" * 22 + '"')
+    record = F.regexp_replace(text, '"recordId":"[^"]*"', '"recordId":"' + "A" * 43 + '"')
+    text = F.when(i == 1, tag).when(i == 2, record).when(i == 4, F.replace(text, F.lit('"tag":'), F.lit('"a":0,"tag":'))).otherwise(text)
+    kept, broken = packages.parse_packages(checkpoint(sealed.select("name", F.encode(text, "UTF-8").alias("wire"))))
+    opened = packages.open_packages(checkpoint(kept), spark.range(1).select(F.lit("A" * 22).alias("epoch"), secret))
+    out = opened.select("name", "failure", F.sha2("payload", 256).alias("payload")).union(broken.select("identity", "rule", F.lit(None).cast("string")))
+    return out.select(F.col("name").cast("bigint").alias("c_custkey"), "failure", "payload")
+
+
 # end to end
 
 

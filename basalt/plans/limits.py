@@ -15,4 +15,5 @@ V2 = {
 BUCKETS, PACK_TARGET, JOURNAL_ENTRIES = 64, 4 * MIB, 10_000
 EMPTY_SHARD = '{"nodeType":"shard","partitionVersion":1,"payloadVersion":2,"prefix":"","records":[]}'
 ROUTE_DOMAIN = "WPP/catalog-route/v2"
+PACKAGE_FORMAT, PACKAGE_SUITE, PACKAGE_KINDS, KEY_DOMAIN = "wpp-witness-package", "HKDF-SHA256+A256GCM", ("snapshot", "catalog"), ("WPP", "1")
 KINDS = ("snapshot", "tombstone", "root-update-receipt", "observation")

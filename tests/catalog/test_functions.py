@@ -30,7 +30,9 @@ def column(spark, values, kind, expr):
 def test_base64url_is_strict(spark):
     texts = ["", "AA", "AB", "AA==", "A", "AAA", "AAB", "a-_b", "a+/b", "AAAA\n"]
     assert column(spark, texts, "string", lambda c: F.hex(fn.base64url_bytes(c))) == ["", "00", None, None, None, "0000", None, "6BEFDB", None, None]
-    data = [bytes(range(n)) for n in range(20)]
+    data = [bytes(range(n)) for n in (*range(20), 57, 58, 200)]
+    texts = [base64.urlsafe_b64encode(d).decode().rstrip("=") for d in data]
+    assert [bytes(d) for d in column(spark, texts, "string", fn.base64url_bytes)] == data
     assert column(spark, data, "binary", fn.base64url) == [base64.urlsafe_b64encode(d).decode().rstrip("=") for d in data]
     assert column(spark, ["root"], "string", fn.label_id) == [base64.urlsafe_b64encode(hashlib.sha256(b"root").digest()).decode().rstrip("=")]
 
