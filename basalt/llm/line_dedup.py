@@ -252,30 +252,35 @@ def _met(own: DataFrame, tiers: list[tuple[int, int, int | None]]) -> DataFrame:
     return checkpoint(met.select("x", "y", "key", "edits", "place.*"))
 
 
-def _fine_rows(met: DataFrame, texts: DataFrame, distance: int) -> tuple[DataFrame, DataFrame]:
-    """(indexed, probing): (id, p, fine) of lines under hot keys by their finer keys; probes have their ``d`` too."""
+def _fine_rows(hot: DataFrame, texts: DataFrame, distance: int) -> tuple[DataFrame, DataFrame]:
+    """(indexed, probing): (id, c, odd, p, fine, d) of ``hot`` rows (id, c, odd, key, d, i, shift) by their finer keys."""
 
     def finer(probes: bool) -> DataFrame:
-        rows = met.where("x IS NULL" if probes else "x IS NULL AND d = 0 AND shift = 0").select(F.col("y").alias("h"), "key", "d", "i", "shift")
-        rows = rows.join(texts, "h").withColumn("n", F.length("line") - F.col("d"))
-        return _finer(rows, distance, probes).select("id", "p", "fine", "d").distinct()
+        rows = (hot if probes else hot.where("d = 0 AND shift = 0")).join(texts.select("id", "line", "p"), "id").withColumn("n", F.length("line") - F.col("d"))
+        return _finer(rows, distance, probes).select("id", "c", "odd", "p", "fine", "d")
 
-    return finer(False).drop("d"), finer(True)
+    return finer(False), finer(True)
 
 
-def _across(indexed: DataFrame, probing: DataFrame, component: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(indexed, probing) with ``c``, the component of each line, and ``odd``: whether it isn't the one that most indexed lines under the finer key have.
+def _across(hot: DataFrame, component: DataFrame) -> DataFrame:
+    """``hot`` with ``c``, the component of each line, and ``odd``: whether it isn't the one that most indexed lines under the key have.
 
     Keys whose lines are all in one component are left out: a link there joins nothing.
     """
-    named = lambda rows: rows.join(component, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-    x, y = named(indexed), named(probing)
-    most = x.groupBy("fine", "c").agg(F.count("*").alias("n")).groupBy("fine").agg(F.max_by("c", F.struct("n", "c")).alias("most"))
-    mark = lambda rows: rows.join(unaligned(most, "fine"), "fine").withColumn("odd", F.col("c") != F.col("most")).drop("most")
-    x, y = mark(x), mark(y)
-    mixed = x.where("odd").select("fine").union(y.where("odd").select("fine")).distinct()
-    keep = lambda rows: rows.join(unaligned(mixed, "fine"), "fine", "left_semi")
-    return checkpoint(keep(x)), checkpoint(keep(y))
+    named = hot.drop("c", "odd").join(component, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    own = named.where("d = 0 AND shift = 0").groupBy("key", "c").agg(F.count("*").alias("n"))
+    most = own.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("most"))
+    marked = named.join(unaligned(most, "key"), "key").withColumn("odd", F.col("c") != F.col("most")).drop("most")
+    mixed = marked.where("odd").select("key").distinct()
+    return checkpoint(marked.join(unaligned(mixed, "key"), "key", "left_semi"))
+
+
+def _crowd(x: DataFrame, y: DataFrame) -> tuple[int, int]:
+    """(pairs under finer keys with an odd line, rows)."""
+    flag = lambda rows, side: rows.select("fine", F.lit(side).alias("x"), "odd")
+    n = flag(x, True).union(flag(y, False)).groupBy("fine").agg(*(F.count_if(F.expr(c)).alias(a) for a, c in (("xs", "x"), ("xs_odd", "x AND odd"), ("ys", "NOT x"), ("ys_odd", "NOT x AND odd"))))
+    sums = n.agg(F.coalesce(F.sum(F.expr("xs_odd * ys + (xs - xs_odd) * ys_odd")), F.lit(0)), F.coalesce(F.sum(F.expr("xs + ys")), F.lit(0)))
+    return tuple(sums.first())
 
 
 def _pairs(x: DataFrame, y: DataFrame, distance: int) -> DataFrame:
@@ -295,8 +300,8 @@ def _only(lines: DataFrame, hashes: DataFrame) -> DataFrame:
     return own.join(F.broadcast(bits), "bucket").where(hit).drop("__p", "bucket", "bits")
 
 
-def _links(rows: list, cold: DataFrame, texts: DataFrame, distance: int, least: int) -> DataFrame:
-    """Links (a, b) that join all lines which links join: first ``cold`` pairs and, under each finer key, pairs with one line of it.
+def _linked(hot: DataFrame, tiers: list[int], cold: DataFrame, texts: DataFrame, distance: int, least: int) -> DataFrame:
+    """(id, component) of all lines that links join: ``cold`` pairs and, under each finer key, pairs with one line of it first.
 
     In a family of lines that are all alike these make one component. Other pairs under a
     finer key are looked at only where they would join two: one of the two lines then
@@ -308,32 +313,28 @@ def _links(rows: list, cold: DataFrame, texts: DataFrame, distance: int, least:
         both = checkpoint(pairs.distinct()).join(side("a"), "a").join(side("b"), "b").where(alike("p_a", "p_b", distance))
         return within(both.select("a", "b", "line_a", "line_b"), "line_a", "line_b", distance, least)
 
-    alone = lambda df: df.withColumns({"c": F.col("id"), "odd": F.lit(True)})
+    def rows() -> list:
+        return [(edits, *_fine_rows(hot.where(F.col("edits") == edits).drop("edits"), texts, edits)) for edits in tiers]
+
     hub = lambda x: x.where("odd").groupBy("fine").agg(F.min(F.struct("id", "p", "c")).alias("h")).select("fine", "h.*")
-    cand = cold
-    for edits, x, y in rows:
-        cand = cand.union(_pairs(hub(alone(x)), alone(y), edits))
-    links = checkpoint(verified(cand))
-    for last in (*[False] * (STARS - 1), True):
-        component = connected_components(links)
-        cand, more, enough = None, 0, 0
-        for edits, x, y in rows:
-            x, y = _across(x, y, component)
-            # either line of a pair may be the odd one
-            full = _pairs(x.where("odd"), y, edits).union(_pairs(x.where("NOT odd"), y.where("odd"), edits))
-            n = x.groupBy("fine").agg(F.count("*").alias("n"), F.count_if("odd").alias("odd")).join(y.groupBy("fine").agg(F.count("*").alias("m"), F.count_if("odd").alias("odd_m")), "fine")
-            size = n.agg(F.coalesce(F.sum(F.col("odd") * F.col("m") + (F.col("n") - F.col("odd")) * F.col("odd_m")), F.lit(0)), F.coalesce(F.sum(F.col("n") + F.col("m")), F.lit(0))).first()
-            star = _pairs(hub(x), y, edits)
-            more, enough = more + size[0], enough + size[1]
-            cand = (full, star) if cand is None else (cand[0].union(full), cand[1].union(star))
-        if not more:
-            break
-        last = last or more <= FEW * enough
-        links = checkpoint(links.union(verified(cand[0] if last else cand[1])))
+    cand, links = cold, None
+    for left in range(STARS, 0, -1):
+        for edits, x, y in rows():
+            cand = cand.union(_pairs(hub(x), y, edits))
+        new = verified(cand)
+        links = checkpoint(new if links is None else links.union(new))
         tidy(texts.sparkSession)
-        if last:
+        component = connected_components(links)
+        hot = _across(hot, component)
+        if hot.isEmpty():
+            return component
+        cand = links.limit(0)
+        crowds = [_crowd(x, y) for _, x, y in rows()]
+        if sum(c[0] for c in crowds) <= FEW * sum(c[1] for c in crowds):
             break
-    return links
+    for edits, x, y in rows():  # either line of a pair may be the odd one
+        cand = cand.union(_pairs(x.where("odd"), y, edits)).union(_pairs(x.where("NOT odd"), y.where("odd"), edits))
+    return connected_components(checkpoint(links.union(verified(cand))))
 
 
 def near_lines(docs: DataFrame, distance: int = 2, least: int = 20, short: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -365,15 +366,14 @@ def near_lines(docs: DataFrame, distance: int = 2, least: int = 20, short: int =
     wanted = cold.select(F.col("a").alias("h")).union(cold.select("b")).union(hot).distinct()
     texts = _only(own.select("h", "line"), wanted)
     texts = checkpoint(texts.join(wanted, "h").withColumn("id", F.monotonically_increasing_id()).withColumn("p", profile()))
-    rows = [(edits, *(written(side, "finer") for side in _fine_rows(met.where(F.col("edits") == edits), texts, edits))) for edits, *_ in tiers]
     ids = texts.select("h", "id")
     cand = cold.join(ids.select(F.col("h").alias("a"), F.col("id").alias("id_a")), "a").join(ids.select(F.col("h").alias("b"), F.col("id").alias("id_b")), "b")
-    links = _links(rows, cand.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")), texts, distance, least)
-    del cold, hot, wanted, met, cand
-    tidy(docs.sparkSession)
-    linked = texts.join(connected_components(links), "id").select("component", "line")
+    under = met.where("x IS NULL").select(F.col("y").alias("h"), "key", "edits", "d", "i", "shift").join(ids, "h").drop("h")
+    under = checkpoint(under.withColumns({"c": F.col("id"), "odd": F.lit(True)}))
+    component = _linked(under, [t[0] for t in tiers], cand.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")), texts, distance, least)
+    linked = texts.join(component, "id").select("component", "line")
     linked = checkpoint(_hashed(linked).select("component", "h1", "h2"))
-    del links, rows
+    del cold, hot, wanted, met, cand, under, component
     tidy(docs.sparkSession)
     name = linked.groupBy("component").agg(F.min(F.struct("h1", "h2")).alias("class"))
     linked = linked.join(name, "component").select("h1", "h2", "class")
