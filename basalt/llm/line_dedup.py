@@ -253,21 +253,21 @@ def _met(own: DataFrame, tiers: list[tuple[int, int, int | None]]) -> DataFrame:
 
 
 def _fine_rows(hot: DataFrame, texts: DataFrame, distance: int) -> tuple[DataFrame, DataFrame]:
-    """(indexed, probing): (id, c, odd, p, fine, d) of ``hot`` rows (id, c, odd, key, d, i, shift) by their finer keys."""
+    """(indexed, probing): (id, key, p, fine, d) of ``hot`` rows (id, key, d, i, shift) by their finer keys."""
 
     def finer(probes: bool) -> DataFrame:
         rows = (hot if probes else hot.where("d = 0 AND shift = 0")).join(texts.select("id", "line", "p"), "id").withColumn("n", F.length("line") - F.col("d"))
-        return _finer(rows, distance, probes).select("id", "c", "odd", "p", "fine", "d")
+        return written(_finer(rows, distance, probes).select("id", "key", "p", "fine", "d"), "finer")
 
     return finer(False), finer(True)
 
 
 def _across(hot: DataFrame, component: DataFrame) -> DataFrame:
-    """``hot`` with ``c``, the component of each line, and ``odd``: whether it isn't the one that most indexed lines under the key have.
+    """``hot`` rows with ``c``, the component of each line, and ``odd``: whether it isn't the one that most indexed lines under the key have.
 
     Keys whose lines are all in one component are left out: a link there joins nothing.
     """
-    named = hot.drop("c", "odd").join(component, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    named = hot.join(component, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
     own = named.where("d = 0 AND shift = 0").groupBy("key", "c").agg(F.count("*").alias("n"))
     most = own.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("most"))
     marked = named.join(unaligned(most, "key"), "key").withColumn("odd", F.col("c") != F.col("most")).drop("most")
@@ -313,26 +313,28 @@ def _linked(hot: DataFrame, tiers: list[int], cold: DataFrame, texts: DataFrame,
         both = checkpoint(pairs.distinct()).join(side("a"), "a").join(side("b"), "b").where(alike("p_a", "p_b", distance))
         return within(both.select("a", "b", "line_a", "line_b"), "line_a", "line_b", distance, least)
 
-    def rows() -> list:
-        return [(edits, *_fine_rows(hot.where(F.col("edits") == edits).drop("edits"), texts, edits)) for edits in tiers]
-
+    made = [(edits, *_fine_rows(hot.where(F.col("edits") == edits), texts, edits)) for edits in tiers]
+    alone = lambda df: df.withColumns({"c": F.col("id"), "odd": F.lit(True)})
+    rows = [(edits, alone(x), alone(y)) for edits, x, y in made]
     hub = lambda x: x.where("odd").groupBy("fine").agg(F.min(F.struct("id", "p", "c")).alias("h")).select("fine", "h.*")
     cand, links = cold, None
-    for left in range(STARS, 0, -1):
-        for edits, x, y in rows():
+    for _ in range(STARS):
+        for edits, x, y in rows:
             cand = cand.union(_pairs(hub(x), y, edits))
         new = verified(cand)
         links = checkpoint(new if links is None else links.union(new))
         tidy(texts.sparkSession)
         component = connected_components(links)
-        hot = _across(hot, component)
-        if hot.isEmpty():
+        mixed = _across(hot, component)
+        if mixed.isEmpty():
             return component
+        marks = mixed.select("id", "key", "c", "odd").distinct()
+        rows = [(edits, *(checkpoint(side_.join(marks, ["id", "key"])) for side_ in sides)) for edits, *sides in made]
         cand = links.limit(0)
-        crowds = [_crowd(x, y) for _, x, y in rows()]
+        crowds = [_crowd(x, y) for _, x, y in rows]
         if sum(c[0] for c in crowds) <= FEW * sum(c[1] for c in crowds):
             break
-    for edits, x, y in rows():  # either line of a pair may be the odd one
+    for edits, x, y in rows:  # either line of a pair may be the odd one
         cand = cand.union(_pairs(x.where("odd"), y, edits)).union(_pairs(x.where("NOT odd"), y.where("odd"), edits))
     return connected_components(checkpoint(links.union(verified(cand))))
 
@@ -369,7 +371,7 @@ def near_lines(docs: DataFrame, distance: int = 2, least: int = 20, short: int =
     ids = texts.select("h", "id")
     cand = cold.join(ids.select(F.col("h").alias("a"), F.col("id").alias("id_a")), "a").join(ids.select(F.col("h").alias("b"), F.col("id").alias("id_b")), "b")
     under = met.where("x IS NULL").select(F.col("y").alias("h"), "key", "edits", "d", "i", "shift").join(ids, "h").drop("h")
-    under = checkpoint(under.withColumns({"c": F.col("id"), "odd": F.lit(True)}))
+    under = checkpoint(under)
     component = _linked(under, [t[0] for t in tiers], cand.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")), texts, distance, least)
     linked = texts.join(component, "id").select("component", "line")
     linked = checkpoint(_hashed(linked).select("component", "h1", "h2"))
