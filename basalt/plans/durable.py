@@ -10,9 +10,12 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
 
 def shared_root(spark: SparkSession) -> str:
     """The folder shared by all executors, as a URI."""
@@ -72,4 +75,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch(df.sparkSession, name)
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _written[table] = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete what ``written`` wrote for ``tables``, once nothing that is still to run reads it."""
+    for table in tables:
+        remove(table.sparkSession, _written.pop(table))
