@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from basalt.llm import caches
 from basalt.llm.components import connected_components, unaligned
 from basalt.llm.words import mixed, shingle_set
-from basalt.plans.durable import checkpoint, tidy, written
+from basalt.plans.durable import checkpoint, forget, tidy, written
 
 BANDS, ROWS = 48, 8  # at a similarity of 0.85, a pair shares no band with probability 3e-7
 MANTISSA = 10
@@ -199,21 +199,23 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: s
     reps = sk.join(groups.select("rep"), F.col("row") == F.col("rep")).select("rep", "n", "doc_id", "thash", "regs")
     reps = written(reps, "representatives")
     bands = _bands(reps)
+    # a band holds every distinct member of a group that agrees in it, so what joins by band can be split like joins by hub
     held = bands.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
-    shared = checkpoint(bands.join(held, "key"))
-    # one band holds a 48th of a group's rows at most, so joins by band need no splitting; those by hub or component do
+    met = written(bands.join(unaligned(held, "key"), "key"), "bands")
     # a band's hub is the member whose bands hold most rows: near the centre of its group
-    central = checkpoint(shared.groupBy("rep").agg(F.sum("held").alias("central")))
-    ranked = shared.select("key", "rep", "n").join(central, "rep")
+    central = checkpoint(met.groupBy("rep").agg(F.sum("held").alias("central")))
+    ranked = met.select("key", "rep", "n").join(central, "rep")
     hubs = ranked.groupBy("key").agg(F.max(F.struct("central", (-F.col("rep")).alias("less"), "n")).alias("top"))
-    hubs = hubs.select("key", (-F.col("top.less")).alias("hub"), F.col("top.n").alias("hub_n"))
-    shared = checkpoint(shared.join(hubs, "key").where("rep <> hub").select("key", "rep", "n", "hub", "hub_n"))
+    hubs = unaligned(hubs.select("key", (-F.col("top.less")).alias("hub"), F.col("top.n").alias("hub_n")), "key")
+    shared = written(met.join(hubs, "key").where("rep <> hub").select("key", "rep", "n", "hub", "hub_n"), "hubs")
+    forget(met)
     tidy(docs.sparkSession)
     wanted = reps.join(central.select("rep"), "rep").select("rep", "n", "regs", F.xxhash64("doc_id").alias("idh"), "thash")
     texts = docs.select(F.xxhash64(id_col).alias("idh"), F.xxhash64(text_col).alias("thash"), F.col(text_col).alias("text"))
     # repeated rows meet in the join, whose order the aggregate can use
     payload = texts.join(wanted, ["idh", "thash"]).dropDuplicates(["idh", "thash"]).select("rep", "n", "regs", "text")
     payload = written(payload, "payload")
+    forget(reps)
     tidy(docs.sparkSession)
     enough = lambda inter, union: (100 * inter) >= (percent * union)
     links = lambda tried: tried.where(enough(F.col("hi"), F.col("all")))
@@ -227,14 +229,16 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: s
     comp = connected_components(found)
 
     # members of a band outside the component that its best linked document is in try that one
-    placed = checkpoint(shared.join(tried, (F.col("hub") == F.col("a")) & (F.col("rep") == F.col("b")), "left").select("key", "hub", "rep", "n", "hub_n", "lo", "hi"))
+    placed = shared.join(tried, (F.col("hub") == F.col("a")) & (F.col("rep") == F.col("b")), "left")
+    placed = written(placed.select("key", "hub", "rep", "n", "hub_n", "lo", "hi"), "placed")
+    forget(shared)
     in_ = lambda c: placed.join(c.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     degree = found.select(F.col("a").alias("id")).union(found.select("b")).groupBy("id").agg(F.count("*").alias("degree"))
     best = comp.join(degree, "id").groupBy("component").agg(F.max(F.struct("degree", "id")).alias("s"))
     best = unaligned(best.select("component", "s.degree", F.col("s.id").alias("star")), "component")
     own = in_(comp.join(best, "component", "left"))
     star = own.where("star IS NOT NULL").groupBy("key").agg(F.max(F.struct("degree", "star", "component")).alias("s"))
-    star = star.select("key", F.col("s.star").alias("a"), F.col("s.component").alias("home"))
+    star = unaligned(star.select("key", F.col("s.star").alias("a"), F.col("s.component").alias("home")), "key")
     again = own.select("key", "rep", "component").join(star, "key").where("component <> home AND rep <> a").select("a", F.col("rep").alias("b")).distinct()
     more = _measured(again.join(tried.select("a", "b"), ["a", "b"], "left_anti"), payload, percent, size)
     tried = tried.union(more)
@@ -244,10 +248,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: s
 
     # what a band still holds in different components
     own = in_(comp)
-    split = own.groupBy("key").agg(F.min("component").alias("lowest"), F.max("component").alias("highest")).where("lowest <> highest").select("key")
+    split = own.groupBy("key").agg(F.min("component").alias("lowest"), F.max("component").alias("highest")).where("lowest <> highest")
     pivots = tried.groupBy(F.col("b").alias("rep")).agg(F.max(F.struct("hi", "lo", F.col("a").alias("pivot"))).alias("p"))
     pivots = pivots.select("rep", "p.pivot", F.col("p.hi").alias("pivot_hi"), F.col("p.lo").alias("pivot_lo"))
-    left = checkpoint(own.join(split, "key").join(pivots, "rep", "left"))
+    left = own.join(unaligned(split.select("key"), "key"), "key").join(pivots, "rep", "left")
+    left = mixed_bands = written(left, "mixed-bands")
+    forget(placed)
     del own, split, pivots
     tidy(docs.sparkSession)
     # Shingles that no other document of these holds can't be in an intersection. Those of
@@ -272,6 +278,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: s
     )
     bands_of = left.groupBy("rep").agg(F.array_sort(F.collect_list("key")).alias("keys"))
     left = checkpoint(left.join(bands_of, "rep"))
+    forget(mixed_bands)
     del bands_of
     tidy(docs.sparkSession)
     x, y = left.alias("x"), left.alias("y")
@@ -286,6 +293,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: s
     tidy(docs.sparkSession)
     likely = _measured(more, payload, percent, size, exact=False).select("a", "b")
     second = _measured(likely, payload, percent, size)
+    forget(payload)
     comp = grown(comp, links(second))
     linked = groups.join(comp, F.col("rep") == F.col("id"))
     least = linked.groupBy("component").agg(F.min("least").alias("smallest"))
