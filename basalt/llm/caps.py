@@ -192,7 +192,7 @@ def near_vectors(
                     )
 
     kinds = "label string, dim int, filter bigint, rep bigint"
-    hit = groups.select("label", "rep", "v").mapInArrow(decode, kinds)
+    hit = written(groups.select("label", "rep", "v").mapInArrow(decode, kinds), "filters")
     key = ["label", "dim", "filter"]
     # a filter with many rows is cut into blocks, and each pair of blocks is a unit of work
     sizes = hit.groupBy(*key).agg(F.count("*").alias("held")).where("held > 1")
