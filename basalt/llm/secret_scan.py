@@ -139,6 +139,8 @@ def scan(
     held = spans.groupBy("hash", "repo", "owner").count()
     held = held.groupBy("hash").agg(F.countDistinct("repo").alias("repos"), F.countDistinct("owner").alias("owners"))
     copied = (F.col("owners") >= example_owners) | ((F.col("owners") > 1) & (F.col("repos") >= example_repos))
+    # digests made anew, as Spark knows grouped ones to be spread by digest and would not split the spans of a frequent one
+    held = held.withColumn("hash", F.unhex(F.hex("hash")))
     # bare candidates have passed live_looking already
     judged = spans.join(held, "hash").select("row", "s", copied.alias("example"), (~copied & ~placeholder(F.col("s.value"))).alias("live"))
     bare_kind = F.col("s.k") == len(KINDS) - 1
