@@ -851,7 +851,7 @@ def object_versions(spark, sf_dir):
     second = log.open()
     log.delete(e.where("event_id % 7 = 0"))
     text = lambda s, name: s.objects().select("key", F.decode("data", "UTF-8").alias(name))
-    return text(second, "second").join(text(log.open(), "third"), "key", "left").withColumnRenamed("key", "id")
+    return text(second, "second").join(text(log.open(), "third").hint("merge"), "key", "left").withColumnRenamed("key", "id")
 
 
 @query("SELECT DISTINCT sha256(l_orderkey::VARCHAR) AS sha256 FROM lineitem WHERE l_orderkey % 20 <> 0")

@@ -4,6 +4,9 @@ A commit writes its changes as one part and then a manifest that lists the parts
 version, each with the version it came with; nothing written is ever changed. A reader keeps the manifest it
 opened, so later commits don't show. Of two commits on one version only one gets its
 manifest; the other is an error and leaves nothing that is read.
+
+Keys compress well and Spark goes by the size of files, so it would broadcast tables of millions of keys
+through the driver: joins by key are merges.
 """
 
 from __future__ import annotations
@@ -43,7 +46,7 @@ class Snapshot:
         if keys is not None:
             log = log.where(F.col("key").isin(*keys)) if keys else log.limit(0)
         last = log.groupBy("key").agg(F.max("version").alias("version"))
-        return log.join(last, ["key", "version"]).where("NOT deleted").select("key", "role", "data")
+        return log.join(last.hint("merge"), ["key", "version"]).where("NOT deleted").select("key", "role", "data")
 
 
 class ObjectLog:
@@ -98,7 +101,7 @@ class ObjectLog:
         enforce(written.where("key IS NULL OR (data IS NULL AND NOT deleted)").select("key"), "input")
         enforce(duplicates(written, ["key"]), "conflict")
         if must_exist:
-            enforce(written.join(at.objects().select("key"), "key", "left_anti").select("key"), "reference")
+            enforce(written.join(at.objects().select("key").hint("merge"), "key", "left_anti").select("key"), "reference")
         return self._publish(at.version + 1, (*at.parts, (place, at.version + 1)))
 
     def put(self, objects: DataFrame, base: Snapshot | None = None) -> int:
@@ -112,7 +115,7 @@ class ObjectLog:
         """As ``put``, of objects that are there; their role stays."""
         at = base or self.open()
         roles = at.objects().select("key", F.col("role").alias("had"))
-        own = objects.select("key", "data").join(roles, "key", "left")
+        own = objects.select("key", "data").join(roles.hint("merge"), "key", "left")
         return self._commit(own.select("key", F.col("had").alias("role"), "data", F.lit(False).alias("deleted")), at, True)
 
     def delete(self, keys: DataFrame, base: Snapshot | None = None) -> int:

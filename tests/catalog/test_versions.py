@@ -61,3 +61,14 @@ def test_bad_commits_show_nothing(spark, tmp_path):
             act()
         assert e.value.code == code
     assert log.versions() == [1] and held(log.open()) == {"a": b"1"}
+
+
+def test_keys_are_not_broadcast(spark, tmp_path):
+    """Compressed keys look small to Spark, however many there are; the driver must not hold them."""
+    log = ObjectLog(spark, f"{tmp_path}/h")
+    log.put(objects(spark, {"a": b"1", "b": b"2"}))
+    log.replace(objects(spark, {"b": b"3"}))
+    log.delete(spark.createDataFrame([("a",)], "key string"))
+    assert held(log.open()) == {"b": b"3"}
+    plan = log.open().objects()._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
