@@ -64,12 +64,13 @@ def parse_catalogs(texts: DataFrame, limits: dict = V1, most: int = PLAINTEXT_BY
     # bodies are kept as they came, in canonical form, so that equal claims are equal texts
     raw = fine.select("revision", F.from_json("text", "struct<entries:array<variant>,observations:array<variant>>").alias("r"), "c")
     body = lambda v: sj.json_canonical(F.encode(F.to_json(v), "UTF-8"))
-    e = raw.select("revision", F.posexplode("c.entries").alias("at", "entry"), "r").select("revision", "entry", body(F.get("r.entries", F.col("at"))).alias("body"))
+    # zipped, so that a row holds its own record and not all of its catalog
+    each = lambda field, name: raw.select("revision", F.explode(F.arrays_zip(F.col(f"c.{field}").alias(name), F.col(f"r.{field}").alias("v"))).alias("x")).select("revision", f"x.{name}", body(F.col("x.v")).alias("body"))
+    e = each("entries", "entry")
     f = lambda x: F.col(f"entry.{x}")
     identity = F.coalesce(f("package.sha256"), f("eventId"), f("receiptId"))
     entries = e.select("revision", f("entryKind").alias("kind"), identity.alias("identity"), "entry", "body")
-    o = raw.select("revision", F.posexplode("c.observations").alias("at", "observation"), "r")
-    obs = o.select("revision", F.col("observation.observationId").alias("identity"), "observation", body(F.get("r.observations", F.col("at"))).alias("body"))
+    obs = each("observations", "observation").select("revision", F.col("observation.observationId").alias("identity"), "observation", "body")
     # every nested level is closed, by the rules of the record's kind
     kept = entries.select("kind", F.col("revision").alias("identity"), "body").union(obs.select(F.lit("observation"), "revision", "body"))
     nested = record_violations(kept, limits["locators"]).select(F.concat(F.lit("record: "), "rule"), "identity")

@@ -146,3 +146,14 @@ def test_observations_of_a_revision(spark):
     epochs = spark.createDataFrame([("e",)], "epoch string")
     found = revision_violations(shards.shard_summary(records), records, epochs, epochs).collect()
     assert {(r.rule, r.identity) for r in found} == {("unlisted locator", "place"), ("outcome: digest", "digest"), ("outcome: digest", "bare"), ("outcome: length", "length"), ("outcome: same digest", "same")}
+
+
+def test_a_record_does_not_carry_its_catalog(spark):
+    """Or the rows of a catalog would take the square of its records, queued on disk before Python."""
+    import re
+
+    got = ingest.parse_catalogs(spark.createDataFrame([("r", catalog())], "revision string, data binary"))
+    for table in (got.entries, got.observations):
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        carried = re.findall(r"Generate .*\), \[(.*?)\], (?:false|true)", plan)
+        assert carried and all(x.startswith("revision#") and "," not in x for x in carried)
