@@ -59,16 +59,22 @@ def outcome_violations(observations: DataFrame, snapshots: DataFrame, key: str)
 
     observations: key, identity, status, observed, length; snapshots: key, digest, bytes.
     """
-    both = observations.join(snapshots.select(key, "digest", "bytes"), key)
     read, differs = F.col("status") == "readback-authenticated", F.col("status") == "digest-mismatch"
-    rule = (
-        F.when(read & (F.col("observed") != F.col("digest")), "digest")
-        .when(read & (F.col("length") != F.col("bytes")), "length")
-        .when(differs & (F.col("observed") == F.col("digest")), "same digest")
-    )
+    # other outcomes break no rule and don't move; of a status one bit does, of a digest its 32 bytes
+    asked = observations.where(read | differs).select(key, "identity", read.alias("_read"), _packed("observed"), "length")
+    both = asked.join(snapshots.select(key, _packed("digest"), "bytes"), key)
+    read, same = F.col("_read"), F.col("observed") == F.col("digest")
+    rule = F.when(read & ~same, "digest").when(read & (F.col("length") != F.col("bytes")), "length").when(~read & same, "same digest")
     return both.withColumn("rule", rule).where("rule IS NOT NULL").select("identity", "rule")
 
 
+def _packed(digest: str) -> Column:
+    """Bytes that are equal where the texts are; a hex digest takes 32, any other text more."""
+    c = F.col(digest)
+    whole = (F.length(c) == 64) & c.rlike("^[0-9a-f]{64}$")
+    return F.when(whole, F.unhex(c)).otherwise(F.concat(F.lit(b"-" * 33), F.encode(c, "UTF-8"))).alias(digest)
+
+
 def claim_mismatches(claims: DataFrame, opened: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(key, mismatches): the fields in which a claim differs from what was opened; null equals null."""
     o = opened.select(key, *(F.col(f).alias(f"__{f}") for f in fields))

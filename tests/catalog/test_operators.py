@@ -204,3 +204,13 @@ def test_concurrent_generations_all_stay(spark):
     got = lambda where=None: sorted((r.record, r.generation or "") for r in graph.maximal_generations(snaps, closure, "record", "generation", where).collect())
     assert got() == [("r", "b"), ("r", "c"), ("s", "a"), ("t", "")]
     assert got(F.col("epoch") == 1) == [("r", "c"), ("s", "a"), ("t", "")]
+
+
+def test_only_outcomes_that_break_a_rule_move(spark):
+    seen = [(1, "a", "unavailable", "x", 1), (1, "b", "readback-authenticated", "f" * 64, 1), (1, "c", "readback-authenticated", "A", 1), (1, "d", "digest-mismatch", "f" * 64, 9), (1, "e", "readback-authenticated", "f" * 64 + "\n", 1), (1, "f", "readback-authenticated", "f" * 64, 2), (1, "g", None, "x", 1)]
+    obs = spark.createDataFrame(seen, "k int, identity string, status string, observed string, length int")
+    snaps = spark.createDataFrame([(1, "f" * 64, 1)], "k int, digest string, bytes int")
+    found = validate.outcome_violations(obs, snaps, "k")
+    assert {tuple(r) for r in found.collect()} == {("c", "digest"), ("d", "same digest"), ("e", "digest"), ("f", "length")}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "status" not in plan.split("Join")[0] and "unhex" in plan
