@@ -45,6 +45,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` dealt out by ``key`` over all cores, before work that takes long for each: a table's file may be one task."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, key)
+
+
 # carriers
 
 
@@ -900,7 +905,7 @@ def sealed_packages(spark, sf_dir):
     payload = F.encode(fn.canonical_json(F.struct(F.col("c_name").alias("name"))), "UTF-8")
     secret = F.unhex(F.sha2(F.lit("secret"), 256)).alias("secret")
     # cut here and below, or each member of a header would be worked out again wherever it is used
-    given = checkpoint(table(spark, sf_dir, "customer").select(name.alias("name"), payload.alias("payload"), header.alias("header"), secret))
+    given = checkpoint(spread(table(spark, sf_dir, "customer"), "c_custkey").select(name.alias("name"), payload.alias("payload"), header.alias("header"), secret))
     sealed = packages.seal_packages(given)
     i, text = F.col("name").cast("bigint") % 7, F.col("wire").cast("string")
     tag = F.regexp_replace(text, '"tag":"[^"]*"', '"tag":"' + "A" * 22 + '"')

@@ -90,3 +90,11 @@ def test_wires_are_closed(spark):
         if want:
             assert got[k] == want, (k, got[k])
     assert got["1.0"] == sj.canonical(PAYLOAD).encode() and got["id"] == "authentication"
+
+
+def test_query_deals_customers_out(spark):
+    """One file of customers isn't one task of HMAC, AES and JSON."""
+    from basalt.plans import catalog_queries as cq
+
+    got = cq.queries()["sealed_packages"](spark, "/root/testdata/sf0.001")
+    assert got.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
