@@ -22,12 +22,17 @@ OBSERVATION = f"struct<locator:string,outcome:{schemas.OUTCOME}>"
 
 
 def routed(records: DataFrame) -> DataFrame:
-    """records (kind, body, ...) with identity, package (what an observation or a tombstone refers to), route, record (its tagged text) and bytes."""
+    """records (kind, body, ...) with identity, package (what an observation or a tombstone refers to), route and bytes (of its tagged text)."""
     at = [F.get_json_object("body", p) for p in PLACES]
     identity = fn.selected_identity(F.col("kind"), *at)
     package = F.when(F.col("kind") == "observation", F.get_json_object("body", "$.packageSha256")).when(F.col("kind") == "tombstone", F.get_json_object("body", "$.targetPackageSha256"))
-    out = records.withColumns({"identity": identity, "package": package, "record": F.concat(F.lit('{"body":'), "body", F.lit(',"recordKind":"'), "kind", F.lit('"}'))})
-    return out.withColumns({"route": fn.route_hash(F.col("kind"), F.col("identity")), "bytes": F.octet_length("record").cast("bigint")})
+    out = records.withColumns({"identity": identity, "package": package})
+    return out.withColumns({"route": fn.route_hash(F.col("kind"), F.col("identity")), "bytes": F.octet_length(record_text()).cast("bigint")})
+
+
+def record_text() -> Column:
+    """The tagged text of a record (kind, body)."""
+    return F.concat(F.lit('{"body":'), "body", F.lit(',"recordKind":"'), "kind", F.lit('"}'))
 
 
 def shard_text(prefix: Column, records: Column) -> Column:
@@ -86,9 +91,9 @@ def plan_shards(texts: DataFrame, limits: dict = V2) -> Plan:
     refer to) and limit. Splits of the trie end where a leaf holds at most ``records_per_leaf``
     records and ``shard_target`` bytes, or one record of at most ``shard_bytes``.
     """
-    parsed, broken = ingest.parse_records(texts, limits)
+    parsed, broken = ingest.parse_records(texts, limits, routed)
     validate.enforce(broken, "input")
-    records = written(routed(parsed.drop("revision")).withColumn("all", F.lit(0)), "records")
+    records = parsed.drop("revision").withColumn("all", F.lit(0))
     if records.count() > limits["records"]:
         raise CatalogError("limit", f"more than {limits['records']} records")
     state = revision_state(records, "all", limits)
@@ -102,7 +107,7 @@ def plan_shards(texts: DataFrame, limits: dict = V2) -> Plan:
     # a leaf's records are bounded by the limits of a leaf
     own = shards.assign_leaves(records, leaves.where("n > 0"))
     entry = F.col("kind") != "observation"
-    all_ = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("route", "kind", "identity", "record"))), lambda x: x["record"]), ",")
+    all_ = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("route", "kind", "identity", record_text().alias("record")))), lambda x: x["record"]), ",")
     full = own.groupBy("prefix").agg(all_.alias("records"), F.count_if(entry).alias("entries"), F.count_if(~entry).alias("observations"))
     payload = F.encode(shard_text(F.col("prefix"), F.col("records")), "UTF-8")
     full = full.select("prefix", payload.alias("payload"), "entries", "observations", F.sha2(F.concat(F.lit("["), "records", F.lit("]")), 256).alias("fingerprint")).withColumn("bytes", F.octet_length("payload").cast("bigint"))

@@ -9,9 +9,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from basalt.operators import shards, validate
 from basalt.operators.ordered_digest import ordered_digest
 from basalt.plans import schemas
-from basalt.plans.durable import written
 from basalt.plans.limits import V2
-from basalt.plans.planner import revision_state, routed
+from basalt.plans.planner import record_text, revision_state, routed
 from basalt.sources import ingest
 
 # Locators as JSON texts: bodies are canonical, so equal places are equal texts.
@@ -84,11 +83,12 @@ def validate_revisions(roots: DataFrame, nodes: DataFrame, limits: dict = V2) ->
     if it has none. Orders and digests are of single shards, which the limits bound; all
     else goes by keys.
     """
+    roots = ingest.opened(roots, limits["root_bytes"])
     pre = ingest.preflight_roots(roots, limits)
-    refs = written(pre.references, "references")
-    nodes = nodes.select("revision", F.col("position").alias("shard"), "data", F.octet_length("data").cast("bigint").alias("length"))
-    parsed, broken = ingest.parse_shards(nodes, limits)
-    records = written(routed(parsed), "records")
+    refs = pre.references
+    nodes = ingest.opened(nodes.select("revision", F.col("position").alias("shard"), "data", F.octet_length("data").cast("bigint").alias("length")), limits["shard_bytes"])
+    records, broken = ingest.parse_shards(nodes, limits, routed)
+    nodes = nodes.select("revision", "shard", "length")
     say = lambda df, rule, by="revision": df.select(rule if not isinstance(rule, str) else F.lit(rule).alias("rule"), F.col(by).alias("identity"))
 
     # as many shards, and as many bytes in turn, as the root declares
@@ -98,7 +98,8 @@ def validate_revisions(roots: DataFrame, nodes: DataFrame, limits: dict = V2) ->
     sent = nodes.groupBy("revision").agg(F.count("*").alias("sent"), F.sum("length").alias("length"))
     both = declared.join(sent, "revision", "full_outer")
     out = say(first, "over budget")
-    out = out.union(say(both.where("n IS NULL"), "no root")).union(say(both.where("coalesce(n, 0) <> coalesce(sent, 0)"), "number of shards")).union(say(both.where("coalesce(bytes, 0) <> coalesce(length, 0)"), "bytes of shards"))
+    same = lambda a, b: F.coalesce(a, F.lit(0)) == F.coalesce(b, F.lit(0))
+    out = out.union(validate.violations(both, F.col("revision"), [("no root", F.col("n").isNotNull()), ("number of shards", same("n", "sent")), ("bytes of shards", same("bytes", "length"))]))
 
     # in a shard: strictly ascending, and of its prefix
     w = Window.partitionBy("revision", "shard").orderBy("position")
@@ -108,7 +109,7 @@ def validate_revisions(roots: DataFrame, nodes: DataFrame, limits: dict = V2) ->
 
     # shards against references
     entry = (F.col("kind") != "observation").cast("int")
-    held = ordered_digest(records, ["revision", "shard", "prefix"], [F.col("position")], F.col("record"), {"entries": entry, "observations": 1 - entry}).drop("records")
+    held = ordered_digest(records, ["revision", "shard", "prefix"], [F.col("position")], record_text(), {"entries": entry, "observations": 1 - entry}).drop("records")
     held = held.join(nodes.select("revision", "shard", F.col("length").alias("bytes")), ["revision", "shard"])
     told = refs.where("NOT empty").select(
         F.struct("revision", "prefix").alias("prefix"), F.col("entryCount").alias("entries"), F.col("observationCount").alias("observations"), F.col("plaintextByteLength").alias("bytes"), F.col("canonicalRecordsSha256").alias("fingerprint")
@@ -119,9 +120,10 @@ def validate_revisions(roots: DataFrame, nodes: DataFrame, limits: dict = V2) ->
 
     # records against each other, and against the totals and epochs that the root declares
     state = revision_state(records, "revision", limits)
-    declared = roots.select("revision", F.from_json(F.col("data").cast("string"), "struct<entryCount:bigint,observationCount:bigint,requiredEpochs:array<string>>").alias("c"))
+    declared = roots.select("revision", F.from_json("text", "struct<entryCount:bigint,observationCount:bigint,requiredEpochs:array<string>>").alias("c"))
     sums = declared.select("revision", "c.*").join(state.totals, "revision", "left").fillna(0, ["entries", "observations"])
-    out = out.union(say(sums.where("NOT entries <=> entryCount"), "entries of records")).union(say(sums.where("NOT observations <=> observationCount"), "observations of records"))
+    told = [("entries of records", F.col("entries").eqNullSafe(F.col("entryCount"))), ("observations of records", F.col("observations").eqNullSafe(F.col("observationCount")))]
+    out = out.union(validate.violations(sums, F.col("revision"), told))
     known = state.epochs.union(refs.where("NOT empty").select("revision", F.col("rootEpoch").alias("epoch"))).where("epoch IS NOT NULL").distinct()
     required = declared.select("revision", F.explode("c.requiredEpochs").alias("epoch")).distinct()
     missing = known.join(required, ["revision", "epoch"], "left_anti")

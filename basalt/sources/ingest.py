@@ -7,6 +7,7 @@ fields beyond the schema, missing fields and broken bounds are violations.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -17,6 +18,7 @@ from basalt.operators.records import DIGEST, ID16, ID32, List, Members, Number,
 from basalt.operators.shards import cover_violations
 from basalt.operators.validate import violations
 from basalt.plans import schemas
+from basalt.plans.durable import written
 from basalt.plans.limits import METADATA_BYTES, PLAINTEXT_BYTES, V1, V2
 
 # The fields of each kind of text.
@@ -40,15 +42,23 @@ def _exactly(text: Column, fields: tuple[str, ...]) -> Column:
     return F.array_sort(F.json_object_keys(text)) == F.array(*(F.lit(f) for f in sorted(fields)))
 
 
-def _opened(texts: DataFrame, most: int) -> DataFrame:
-    own = texts.withColumn("text", F.col("data").cast("string"))
-    return own.withColumn("refusal", sj.json_refusal("data", most))
+def opened(texts: DataFrame, most: int) -> DataFrame:
+    """``texts`` with text, refusal (null for one that is fine) and same (whether it is canonical); as they are, if they were opened before.
+
+    They are written, as rules, records and sums each read them: a text is made and walked once.
+    """
+    if {"text", "refusal", "same"} <= set(texts.columns):
+        return texts
+    large = F.octet_length("data") > most
+    state = texts.withColumn("_state", sj.json_state(F.when(~large, F.col("data"))))
+    kept = state.select(*texts.columns, F.when(large, "too-large").otherwise(F.col("_state.refusal")).alias("refusal"), F.col("_state.same").alias("same"))
+    return written(kept, "texts").withColumn("text", F.col("data").cast("string"))
 
 
 def parse_catalogs(texts: DataFrame, limits: dict = V1, most: int = PLAINTEXT_BYTES) -> Catalogs:
     """Full snapshots (payload version 1), with bounds checked before anything else is."""
-    opened = _opened(texts, most)
-    fine = opened.where("refusal IS NULL").withColumn("c", F.from_json("text", schemas.CATALOG))
+    own = opened(texts, most)
+    fine = own.where("refusal IS NULL").withColumn("c", F.from_json("text", schemas.CATALOG))
     c = lambda f: F.col(f"c.{f}")
     rules = [
         ("fields", _exactly(F.col("text"), CATALOG_FIELDS)),
@@ -60,7 +70,7 @@ def parse_catalogs(texts: DataFrame, limits: dict = V1, most: int = PLAINTEXT_BY
         ("locators", F.forall(c("entries"), lambda e: e["locators"].isNull() | (F.size(e["locators"]) <= limits["locators"]))),
         ("metadata size", F.forall(c("entries"), lambda e: F.coalesce(F.octet_length(F.to_json(e["metadata"])), F.lit(0)) <= METADATA_BYTES)),
     ]
-    broken = violations(fine, F.col("revision"), rules).union(opened.where("refusal IS NOT NULL").select(F.concat(F.lit("json: "), "refusal"), "revision"))
+    broken = violations(fine, F.col("revision"), rules).union(own.where("refusal IS NOT NULL").select(F.concat(F.lit("json: "), "refusal"), "revision"))
     # bodies are kept as they came, in canonical form, so that equal claims are equal texts
     raw = fine.select("revision", F.from_json("text", "struct<entries:array<variant>,observations:array<variant>>").alias("r"), "c")
     body = lambda v: sj.json_canonical(F.encode(F.to_json(v), "UTF-8"))
@@ -124,15 +134,15 @@ def reference_violations(references: DataFrame, limits: dict = V2) -> DataFrame:
 
 def parse_roots(texts: DataFrame, limits: dict = V2) -> tuple[DataFrame, DataFrame]:
     """(references, violations) of root manifests; a root must be in canonical form."""
-    opened = _opened(texts, limits["root_bytes"])
-    fine = opened.where("refusal IS NULL").withColumn("c", F.from_json("text", schemas.ROOT))
+    own = opened(texts, limits["root_bytes"])
+    fine = own.where("refusal IS NULL").withColumn("c", F.from_json("text", schemas.ROOT))
     c = lambda f: F.col(f"c.{f}")
     refs = c("references")
     total = lambda f: F.aggregate(refs, F.lit(0).cast("bigint"), lambda a, r: a + F.coalesce(r[f], F.lit(0)))
     # strictly ascending: each once and in order
     sorted_ = lambda x: x == F.array_sort(F.array_distinct(x))
     rules = [
-        ("canonical", sj.is_canonical(F.col("data"))),
+        ("canonical", F.col("same")),
         ("fields", _exactly(F.col("text"), ROOT_FIELDS)),
         ("role", (c("payloadVersion") == 2) & (c("nodeType") == "root") & (c("partitionVersion") == 1)),
         ("parents", (F.size(c("parents")) <= limits["parents"]) & sorted_(c("parents")) & F.forall(c("parents"), lambda p: p.rlike(schemas.DIGEST))),
@@ -145,7 +155,7 @@ def parse_roots(texts: DataFrame, limits: dict = V2) -> tuple[DataFrame, DataFra
         ("observations", total("observationCount") == c("observationCount")),
         ("shard bytes", total("plaintextByteLength") <= limits["total_shard_bytes"]),
     ]
-    broken = violations(fine, F.col("revision"), rules).union(opened.where("refusal IS NOT NULL").select(F.concat(F.lit("json: "), "refusal"), "revision"))
+    broken = violations(fine, F.col("revision"), rules).union(own.where("refusal IS NOT NULL").select(F.concat(F.lit("json: "), "refusal"), "revision"))
     raw = fine.select("revision", F.explode(F.from_json("text", "struct<references:array<variant>>")["references"]).alias("r"))
     nested = reference_violations(raw.select(F.col("revision").alias("identity"), sj.json_canonical(F.encode(F.to_json("r"), "UTF-8")).alias("body")), limits)
     return fine.select("revision", F.explode("c.references").alias("r")).select("revision", "r.*"), broken.union(nested.distinct())
@@ -165,6 +175,7 @@ def preflight_roots(texts: DataFrame, limits: dict = V2) -> Preflight:
     without gaps or overlaps.
     """
     refs, broken = parse_roots(texts, limits)
+    refs = written(refs, "references")
     cover = cover_violations(refs.select("revision", "prefix"), group=["revision"]).select(F.concat(F.lit("cover: "), "rule").alias("rule"), F.col("revision").alias("identity"))
     held = ~F.col("empty")
     add = lambda c: F.coalesce(F.sum(F.when(held, F.col(c))), F.lit(0)).cast("bigint")
@@ -174,53 +185,57 @@ def preflight_roots(texts: DataFrame, limits: dict = V2) -> Preflight:
     return Preflight(refs, totals, broken.union(cover.distinct()))
 
 
-def _tagged(rows: DataFrame, limits: dict) -> tuple[DataFrame, DataFrame]:
-    """(rows with kind and body, violations) of rows (revision, r variant, ...): each names its kind and has a body of that kind, and nothing else."""
-    rows = rows.withColumn("text", F.to_json("r"))
-    tagged = violations(rows, F.col("revision"), [("record: fields", _exactly(F.col("text"), RECORD_FIELDS))])
+def _tagged(rows: DataFrame, limits: dict, more: Callable[[DataFrame], DataFrame] | None) -> tuple[DataFrame, DataFrame]:
+    """(rows with kind and body, violations) of rows (revision, r variant, ...): each names its kind and has a body of that kind, and nothing else.
+
+    Rows are written, with the columns that ``more`` adds: each kind's rules and all that
+    follows read them, and a text isn't taken apart again for each.
+    """
     kind = F.try_variant_get("r", "$.recordKind", "string")
     body = sj.json_canonical(F.encode(F.to_json(F.try_variant_get("r", "$.body", "variant")), "UTF-8"))
-    parsed = rows.withColumns({"kind": kind, "body": body}).drop("r", "text")
+    parsed = rows.withColumns({"kind": kind, "body": body, "_closed": _exactly(F.to_json("r"), RECORD_FIELDS)}).drop("r")
+    parsed = written(more(parsed) if more else parsed, "records")
+    tagged = violations(parsed, F.col("revision"), [("record: fields", F.col("_closed"))])
     own = parsed.select("kind", F.col("revision").alias("identity"), "body")
     nested = record_violations(own, limits["locators"], version=2).union(kind_mismatches(own).select(F.lit("named kind"), "identity"))
-    return parsed, tagged.union(nested.select(F.concat(F.lit("record: "), "rule"), "identity"))
+    return parsed.drop("_closed"), tagged.union(nested.select(F.concat(F.lit("record: "), "rule"), "identity"))
 
 
-def parse_shards(texts: DataFrame, limits: dict = V2) -> tuple[DataFrame, DataFrame]:
+def parse_shards(texts: DataFrame, limits: dict = V2, more: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """(records: revision, prefix, position, kind, body; violations) of shard nodes.
 
     ``texts`` may have a column ``shard`` that tells those of a revision apart, which records
     then have too. Each record must name its kind and have a body, and nothing else; the body is held
-    against the closed schema of its kind in the second format, and must name that kind itself.
+    against the closed schema of its kind in the second format, and must name that kind itself. ``more`` may add columns to records.
     """
-    opened = _opened(texts, limits["shard_bytes"])
-    fine = opened.where("refusal IS NULL").withColumn("c", F.from_json("text", SHARD))
+    own = opened(texts, limits["shard_bytes"])
+    fine = own.where("refusal IS NULL").withColumn("c", F.from_json("text", SHARD))
     c = lambda f: F.col(f"c.{f}")
     n = F.size(c("records"))
     budget = F.when(n == 1, limits["shard_bytes"]).otherwise(limits["shard_target"])
     rules = [
-        ("canonical", sj.is_canonical(F.col("data"))),
+        ("canonical", F.col("same")),
         ("fields", _exactly(F.col("text"), SHARD_FIELDS)),
         ("role", (c("payloadVersion") == 2) & (c("nodeType") == "shard") & (c("partitionVersion") == 1)),
         ("prefix", c("prefix").rlike(schemas.HEX_PREFIX)),
         ("records", (n >= 1) & (n <= limits["records_per_leaf"])),
         ("budget", F.octet_length("data") <= budget),
     ]
-    broken = violations(fine, F.col("revision"), rules).union(opened.where("refusal IS NOT NULL").select(F.concat(F.lit("json: "), "refusal"), "revision"))
+    broken = violations(fine, F.col("revision"), rules).union(own.where("refusal IS NOT NULL").select(F.concat(F.lit("json: "), "refusal"), "revision"))
     kept = [x for x in ("revision", "shard") if x in texts.columns]
-    parsed, nested = _tagged(fine.select(*kept, F.col("c.prefix").alias("prefix"), F.posexplode("c.records").alias("position", "r")), limits)
+    parsed, nested = _tagged(fine.select(*kept, F.col("c.prefix").alias("prefix"), F.posexplode("c.records").alias("position", "r")), limits, more)
     return parsed, broken.union(nested).distinct()
 
 
-def parse_records(texts: DataFrame, limits: dict = V2) -> tuple[DataFrame, DataFrame]:
+def parse_records(texts: DataFrame, limits: dict = V2, more: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """(records: revision, kind, body; violations) of canonical arrays of records (revision, data), which plans are made from."""
-    opened = _opened(texts, limits["plan_bytes"])
-    fine = opened.where("refusal IS NULL").withColumn("c", F.from_json("text", "array<variant>"))
+    own = opened(texts, limits["plan_bytes"])
+    fine = own.where("refusal IS NULL").withColumn("c", F.from_json("text", "array<variant>"))
     rules = [
-        ("canonical", sj.is_canonical(F.col("data"))),
+        ("canonical", F.col("same")),
         ("array", F.startswith(F.ltrim("text"), F.lit("[")) & F.col("c").isNotNull()),
         ("records", F.coalesce(F.size("c"), F.lit(0)) <= limits["records"]),
     ]
-    broken = violations(fine, F.col("revision"), rules).union(opened.where("refusal IS NOT NULL").select(F.concat(F.lit("json: "), "refusal"), "revision"))
-    parsed, nested = _tagged(fine.select("revision", F.explode("c").alias("r")), limits)
+    broken = violations(fine, F.col("revision"), rules).union(own.where("refusal IS NOT NULL").select(F.concat(F.lit("json: "), "refusal"), "revision"))
+    parsed, nested = _tagged(fine.select("revision", F.explode("c").alias("r")), limits, more)
     return parsed, broken.union(nested).distinct()

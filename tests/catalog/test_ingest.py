@@ -157,3 +157,21 @@ def test_a_record_does_not_carry_its_catalog(spark):
         plan = table._jdf.queryExecution().executedPlan().toString()
         carried = re.findall(r"Generate .*\), \[(.*?)\], (?:false|true)", plan)
         assert carried and all(x.startswith("revision#") and "," not in x for x in carried)
+
+
+def test_texts_are_walked_once_for_rules_and_records(spark):
+    from test_records import TOMBSTONE
+
+    record = {"recordKind": "tombstone", "body": TOMBSTONE}
+    shard = {"payloadVersion": 2, "nodeType": "shard", "partitionVersion": 1, "prefix": "", "records": [record]}
+    texts = lambda x: spark.createDataFrame([("t", sj.canonical(x).encode()), ("broken", b"{")], "revision string, data binary")
+    made = [*ingest.parse_shards(texts(shard)), *ingest.parse_records(texts([record]))]
+    for df in made:
+        assert "ArrowEvalPython" not in df._jdf.queryExecution().toString()
+    assert [df.count() for df in made] == [1, 1, 1, 1]
+
+
+def test_state_of_texts_gives_none_back(spark):
+    texts = [b'{"a":1}', b'{"a": 1}', b"{", None, b'"\xff"', b'{"b":1,"a":1}']
+    got = spark.createDataFrame([(t,) for t in texts], "t binary").select(sj.json_state("t").alias("s")).select("s.*").collect()
+    assert [(r.refusal, r.same) for r in got] == [(None, True), (None, False), ("parse", False), ("empty", False), ("utf-8", False), (None, False)]
