@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from basalt.functions.scalars import bucket
-from basalt.operators.ordered_digest import ordered_digest
+from basalt.operators.ordered_digest import ordered_digest, whole_digest
 from basalt.operators.validate import at_most
 from basalt.plans.durable import checkpoint
 from basalt.plans.limits import V2, BUCKETS
@@ -80,12 +80,12 @@ def misplaced(records: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 def flat_commit(parent: DataFrame, child: DataFrame) -> DataFrame:
     """One row: records, fingerprint, and whether there is nothing to commit.
 
-    The digest of a flat revision is over all its records in order: one task reads them
-    sorted, in constant memory, but one after another. Use buckets where that takes too long.
+    The digest of a flat revision is over all its records in order: they are sorted by ranges, but one
+    task reads the joined payloads one after another. Use buckets where that takes too long.
     """
 
     def one(d: DataFrame) -> DataFrame:
-        found = ordered_digest(d.withColumn("all", F.lit(0)), ["all"], [F.col("id")], F.col("payload"))
+        found = whole_digest(d, [F.col("id")], F.col("payload")).withColumn("all", F.lit(0))
         row = d.sparkSession.range(1).select(F.col("id").cast("int").alias("all"))
         return row.join(found, "all", "left").select(F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("fingerprint", F.sha2(F.lit("[]"), 256)).alias("fingerprint"))
 

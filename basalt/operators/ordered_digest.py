@@ -16,6 +16,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+#: Bytes from which on a piece of joined bodies is full: small, as a worker holds a batch of them.
+PIECE = 1 << 14
+
+
 def _starts(keys: list[pa.Array]) -> list[int]:
     """Where a row's keys differ from those of the row before; null equals null."""
     m = len(keys[0])
@@ -85,3 +89,55 @@ def ordered_digest(rows: DataFrame, group: list[str], order: list[Column], body:
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[: len(group)]]
     kinds += [f"`{c}` bigint" for c in [*sums, records]] + [f"`{name}` string"]
     return own.mapInArrow(run, ", ".join(kinds))
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(at, n, data): bodies in a row joined to pieces, with the place of the first; ``data`` is null where all of them are."""
+    at, n, held, size, done = None, 0, [], 0, []
+
+    def out() -> pa.RecordBatch:
+        columns = list(zip(*done))
+        done.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()))], ["at", "n", "data"])
+
+    for batch in batches:
+        for place, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            at = place if n == 0 else at
+            n += 1
+            if text is not None:
+                held.append(text)
+                size += len(text) + 1
+            if size >= PIECE:
+                done.append((at, n, b",".join(held)))
+                n, held, size = 0, [], 0
+        if done:
+            yield out()
+    if n:
+        done.append((at, n, b",".join(held) if held else None))
+        yield out()
+
+
+def whole_digest(rows: DataFrame, order: list[Column], body: Column, records: str = "records", name: str = "fingerprint") -> DataFrame:
+    """(``records``, ``name``): the digest of ``ordered_digest`` over all rows as one group; no row if there are none.
+
+    Ranges of the order are sorted side by side and each joins its bodies to pieces. The one
+    task that feeds the digest puts pieces in order, not rows, and sees neither keys nor orders.
+    """
+    keys = [f"o{i}" for i in range(len(order))]
+    keyed = rows.select(*(c.alias(k) for k, c in zip(keys, order)), body.alias("body"))
+    placed = keyed.repartitionByRange(*keys, "body").sortWithinPartitions(*keys, "body")
+    pieces = placed.select(F.monotonically_increasing_id().alias("at"), F.encode("body", "UTF-8").alias("body")).mapInArrow(_pieces, "at bigint, n bigint, data binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, n, first = hashlib.sha256(b"["), 0, True
+        for batch in batches:
+            n += sum(batch.column(0).to_pylist())
+            for piece in batch.column(1):
+                if piece.is_valid:
+                    digest.update(piece.as_py() if first else b"," + piece.as_py())
+                    first = False
+        if n:
+            digest.update(b"]")
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([digest.hexdigest()], pa.string())], [records, name])
+
+    return pieces.repartition(1).sortWithinPartitions("at").select("n", "data").mapInArrow(run, f"`{records}` bigint, `{name}` string")

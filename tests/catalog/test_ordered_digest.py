@@ -5,7 +5,7 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from basalt.operators import layout
-from basalt.operators.ordered_digest import ordered_digest
+from basalt.operators.ordered_digest import ordered_digest, whole_digest
 
 
 def sha(texts):
@@ -44,3 +44,23 @@ def test_flat_commit_of_nothing(spark):
     none = some.where("false")
     assert layout.flat_commit(none, none).first().asDict() == {"records": 0, "fingerprint": sha([]), "no_change": True}
     assert layout.flat_commit(none, some).first().asDict() == {"records": 1, "fingerprint": sha(["x"]), "no_change": False}
+
+
+def test_a_flat_revision_is_joined_by_ranges_before_its_one_task(spark):
+    pick = random.Random(6)
+    rows = [(pick.choice([None, *range(4000)]), pick.choice([None, "é", "x" * 90, f"y{i}"])) for i in range(5000)]
+    first = lambda x: (x is not None, x)
+    want = sha([t for _, t in sorted(rows, key=lambda r: (first(r[0]), first(r[1]))) if t is not None])
+    df = spark.createDataFrame(rows, "o int, t string").repartition(5)
+    got = whole_digest(df, [F.col("o")], F.col("t"))
+    try:
+        for size in ("7", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            assert [(r.records, r.fingerprint) for r in got.collect()] == [(5000, want)]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    nulls = whole_digest(df.withColumn("t", F.lit(None).cast("string")), [F.col("o")], F.col("t")).first()
+    assert (nulls.records, nulls.fingerprint) == (5000, sha([])) and whole_digest(df.where("false"), [F.col("o")], F.col("t")).count() == 0
+    # only one task takes all, and what it takes are pieces
+    flat = layout.flat_commit(*[df.select(F.col("o").cast("string").alias("id"), F.col("t").alias("payload"))] * 2)
+    assert "rangepartitioning(o0" in flat._jdf.queryExecution().executedPlan().toString() and flat.first().records == 5000
