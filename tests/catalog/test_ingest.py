@@ -175,3 +175,12 @@ def test_state_of_texts_gives_none_back(spark):
     texts = [b'{"a":1}', b'{"a": 1}', b"{", None, b'"\xff"', b'{"b":1,"a":1}']
     got = spark.createDataFrame([(t,) for t in texts], "t binary").select(sj.json_state("t").alias("s")).select("s.*").collect()
     assert [(r.refusal, r.same) for r in got] == [(None, True), (None, False), ("parse", False), ("empty", False), ("utf-8", False), (None, False)]
+
+
+def test_roots_are_walked_in_one_step(spark):
+    root = {"payloadVersion": 2, "nodeType": "root", "partitionVersion": 1, "parents": [], "entryCount": 0, "observationCount": 0, "requiredEpochs": [], "references": [{"prefix": "", "empty": True}]}
+    got = ingest.preflight_roots(spark.createDataFrame([("r", sj.canonical(root).encode()), ("broken", b"{")], "revision string, data binary"))
+    steps = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython")
+    # of what is left to run, only single references go to Python
+    assert [steps(df) for df in (got.references, got.totals, got.violations)] == [0, 0, 1]
+    assert {(r.identity, r.rule) for r in got.violations.collect()} == {("broken", "json: parse")} and got.totals.count() == 1
