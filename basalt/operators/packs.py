@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from basalt.operators.validate import CatalogError, violations
 from basalt.plans.limits import PACK_TARGET
 from basalt.plans.schemas import DIGEST
 
+#: Shards that a task packs, and then orders by their offsets: so few that it needs little memory.
+TASK = 250_000
+
 
 def greedy_pack(shards: DataFrame, group: str, order: str, length: str, target: int = PACK_TARGET) -> DataFrame:
     """(group, shard, length, pack, offset): shards in order, a new pack when one would overflow.
 
-    Sequential inside a group (a revision, of at most 1024 shards); groups run side by side.
+    Sequential inside a group (a revision, of at most 1024 shards); groups run side by side, in as many
+    tasks as there are ``TASK`` shards, so that memory of one doesn't grow with the input.
     """
+    tasks = max(shards.sparkSession.sparkContext.defaultParallelism, -(-shards.count() // TASK))
     rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("shard"), F.col(length).cast("bigint").alias("length"))))
     out = "array<struct<shard:{0},length:bigint,pack:int,offset:bigint>>".format(shards.schema[order].dataType.simpleString())
     begin = F.struct(F.lit(0).alias("pack"), F.lit(0).cast("bigint").alias("used"), F.array().cast(out).alias("out"))
@@ -24,7 +29,7 @@ def greedy_pack(shards: DataFrame, group: str, order: str, length: str, target:
         one = F.struct(x["shard"].alias("shard"), x["length"].alias("length"), pack.alias("pack"), at.cast("bigint").alias("offset"))
         return F.struct(pack.alias("pack"), (at + x["length"]).cast("bigint").alias("used"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    packed = shards.groupBy(group).agg(F.aggregate(rows, begin, step, lambda a: a["out"]).alias("x"))
+    packed = shards.select(group, order, length).repartition(tasks, group).groupBy(group).agg(F.aggregate(rows, begin, step, lambda a: a["out"]).alias("x"))
     return packed.select(group, F.explode("x").alias("x")).select(group, "x.*")
 
 
@@ -46,9 +51,13 @@ def extent_overlaps(extents: DataFrame, keys: list[str]) -> DataFrame:
     A running maximum of ends over the sorted extents sees every overlap without
     comparing pairs.
     """
+    return extents.withColumn("before", _end_before(keys)).where(F.col("offset") < F.col("before"))
+
+
+def _end_before(keys: list[str]) -> Column:
+    """The last end of the extents that begin earlier."""
     w = Window.partitionBy(*keys).orderBy("offset", "shard")
-    ends = F.max(F.col("offset") + F.col("length")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return extents.withColumn("before", ends).where(F.col("offset") < F.col("before"))
+    return F.max(F.col("offset") + F.col("length")).over(w.rowsBetween(Window.unboundedPreceding, -1))
 
 
 def range_get(objects: DataFrame, data: str, offset, length) -> DataFrame:
@@ -71,7 +80,8 @@ def extent_violations(extents: DataFrame, group: str = "group") -> DataFrame:
 
     Bounds must not be null or negative and their sum stay within 2^53 - 1, hashes be lower
     hex digests, a shard have one extent in its group, and extents of one pack not overlap.
-    An empty extent overlaps what it lies inside of, and none that it only touches.
+    An empty extent overlaps what it lies inside of, and none that it only touches. Extents
+    are read once: windows stay in a group, and what is known of one row goes along as a flag.
     """
     end = F.col("offset") + F.col("length")
     rules = [
@@ -79,10 +89,13 @@ def extent_violations(extents: DataFrame, group: str = "group") -> DataFrame:
         ("pack hash", F.col("pack_hash").rlike(DIGEST)),
         ("hash", F.col("hash").rlike(DIGEST)),
     ]
-    broken = violations(extents, F.struct(group, "shard"), rules).select("rule", "identity.*")
-    twice = extents.groupBy(group, "shard").agg(F.count("*").alias("n")).where("n > 1").select(F.lit("repeated shard"), group, "shard")
-    over = extent_overlaps(extents, [group, "pack_hash"]).select(F.lit("overlap"), group, "shard")
-    return broken.union(twice).union(over)
+    flags = [ok.alias(f"_{i}") for i, (_, ok) in enumerate(rules)]
+    rows = extents.select(group, "shard", "pack_hash", "offset", "length", *flags)
+    # a repeated shard is told once, by its second extent
+    rows = rows.withColumn("_before", _end_before([group, "pack_hash"])).withColumn("_n", F.row_number().over(Window.partitionBy(group, "shard").orderBy("offset")))
+    told = [(name, F.col(f"_{i}")) for i, (name, _) in enumerate(rules)]
+    told += [("repeated shard", F.col("_n") != 2), ("overlap", ~F.coalesce(F.col("offset") < F.col("_before"), F.lit(False)))]
+    return violations(rows, F.struct(group, "shard"), told).select("rule", "identity.*")
 
 
 def single_extent(extents: DataFrame, shard) -> DataFrame:

@@ -180,3 +180,12 @@ def test_reconcile_enforces_limits(spark):
     for more in ({"n": nodes}, {"limits": V1 | {"result_bytes": 100}}):
         with pytest.raises(CatalogError, match="limit"):
             reconcile(df, more.get("n", nodes.limit(16)), edges, limits=more.get("limits", V1))
+
+
+def test_packing_takes_more_tasks_for_more_shards(spark, monkeypatch):
+    df = spark.range(3000).select((F.col("id") % 200).alias("g"), F.col("id").alias("shard"), (F.col("id") % 7 + 1).alias("n"))
+    rows = lambda x: sorted(tuple(r) for r in x.collect())
+    want = rows(packs.greedy_pack(df, "g", "shard", "n", target=20))
+    monkeypatch.setattr(packs, "TASK", 100)
+    got = packs.greedy_pack(df, "g", "shard", "n", target=20)
+    assert got.rdd.getNumPartitions() == 30 and rows(got) == want and len(want) == 3000
