@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil, log
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from basalt.functions.scalars import hex_successor
@@ -20,13 +22,14 @@ def adaptive_leaves(records: DataFrame, most: int = V2["records_per_leaf"], targ
     A prefix splits while it has over ``most`` records or its encoding is over ``target``;
     one record always fits. records: route, bytes. One aggregation of the records gives
     the counts ``step`` digits deep and all coarser ones are summed from those; only
-    records under prefixes that don't fit there are looked at again.
+    records under prefixes that don't fit there are looked at again, no more digits deeper than
+    the largest of them needs if routes are even, so that there are few times as many counts as leaves.
     """
-    leaves, inner, depth = [], [], 0
+    leaves, inner, depth, largest, more = [], [], 0, None, step
     rows = records.select("route", "bytes")
     top = records.sparkSession.createDataFrame([("",)], "prefix string")  # the root splits or is the one leaf
     while True:
-        deep = depth + step
+        deep = depth + more
         fine = rows.groupBy(F.substring("route", 1, deep).alias("deep")).agg(F.count("*").alias("n"), F.sum("bytes").alias("b"))
         fine = checkpoint(fine)
         levels = fine.select("deep", "n", "b", F.explode(F.sequence(F.lit(depth), F.lit(deep))).alias("d"))
@@ -44,12 +47,16 @@ def adaptive_leaves(records: DataFrame, most: int = V2["records_per_leaf"], targ
         split = ends.where(last >= depth).select("deep", F.explode(F.sequence(F.lit(depth), last)).alias("d"))
         inner.append(split.select(F.expr("left(deep, d)").alias("prefix")).distinct())
         open_ = ends.where("end IS NULL").select("deep")
-        if open_.isEmpty():
+        over = fine.join(open_, "deep").agg(F.max("n").alias("n"), F.max("b").alias("b")).first()
+        if over["n"] is None:
             break
         if deep >= 64:
             raise CatalogError("limit", "records with one route don't fit")
         rows = rows.join(open_, F.substring("route", 1, deep) == F.col("deep"), "left_semi")
-        depth = deep
+        # routes that the last digits didn't part may be equal further on
+        parted = largest is None or over["n"] < largest
+        more = min(step, max(1, ceil(log(max(over["n"] / most, over["b"] / target), 16)))) if parted else step
+        depth, largest = deep, over["n"]
     found, inside = leaves[0], inner[0]
     for a, b in zip(leaves[1:], inner[1:]):
         found, inside = found.union(a), inside.union(b)

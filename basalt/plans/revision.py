@@ -86,7 +86,7 @@ def validate_revisions(roots: DataFrame, nodes: DataFrame, limits: dict = V2) ->
     roots = ingest.opened(roots, limits["root_bytes"])
     pre = ingest.preflight_roots(roots, limits)
     refs = pre.references
-    nodes = ingest.opened(nodes.select("revision", F.col("position").alias("shard"), "data", F.octet_length("data").cast("bigint").alias("length")), limits["shard_bytes"])
+    nodes = ingest.opened_shards(nodes.select("revision", F.col("position").alias("shard"), "data", F.octet_length("data").cast("bigint").alias("length")), limits)
     records, broken = ingest.parse_shards(nodes, limits, routed)
     nodes = nodes.select("revision", "shard", "length")
     say = lambda df, rule, by="revision": df.select(rule if not isinstance(rule, str) else F.lit(rule).alias("rule"), F.col(by).alias("identity"))

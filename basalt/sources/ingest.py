@@ -25,8 +25,7 @@ from basalt.plans.limits import METADATA_BYTES, PLAINTEXT_BYTES, V1, V2
 CATALOG_FIELDS = ("payloadVersion", "parents", "entries", "observations")
 ROOT_FIELDS = ("payloadVersion", "nodeType", "partitionVersion", "parents", "entryCount", "observationCount", "requiredEpochs", "references")
 SHARD_FIELDS = ("payloadVersion", "nodeType", "partitionVersion", "prefix", "records")
-SHARD = "struct<payloadVersion:int,nodeType:string,partitionVersion:int,prefix:string,records:array<variant>>"
-RECORD_FIELDS = ("body", "recordKind")
+SHARD = "struct<payloadVersion:int,nodeType:string,partitionVersion:int,prefix:string>"
 
 
 @dataclass
@@ -42,17 +41,27 @@ def _exactly(text: Column, fields: tuple[str, ...]) -> Column:
     return F.array_sort(F.json_object_keys(text)) == F.array(*(F.lit(f) for f in sorted(fields)))
 
 
-def opened(texts: DataFrame, most: int) -> DataFrame:
-    """``texts`` with text, refusal (null for one that is fine) and same (whether it is canonical); as they are, if they were opened before.
+def walked(texts: DataFrame, most: int, walk: Callable[[Column], Column]) -> DataFrame:
+    """``texts`` with refusal (null for one that is fine), same (whether it is canonical) and what else ``walk`` tells of it."""
+    large = F.octet_length("data") > most
+    state = texts.withColumn("_state", walk(F.when(~large, F.col("data"))))
+    more = [F.col(f"_state.{f}").alias(f) for f in state.schema["_state"].dataType.names if f != "refusal"]
+    return state.select(*texts.columns, F.when(large, "too-large").otherwise(F.col("_state.refusal")).alias("refusal"), *more)
+
+
+def opened(texts: DataFrame, most: int, walk: Callable[[Column], Column] = sj.json_state) -> DataFrame:
+    """``texts`` with text and what ``walked`` adds; as they are, if they were opened before.
 
     They are written, as rules, records and sums each read them: a text is made and walked once.
     """
     if {"text", "refusal", "same"} <= set(texts.columns):
         return texts
-    large = F.octet_length("data") > most
-    state = texts.withColumn("_state", sj.json_state(F.when(~large, F.col("data"))))
-    kept = state.select(*texts.columns, F.when(large, "too-large").otherwise(F.col("_state.refusal")).alias("refusal"), F.col("_state.same").alias("same"))
-    return written(kept, "texts").withColumn("text", F.col("data").cast("string"))
+    return written(walked(texts, most, walk), "texts").withColumn("text", F.col("data").cast("string"))
+
+
+def opened_shards(texts: DataFrame, limits: dict = V2) -> DataFrame:
+    """``texts`` of shard nodes, opened, with the records that they hold."""
+    return opened(texts, limits["shard_bytes"], sj.shard_records)
 
 
 def parse_catalogs(texts: DataFrame, limits: dict = V1, most: int = PLAINTEXT_BYTES) -> Catalogs:
@@ -185,20 +194,12 @@ def preflight_roots(texts: DataFrame, limits: dict = V2) -> Preflight:
     return Preflight(refs, totals, broken.union(cover.distinct()))
 
 
-def _tagged(rows: DataFrame, limits: dict, more: Callable[[DataFrame], DataFrame] | None) -> tuple[DataFrame, DataFrame]:
-    """(rows with kind and body, violations) of rows (revision, r variant, ...): each names its kind and has a body of that kind, and nothing else.
-
-    Rows are written, with the columns that ``more`` adds: each kind's rules and all that
-    follows read them, and a text isn't taken apart again for each.
-    """
-    kind = F.try_variant_get("r", "$.recordKind", "string")
-    body = sj.json_canonical(F.encode(F.to_json(F.try_variant_get("r", "$.body", "variant")), "UTF-8"))
-    parsed = rows.withColumns({"kind": kind, "body": body, "_closed": _exactly(F.to_json("r"), RECORD_FIELDS)}).drop("r")
-    parsed = written(more(parsed) if more else parsed, "records")
-    tagged = violations(parsed, F.col("revision"), [("record: fields", F.col("_closed"))])
-    own = parsed.select("kind", F.col("revision").alias("identity"), "body")
+def _tagged(records: DataFrame, limits: dict) -> DataFrame:
+    """Violations of records (revision, kind, body, closed, ...): each names its kind and has a body of that kind, and nothing else."""
+    tagged = violations(records, F.col("revision"), [("record: fields", F.col("closed"))])
+    own = records.select("kind", F.col("revision").alias("identity"), "body")
     nested = record_violations(own, limits["locators"], version=2).union(kind_mismatches(own).select(F.lit("named kind"), "identity"))
-    return parsed.drop("_closed"), tagged.union(nested.select(F.concat(F.lit("record: "), "rule"), "identity"))
+    return tagged.union(nested.select(F.concat(F.lit("record: "), "rule"), "identity"))
 
 
 def parse_shards(texts: DataFrame, limits: dict = V2, more: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -207,11 +208,12 @@ def parse_shards(texts: DataFrame, limits: dict = V2, more: Callable[[DataFrame]
     ``texts`` may have a column ``shard`` that tells those of a revision apart, which records
     then have too. Each record must name its kind and have a body, and nothing else; the body is held
     against the closed schema of its kind in the second format, and must name that kind itself. ``more`` may add columns to records.
+    Records are written with those: each kind's rules and all that follows read them.
     """
-    own = opened(texts, limits["shard_bytes"])
+    own = opened_shards(texts, limits)
     fine = own.where("refusal IS NULL").withColumn("c", F.from_json("text", SHARD))
     c = lambda f: F.col(f"c.{f}")
-    n = F.size(c("records"))
+    n = F.size("records")
     budget = F.when(n == 1, limits["shard_bytes"]).otherwise(limits["shard_target"])
     rules = [
         ("canonical", F.col("same")),
@@ -223,19 +225,24 @@ def parse_shards(texts: DataFrame, limits: dict = V2, more: Callable[[DataFrame]
     ]
     broken = violations(fine, F.col("revision"), rules).union(own.where("refusal IS NOT NULL").select(F.concat(F.lit("json: "), "refusal"), "revision"))
     kept = [x for x in ("revision", "shard") if x in texts.columns]
-    parsed, nested = _tagged(fine.select(*kept, F.col("c.prefix").alias("prefix"), F.posexplode("c.records").alias("position", "r")), limits, more)
-    return parsed, broken.union(nested).distinct()
+    each = fine.select(*kept, F.col("c.prefix").alias("prefix"), F.posexplode("records").alias("position", "r")).select(*kept, "prefix", "position", "r.*")
+    parsed = written(more(each) if more else each, "records")
+    return parsed.drop("closed"), broken.union(_tagged(parsed, limits)).distinct()
 
 
 def parse_records(texts: DataFrame, limits: dict = V2, more: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(records: revision, kind, body; violations) of canonical arrays of records (revision, data), which plans are made from."""
-    own = opened(texts, limits["plan_bytes"])
-    fine = own.where("refusal IS NULL").withColumn("c", F.from_json("text", "array<variant>"))
-    rules = [
-        ("canonical", F.col("same")),
-        ("array", F.startswith(F.ltrim("text"), F.lit("[")) & F.col("c").isNotNull()),
-        ("records", F.coalesce(F.size("c"), F.lit(0)) <= limits["records"]),
-    ]
-    broken = violations(fine, F.col("revision"), rules).union(own.where("refusal IS NOT NULL").select(F.concat(F.lit("json: "), "refusal"), "revision"))
-    parsed, nested = _tagged(fine.select("revision", F.explode("c").alias("r")), limits, more)
-    return parsed, broken.union(nested).distinct()
+    """(records: revision, kind, body; violations) of canonical arrays of records (revision, data), which plans are made from.
+
+    Records are written as the one walk gives them, with the columns that ``more`` adds; what
+    holds of a text stands with its first record, or with none where it has no records.
+    """
+    own = walked(texts.select("revision", "data"), limits["plan_bytes"], sj.array_records)
+    n = F.when(F.col("records").isNotNull(), F.size("records"))
+    each = own.select("revision", "refusal", "same", n.alias("n"), F.posexplode_outer("records").alias("position", "r"))
+    each = each.select("revision", "refusal", "same", "n", "position", "r.*")
+    every = written(more(each) if more else each, "records")
+    text = every.where("position IS NULL OR position = 0")
+    rules = [("canonical", F.col("same")), ("array", F.col("n").isNotNull()), ("records", F.coalesce("n", F.lit(0)) <= limits["records"])]
+    broken = violations(text.where("refusal IS NULL"), F.col("revision"), rules).union(text.where("refusal IS NOT NULL").select(F.concat(F.lit("json: "), "refusal"), "revision"))
+    parsed = every.where("position IS NOT NULL").drop("refusal", "same", "n", "position")
+    return parsed.drop("closed"), broken.union(_tagged(parsed, limits)).distinct()

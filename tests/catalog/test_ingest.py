@@ -184,3 +184,55 @@ def test_roots_are_walked_in_one_step(spark):
     # of what is left to run, only single references go to Python
     assert [steps(df) for df in (got.references, got.totals, got.violations)] == [0, 0, 1]
     assert {(r.identity, r.rule) for r in got.violations.collect()} == {("broken", "json: parse")} and got.totals.count() == 1
+
+
+def test_records_are_made_by_the_walk_of_their_text(spark, monkeypatch):
+    """One Python step for a text and all its records, and none for each record."""
+    from test_records import TOMBSTONE
+
+    made, written = [], ingest.written
+
+    def kept(df, name):
+        made.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return written(df, name)
+
+    monkeypatch.setattr(ingest, "written", kept)
+    record = {"recordKind": "tombstone", "body": TOMBSTONE}
+    shard = {"payloadVersion": 2, "nodeType": "shard", "partitionVersion": 1, "prefix": "", "records": [record]}
+    for parse, x in ((ingest.parse_records, [record]), (ingest.parse_shards, shard)):
+        made.clear()
+        rows, bad = parse(spark.createDataFrame([("t", sj.canonical(x).encode())], "revision string, data binary"))
+        assert sum(plan.count("ArrowEvalPython") for plan in made) == 1
+        assert [(r.kind, r.body) for r in rows.collect()] == [("tombstone", sj.canonical(TOMBSTONE))] and bad.count() == 0
+
+
+def test_odd_arrays_of_records(spark):
+    from test_records import TOMBSTONE
+
+    fine = {"recordKind": "tombstone", "body": TOMBSTONE}
+    cases = {
+        "fine": sj.canonical([fine, fine]).encode(), "none": b"[]", "object": b'{"records":[]}', "number": b"5", "null": b"null", "broken": b"[", "spaced": json.dumps([fine]).encode(),
+        "items": b'[null,5,"x",[],{}]', "turned": sj.canonical([fine]).encode().replace(b'{"body":', b'{"recordKind":"tombstone","body":').replace(b',"recordKind":"tombstone"}]', b"}]"),
+        "bodies": b'[{"body":null,"recordKind":"tombstone"},{"recordKind":"tombstone"},{"body":{"a":1.50,"b":[]},"recordKind":null}]', "kinds": b'[{"body":{},"recordKind":5},{"body":{},"recordKind":["tombstone"]}]',
+    }
+    rows, bad = ingest.parse_records(spark.createDataFrame([(k, v) for k, v in cases.items()], "revision string, data binary"))
+    found, held = {k: set() for k in cases}, {k: [] for k in cases}
+    for r in bad.collect():
+        found[r.identity].add(r.rule)
+    for r in rows.collect():
+        held[r.revision].append((r.kind, r.body))
+    assert {k for k, rules in found.items() if not rules} == {"fine", "none"}
+    assert all(found[k] == {"array"} for k in ("object", "number", "null")) and found["broken"] == {"json: parse"}
+    assert found["spaced"] == found["turned"] == {"canonical"} and {"record: fields", "record: kind"} <= found["items"] and "canonical" in found["bodies"]
+    assert held["spaced"] == held["turned"] == [("tombstone", sj.canonical(TOMBSTONE))] and held["fine"] == 2 * held["turned"]
+    assert held["items"] == [(None, None)] * 5 and sorted(held["kinds"], key=str) == [("5", "{}"), (None, "{}")]
+    assert sorted(held["bodies"], key=str) == [("tombstone", "null"), ("tombstone", None), (None, '{"a":1.5,"b":[]}')]
+
+
+def test_walk_tells_what_read_tells():
+    texts = ['[{"body":1,"recordKind":"x"}]', '{"prefix":"","records":[1]}', '{"records":[],"prefix":""}', '{"ﬁ":1,"\U0001f600":2,"records":[{"recordKind":1e3,"body":[]}]}', "[1.0]", '{"records":5}', "[" * 33 + "]" * 33, "[" * 32 + "]" * 32, '["\\ud800"]', "{}", '"x"']
+    for t in texts:
+        own = t.encode()
+        refusal, text = sj.read(own)
+        for member in (None, "records"):
+            assert sj._state_of_records(own, member)[:2] == (refusal, text == t), t

@@ -214,3 +214,18 @@ def test_only_outcomes_that_break_a_rule_move(spark):
     assert {tuple(r) for r in found.collect()} == {("c", "digest"), ("d", "same digest"), ("e", "digest"), ("f", "length")}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "status" not in plan.split("Join")[0] and "unhex" in plan
+
+
+def test_leaves_come_from_few_counts(spark, monkeypatch):
+    """Records that one more digit parts well enough aren't counted under three more, or there are as many counts as records."""
+    kept, checkpoint = [], shards.checkpoint
+
+    def counted(df):
+        kept.append(checkpoint(df))
+        return kept[-1]
+
+    monkeypatch.setattr(shards, "checkpoint", counted)
+    rows = [("abc" + hashlib.sha256(str(i).encode()).hexdigest()[3:], 10) for i in range(3000)]
+    got = shards.adaptive_leaves(spark.createDataFrame(rows, "route string, bytes int"), 300, 10**6)
+    assert {r.prefix: (r.n, r.bytes) for r in got.collect()} == leaves_by_search(rows, 300, 10**6)
+    assert max(df.count() for df in kept) <= 100
