@@ -16,7 +16,7 @@ from basalt.operators import graph, layout, merge, packs, records, shards, valid
 from basalt.operators.ordered_digest import ordered_digest
 from basalt.plans import schemas
 from basalt.plans.limits import ROUTE_DOMAIN
-from basalt.plans.durable import checkpoint, scratch
+from basalt.plans.durable import checkpoint, scratch, written
 from basalt.sources import store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -594,10 +594,19 @@ DEAD = f"""dead AS (SELECT *, {ROUTE} AS route, octet_length(encode(body))::BIGI
   FROM (SELECT o_orderkey AS key, o_custkey // 10 AS revision, rtrim(translate(to_base64(unhex(sha256('event ' || o_orderkey))), '+/', '-_'), '=') AS id FROM orders)))"""
 
 
+def _event(key: Column) -> Column:
+    return fn.label_id(F.concat(F.lit("event "), key.cast("string")))
+
+
+def _tombstone(key: Column) -> Column:
+    """The canonical body of an order's tombstone."""
+    start, middle = '{"entryKind":"tombstone","eventId":"', '","reason":"superseded","recordedAt":"2026-01-01T00:00:00Z","targetPackageSha256":"'
+    return F.concat(F.lit(start), _event(key), F.lit(middle), F.sha2(key.cast("string"), 256), F.lit('"}'))
+
+
 def _tombstones(spark, sf_dir) -> DataFrame:
     """revision, identity, route, body and record (canonical texts) of orders."""
-    event = fn.label_id(F.concat(F.lit("event "), order_id()))
-    body = F.format_string('{"entryKind":"tombstone","eventId":"%s","reason":"superseded","recordedAt":"2026-01-01T00:00:00Z","targetPackageSha256":"%s"}', event, F.sha2(order_id(), 256))
+    event, body = _event(F.col("o_orderkey")), _tombstone(F.col("o_orderkey"))
     o = table(spark, sf_dir, "orders").select(F.floor(F.col("o_custkey") / 10).alias("revision"), event.alias("identity"), body.alias("body"))
     return o.withColumns({"route": fn.route_hash(F.lit("tombstone"), F.col("identity")), "record": F.concat(F.lit('{"body":'), "body", F.lit(',"recordKind":"tombstone"}'))})
 
@@ -677,17 +686,18 @@ def reconcile_catalogs(spark, sf_dir):
     from basalt.plans.limits import V1
     from basalt.plans.reconcile import reconcile_catalogs as reconcile_bytes
 
-    t = _tombstones(spark, sf_dir).select("revision", "body", F.col("body").alias("later"))
-    keyed = table(spark, sf_dir, "orders").where("o_orderkey % 9 = 0").select(fn.label_id(F.concat(F.lit("event "), order_id())).alias("event"))
-    t = t.withColumn("event", F.get_json_object("body", "$.eventId")).join(keyed.withColumn("again", F.lit(True)), "event", "left")
-    t = t.withColumn("later", F.when(F.col("again"), F.replace("body", F.lit('"superseded"'), F.lit('"user-request"'))).otherwise(F.col("body")))
-    own = t.groupBy("revision").agg(F.array_join(F.collect_list("body"), ",").alias("first"), F.array_join(F.collect_list("later"), ",").alias("second"))
+    # numbers of orders are gathered, and bodies made of them where they are
+    own = spread(table(spark, sf_dir, "orders").select(F.floor(F.col("o_custkey") / 10).alias("revision"), "o_orderkey"), "revision")
+    own = own.groupBy("revision").agg(F.collect_list("o_orderkey").alias("keys"))
+    own = own.select("revision", F.transform("keys", lambda k: F.struct((k % 9 == 0).alias("again"), _tombstone(k).alias("body"))).alias("r"))
+    later = lambda x: F.when(x["again"], F.replace(x["body"], F.lit('"superseded"'), F.lit('"user-request"'))).otherwise(x["body"])
     name = lambda which: F.sha2(F.concat(F.lit(which), F.col("revision").cast("string")), 256)
-    text = lambda c, parents: F.encode(F.concat(F.lit('{"payloadVersion":1,"parents":['), parents, F.lit('],"entries":['), c, F.lit('],"observations":[]}')), "UTF-8")
-    texts = own.select(name("first").alias("revision"), text(F.col("first"), F.lit("")).alias("data"))
-    texts = texts.union(own.select(name("second"), text(F.col("second"), F.concat(F.lit('"'), name("first"), F.lit('"')))))
+    text = lambda all_, *parents: F.encode(F.concat(F.lit('{"payloadVersion":1,"parents":['), *parents, F.lit('],"entries":['), F.array_join(all_, ","), F.lit('],"observations":[]}')), "UTF-8")
+    first = F.struct(name("first").alias("revision"), text(F.transform("r", lambda x: x["body"])).alias("data"))
+    second = F.struct(name("second").alias("revision"), text(F.transform("r", later), F.lit('"'), name("first"), F.lit('"')).alias("data"))
+    texts = own.select(F.inline(F.array(first, second)))
     # the tables' size, not a catalog's, is the bound
-    got = reconcile_bytes(checkpoint(texts), V1 | {k: 1 << 30 for k in ("inputs", "entries", "observations", "parents")} | {"result_bytes": 1 << 50})
+    got = reconcile_bytes(written(texts, "texts"), V1 | {k: 1 << 30 for k in ("inputs", "entries", "observations", "parents")} | {"result_bytes": 1 << 50})
     agreed = got.union.select("identity", F.lit(None).cast("string").alias("conflict"), F.col("body").alias("claims"))
     return agreed.union(got.conflicts.select("identity", "conflict", F.array_join("claims", "|")))
 

@@ -50,22 +50,37 @@ class State:
     violations: DataFrame  # rule, group
 
 
-def revision_state(records: DataFrame, group: str, limits: dict = V2) -> State:
-    """records: ``group``, kind, identity, package, body. Each identity once, observations of snapshots at their places, bounds of a revision.
-
-    Groups are revisions side by side; every join and sum is by group and key, so none is gathered.
-    """
+def _sides(records: DataFrame, group: str) -> tuple[DataFrame, DataFrame, Column]:
+    """Snapshots and observations of records (``group``, kind, identity, package, body) with what their rules read, and the key of what a record refers to."""
     key = F.struct(group, F.coalesce("package", "identity").alias("package"))
     s = records.where("kind = 'snapshot'").select(group, F.struct(group, F.col("identity").alias("package")).alias("key"), F.col("identity").alias("digest"), F.from_json("body", SNAPSHOT).alias("s"))
     s = s.select(group, "key", "digest", F.coalesce("s.package.byteLength", F.lit(-1)).alias("bytes"), F.col("s.package.rootEpoch").alias("epoch"), F.coalesce("s.locators", F.array().cast("array<string>")).alias("locators"))
     o = records.where("kind = 'observation'").select(group, "identity", key.alias("key"), F.from_json("body", OBSERVATION).alias("o"))
     o = o.select(group, "identity", "key", F.col("o.locator").alias("locator"), F.col("o.outcome.status").alias("status"), F.coalesce("o.outcome.observedSha256", F.lit("")).alias("observed"), F.coalesce("o.outcome.byteLength", F.lit(-2)).alias("length"))
-    dead = records.where("kind = 'tombstone'").select(key.alias("key")).distinct()
+    return s, o, key
+
+
+def _references(s: DataFrame, o: DataFrame, group: str) -> DataFrame:
     say = lambda df, rule: df.select(F.lit(rule).alias("rule"), group)
-    broken = say(validate.duplicates(records, [group, "kind", "identity"]), "repeated identity")
-    broken = broken.union(say(validate.dangling(o, s, "key"), "dangling observation")).union(say(validate.outside_locators(o, s, "key", "locator", "locators"), "unlisted locator"))
+    broken = say(validate.dangling(o, s, "key"), "dangling observation").union(say(validate.outside_locators(o, s, "key", "locator", "locators"), "unlisted locator"))
     wrong = validate.outcome_violations(o.withColumn("identity", F.col(group)), s, "key")
-    broken = broken.union(wrong.select(F.concat(F.lit("outcome: "), "rule"), F.col("identity")))
+    return broken.union(wrong.select(F.concat(F.lit("outcome: "), "rule"), F.col("identity")))
+
+
+def reference_violations(records: DataFrame, group: str) -> DataFrame:
+    """(rule, group) of observations whose snapshot isn't in their group, lies at other places or was seen otherwise. Only snapshots and observations are read."""
+    s, o, _ = _sides(records, group)
+    return _references(s, o, group)
+
+
+def revision_state(records: DataFrame, group: str, limits: dict = V2) -> State:
+    """records: ``group``, kind, identity, package, body. Each identity once, observations of snapshots at their places, bounds of a revision.
+
+    Groups are revisions side by side; every join and sum is by group and key, so none is gathered.
+    """
+    s, o, key = _sides(records, group)
+    dead = records.where("kind = 'tombstone'").select(key.alias("key")).distinct()
+    broken = validate.duplicates(records, [group, "kind", "identity"]).select(F.lit("repeated identity").alias("rule"), group).union(_references(s, o, group))
     epochs = s.select(group, "epoch").distinct()
     live = s.join(dead, "key", "left_anti").select(group, "digest", F.col("bytes").alias("byte_length"))
     entry = F.col("kind") != "observation"

@@ -10,7 +10,7 @@ from basalt.operators import graph, merge
 from basalt.operators.validate import CatalogError, at_most, duplicates, enforce
 from basalt.plans.durable import checkpoint, written
 from basalt.plans.limits import V1
-from basalt.plans.planner import revision_state, routed
+from basalt.plans.planner import reference_violations, routed
 from basalt.sources import ingest
 
 
@@ -93,22 +93,43 @@ class CatalogReconciliation:
 
 
 def parsed_catalogs(texts: DataFrame, limits: dict = V1) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(records: revision, kind, identity, body, package; nodes: node, canonical; edges: child, parent) of full snapshots (revision, data).
+    """(records: text, revision, kind, identity, package, body; sources: text, revision, digest; edges: child, parent) of full snapshots (revision, data).
 
     Errors are of the class that they belong to: input, limit, conflict (one catalog, one identity, several claims)
-    and reference. Equal records of one catalog count once, and their locators are united.
+    and reference. Equal records of one catalog count once, and their locators are united: only catalogs
+    whose walk found an identity twice have any, so records of the others stay where they were written.
     """
     read = ingest.parse_catalogs(texts, limits)
     broken = checkpoint(read.violations)
     enforce(broken.where(~F.col("rule").isin(*BOUNDS)), "input")
     enforce(broken, "limit")
-    both = read.entries.select("revision", "kind", "identity", "body").union(read.observations.select("revision", F.lit("observation"), "identity", "body"))
-    views = merge.claim_views(both, limits["locators"], by=["revision"])
-    records = written(routed(views).select("revision", "kind", "identity", "body", "package"), "records")
-    enforce(duplicates(records, ["revision", "kind", "identity"]), "conflict")
-    state = revision_state(records, "revision", {"entries": limits["entries"], "observations": limits["observations"], "epochs": 1 << 62, "live_bytes": 1 << 62})
-    enforce(state.violations, "reference")
-    return records, read.revisions.select(F.col("revision").alias("node"), "canonical"), read.parents
+    records, again = read.records, read.texts.where("repeats").select("text")
+    if not again.isEmpty():
+        views = merge.claim_views(records.join(again, "text", "left_semi"), limits["locators"], by=["text", "revision"])
+        views = written(routed(views).select(*records.columns), "views")
+        enforce(duplicates(views, ["text", "kind", "identity"]), "conflict")
+        records = written(records.join(again, "text", "left_anti").union(views), "records")
+    enforce(reference_violations(records, "text"), "reference")
+    return records, read.texts.select("text", "revision", "digest"), read.parents
+
+
+def concurrent_conflicts(records: DataFrame, heads: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(conflict, identity, claims) of what is alive at one head and dead at another. records: revision, kind, identity, package, body.
+
+    Such a package is a snapshot in some record and the target of a tombstone in another, so only
+    claims of packages that are both meet the heads; without snapshots none are.
+    """
+    kinds = {"snapshot": "identity", "tombstone": "package"}
+    of = lambda kind, *more: records.where(F.col("kind") == kind).select(F.col(kinds[kind]).alias("identity"), *more)
+    if not of("snapshot").isEmpty():
+        met = checkpoint(of("snapshot").distinct().join(of("tombstone").distinct(), "identity", "left_semi"))
+        if not met.isEmpty():
+            at_heads = heads.select(F.col("node").alias("head"))
+            live, dead = (checkpoint(of(kind, F.col("revision").alias("head"), "body", "kind").join(met, "identity", "left_semi").join(at_heads, "head", "left_semi")) for kind in kinds)
+            live, dead = (df.select("head", "identity", "body") for df in (merge.in_order(live), dead))
+            found = graph.tombstone_live_conflicts(live, dead, graph.ancestor_closure(edges), nodes, bodies=True)
+            return checkpoint(found.select(F.lit("tombstone-live").alias("conflict"), "identity", "claims"))
+    return records.sparkSession.createDataFrame([], "conflict string, identity string, claims array<string>")
 
 
 def accounted(texts: DataFrame, column: str, overhead: int) -> DataFrame:
@@ -138,30 +159,29 @@ def reconcile_catalogs(texts: DataFrame, limits: dict = V1) -> CatalogReconcilia
 
     said = lambda df, c: df.select(F.concat(F.lit('"'), c, F.lit('"')).alias("said"))
     records, sources, edges = parsed_catalogs(texts, limits)
-    twice = merge.revision_dedupe(sources.select(F.col("node").alias("revision"), F.col("canonical").alias("payload")))
-    enforce(twice.where("conflict").select("revision"), "conflict")
-    nodes = checkpoint(twice.select(F.col("revision").alias("node")))
+    twice = checkpoint(sources.groupBy("revision").agg(F.min("text").alias("text"), F.count("*").alias("copies"), F.countDistinct("digest").alias("payloads")))
+    enforce(twice.where("payloads > 1").select("revision"), "conflict")
+    if not twice.where("copies > 1").isEmpty():
+        records = written(records.join(twice.select("text"), "text", "left_semi"), "records")
+    nodes = twice.select(F.col("revision").alias("node"))
     edges = checkpoint(edges.distinct())
     account((said(nodes, "node"), "said"), (nodes.select(F.lit("1").alias("said")), "said"), (said(edges, "parent"), "said"), (records, "body"))
     if not edges.where("child = parent").isEmpty() or not graph.cycle_nodes(edges).isEmpty():
         raise CatalogError("input", "cycle of revisions")
     heads, missing = checkpoint(graph.heads(nodes, edges)), checkpoint(graph.missing_parents(nodes, edges))
-    own = records.join(heads.select(F.col("node").alias("revision")), "revision")
-    live = own.where("kind = 'snapshot'").select(F.col("revision").alias("head"), "identity", "body")
-    dead = own.where("kind = 'tombstone'").select(F.col("revision").alias("head"), F.col("package").alias("identity"), "body")
-    found = graph.tombstone_live_conflicts(live, dead, graph.ancestor_closure(edges), nodes, bodies=True)
-    concurrent = checkpoint(found.select(F.lit("tombstone-live").alias("conflict"), "identity", "claims"))
+    concurrent = concurrent_conflicts(records, heads, nodes, edges)
     claims = lambda df: df.select(F.explode("claims").alias("body"))
     account((said(concurrent, "conflict"), "said"), (said(concurrent, "identity"), "said"), (claims(concurrent), "body"))
     account((said(heads, "node"), "said"), (said(missing, "node"), "said"), (nodes.limit(1).select(F.lit('"unknown"').alias("said")), "said"))
 
-    views = written(merge.claim_views(records, limits["locators"]), "views")
-    sizes = views.agg(F.count_if(F.col("kind") != "observation").alias("e"), F.count_if(F.col("kind") == "observation").alias("o")).first()
+    every = written(merge.claims(records, limits["locators"]), "claims")
+    observed, n = F.col("kind") == "observation", F.size("claims")
+    sizes = every.agg(F.sum(F.when(~observed, n)).alias("e"), F.sum(F.when(observed, n)).alias("o")).fillna(0).first()
     if sizes["e"] > limits["entries"] or sizes["o"] > limits["observations"] or heads.count() > limits["parents"]:
         raise CatalogError("limit", "records of the union")
-    clashing = checkpoint(merge.identity_conflicts(views).select("conflict", "identity", "claims"))
+    clashing = every.where(n > 1).select(merge.conflict_name().alias("conflict"), "identity", "claims")
     conflicts = clashing.union(concurrent)
-    union = merge.merged_union(views)
+    union = every.where(n == 1).select("kind", "identity", F.col("claims")[0].alias("body"))
     whole = conflicts.isEmpty()
     if whole:
         account((nodes.limit(1).select(F.lit("1").alias("said")), "said"), (said(heads, "node"), "said"), (union, "body"))

@@ -30,10 +30,11 @@ SHARD = "struct<payloadVersion:int,nodeType:string,partitionVersion:int,prefix:s
 
 @dataclass
 class Catalogs:
-    revisions: DataFrame  # revision, canonical
+    texts: DataFrame  # text (a number), revision, digest (of its canonical form; null if refused), repeats: whether an identity comes twice
     parents: DataFrame  # child, parent
-    entries: DataFrame  # revision, kind, identity, entry, body
-    observations: DataFrame  # revision, identity, observation, body
+    records: DataFrame  # text, revision, kind, identity, package (what an observation or a tombstone refers to), body
+    entries: DataFrame  # revision, kind, identity, entry, body: from the texts again, where ``records`` are read from what was written
+    observations: DataFrame  # revision, identity, observation, body: likewise
     violations: DataFrame  # rule, identity (of the revision)
 
 
@@ -65,41 +66,42 @@ def opened_shards(texts: DataFrame, limits: dict = V2) -> DataFrame:
 
 
 def parse_catalogs(texts: DataFrame, limits: dict = V1, most: int = PLAINTEXT_BYTES) -> Catalogs:
-    """Full snapshots (payload version 1), with bounds checked before anything else is."""
-    own = opened(texts, most)
-    fine = own.where("refusal IS NULL").withColumn("c", F.from_json("text", schemas.CATALOG))
-    c = lambda f: F.col(f"c.{f}")
+    """Full snapshots (payload version 1), with bounds checked before anything else is.
+
+    One walk checks a text and gives its records, which are written: bodies are kept as they came, in canonical
+    form, so that equal claims are equal texts. What holds of a text stands with its first record, or with none.
+    """
+    own = walked(texts.select("revision", "data"), most, sj.catalog_records)
+    told = [f for f in sj.CATALOG.names if f != "records"]
+    every = own.withColumn("text", F.monotonically_increasing_id()).select("text", "revision", F.struct(*told).alias("head"), F.posexplode_outer("records").alias("position", "r"))
+    head = F.when(F.coalesce("position", F.lit(0)) == 0, F.col("head"))
+    every = written(every.select("text", "revision", head.alias("head"), "r.*", F.col("position").isNotNull().alias("held")), "records")
+    heads = written(every.where("head IS NOT NULL").select("text", "revision", "head.*"), "catalogs")
+    records = every.where("held").select("text", "revision", "kind", "identity", "package", "body")
+    fine, c = heads.where("refusal IS NULL"), F.col
     rules = [
-        ("fields", _exactly(F.col("text"), CATALOG_FIELDS)),
-        ("version", c("payloadVersion") == 1),
+        ("fields", F.array_sort("fields") == F.array(*(F.lit(f) for f in sorted(CATALOG_FIELDS)))),
+        ("version", c("version") == 1),
         ("parents", schemas.unique_within(c("parents"), limits["parents"]) & F.forall(c("parents"), lambda p: p.rlike(schemas.DIGEST))),
-        ("entries", F.size(c("entries")) <= limits["entries"]),
-        ("observations", F.size(c("observations")) <= limits["observations"]),
-        ("observation repeats", F.size(F.array_distinct(F.transform(c("observations"), lambda o: o["observationId"]))) == F.size(c("observations"))),
-        ("locators", F.forall(c("entries"), lambda e: e["locators"].isNull() | (F.size(e["locators"]) <= limits["locators"]))),
-        ("metadata size", F.forall(c("entries"), lambda e: F.coalesce(F.octet_length(F.to_json(e["metadata"])), F.lit(0)) <= METADATA_BYTES)),
+        ("entries", c("entries") <= limits["entries"]),
+        ("observations", c("observations") <= limits["observations"]),
+        ("observation repeats", c("observed") == c("observations")),
+        ("locators", c("locators") <= limits["locators"]),
+        ("metadata size", c("metadata") <= METADATA_BYTES),
     ]
-    broken = violations(fine, F.col("revision"), rules).union(own.where("refusal IS NOT NULL").select(F.concat(F.lit("json: "), "refusal"), "revision"))
-    # bodies are kept as they came, in canonical form, so that equal claims are equal texts
-    raw = fine.select("revision", F.from_json("text", "struct<entries:array<variant>,observations:array<variant>>").alias("r"), "c")
-    body = lambda v: sj.json_canonical(F.encode(F.to_json(v), "UTF-8"))
-    # zipped, so that a row holds its own record and not all of its catalog
-    each = lambda field, name: raw.select("revision", F.explode(F.arrays_zip(F.col(f"c.{field}").alias(name), F.col(f"r.{field}").alias("v"))).alias("x")).select("revision", f"x.{name}", body(F.col("x.v")).alias("body"))
-    e = each("entries", "entry")
-    f = lambda x: F.col(f"entry.{x}")
-    identity = F.coalesce(f("package.sha256"), f("eventId"), f("receiptId"))
-    entries = e.select("revision", f("entryKind").alias("kind"), identity.alias("identity"), "entry", "body")
-    obs = each("observations", "observation").select("revision", F.col("observation.observationId").alias("identity"), "observation", "body")
+    broken = violations(fine, c("revision"), rules).union(heads.where("refusal IS NOT NULL").select(F.concat(F.lit("json: "), "refusal"), "revision"))
     # every nested level is closed, by the rules of the record's kind
-    kept = entries.select("kind", F.col("revision").alias("identity"), "body").union(obs.select(F.lit("observation"), "revision", "body"))
-    nested = record_violations(kept, limits["locators"]).select(F.concat(F.lit("record: "), "rule"), "identity")
-    broken = broken.union(nested.distinct())
+    nested = record_violations(records.select("kind", c("revision").alias("identity"), "body"), limits["locators"]).select(F.concat(F.lit("record: "), "rule"), "identity")
+    n, o = (F.coalesce(f, F.lit(0)) for f in ("entries", "observations"))
+    each = lambda some: own.select("revision", F.explode(some).alias("r"))
+    typed = lambda name, schema: F.from_json("r.body", schema).alias(name)
     return Catalogs(
-        fine.select("revision", sj.json_canonical("data").alias("canonical")),
-        fine.select(F.col("revision").alias("child"), F.explode("c.parents").alias("parent")),
-        entries,
-        obs,
-        broken,
+        heads.select("text", "revision", "digest", "repeats"),
+        fine.select(c("revision").alias("child"), F.explode("parents").alias("parent")),
+        records,
+        each(F.slice("records", F.lit(1), n)).select("revision", "r.kind", "r.identity", typed("entry", schemas.ENTRY), "r.body"),
+        each(F.slice("records", n + 1, o)).select("revision", "r.identity", typed("observation", schemas.OBSERVATION), "r.body"),
+        broken.union(nested.distinct()),
     )
 
 

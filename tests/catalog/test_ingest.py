@@ -236,3 +236,39 @@ def test_walk_tells_what_read_tells():
         refusal, text = sj.read(own)
         for member in (None, "records"):
             assert sj._state_of_records(own, member)[:2] == (refusal, text == t), t
+
+
+def test_catalogs_are_walked_once_for_rules_and_records(spark):
+    got = ingest.parse_catalogs(spark.createDataFrame([("r", catalog()), ("broken", b"{"), ("list", b"[1]")], "revision string, data binary"))
+    for table in (got.violations, got.parents):
+        assert "ArrowEvalPython" not in table._jdf.queryExecution().toString()
+    assert {(r.rule, r.identity) for r in got.violations.collect()} >= {("json: parse", "broken"), ("fields", "list"), ("entries", "list")}
+    assert "ArrowEvalPython" not in got.records._jdf.queryExecution().toString()
+    assert sorted((r.revision, r.kind, r.identity, r.package) for r in got.records.collect()) == [("r", "observation", "o1", SHA), ("r", "snapshot", SHA, None)]
+    assert {(r.revision, r.digest) for r in got.texts.collect()} == {("r", hashlib.sha256(sj.canonical(json.loads(catalog())).encode()).hexdigest()), ("broken", None), ("list", hashlib.sha256(b"[1]").hexdigest())}
+
+
+def test_rules_are_compiled(spark):
+    """A lambda around them would have all of them interpreted."""
+    from basalt.operators.validate import violations
+
+    rows = spark.createDataFrame([('{"a":"x"}',), ('{"a":"y"}',)], "body string").withColumn("c", F.from_json("body", "struct<a:string>"))
+    found = violations(rows, F.col("body"), [("x", F.col("c.a") == "x"), ("never", F.col("c.a").isNull()), ("always", F.col("c.a").isNotNull())])
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(tuple(r) for r in found.collect()) == [("never", '{"a":"x"}'), ("never", '{"a":"y"}'), ("x", '{"a":"y"}')]
+
+
+def test_what_the_walk_tells_of_a_catalog():
+    read = lambda value: sj._catalog(value if isinstance(value, bytes) else json.dumps(value).encode())
+    odd = [{"entryKind": 5, "eventId": "e", "b": [sj._MARK, sj._MARK]}, {"entryKind": "tombstone", "eventId": "e", "targetPackageSha256": "t", "a": "\U0001f600"}, [sj._MARK], None, sj._MARK]
+    for entries in (odd, odd[:1], odd[2:], [], [{"n": 1.5, "m": 1e21}, {"n": -0.0}]):
+        got = read({"payloadVersion": 1, "parents": ["p", 5], "entries": entries, "observations": [{"observationId": "o", "packageSha256": "s"}] * 2, "more": {"z": 1, "a": 2}})
+        assert [x[3] for x in got["records"]] == [sj.canonical(x) for x in entries] + ['{"observationId":"o","packageSha256":"s"}'] * 2
+        assert (got["entries"], got["observations"], got["observed"], got["repeats"], got["version"], got["parents"]) == (len(entries), 2, 1, True, 1, ["p", None])
+    got = read({"entries": odd, "observations": 1})
+    assert [x[:3] for x in got["records"]] == [("5", "e", None), ("tombstone", "e", "t"), (None, None, None), (None, None, None), (None, None, None)]
+    assert got.get("observations") is None and got.get("parents") is None and got.get("version") is None and got["repeats"]
+    large = {"metadata": {"a": "\u00e9" * 40_000}, "locators": [1, 2]}
+    got = read({"entries": [large, {"locators": None}], "observations": [], "payloadVersion": 1.0})
+    assert (got["metadata"], got["locators"], got["repeats"], got.get("version")) == (80_008, 2, True, None)
+    assert read(b'{"a":1,"a":1}') == {"refusal": "duplicate-key"} and list(read(b"5")) == ["digest"]

@@ -123,3 +123,25 @@ def test_errors_have_their_class(spark):
     refused(spark, "limit", (A, one), result_bytes=1500)
     refused(spark, "reference", (A, catalog([snapshot(1, 1)], [seen(1, 1, 2)])))
     refused(spark, "reference", (A, catalog([snapshot(1, 1)], [seen(1, 2, 1)])))
+
+
+def test_what_is_reconciled_is_shuffled_once(spark):
+    """Union and conflicts are read from what was written, and claims move by identity once."""
+    got = reconciled(spark, [(A, catalog([dead(1, 1), dead(2, 2)])), (B, catalog([dead(1, 1), dead(2, 2, reason="user-request")], parents=[A]))])
+    for table in (got.union, got.conflicts):
+        assert "Exchange" not in table._jdf.queryExecution().executedPlan().toString()
+    assert [(r.kind, r.identity) for r in got.union.collect()] == [("tombstone", id32(("t", 1)))]
+    assert [(r.conflict, r.identity, len(r.claims)) for r in got.conflicts.collect()] == [("event-claim", id32(("t", 2)), 2)]
+
+
+def test_records_that_come_twice_in_one_catalog(spark):
+    """Equal ones count once and places are united, in the catalogs that have them; others are beside them as they were."""
+    twice = catalog([snapshot(1, 2), snapshot(1, 1), dead(1, 9), dead(1, 9)], [seen(1, 1, 1), seen(2, 1, 2)])
+    once = catalog([snapshot(2, 3, 1)])
+    got = reconciled(spark, [(A, twice), (A, json.dumps(twice, indent=1).encode()), (B, once)])
+    assert text(got)["entries"] == merged(snapshot(1, 1, 2), snapshot(2, 1, 3), dead(1, 9))
+    used = size(A, 1, snapshot(1, 1, 2), dead(1, 9), seen(1, 1, 1), seen(2, 1, 2)) + size(B, 1, snapshot(2, 3, 1))
+    assert got.bytes == used + size(A, B, "unknown") + size(1, A, B, snapshot(1, 1, 2), snapshot(2, 1, 3), dead(1, 9), seen(1, 1, 1), seen(2, 1, 2))
+    refused(spark, "conflict", (A, catalog([dead(1, 9), dead(1, 9, reason="user-request")])), (B, once))
+    # places of a claim are in order whether it is alone in its catalog or not
+    assert clash(spark, (A, catalog([snapshot(1, 3, 1), snapshot(2)])), (B, catalog([dead(1, 1)]))) == [("tombstone-live", sha(1), sorted([snapshot(1, 1, 3), dead(1, 1)], key=sj.canonical))]
